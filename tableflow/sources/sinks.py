@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,19 @@ from tableflow.operators.contracts import ContractError, require_appendable, req
 WRITE_MODES = ("append", "overwrite")
 
 
+def _location(path: str, with_host: bool) -> str:
+    parts = urlsplit(path)
+    return (f"{parts.netloc}/" if with_host else "") + parts.path.strip("/")
+
+
+def refuse_overwriting_input(df: DataFrame, path: str) -> None:
+    """Raise if ``df`` reads files below ``path``: an overwrite deletes them before the read."""
+    with_host = bool(urlsplit(path).netloc)
+    below = _location(path, with_host) + "/"
+    if any((_location(f, with_host) + "/").startswith(below) for f in df.inputFiles()):
+        raise ValueError(f"The rows to write are read from {path}; write to another path")
+
+
 def existing_schema(spark: SparkSession, path: str, fmt: str) -> T.StructType | None:
     """Schema of the table at ``path``, or None where there is no table yet."""
     try:
@@ -46,6 +61,8 @@ def write_table(
                 raise ContractError(f"Existing table has no column {partition_by!r}")
             checked = T.StructType([f for f in existing.fields if f.name != partition_by])
             require_appendable(df.drop(partition_by) if partition_by else df, checked)
+    else:
+        refuse_overwriting_input(df, path)
     writer = df.write.format(fmt).mode(mode)
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
@@ -60,6 +77,7 @@ def write_partitioned(df: DataFrame, path: str, partition_by: str = "symbol") ->
     splits a value that is too large for one task, which a plain repartition would not.
     """
     require_columns(df, [partition_by])
+    refuse_overwriting_input(df, path)
     (
         df.hint("rebalance", named(partition_by))
         .write.mode("overwrite")

@@ -1,0 +1,198 @@
+"""Column rules on edge values."""
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tableflow import (
+    all_present,
+    complete_rows,
+    default_if_blank,
+    epoch_millis,
+    ingest_stamp,
+    is_valid_price,
+    iso_instant,
+    normalize_symbol,
+    parse_double,
+    parse_timestamp,
+    safe_ratio,
+    split_prices,
+    split_rows,
+    standardize,
+    strict_date,
+    trim_strings,
+)
+
+
+def apply(spark, values, kind, rule):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r.out for r in df.select("i", rule("v").alias("out")).orderBy("i").collect()]
+
+
+def test_normalize_symbol(spark):
+    values = [None, "", "  ", "\t", "\u2003", " btc ", "\x01eth\n", "a b", "\u00a0x", "stra\u00dfe"]
+    assert apply(spark, values, "string", normalize_symbol) == [
+        "UNKNOWN",
+        "UNKNOWN",
+        "UNKNOWN",
+        "UNKNOWN",
+        "UNKNOWN",
+        "BTC",
+        "ETH",
+        "A B",
+        "\u00a0X",
+        "STRASSE",
+    ]
+
+
+def test_non_breaking_space_is_not_blank(spark):
+    assert apply(spark, ["\u00a0"], "string", normalize_symbol) == ["\u00a0"]
+
+
+def test_default_if_blank_does_not_trim(spark):
+    found = apply(
+        spark, [None, "", " \t", " a "], "string", lambda c: default_if_blank(c, "none")
+    )
+    assert found == ["none", "none", "none", " a "]
+
+
+def test_safe_ratio(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2.0), (1.0, 0.0), (0.0, 0.0), (None, 2.0), (1.0, None), (1.0, -0.0)],
+        "n double, d double",
+    )
+    found = [r[0] for r in df.select(safe_ratio("n", "d", -9.0)).collect()]
+    assert found == [0.5, -9.0, -9.0, None, None, -9.0]
+
+
+def test_is_valid_price(spark):
+    values = [None, float("nan"), 0.0, -1.0, 0.01, float("inf")]
+    expected = [False, False, False, False, True, True]
+    assert apply(spark, values, "double", is_valid_price) == expected
+
+
+def test_all_present(spark):
+    df = spark.createDataFrame([(1, 2.0), (None, 2.0), (1, float("nan"))], "a int, b double")
+    assert [r[0] for r in df.select(all_present("a", "b")).collect()] == [True, False, True]
+    assert df.select(all_present()).first()[0] is True
+
+
+def test_epoch_millis(spark):
+    values = [
+        "1970-01-01T00:00:00Z",
+        "2026-01-01T00:00:00.123Z",
+        "2026-01-01T02:00:00+02:00",
+        "2026-01-01T00:00:00",
+        "2026-01-01",
+        "2026-13-01T00:00:00Z",
+        "2026-01-01T00:00Z",
+        "junk",
+        None,
+        "1969-12-31T23:59:59.999Z",
+    ]
+    day = 1767225600000
+    assert apply(spark, values, "string", epoch_millis) == [
+        0,
+        day + 123,
+        day,
+        None,
+        None,
+        None,
+        None,
+        None,
+        None,
+        -1,
+    ]
+
+
+def test_epoch_millis_can_raise(spark):
+    with pytest.raises(PySparkException, match="Invalid ISO timestamp: junk"):
+        apply(spark, ["junk"], "string", lambda c: epoch_millis(c, "raise"))
+    good = apply(
+        spark, ["1970-01-01T00:00:01Z", None], "string", lambda c: epoch_millis(c, "raise")
+    )
+    assert good == [1000, None]
+    with pytest.raises(ValueError, match="on_bad"):
+        epoch_millis("x", "ignore")
+
+
+def test_strict_date(spark):
+    values = ["2026-02-28", "2026-02-30", "2026-2-3", "2024-02-29", "20260101", "", None, "2026-01-01 "]
+    expected = ["2026-02-28", None, None, "2024-02-29", None, None, None, None]
+    assert apply(spark, values, "string", strict_date) == expected
+    with pytest.raises(PySparkException, match="Invalid date"):
+        apply(spark, ["2026-02-30"], "string", lambda c: strict_date(c, "raise"))
+
+
+def test_iso_instant(spark):
+    values = [0, 1000, 1767225600123, -1, 60_000, 59_120, 253402300799999, None, -86_400_000]
+    assert apply(spark, values, "bigint", iso_instant) == [
+        "1970-01-01T00:00Z",
+        "1970-01-01T00:00:01Z",
+        "2026-01-01T00:00:00.123Z",
+        "1969-12-31T23:59:59.999Z",
+        "1970-01-01T00:01Z",
+        "1970-01-01T00:00:59.120Z",
+        "9999-12-31T23:59:59.999Z",
+        None,
+        "1969-12-31T00:00Z",
+    ]
+
+
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert apply(spark, [0], "bigint", iso_instant) == ["1970-01-01T00:00Z"]
+        assert apply(spark, ["1970-01-01T00:00:00Z"], "string", epoch_millis) == [0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_round_trip_of_instants(spark):
+    values = [0, 1, 999, 1000, 1767225600123, -5, 86_399_999]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    with_seconds = df.filter("v % 60000 <> 0")
+    back = with_seconds.select("v", epoch_millis(iso_instant("v")).alias("b")).collect()
+    assert all(r.v == r.b for r in back)
+
+
+def test_bad_text_becomes_null(spark):
+    assert apply(spark, ["junk", None, "2026-01-01"], "string", parse_timestamp)[:2] == [None, None]
+    assert apply(spark, ["abc", "1.5", None], "string", parse_double) == [None, 1.5, None]
+
+
+def test_ingest_stamp(spark):
+    df = spark.createDataFrame([("1",)], "id string")
+    assert df.withColumns(ingest_stamp()).columns == ["id", "ingest_ts", "ingest_date"]
+    row = df.withColumns(ingest_stamp("2026-03-04 05:06:07")).first()
+    assert str(row.ingest_ts) == "2026-03-04 05:06:07" and str(row.ingest_date) == "2026-03-04"
+
+
+def test_trim_strings_handles_dots_and_keeps_tabs(spark):
+    df = spark.createDataFrame([("  x ", "\t y ", 1)], "`a.b` string, c string, n int")
+    out = trim_strings(df)
+    assert out.columns == ["a.b", "c", "n"]
+    assert tuple(out.first()) == ("x", "\t y", 1)
+
+
+def test_standardize_reads_input_columns(spark):
+    df = spark.createDataFrame([("a", "b")], "x string, y string")
+    out = standardize(df, {"x": F.col("y"), "y": F.col("x")})
+    assert tuple(out.first()) == ("b", "a")
+
+
+def test_splits_are_complete(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.0,), (2.0,)], "close double")
+    good, bad = split_prices(df)
+    assert [r.close for r in good.collect()] == [2.0]
+    assert bad.count() == 3
+    good, bad = split_rows(df, F.col("close") > 1.0)
+    assert good.count() + bad.count() == 4
+
+
+def test_complete_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, 1.0), (None, None)], "a int, b double")
+    assert complete_rows(df).count() == 1
+    assert complete_rows(df, ["a"]).count() == 2
+    assert complete_rows(df, []).count() == 3

@@ -1,0 +1,175 @@
+"""Streams give what the batch operators give, also after a restart or a replay."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tableflow import (
+    bars,
+    current_table,
+    latest_per_key,
+    project_ticks,
+    read_stream,
+    run_bounded,
+    start_append,
+    start_upsert,
+    stream_bars,
+    tick_stream_job,
+    upsert_batch,
+)
+
+START = datetime(2026, 1, 1)
+COUNTER = "timestamp timestamp, value bigint"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def counters(spark, values):
+    data = [(START + timedelta(seconds=v), v) for v in values]
+    return spark.createDataFrame(data, COUNTER)
+
+
+def test_projection(spark):
+    df = spark.createDataFrame([(START, 4), (START, 401), (START, None), (START, -3)], COUNTER)
+    found = [(r.symbol, r.close, r.value) for r in project_ticks(df).collect()]
+    assert found == [("BTC", 10004.0, 4), ("ETH", 10001.0, 401), ("ETH", None, None), ("ETH", 9997.0, -3)]
+    assert project_ticks(df).columns == ["event_time", "symbol", "close", "value"]
+
+
+def test_append_stream_survives_a_restart(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+
+    def run():
+        return tick_stream_job(
+            spark, source, out, checkpoint, COUNTER, run_seconds=120, available_now=True,
+            max_files_per_trigger=1,
+        )
+
+    counters(spark, range(50)).repartition(3).write.parquet(source)
+    assert run() is True
+    counters(spark, range(50, 80)).write.mode("append").parquet(source)
+    assert run() is True
+    assert run() is True
+    written = spark.read.parquet(out)
+    assert rows(written) == rows(project_ticks(counters(spark, range(80))))
+
+
+def test_bounded_run_stops_a_running_query(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    counters(spark, range(20)).coalesce(1).write.parquet(source)
+    ended = tick_stream_job(
+        spark, source, out, checkpoint, COUNTER, run_seconds=8, trigger="1 second"
+    )
+    assert ended is False
+    assert not spark.streams.active
+    assert spark.read.parquet(out).count() == 20
+    tick_stream_job(spark, source, out, checkpoint, COUNTER, run_seconds=120, available_now=True)
+    assert spark.read.parquet(out).count() == 20
+
+
+def test_failed_stream_raises(spark, tmp_path):
+    source = str(tmp_path / "in")
+    counters(spark, range(5)).write.parquet(source)
+    broken = read_stream(spark, source, COUNTER).withColumn("x", F.raise_error(F.lit("broken")))
+    query = start_append(broken, str(tmp_path / "out"), str(tmp_path / "c"), available_now=True)
+    with pytest.raises(Exception, match="broken"):
+        run_bounded(query, 120)
+
+
+TICKS = "symbol string, event_time timestamp, close double"
+
+
+def some_ticks(spark, n=400):
+    rng = random.Random(4)
+    data = [
+        (rng.choice("AAAB"), START + timedelta(seconds=i * 60), round(rng.uniform(1, 9), 2))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(data, TICKS)
+
+
+@pytest.mark.parametrize("zone", ["timestamp", "timestamp_ntz"])
+def test_stream_bars_equal_closed_batch_bars(spark, tmp_path, zone):
+    ticks = some_ticks(spark).withColumn("event_time", F.col("event_time").cast(zone))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    ticks.repartitionByRange(4, "event_time").sortWithinPartitions("event_time").write.parquet(source)
+    stream = read_stream(spark, source, ticks.schema, max_files_per_trigger=4)
+    closed = stream_bars(stream, "30 minutes", "10 minutes", tiebreak=[])
+    run_bounded(start_append(closed, out, checkpoint, available_now=True), 120)
+    limit = START + timedelta(seconds=399 * 60) - timedelta(minutes=10)
+    expected = bars(some_ticks(spark), "30 minutes", tiebreak=[]).filter(
+        F.col("event_time") + F.expr("interval 30 minutes") <= F.lit(limit)
+    )
+    found = spark.read.parquet(out)
+    assert expected.count() > 10
+    assert rows(found) == rows(expected)
+
+
+VERSIONS = "id string, at timestamp, n bigint"
+
+
+def versions(spark, numbers):
+    return spark.createDataFrame(
+        [(f"k{i * 7 % 23}", START + timedelta(seconds=i), i) for i in numbers], VERSIONS
+    )
+
+
+def apply(batch, batch_id, root, **more):
+    upsert_batch(batch, batch_id, root, keys=["id"], order_by="at", tiebreak=["n"], buckets=4, **more)
+
+
+def test_upsert_stream_equals_latest_per_key(spark, tmp_path):
+    source, root, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    # Files arrive in any order of time: an old version must not undo a newer one.
+    for part in ([range(100, 200), range(0, 100), range(150, 300)], [range(290, 310)]):
+        for numbers in part:
+            versions(spark, numbers).coalesce(1).write.mode("append").parquet(source)
+        stream = read_stream(spark, source, VERSIONS, max_files_per_trigger=1)
+        query = start_upsert(
+            stream, root, checkpoint, keys=["id"], order_by="at", tiebreak=["n"], buckets=4
+        )
+        run_bounded(query, 300)
+    expected = latest_per_key(versions(spark, range(310)), ["id"], "at", ["n"])
+    found = current_table(spark, root, expected.schema)
+    assert rows(found) == rows(expected)
+
+
+def test_replayed_batch_gives_the_same_table(spark, tmp_path):
+    root = str(tmp_path / "table")
+    add = {"n": F.col("target.n") + F.col("source.n")}
+    insert = {"id": "id", "at": "at", "n": "n"}
+    one = spark.createDataFrame([("a", START, 1), ("b", START, 1)], VERSIONS)
+    two = spark.createDataFrame([("a", START, 10), ("c", START, 10)], VERSIONS)
+    apply(one, 0, root, set=add, insert=insert)
+    before = rows(current_table(spark, root, one.schema))
+    for _ in range(3):
+        apply(two, 1, root, set=add, insert=insert)
+        found = {r.id: r.n for r in current_table(spark, root, one.schema).collect()}
+        assert found == {"a": 11, "b": 1, "c": 10}
+    assert rows(current_table(spark, root, one.schema, before=1)) == before
+
+
+def test_uncommitted_data_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "table")
+    apply(versions(spark, range(30)), 0, root)
+    before = rows(current_table(spark, root, versions(spark, [0]).schema))
+    stray = versions(spark, range(100, 130)).withColumn("bucket", F.lit(0))
+    stray.write.partitionBy("bucket").parquet(f"{root}/data/version=1")
+    assert rows(current_table(spark, root, versions(spark, [0]).schema)) == before
+    apply(versions(spark, [30]), 1, root)
+    expected = latest_per_key(versions(spark, range(31)), ["id"], "at", ["n"])
+    assert rows(current_table(spark, root, expected.schema)) == rows(expected)
+
+
+def test_batch_touches_only_its_buckets(spark, tmp_path):
+    root = str(tmp_path / "table")
+    apply(versions(spark, range(60)), 0, root)
+    apply(versions(spark, [60]), 1, root)
+    written = [p.name for p in (tmp_path / "table" / "data" / "version=1").glob("bucket=*")]
+    assert len(written) == 1
+    apply(versions(spark, []), 2, root)
+    assert not (tmp_path / "table" / "data" / "version=2").exists()

@@ -1,0 +1,227 @@
+"""Upserts against a row-by-row model, and bars."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tableflow import (
+    ContractError,
+    bars,
+    copy_columns,
+    newest_wins,
+    upsert,
+    upsert_where,
+)
+
+TARGET = "id bigint, v double, note string"
+SOURCE = "id bigint, v double"
+SET = {"v": "v"}
+INSERT = {"id": "id", "v": "v"}
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_update_insert_keep(spark):
+    target = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b"), (2, 2.5, "c")], TARGET)
+    source = spark.createDataFrame([(2, 20.0), (3, 30.0)], SOURCE)
+    out = upsert(target, source, on=["id"], set=SET, insert=INSERT)
+    assert out.schema.names == target.schema.names
+    assert rows(out) == [(1, 1.0, "a"), (2, 20.0, "b"), (2, 20.0, "c"), (3, 30.0, None)]
+
+
+def test_expressions_see_both_sides(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(1, 10.0), (2, 20.0)], SOURCE)
+    out = upsert(
+        target,
+        source,
+        on=["id"],
+        set={"v": F.col("target.v") + F.col("source.v"), "note": F.lit("sum")},
+        insert={"id": "id", "note": F.lit("new")},
+    )
+    assert rows(out) == [(1, 11.0, "sum"), (2, None, "new")]
+
+
+def test_set_to_null_is_an_update(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(1, None)], SOURCE)
+    assert rows(upsert(target, source, on=["id"], set=SET, insert=INSERT)) == [(1, None, "a")]
+
+
+def test_null_keys_never_match(spark):
+    target = spark.createDataFrame([(None, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(None, 5.0), (None, 6.0)], SOURCE)
+    out = upsert(target, source, on=["id"], set=SET, insert=INSERT)
+    assert rows(out) == [(None, 1.0, "a"), (None, 5.0, None), (None, 6.0, None)]
+
+
+def test_two_source_rows_for_one_target_row_fail(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(1, 5.0), (1, 5.0)], SOURCE)
+    out = upsert(target, source, on=["id"], set=SET, insert=INSERT)
+    with pytest.raises(PySparkException, match="Several source rows"):
+        out.collect()
+    with pytest.raises(PySparkException, match="Several source rows"):
+        out.select("note").collect()
+    with pytest.raises(PySparkException, match="Several source rows"):
+        out.count()
+
+
+def test_unmatched_source_copies_are_all_inserted(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(2, 5.0), (2, 5.0)], SOURCE)
+    out = upsert(target, source, on=["id"], set=SET, insert=INSERT)
+    assert rows(out) == [(1, 1.0, "a"), (2, 5.0, None), (2, 5.0, None)]
+
+
+def test_empty_sides(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(2, 5.0)], SOURCE)
+    none_target, none_source = target.limit(0), source.limit(0)
+    assert rows(upsert(none_target, source, on=["id"], set=SET, insert=INSERT)) == [(2, 5.0, None)]
+    assert rows(upsert(target, none_source, on=["id"], set=SET, insert=INSERT)) == rows(target)
+
+
+def test_arguments(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(2, 5.0)], SOURCE)
+    with pytest.raises(ValueError, match="set must not be empty"):
+        upsert(target, source, on=["id"], set={}, insert=INSERT)
+    with pytest.raises(ValueError, match="insert must not be empty"):
+        upsert(target, source, on=["id"], set=SET, insert={})
+    with pytest.raises(ValueError, match="key"):
+        upsert(target, source, on=[], set=SET, insert=INSERT)
+    with pytest.raises(ContractError):
+        upsert(target, source, on=["id"], set={"absent": "v"}, insert=INSERT)
+    with pytest.raises(ContractError):
+        upsert(target, source, on=["absent"], set=SET, insert=INSERT)
+
+
+def test_composite_keys_against_a_model(spark):
+    rng = random.Random(3)
+    t = {(rng.randrange(20), rng.randrange(5)): float(i) for i in range(60)}
+    s = {(rng.randrange(20), rng.randrange(5)): float(1000 + i) for i in range(60)}
+    target = spark.createDataFrame([(*k, v) for k, v in t.items()], "a int, b int, v double")
+    source = spark.createDataFrame([(*k, v) for k, v in s.items()], "a int, b int, v double")
+    out = upsert(target, source, on=["a", "b"], set=SET, insert=copy_columns(["a", "b", "v"]))
+    assert {(r.a, r.b): r.v for r in out.collect()} == {**t, **s}
+    assert out.count() == len({**t, **s})
+
+
+def test_newest_wins(spark):
+    target = spark.createDataFrame([(1, 5, "t"), (2, 5, "t"), (3, 5, "t")], "id int, at int, n string")
+    source = spark.createDataFrame([(1, 4, "s"), (2, 6, "s"), (3, 5, "s")], "id int, at int, n string")
+    out = upsert(
+        target,
+        source,
+        on=["id"],
+        set=newest_wins(["at", "n"], ["at"]),
+        insert=copy_columns(["id", "at", "n"]),
+    )
+    assert rows(out) == [(1, 5, "t"), (2, 6, "s"), (3, 5, "s")]
+
+
+def where(target, source, condition, **more):
+    return upsert_where(
+        target,
+        source,
+        on=[("k", "key")],
+        condition=condition,
+        target_id=["id"],
+        set={"v": "v"},
+        insert={"k": "key", "v": "v"},
+        **more,
+    )
+
+
+def test_condition_upsert_against_a_model(spark):
+    rng = random.Random(5)
+    t = [(i, rng.randrange(6), float(rng.randrange(100))) for i in range(80)]
+    s = [(k, float(50 + k)) for k in range(3, 9)]
+    target = spark.createDataFrame(t, "id int, k int, v double")
+    source = spark.createDataFrame(s, "key int, v double")
+    out = where(target, source, F.col("target.v") < F.col("source.v"))
+    by_key = dict(s)
+    expected = [
+        (i, k, by_key[k] if k in by_key and v < by_key[k] else v) for i, k, v in t
+    ] + [
+        (None, k, v) for k, v in s if not any(tk == k and tv < v for _, tk, tv in t)
+    ]
+    assert rows(out) == sorted(expected, key=repr)
+
+
+def test_condition_upsert_allows_disjoint_ranges_of_one_key(spark):
+    target = spark.createDataFrame([(1, 7, 10.0), (2, 7, 20.0)], "id int, k int, v double")
+    source = spark.createDataFrame(
+        [(7, 0, 15, -1.0), (7, 15, 30, -2.0), (7, 30, 40, -3.0), (None, 0, 99, -4.0)],
+        "key int, low int, high int, v double",
+    )
+    inside = (F.col("target.v") >= F.col("source.low")) & (F.col("target.v") < F.col("source.high"))
+    out = where(target, source, inside)
+    assert rows(out) == [(1, 7, -1.0), (2, 7, -2.0), (None, 7, -3.0), (None, None, -4.0)]
+
+
+def test_condition_upsert_fails_on_two_hits(spark):
+    target = spark.createDataFrame([(1, 7, 10.0)], "id int, k int, v double")
+    source = spark.createDataFrame([(7, 1.0), (7, 2.0)], "key int, v double")
+    with pytest.raises(PySparkException, match="Several source rows"):
+        where(target, source, F.col("target.v") > F.col("source.v")).collect()
+
+
+def test_condition_upsert_needs_an_equality(spark):
+    df = spark.createDataFrame([(1, 7, 10.0)], "id int, k int, v double")
+    for on, ids in (([], ["id"]), ([("k", "k")], [])):
+        with pytest.raises(ValueError):
+            upsert_where(
+                df, df, on=on, condition=F.lit(True), target_id=ids, set={"v": "v"}, insert={"v": "v"}
+            )
+
+
+START = datetime(2026, 1, 1)
+
+
+def test_bars(spark):
+    data = [
+        ("A", START + timedelta(minutes=1), 5.0, 1.0),
+        ("A", START + timedelta(minutes=59), 3.0, 2.0),
+        ("A", START + timedelta(minutes=30), 9.0, 4.0),
+        ("A", START + timedelta(minutes=60), 7.0, 8.0),
+        ("B", START, 1.0, 1.0),
+        ("B", None, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(data, "symbol string, event_time timestamp_ntz, close double, q double")
+    out = bars(df.repartition(3), "1 hour", tiebreak=[], volume="q")
+    assert rows(out) == [
+        ("A", START, 5.0, 9.0, 3.0, 3.0, 7.0, 3),
+        ("A", START + timedelta(hours=1), 7.0, 7.0, 7.0, 7.0, 8.0, 1),
+        ("B", START, 1.0, 1.0, 1.0, 1.0, 1.0, 1),
+    ]
+    assert out.columns == ["symbol", "event_time", "open", "high", "low", "close", "volume", "ticks"]
+
+
+def test_bar_ties_and_no_volume(spark):
+    data = [("A", START, float(i), i) for i in (2, 1, 3)]
+    df = spark.createDataFrame(data, "symbol string, event_time timestamp_ntz, close double, n int")
+    row = bars(df.repartition(3), "1 hour", tiebreak=["n"]).first()
+    assert (row.open, row.close, row.volume) == (1.0, 3.0, None)
+
+
+def test_bars_equal_a_model(spark):
+    rng = random.Random(9)
+    data = [
+        (rng.choice("AAAB"), START + timedelta(seconds=i * 37), round(rng.uniform(1, 9), 2))
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(data, "symbol string, event_time timestamp_ntz, close double")
+    model = {}
+    for symbol, at, close in data:
+        model.setdefault((symbol, at.replace(minute=at.minute // 15 * 15, second=0)), []).append(close)
+    expected = [
+        (s, at, v[0], max(v), min(v), v[-1], None, len(v)) for (s, at), v in model.items()
+    ]
+    assert rows(bars(df, "15 minutes", tiebreak=[])) == sorted(expected, key=repr)
