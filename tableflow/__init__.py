@@ -42,6 +42,7 @@ from tableflow.operators.indicators import (
     rsi,
 )
 from tableflow.operators.segments import Split
+from tableflow.operators.skew import HotKeys
 from tableflow.operators.upsert import copy_columns, newest_wins, upsert, upsert_where
 from tableflow.plans.jobs import bronze_job, curate_job, market_job, tick_stream_job
 from tableflow.sources.readers import read_stream, read_table
@@ -53,6 +54,7 @@ from tableflow.streaming.upsert import current_table, start_upsert, upsert_batch
 
 __all__ = [
     "ContractError",
+    "HotKeys",
     "Split",
     "all_present",
     "bars",

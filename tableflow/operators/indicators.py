@@ -92,7 +92,7 @@ def indicators(
     start = F.lit(since).cast("timestamp") if isinstance(since, str) else since
     source = df
     if start is not None:
-        source = rows_since(df, keys, order, start, INDICATOR_HISTORY)
+        source = rows_since(df, keys, order, start, INDICATOR_HISTORY, [price])
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         # Two levels of window functions with one partitioning and order: one shuffle, one sort.
@@ -121,7 +121,7 @@ def indicators(
             }
         ).drop(_DIFF, _GAIN, _LOSS)
 
-    result = trailing(source, keys, order, INDICATOR_HISTORY, compute, split)
+    result = trailing(source, keys, order, INDICATOR_HISTORY, [price], compute, split)
     if start is not None:
         result = result.filter(named(time) >= start)
     added = ["moving_avg_14", "rsi_14", "ema_fast_12", "ema_slow_26", "macd", "macd_signal_9"]
@@ -148,7 +148,7 @@ def price_delta(
             }
         )
 
-    return trailing(df, _keys(key), [time, *tiebreak], 1, compute, split)
+    return trailing(df, _keys(key), [time, *tiebreak], 1, [price], compute, split)
 
 
 def moving_average(
@@ -170,7 +170,7 @@ def moving_average(
         mean = F.avg(close).over(_last(w, period))
         return rows.withColumn(name, _when_full(mean, close, period, w))
 
-    return trailing(df, _keys(key), [time, *tiebreak], period - 1, compute, split)
+    return trailing(df, _keys(key), [time, *tiebreak], period - 1, [price], compute, split)
 
 
 def rsi(
@@ -196,7 +196,7 @@ def rsi(
         )
         return diffs.withColumn(name, _when_full(strength, named(_DIFF), period, w)).drop(_DIFF)
 
-    return trailing(df, _keys(key), [time, *tiebreak], period, compute, split)
+    return trailing(df, _keys(key), [time, *tiebreak], period, [price], compute, split)
 
 
 def macd(
@@ -222,7 +222,7 @@ def macd(
         spread = F.avg(close).over(_last(w, short)) - F.avg(close).over(_last(w, long))
         return rows.withColumn(name, _when_full(spread, close, long, w))
 
-    return trailing(df, _keys(key), [time, *tiebreak], long - 1, compute, split)
+    return trailing(df, _keys(key), [time, *tiebreak], long - 1, [price], compute, split)
 
 
 def bollinger(
@@ -248,7 +248,7 @@ def bollinger(
             {"bb_lower": mean - spread, "bb_mid": mean, "bb_upper": mean + spread}
         )
 
-    return trailing(df, _keys(key), [time, *tiebreak], period - 1, compute, split)
+    return trailing(df, _keys(key), [time, *tiebreak], period - 1, [price], compute, split)
 
 
 def bollinger_latest(

@@ -57,7 +57,7 @@ class Split:
 
     rows_per_segment: int = 1_000_000
     max_segments: int = 20_000
-    max_hot_keys: int = 1_000
+    max_hot_keys: int = 10_000
     sample_per_segment: int = 20
 
     def __post_init__(self) -> None:
@@ -78,13 +78,14 @@ def trailing(
     keys: Sequence[str],
     order: Sequence[str],
     history: int,
+    inputs: Sequence[str],
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     split: Split | None = None,
 ) -> DataFrame:
     """Run ``compute(df, window)`` so that a long series is spread over many tasks.
 
     ``compute`` adds columns from window functions that look back at most ``history`` rows and
-    never forward. ``order`` must decide every pair of rows of a series. ``df`` is read more
+    never forward, over the columns ``inputs``. ``order`` must decide every pair of rows of a series. ``df`` is read more
     than once when there are long series, so pass a table rather than a costly derivation.
     """
     split = split or Split()
@@ -94,8 +95,9 @@ def trailing(
 
     segmented = _with_segment(df, keys, order, hot, split)
     rows = segmented.drop(_HOT).withColumn(HISTORY, F.lit(False))
-    earlier = _history_rows(segmented, keys, order, history)
-    result = compute(rows.unionByName(earlier), series_window([*keys, SEGMENT], order))
+    earlier = _history_rows(segmented, keys, order, history, inputs)
+    both = rows.unionByName(earlier, allowMissingColumns=True)
+    result = compute(both, series_window([*keys, SEGMENT], order))
     return result.filter(~named(HISTORY)).drop(SEGMENT, HISTORY)
 
 
@@ -163,15 +165,23 @@ def _count_not_above(cuts: Column, n: int, position: Column) -> Column:
 
 
 def _history_rows(
-    segmented: DataFrame, keys: Sequence[str], order: Sequence[str], history: int
+    segmented: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    history: int,
+    inputs: Sequence[str],
 ) -> DataFrame:
-    """Copies of the last rows before each segment of a long series, labelled with that segment."""
+    """Copies of the last rows before each segment of a long series, labelled with that segment.
+
+    Only the columns that decide later rows are copied.
+    """
+    needed = _needed(keys, order, inputs)
     latest_first = Window.partitionBy(*map(named, keys), named(SEGMENT)).orderBy(
         *(named(c).desc_nulls_last() for c in order)
     )
     tails = (
         segmented.filter(named(_HOT))
-        .drop(_HOT)
+        .select(*map(named, [*needed, SEGMENT]))
         .withColumn(_RANK, F.row_number().over(latest_first))
         .filter(named(_RANK) <= history)
         .drop(_RANK)
@@ -189,12 +199,21 @@ def _history_rows(
     )
 
 
+def _needed(*names: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(n for group in names for n in group))
+
+
 def since(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, history: int
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    start: Column,
+    history: int,
+    inputs: Sequence[str],
 ) -> DataFrame:
     """Rows from ``start`` on, plus the last ``history`` rows of each series before it.
 
-    For incremental runs: Catalyst does not push a filter on the order column through a window,
+    The earlier rows have nulls outside keys, order and ``inputs``. For incremental runs: Catalyst does not push a filter on the order column through a window,
     so the rows are pruned first. The caller filters on ``start`` again afterwards.
     """
     time = named(order[0])
@@ -203,8 +222,9 @@ def since(
     )
     before = (
         df.filter(time.isNull() | (time < start))
+        .select(*map(named, _needed(keys, order, inputs)))
         .withColumn(_RANK, F.row_number().over(latest_first))
         .filter(named(_RANK) <= history)
         .drop(_RANK)
     )
-    return df.filter(time >= start).unionByName(before)
+    return df.filter(time >= start).unionByName(before, allowMissingColumns=True)

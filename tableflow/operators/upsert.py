@@ -6,7 +6,7 @@ Update and insert values are Columns over the aliases ``target`` and ``source``,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tableflow.functions.columns import named
 from tableflow.operators.contracts import require_columns, require_groupable
+from tableflow.operators.skew import HotKeys, hot_values, only_hot, without_hot
 
 Assignments = Mapping[str, "str | Column"]
 
+_ID = "__id"
 _ROW = "__row"
 _COUNT = "__count"
 
@@ -68,6 +70,15 @@ def _inserted(target: DataFrame, insert: dict[str, Column]) -> list[Column]:
     ]
 
 
+def _packed(columns: Sequence[str]) -> Column:
+    """Columns as one struct; a constant where there are none."""
+    return F.struct(*map(named, columns)) if columns else F.lit(True)
+
+
+def _unpacked(columns: Sequence[str]) -> list[Column]:
+    return [F.col(_ROW).getField(c).alias(c) for c in columns]
+
+
 def _one_hit(counted: Column) -> Column:
     """True; fails the query where several source rows hit one target row."""
     message = F.lit("Several source rows match one target row; make the source unique first")
@@ -81,16 +92,15 @@ def upsert(
     on: Sequence[str],
     set: Assignments,
     insert: Assignments,
+    hot: HotKeys | None = HotKeys(),
 ) -> DataFrame:
     """Upsert on equal key columns. Null keys never match, so such source rows are inserted.
 
     The query fails when two source rows match one target row. Two source rows with the same
     unmatched key are both inserted.
 
-    Both joins are of a kind whose large side adaptive execution can split: the target is the
-    preserved side of a left join to one row per source key, and the inserts are an anti join to
-    the distinct target keys. A full outer join would need one pass less over the target's keys,
-    but a key with a third of the target could not be split.
+    Rows with a hot key, see ``HotKeys``, are merged without a shuffle. ``hot=None`` skips the
+    search for hot keys, for tables known to have few rows per key.
     """
     keys = list(on)
     if not keys:
@@ -100,15 +110,36 @@ def upsert(
     set_to = _assignments(set, target, "set")
     values = _assignments(insert, target, "insert")
 
-    # One row per source key, combined before the shuffle, with the number of rows behind it.
+    hot_keys = hot_values([target, source], keys, hot)
+    if hot_keys is None:
+        return _merge(target, source, keys, set_to, values, lambda side: side)
+    cold = [without_hot(t, keys, hot_keys) for t in (target, source)]
+    warm = [only_hot(t, keys, hot_keys) for t in (target, source)]
+    return _merge(*cold, keys, set_to, values, lambda side: side).unionByName(
+        # Both reduced sides have at most one row per hot key here.
+        _merge(*warm, keys, set_to, values, F.broadcast)
+    )
+
+
+def _merge(
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    set_to: dict[str, Column],
+    values: dict[str, Column],
+    small: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Left join to one row per source key, plus an anti join to the distinct target keys.
+
+    Both reduced sides are combined within each map task before their shuffle.
+    """
+    # Keys stay the grouping columns, so the join reuses this shuffle.
+    others = [c for c in source.columns if c not in keys]
     per_key = (
         source.filter(reduce(Column.__and__, (named(k).isNotNull() for k in keys)))
         .groupBy(*map(named, keys))
-        .agg(
-            F.count(F.lit(1)).alias(_COUNT),
-            F.first(F.struct(*map(named, source.columns))).alias(_ROW),
-        )
-        .select(F.col(f"{_ROW}.*"), F.col(_COUNT))
+        .agg(F.count(F.lit(1)).alias(_COUNT), F.first(_packed(others)).alias(_ROW))
+        .select(*map(named, keys), *_unpacked(others), _COUNT)
     )
     same_key = reduce(
         Column.__and__, (_side("target", k) == _side("source", k) for k in keys)
@@ -116,14 +147,14 @@ def upsert(
     count = F.col(f"source.{_COUNT}")
     kept = (
         target.alias("target")
-        .join(per_key.alias("source"), same_key, "left")
+        .join(small(per_key).alias("source"), same_key, "left")
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
     target_keys = target.select(*map(named, keys)).distinct()
     new = (
         source.alias("source")
-        .join(target_keys.alias("target"), same_key, "left_anti")
+        .join(small(target_keys).alias("target"), same_key, "left_anti")
         .select(*_inserted(target, values))
     )
     return kept.unionByName(new)
@@ -138,6 +169,7 @@ def upsert_where(
     target_id: Sequence[str],
     set: Assignments,
     insert: Assignments,
+    hot: HotKeys | None = HotKeys(),
 ) -> DataFrame:
     """Upsert where rows match on equal columns *and* on a further condition.
 
@@ -146,8 +178,10 @@ def upsert_where(
     target row. At least one equality is required: without it every row would have to be
     compared with every other. To match on a range alone, derive a bucket column on both sides.
 
-    Matching pairs come from one inner join, which adaptive execution can split on both sides.
-    They are then reduced to one row per target row and per source row before the other joins.
+    Matching pairs come from one inner join of two plain shuffles, which adaptive execution
+    splits at hot keys on either side. They are then reduced to one row per target row and per
+    distinct source row before the other joins. Source rows with very many copies are hot values
+    there, see ``HotKeys``.
     """
     pairs_on, ids = list(on), list(target_id)
     if not pairs_on:
@@ -161,39 +195,49 @@ def upsert_where(
     values = _assignments(insert, target, "insert")
 
     equal = [_side("target", t) == _side("source", s) for t, s in pairs_on]
+    columns = source.columns
     matches = (
         target.alias("target")
         .join(source.alias("source"), reduce(Column.__and__, equal) & condition, "inner")
         .select(
-            F.struct(*(_side("target", c).alias(c) for c in ids)).alias("id"),
-            F.struct(*(_side("source", c).alias(c) for c in source.columns)).alias(_ROW),
+            F.struct(*(_side("target", c).alias(c) for c in ids)).alias(_ID),
+            F.struct(*(_side("source", c).alias(c) for c in columns)).alias(_ROW),
         )
     )
-    hits = (
-        matches.groupBy("id")
-        .agg(F.count(F.lit(1)).alias(_COUNT), F.first(_ROW).alias(_ROW))
-        .select(*(F.col("id")[c].alias(f"__id_{c}") for c in ids), F.col(f"{_ROW}.*"), _COUNT)
-    )
-    same_id = reduce(
-        Column.__and__,
-        (_side("target", c).eqNullSafe(_side("source", f"__id_{c}")) for c in ids),
-    )
+    # Where this has one row per match, it is all matches; otherwise the query fails. Both uses
+    # below need all of its columns, so Spark runs the join above once.
+    hits = matches.groupBy(_ID).agg(F.count(F.lit(1)).alias(_COUNT), F.first(_ROW).alias(_ROW))
     count = F.col(f"source.{_COUNT}")
     kept = (
-        target.alias("target")
-        .join(hits.alias("source"), same_id, "left")
+        target.withColumn(_ID, F.struct(*map(named, ids)))
+        .alias("target")
+        .join(
+            hits.select(_ID, _COUNT, *_unpacked(columns)).alias("source"),
+            F.col(f"target.{_ID}") == F.col(f"source.{_ID}"),
+            "left",
+        )
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
     # Equal source rows match the same target rows, so a source row is known by its content.
-    matched = matches.select(f"{_ROW}.*").distinct()
+    matched = hits.filter(F.col(_COUNT) > 0).select(*_unpacked(columns)).distinct()
     same_row = reduce(
         Column.__and__,
-        (_side("source", c).eqNullSafe(_side("matched", c)) for c in source.columns),
+        (_side("source", c).eqNullSafe(_side("matched", c)) for c in columns),
     )
-    new = (
-        source.alias("source")
-        .join(matched.alias("matched"), same_row, "left_anti")
-        .select(*_inserted(target, values))
+
+    def unmatched(rows: DataFrame, hits: DataFrame) -> DataFrame:
+        return (
+            rows.alias("source")
+            .join(hits.alias("matched"), same_row, "left_anti")
+            .select(*_inserted(target, values))
+        )
+
+    copies = hot_values([source], columns, hot)
+    if copies is None:
+        return kept.unionByName(unmatched(source, matched))
+    cold = unmatched(without_hot(source, columns, copies), matched)
+    warm = unmatched(
+        only_hot(source, columns, copies), F.broadcast(only_hot(matched, columns, copies))
     )
-    return kept.unionByName(new)
+    return kept.unionByName(cold).unionByName(warm)

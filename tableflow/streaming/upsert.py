@@ -89,7 +89,8 @@ def upsert_batch(
         if not touched:
             return
         target = current_table(spark, root, batch.schema, before=batch_id, buckets=touched)
-        merged = upsert(target, source, on=keys, set=set, insert=insert)
+        # One row per key on both sides, so there are no hot keys.
+        merged = upsert(target, source, on=keys, set=set, insert=insert, hot=None)
         (
             merged.withColumn(_BUCKET, bucket)
             .hint("rebalance", F.col(_BUCKET))

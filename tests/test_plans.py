@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableflow import (
+    HotKeys,
     Split,
     bars,
     bollinger_latest,
@@ -16,6 +17,7 @@ from tableflow import (
     upsert,
     upsert_where,
 )
+from tableflow.operators.skew import hot_values
 from tableflow.plans.jobs import curate_plan, market_plan
 
 
@@ -114,28 +116,57 @@ def test_no_nested_loops_in_upserts(ticks):
         assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
 
 
-def test_hot_key_of_an_upsert_is_split(spark, ticks):
-    """A target key with a third of the rows is read by several join tasks."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-        "spark.sql.shuffle.partitions": "8",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        source = ticks.groupBy("symbol").agg(F.max("close").alias("close"))
-        merged = upsert(
-            ticks, source, on=["symbol"], set={"close": "close"}, insert={"symbol": "symbol"}
-        )
-        assert merged.count() == 20_000
-        merged.write.format("noop").mode("overwrite").save()
-        merged.collect()
-        assert "skew=true" in plan(merged)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Sizes at which the small tables here count as skewed."""
+    before = {k: spark.conf.get(k, None) for k in NO_BROADCAST}
+    for k, v in NO_BROADCAST.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return plan(df)
+
+
+def test_hot_key_of_an_upsert_is_not_shuffled(ticks, small_partitions):
+    source = ticks.groupBy("symbol").agg(F.max("close").alias("close"))
+    rule = HotKeys(min_rows=5_000, sample_fraction=0.5)
+    hot = hot_values([ticks, source], ["symbol"], rule)
+    assert [r.symbol for r in hot.collect()] == ["HOT"]
+    merged = upsert(
+        ticks, source, on=["symbol"], set={"close": "close"}, insert={"symbol": "symbol"}, hot=rule
+    )
+    # Eight splits by the list of hot keys, and one broadcast per reduced side.
+    assert count(merged, "BroadcastHashJoin") == 8 + 2
+    assert count(merged, "SortMergeJoin") == 2
+    assert merged.count() == 20_000
+
+
+def test_hot_key_of_a_condition_upsert_is_split(ticks, small_partitions):
+    """A target key with a third of the rows is read by several tasks of the inner join."""
+    source = ticks.filter("n < 200").select("symbol", "close", F.col("n").alias("seq"))
+    matched = upsert_where(
+        ticks,
+        source,
+        on=[("symbol", "symbol")],
+        condition=(F.col("target.n") >= F.col("source.seq") * 2)
+        & (F.col("target.n") < F.col("source.seq") * 2 + 1),
+        target_id=["n"],
+        set={"close": "close"},
+        insert={"symbol": "symbol"},
+    )
+    assert "skew=true" in final_plan(matched)

@@ -79,7 +79,7 @@ def test_history_reaches_over_sparse_segments(spark):
     split = Split(rows_per_segment=50, sample_per_segment=1_000)
     hot = segments._long_series(df, ["symbol"], split)
     cut = segments._with_segment(df, ["symbol"], ORDER, hot, split)
-    earlier = segments._history_rows(cut, ["symbol"], ORDER, 33)
+    earlier = segments._history_rows(cut, ["symbol"], ORDER, 33, ["close"])
     counts = earlier.groupBy("symbol", segments.SEGMENT).count().collect()
     assert max(r["count"] for r in counts) == 33
     # GAPS has few rows per segment, so its history comes from several of them.
@@ -101,6 +101,18 @@ def test_since_equals_filtering_the_whole_table(spark, split):
     assert as_set(indicators(df, tiebreak=["n"], split=split, since=start)) == as_set(whole)
 
 
+def test_other_columns_are_kept(spark):
+    df = skewed(spark).withColumns({"a.b": F.col("n") * 2, "x": F.struct("n", "close")})
+    plain = indicators(df, tiebreak=["n"], split=PLAIN)
+    cut = indicators(df, tiebreak=["n"], split=Split(rows_per_segment=40))
+    assert cut.columns == plain.columns
+    assert as_set_quoted(cut) == as_set_quoted(plain)
+
+
+def as_set_quoted(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
 def test_since_keeps_rows_without_time_as_history(spark):
     df = skewed(spark)
     whole = indicators(df, tiebreak=["n"]).filter("event_time >= '2026-01-01 00:05:00'")

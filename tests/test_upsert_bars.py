@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableflow import (
     ContractError,
+    HotKeys,
     bars,
     copy_columns,
     newest_wins,
@@ -126,6 +127,45 @@ def test_newest_wins(spark):
     assert rows(out) == [(1, 5, "t"), (2, 6, "s"), (3, 5, "s")]
 
 
+ALL_HOT = HotKeys(min_rows=2, sample_fraction=1.0)
+ONE_HOT = HotKeys(min_rows=2, sample_fraction=1.0, max_keys=1)
+
+
+@pytest.mark.parametrize("hot", [None, HotKeys(), ALL_HOT, ONE_HOT])
+def test_hot_keys_do_not_change_the_result(spark, hot):
+    target = spark.createDataFrame(
+        [(1, float(i), "a") for i in range(50)]
+        + [(None, float(i), "n") for i in range(30)]
+        + [(i, 0.0, "b") for i in range(2, 9)],
+        TARGET,
+    )
+    source = spark.createDataFrame(
+        [(1, -1.0), (5, -5.0), (6, -6.0)]
+        + [(None, -9.0)] * 20
+        + [(77, float(i)) for i in range(40)]
+        + [(78, 1.0)],
+        SOURCE,
+    )
+    out = upsert(target, source, on=["id"], set=SET, insert=INSERT, hot=hot)
+    expected = (
+        [(1, -1.0, "a")] * 50
+        + [(None, float(i), "n") for i in range(30)]
+        + [(i, {5: -5.0, 6: -6.0}.get(i, 0.0), "b") for i in range(2, 9)]
+        + [(None, -9.0, None)] * 20
+        + [(77, float(i), None) for i in range(40)]
+        + [(78, 1.0, None)]
+    )
+    assert rows(out) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("hot", [None, ALL_HOT, ONE_HOT])
+def test_two_hits_fail_for_hot_keys_too(spark, hot):
+    target = spark.createDataFrame([(1, 0.0, "a")] * 5 + [(2, 0.0, "b")], TARGET)
+    source = spark.createDataFrame([(1, 1.0), (1, 2.0)], SOURCE)
+    with pytest.raises(PySparkException, match="Several source rows"):
+        upsert(target, source, on=["id"], set=SET, insert=INSERT, hot=hot).count()
+
+
 def where(target, source, condition, **more):
     return upsert_where(
         target,
@@ -166,6 +206,35 @@ def test_condition_upsert_allows_disjoint_ranges_of_one_key(spark):
     assert rows(out) == [(1, 7, -1.0), (2, 7, -2.0), (None, 7, -3.0), (None, None, -4.0)]
 
 
+@pytest.mark.parametrize("hot", [None, ALL_HOT, ONE_HOT])
+def test_condition_upsert_with_many_copies(spark, hot):
+    target = spark.createDataFrame([(i, i % 2, float(i)) for i in range(40)], "id int, k int, v double")
+    copies = [(1, 1000.0)] + [(9, 1.0)] * 30 + [(None, None)] * 20 + [(0, -1.0)] * 10
+    source = spark.createDataFrame(copies, "key int, v double")
+    out = where(target, source, F.col("target.v") < F.col("source.v"), hot=hot)
+    expected = [(i, i % 2, 1000.0 if i % 2 else float(i)) for i in range(40)]
+    expected += [(None, k, v) for k, v in copies[1:]]
+    assert rows(out) == sorted(expected, key=repr)
+
+
+def test_condition_upsert_with_a_null_id(spark):
+    target = spark.createDataFrame(
+        [(None, 7, 1.0), (2, 7, 1.0), (3, None, 1.0)], "id int, k int, v double"
+    )
+    source = spark.createDataFrame([(7, 5.0), (8, 6.0)], "key int, v double")
+    out = where(target, source, F.col("target.v") < F.col("source.v"))
+    assert rows(out) == sorted(
+        [(None, 7, 5.0), (2, 7, 5.0), (3, None, 1.0), (None, 8, 6.0)], key=repr
+    )
+
+
+def test_upsert_on_all_source_columns(spark):
+    target = spark.createDataFrame([(1, 1.0, "a")], TARGET)
+    source = spark.createDataFrame([(1,), (2,)], "id bigint")
+    out = upsert(target, source, on=["id"], set={"note": F.lit("seen")}, insert={"id": "id"})
+    assert rows(out) == [(1, 1.0, "seen"), (2, None, None)]
+
+
 def test_condition_upsert_fails_on_two_hits(spark):
     target = spark.createDataFrame([(1, 7, 10.0)], "id int, k int, v double")
     source = spark.createDataFrame([(7, 1.0), (7, 2.0)], "key int, v double")
