@@ -23,6 +23,7 @@ from tableflow.operators.clean import (
 )
 from tableflow.operators.contracts import (
     ContractError,
+    has_columns,
     null_nan_profile,
     quality_report,
     require_clean,
@@ -68,6 +69,7 @@ __all__ = [
     "current_table",
     "default_if_blank",
     "epoch_millis",
+    "has_columns",
     "indicators",
     "ingest_stamp",
     "is_valid_price",

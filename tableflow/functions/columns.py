@@ -118,11 +118,15 @@ def strict_date(value: str | Column, on_bad: str = "null") -> Column:
 def iso_instant(millis: str | Column) -> Column:
     """Epoch milliseconds to ISO text in UTC, leaving out seconds and fraction when zero.
 
-    Integer arithmetic only, so the session time zone has no influence.
+    Integer arithmetic only, so the session time zone has no influence. Null where the number of
+    days is beyond the DATE type.
     """
     ms = as_column(millis).cast("bigint")
-    of_day = F.pmod(ms, F.lit(MILLIS_PER_DAY))
-    days = F.floor((ms - of_day) / F.lit(MILLIS_PER_DAY)).cast("int")
+    rest = ms % MILLIS_PER_DAY
+    before_epoch = rest < 0
+    of_day = F.when(before_epoch, rest + MILLIS_PER_DAY).otherwise(rest)
+    whole_days = F.round((ms - rest) / MILLIS_PER_DAY).cast("bigint")
+    days = F.when(before_epoch, whole_days - 1).otherwise(whole_days).try_cast("int")
 
     def digits(part: Column, width: int) -> Column:
         return F.lpad(F.floor(part).cast("string"), width, "0")

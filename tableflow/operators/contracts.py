@@ -24,6 +24,10 @@ def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c not in present]
 
 
+def has_columns(df: DataFrame, columns: Sequence[str]) -> bool:
+    return not missing_columns(df, columns)
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = missing_columns(df, columns)
     if missing:

@@ -10,7 +10,8 @@ How it works:
 1. ``groupBy(key).count()`` finds the long series. If there is none, the plain window is used.
 2. A small sample of the long series gives cut points in window order (time, then tiebreak), so
    segments hold about the same number of rows even where many rows share one time. Cut points
-   only say where segments begin; every row is kept and results do not depend on them.
+   only say where segments begin; every row is kept and results do not depend on them. Where
+   very many rows share time and tiebreak too, they are numbered in a written table first.
 3. Each row of a long series finds its segment by binary search in the cut points, a constant
    in the plan, so main rows and history rows always agree on the segments.
 4. The last ``history`` rows of each segment are copied to the segments that start within the
@@ -30,15 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
+from tableflow.sources.scratch import scratch_dir
 
 SEGMENT = "__segment"
 HISTORY = "__history"
 _HOT = "__hot"
 _RANK = "__rank"
+_ROW = "__row"
 _TARGETS = "__targets"
 
 # Micro-second formats, so that cut points survive the trip through JSON unchanged.
-_JSON_TIME = {
+_JSON = {
+    "mode": "FAILFAST",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
@@ -85,20 +89,27 @@ def trailing(
     """Run ``compute(df, window)`` so that a long series is spread over many tasks.
 
     ``compute`` adds columns from window functions that look back at most ``history`` rows and
-    never forward, over the columns ``inputs``. ``order`` must decide every pair of rows of a series. ``df`` is read more
-    than once when there are long series, so pass a table rather than a costly derivation.
+    never forward, over the columns ``inputs``. ``order`` should decide every pair of rows of a
+    series. ``df`` is read more than once when there are long series, so pass a table rather than
+    a costly derivation.
     """
     split = split or Split()
     hot = _long_series(df, keys, split)
     if not hot:
         return compute(df, series_window(keys, order))
 
-    segmented = _with_segment(df, keys, order, hot, split)
+    marked = _hot_flag(df, keys, hot)
+    cuts = _cut_points(marked, order, hot, split)
+    if cuts.tied:
+        order = [*order, _ROW]
+        marked = _hot_flag(_numbered(df), keys, hot)
+        cuts = _cut_points(marked, order, hot, split)
+    segmented = _with_segment(marked, order, cuts)
     rows = segmented.drop(_HOT).withColumn(HISTORY, F.lit(False))
     earlier = _history_rows(segmented, keys, order, history, inputs)
     both = rows.unionByName(earlier, allowMissingColumns=True)
     result = compute(both, series_window([*keys, SEGMENT], order))
-    return result.filter(~named(HISTORY)).drop(SEGMENT, HISTORY)
+    return result.filter(~named(HISTORY)).drop(SEGMENT, HISTORY, _ROW)
 
 
 def _long_series(df: DataFrame, keys: Sequence[str], split: Split) -> list[Row]:
@@ -124,31 +135,53 @@ def _hot_flag(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
     )
 
 
-def _with_segment(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list[Row], split: Split
-) -> DataFrame:
-    marked = _hot_flag(df, keys, hot)
-    position = F.struct(*map(named, order))
+@dataclass(frozen=True)
+class _Cuts:
+    """Ascending cut points as JSON, their number, and whether one position spans a segment."""
+
+    text: str
+    count: int
+    tied: bool
+
+
+def _cut_points(marked: DataFrame, order: Sequence[str], hot: list[Row], split: Split) -> _Cuts:
     hot_rows = sum(r[-1] for r in hot)
-    segments = min(-(-hot_rows // split.rows_per_segment), split.max_segments)
+    segments = max(2, min(-(-hot_rows // split.rows_per_segment), split.max_segments))
     sample_rows = split.sample_per_segment * segments
+    sampled = marked.filter(named(_HOT)).sample(min(1.0, sample_rows / hot_rows), seed=7)
 
     # Bounded: about sample_per_segment * max_segments positions, whatever the table's size.
-    ordered = F.sort_array(F.collect_list(position))
+    positions = F.sort_array(F.collect_list(F.struct(*map(named, order))))
     every = F.transform(
-        F.sequence(F.lit(1), F.lit(max(segments - 1, 1))),
+        F.sequence(F.lit(1), F.lit(segments - 1)),
         lambda i: F.get(F.col("p"), (i * F.size("p") / F.lit(segments)).cast("int")),
     )
-    sampled = marked.filter(named(_HOT)).sample(min(1.0, sample_rows / hot_rows), seed=7)
-    cuts = sampled.agg(ordered.alias("p")).select(
-        F.array_distinct(F.filter(every, lambda p: p.isNotNull())).alias("cuts")
+    found = (
+        sampled.agg(positions.alias("p"))
+        .select(F.filter(every, lambda p: p.isNotNull()).alias("every"))
+        .select(F.size("every").alias("all"), F.array_distinct("every").alias("cuts"))
+        .select("all", F.size("cuts").alias("n"), F.to_json("cuts", _JSON).alias("text"))
+        .first()
     )
-    found = cuts.select(F.size("cuts").alias("n"), F.to_json("cuts", _JSON_TIME).alias("text"))
-    picked = found.first()
+    return _Cuts(found.text, found.n, found.n < found["all"])
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number each, as a written table.
 
-    cut_type = cuts.schema["cuts"].dataType.simpleString()
-    constant = F.from_json(F.lit(picked.text), cut_type, _JSON_TIME)
-    segment = F.when(named(_HOT), _count_not_above(constant, picked.n, position))
+    Needed where very many rows share one position and no column tells them apart: any order
+    among them is as good as another, but every reading of the rows must see the same one.
+    """
+    path = scratch_dir(df.sparkSession, "numbered")
+    df.withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _with_segment(marked: DataFrame, order: Sequence[str], cuts: _Cuts) -> DataFrame:
+    position = F.struct(*map(named, order))
+    cut_type = "array<" + marked.select(position.alias("p")).schema["p"].dataType.simpleString() + ">"
+    constant = F.sort_array(F.from_json(F.lit(cuts.text), cut_type, _JSON))
+    segment = F.when(named(_HOT), _count_not_above(constant, cuts.count, position))
     return marked.withColumn(SEGMENT, F.coalesce(segment, F.lit(0)))
 
 

@@ -92,9 +92,10 @@ def write_and_reconcile(
 ) -> tuple[DataFrame, int]:
     """Write a partitioned table and compare it with what was sent.
 
-    Returns (report, rows sent). The report has one line per partition value,
-    ``(partition_by, rows_sent, rows_read, ok)``; rows are counted as they pass to the
-    writer, without a second scan of the input. Reading back needs only file footers.
+    Returns (report, rows sent). Rows sent are counted as they pass to the writer; after the loss
+    of an executor they can count repeated work twice. The report is exact and runs only when
+    used: one line per partition value, ``(partition_by, rows_sent, rows_read, ok)``, from one
+    column of the input and the file footers of the output.
     """
     sent = Observation()
     write_partitioned(df.observe(sent, F.count(F.lit(1)).alias("rows")), path, partition_by)

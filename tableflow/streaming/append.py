@@ -39,6 +39,6 @@ def run_bounded(query: StreamingQuery, seconds: float) -> bool:
     not committed is repeated on the next start with the same checkpoint.
     """
     try:
-        return bool(query.awaitTermination(int(seconds)))
+        return bool(query.awaitTermination(seconds))
     finally:
         query.stop()

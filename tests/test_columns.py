@@ -125,7 +125,7 @@ def test_strict_date(spark):
 
 
 def test_iso_instant(spark):
-    values = [0, 1000, 1767225600123, -1, 60_000, 59_120, 253402300799999, None, -86_400_000]
+    values = [0, 1000, 1767225600123, -1, 60_000, 59_120, 253402300799999, None, -86_400_000, 2**63 - 1, -(2**63)]
     assert apply(spark, values, "bigint", iso_instant) == [
         "1970-01-01T00:00Z",
         "1970-01-01T00:00:01Z",
@@ -136,6 +136,8 @@ def test_iso_instant(spark):
         "9999-12-31T23:59:59.999Z",
         None,
         "1969-12-31T00:00Z",
+        None,
+        None,
     ]
 
 

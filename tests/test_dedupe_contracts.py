@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tableflow import (
     ContractError,
     clean_distinct,
+    has_columns,
     latest_per_key,
     null_nan_profile,
     quality_report,
@@ -82,6 +83,7 @@ def test_clean_distinct_refuses_maps(spark):
 def test_required_columns(spark):
     df = spark.createDataFrame([("1",)], "id string")
     assert require_columns(df, ["id"]) is df
+    assert has_columns(df, ["id"]) and has_columns(df, []) and not has_columns(df, ["ID"])
     with pytest.raises(ContractError, match=r"\['value', 'ID'\]"):
         require_columns(df, ["id", "value", "ID"])
 

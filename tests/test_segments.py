@@ -57,6 +57,33 @@ def test_equal_to_plain(spark, name, rows_per_segment):
     assert cut == plain
 
 
+@pytest.mark.parametrize("name", ["indicators", "price_delta"])
+def test_copies_without_any_tiebreak_are_split(spark, name):
+    """Half of all rows are equal in every column."""
+    rows = [("A", START + timedelta(seconds=i), float(i % 13)) for i in range(200)]
+    rows += [("A", START + timedelta(seconds=90, milliseconds=5), 7.5)] * 400
+    rows += [("B", START + timedelta(seconds=i), float(i % 5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "symbol string, event_time timestamp_ntz, close double")
+    df = df.repartition(4)
+    call = {"indicators": indicators, "price_delta": price_delta}[name]
+    split = Split(rows_per_segment=40, sample_per_segment=1_000)
+    cut = call(df, tiebreak=[], split=split)
+    plain = call(df, tiebreak=[], split=PLAIN)
+    assert cut.columns == plain.columns
+    assert as_set(cut) == as_set(plain)
+    text = cut._jdf.queryExecution().toString()
+    assert segments._ROW in text
+
+    hot = segments._long_series(df, ["symbol"], split)
+    marked = segments._hot_flag(segments._numbered(df), ["symbol"], hot)
+    order = ["event_time", segments._ROW]
+    parts = segments._with_segment(
+        marked, order, segments._cut_points(marked, order, hot, split)
+    )
+    sizes = parts.groupBy("symbol", segments.SEGMENT).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 45
+
+
 def test_list_of_long_series_may_be_shorter_than_their_number(spark):
     df = skewed(spark)
     few = Split(rows_per_segment=20, max_hot_keys=2, max_segments=7)
@@ -68,7 +95,10 @@ def test_segments_are_balanced_even_at_one_instant(spark):
     split = Split(rows_per_segment=50, sample_per_segment=1_000)
     hot = segments._long_series(df, ["symbol"], split)
     assert {r.symbol for r in hot} == {"HOT", "INSTANT", "GAPS", "NULLTIME", None}
-    cut = segments._with_segment(df, ["symbol"], ORDER, hot, split)
+    marked = segments._hot_flag(df, ["symbol"], hot)
+    cuts = segments._cut_points(marked, ORDER, hot, split)
+    assert not cuts.tied
+    cut = segments._with_segment(marked, ORDER, cuts)
     sizes = cut.groupBy("symbol", segments.SEGMENT).count()
     assert sizes.agg(F.max("count")).first()[0] <= 55
     assert sizes.filter("symbol = 'INSTANT'").count() >= 8
@@ -78,7 +108,10 @@ def test_history_reaches_over_sparse_segments(spark):
     df = skewed(spark)
     split = Split(rows_per_segment=50, sample_per_segment=1_000)
     hot = segments._long_series(df, ["symbol"], split)
-    cut = segments._with_segment(df, ["symbol"], ORDER, hot, split)
+    marked = segments._hot_flag(df, ["symbol"], hot)
+    cuts = segments._cut_points(marked, ORDER, hot, split)
+    assert not cuts.tied
+    cut = segments._with_segment(marked, ORDER, cuts)
     earlier = segments._history_rows(cut, ["symbol"], ORDER, 33, ["close"])
     counts = earlier.groupBy("symbol", segments.SEGMENT).count().collect()
     assert max(r["count"] for r in counts) == 33
@@ -133,16 +166,38 @@ def test_order_by_other_types(spark):
         "symbol",
         F.col("event_time").cast("timestamp").alias("event_time"),
         F.concat(F.lit('q"\\'), F.col("n").cast("string")).alias("t"),
-        (F.col("n") / 7).alias("x"),
+        F.when(F.col("n") % 5 == 0, float("nan"))
+        .when(F.col("n") % 7 == 0, float("inf"))
+        .otherwise(F.col("n") / 7)
+        .alias("x"),
+        (F.col("n") / 3).cast("decimal(20,5)").alias("m"),
+        (F.col("n") % 2 == 0).alias("b"),
+        F.col("n").cast("string").cast("binary").alias("y"),
         F.to_date("event_time").alias("d"),
         "close",
     )
-    for tiebreak in (["t"], ["x"], ["d", "x", "t"]):
+    for tiebreak in (["t"], ["x", "m"], ["b", "y"], ["d", "x", "t"]):
         plain = moving_average(df, 10, tiebreak=tiebreak, split=PLAIN)
         cut = moving_average(df, 10, tiebreak=tiebreak, split=Split(rows_per_segment=30))
         assert as_set(cut) == as_set(plain)
 
 
+def test_zoned_times_across_a_clock_change(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.range(600).select(
+            F.lit("A").alias("symbol"),
+            F.timestamp_seconds(F.lit(1793505600) + F.col("id") * 30).alias("event_time"),
+            (F.col("id") * 7 % 31).cast("double").alias("close"),
+        )
+        plain = moving_average(df, 10, tiebreak=[], split=PLAIN)
+        cut = moving_average(df, 10, tiebreak=[], split=Split(rows_per_segment=30))
+        assert as_set(cut) == as_set(plain)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_bad_split():
     with pytest.raises(ValueError, match="rows_per_segment"):
         Split(rows_per_segment=0)
