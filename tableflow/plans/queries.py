@@ -305,6 +305,7 @@ def upsert_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_type": F.lit("inserted"),
             "value": "o_totalprice",
         },
+        hot=None,  # one order per customer
     )
 
 
