@@ -90,9 +90,10 @@ def indicators(
     """
     keys, order = _keys(key), [time, *tiebreak]
     start = F.lit(since).cast("timestamp") if isinstance(since, str) else since
-    source = df
+    source, recent = df, None
     if start is not None:
         source = rows_since(df, keys, order, start, INDICATOR_HISTORY, [price])
+        recent = df.filter(named(time) >= start)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         # Two levels of window functions with one partitioning and order: one shuffle, one sort.
@@ -121,7 +122,7 @@ def indicators(
             }
         ).drop(_DIFF, _GAIN, _LOSS)
 
-    result = trailing(source, keys, order, INDICATOR_HISTORY, [price], compute, split)
+    result = trailing(source, keys, order, INDICATOR_HISTORY, [price], compute, split, recent)
     if start is not None:
         result = result.filter(named(time) >= start)
     added = ["moving_avg_14", "rsi_14", "ema_fast_12", "ema_slow_26", "macd", "macd_signal_9"]

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
@@ -85,26 +86,27 @@ def trailing(
     inputs: Sequence[str],
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     split: Split | None = None,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``compute(df, window)`` so that a long series is spread over many tasks.
 
     ``compute`` adds columns from window functions that look back at most ``history`` rows and
     never forward, over the columns ``inputs``. ``order`` should decide every pair of rows of a
     series. ``df`` is read more than once when there are long series, so pass a table rather than
-    a costly derivation.
+    a costly derivation. ``measure`` may name other rows, with the same columns, that tell which
+    series are long and where they are cut.
     """
     split = split or Split()
-    hot = _long_series(df, keys, split)
+    measure = df if measure is None else measure
+    hot = _long_series(measure, keys, split)
     if not hot:
         return compute(df, series_window(keys, order))
 
-    marked = _hot_flag(df, keys, hot)
-    cuts = _cut_points(marked, order, hot, split)
+    cuts = _cut_points(_hot_flag(measure, keys, hot), keys, order, hot, split)
     if cuts.tied:
-        order = [*order, _ROW]
-        marked = _hot_flag(_numbered(df), keys, hot)
-        cuts = _cut_points(marked, order, hot, split)
-    segmented = _with_segment(marked, order, cuts)
+        order, df = [*order, _ROW], _numbered(df)
+        cuts = _cut_points(_hot_flag(df, keys, hot), keys, order, hot, split)
+    segmented = _with_segment(_hot_flag(df, keys, hot), keys, order, cuts)
     rows = segmented.drop(_HOT).withColumn(HISTORY, F.lit(False))
     earlier = _history_rows(segmented, keys, order, history, inputs)
     both = rows.unionByName(earlier, allowMissingColumns=True)
@@ -144,17 +146,24 @@ class _Cuts:
     tied: bool
 
 
-def _cut_points(marked: DataFrame, order: Sequence[str], hot: list[Row], split: Split) -> _Cuts:
+def _position(keys: Sequence[str], order: Sequence[str]) -> Column:
+    """Ascending within a series; the keys set apart series that share a time."""
+    return F.struct(*map(named, dict.fromkeys([*order, *keys])))
+
+
+def _cut_points(
+    marked: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list[Row], split: Split
+) -> _Cuts:
     hot_rows = sum(r[-1] for r in hot)
     segments = max(2, min(-(-hot_rows // split.rows_per_segment), split.max_segments))
     sample_rows = split.sample_per_segment * segments
     sampled = marked.filter(named(_HOT)).sample(min(1.0, sample_rows / hot_rows), seed=7)
 
     # Bounded: about sample_per_segment * max_segments positions, whatever the table's size.
-    positions = F.sort_array(F.collect_list(F.struct(*map(named, order))))
+    positions = F.sort_array(F.collect_list(_position(keys, order)))
     every = F.transform(
         F.sequence(F.lit(1), F.lit(segments - 1)),
-        lambda i: F.get(F.col("p"), (i * F.size("p") / F.lit(segments)).cast("int")),
+        lambda i: F.get(F.col("p"), (i.cast("double") * F.size("p") / segments).cast("int")),
     )
     found = (
         sampled.agg(positions.alias("p"))
@@ -177,9 +186,11 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _with_segment(marked: DataFrame, order: Sequence[str], cuts: _Cuts) -> DataFrame:
-    position = F.struct(*map(named, order))
-    cut_type = "array<" + marked.select(position.alias("p")).schema["p"].dataType.simpleString() + ">"
+def _with_segment(
+    marked: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: _Cuts
+) -> DataFrame:
+    position = _position(keys, order)
+    cut_type = T.ArrayType(marked.select(position.alias("p")).schema["p"].dataType)
     constant = F.sort_array(F.from_json(F.lit(cuts.text), cut_type, _JSON))
     segment = F.when(named(_HOT), _count_not_above(constant, cuts.count, position))
     return marked.withColumn(SEGMENT, F.coalesce(segment, F.lit(0)))
@@ -246,8 +257,9 @@ def since(
 ) -> DataFrame:
     """Rows from ``start`` on, plus the last ``history`` rows of each series before it.
 
-    The earlier rows have nulls outside keys, order and ``inputs``. For incremental runs: Catalyst does not push a filter on the order column through a window,
-    so the rows are pruned first. The caller filters on ``start`` again afterwards.
+    The earlier rows have nulls outside keys, order and ``inputs``. For incremental runs:
+    Catalyst does not push a filter on the order column through a window, so the rows are pruned
+    first. The caller filters on ``start`` again afterwards.
     """
     time = named(order[0])
     latest_first = Window.partitionBy(*map(named, keys)).orderBy(

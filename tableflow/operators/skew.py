@@ -27,12 +27,12 @@ _COUNT = "__sampled"
 class HotKeys:
     """Values with about ``min_rows`` rows or more are hot; at most ``max_keys`` are handled.
 
-    ``max_keys`` bounds every broadcast. The most frequent values come first, so one that is left
-    out holds less than 1 / max_keys of the rows.
+    ``max_keys`` bounds the rows of every broadcast. The most frequent values come first, so one
+    that is left out holds less than 1 / max_keys of the rows.
     """
 
     min_rows: int = 1_000_000
-    max_keys: int = 10_000
+    max_keys: int = 1_000
     sample_fraction: float = 0.001
 
 

@@ -21,6 +21,7 @@ Assignments = Mapping[str, "str | Column"]
 _ID = "__id"
 _ROW = "__row"
 _COUNT = "__count"
+_HASH = "__hash"
 
 
 def _side(side: str, column: str) -> Column:
@@ -233,11 +234,14 @@ def upsert_where(
             .select(*_inserted(target, values))
         )
 
-    copies = hot_values([source], columns, hot)
+    # Copies share a content hash, which is short where rows are long.
+    content = {_HASH: F.xxhash64(*map(named, columns))}
+    hashed, hashed_hits = source.withColumns(content), matched.withColumns(content)
+    copies = hot_values([hashed], [_HASH], hot)
     if copies is None:
         return kept.unionByName(unmatched(source, matched))
-    cold = unmatched(without_hot(source, columns, copies), matched)
+    cold = unmatched(without_hot(hashed, [_HASH], copies), matched)
     warm = unmatched(
-        only_hot(source, columns, copies), F.broadcast(only_hot(matched, columns, copies))
+        only_hot(hashed, [_HASH], copies), F.broadcast(only_hot(hashed_hits, [_HASH], copies))
     )
     return kept.unionByName(cold).unionByName(warm)

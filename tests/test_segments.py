@@ -77,13 +77,23 @@ def test_copies_without_any_tiebreak_are_split(spark, name):
     hot = segments._long_series(df, ["symbol"], split)
     marked = segments._hot_flag(segments._numbered(df), ["symbol"], hot)
     order = ["event_time", segments._ROW]
-    parts = segments._with_segment(
-        marked, order, segments._cut_points(marked, order, hot, split)
-    )
+    cuts = segments._cut_points(marked, ["symbol"], order, hot, split)
+    parts = segments._with_segment(marked, ["symbol"], order, cuts)
     sizes = parts.groupBy("symbol", segments.SEGMENT).count()
     assert sizes.agg(F.max("count")).first()[0] <= 45
 
 
+def test_series_that_share_their_times_are_not_ties(spark):
+    df = spark.range(4000).select(
+        F.concat(F.lit("s"), F.col("id") % 40).alias("symbol"),
+        F.timestamp_seconds(F.floor(F.col("id") / 40)).alias("event_time"),
+        (F.col("id") * 31 % 17).cast("double").alias("close"),
+    )
+    cut = indicators(df, tiebreak=[], split=Split(rows_per_segment=20))
+    assert segments._ROW not in cut._jdf.queryExecution().toString()
+    assert as_set(cut) == as_set(indicators(df, tiebreak=[], split=PLAIN))
+
+
 def test_list_of_long_series_may_be_shorter_than_their_number(spark):
     df = skewed(spark)
     few = Split(rows_per_segment=20, max_hot_keys=2, max_segments=7)
@@ -96,9 +106,9 @@ def test_segments_are_balanced_even_at_one_instant(spark):
     hot = segments._long_series(df, ["symbol"], split)
     assert {r.symbol for r in hot} == {"HOT", "INSTANT", "GAPS", "NULLTIME", None}
     marked = segments._hot_flag(df, ["symbol"], hot)
-    cuts = segments._cut_points(marked, ORDER, hot, split)
+    cuts = segments._cut_points(marked, ["symbol"], ORDER, hot, split)
     assert not cuts.tied
-    cut = segments._with_segment(marked, ORDER, cuts)
+    cut = segments._with_segment(marked, ["symbol"], ORDER, cuts)
     sizes = cut.groupBy("symbol", segments.SEGMENT).count()
     assert sizes.agg(F.max("count")).first()[0] <= 55
     assert sizes.filter("symbol = 'INSTANT'").count() >= 8
@@ -109,9 +119,9 @@ def test_history_reaches_over_sparse_segments(spark):
     split = Split(rows_per_segment=50, sample_per_segment=1_000)
     hot = segments._long_series(df, ["symbol"], split)
     marked = segments._hot_flag(df, ["symbol"], hot)
-    cuts = segments._cut_points(marked, ORDER, hot, split)
+    cuts = segments._cut_points(marked, ["symbol"], ORDER, hot, split)
     assert not cuts.tied
-    cut = segments._with_segment(marked, ORDER, cuts)
+    cut = segments._with_segment(marked, ["symbol"], ORDER, cuts)
     earlier = segments._history_rows(cut, ["symbol"], ORDER, 33, ["close"])
     counts = earlier.groupBy("symbol", segments.SEGMENT).count().collect()
     assert max(r["count"] for r in counts) == 33
