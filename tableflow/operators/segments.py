@@ -8,8 +8,8 @@ that run in parallel, provided that each segment first sees the last rows before
 How it works:
 
 1. ``groupBy(key).count()`` finds the long series. If there is none, the plain window is used.
-2. A small sample of the long series gives cut points in window order (time, then tiebreak), so
-   segments hold about the same number of rows even where many rows share one time. Cut points
+2. A small sample of the long series gives cut points in the order (key, time, tiebreak), so
+   segments hold about the same number of rows, even where many rows share one time. Cut points
    only say where segments begin; every row is kept and results do not depend on them. Where
    very many rows share time and tiebreak too, they are numbered in a written table first.
 3. Each row of a long series finds its segment by binary search in the cut points, a constant
@@ -147,8 +147,8 @@ class _Cuts:
 
 
 def _position(keys: Sequence[str], order: Sequence[str]) -> Column:
-    """Ascending within a series; the keys set apart series that share a time."""
-    return F.struct(*map(named, dict.fromkeys([*order, *keys])))
+    """Keys first, so that a series gets cut points in proportion to its rows."""
+    return F.struct(*map(named, _needed(keys, order)))
 
 
 def _cut_points(
@@ -165,10 +165,14 @@ def _cut_points(
         F.sequence(F.lit(1), F.lit(segments - 1)),
         lambda i: F.get(F.col("p"), (i.cast("double") * F.size("p") / segments).cast("int")),
     )
+    changes = F.filter(
+        F.col("every"),
+        lambda p, i: (i == 0) | (p != F.get(F.col("every"), F.greatest(i - 1, F.lit(0)))),
+    )
     found = (
         sampled.agg(positions.alias("p"))
         .select(F.filter(every, lambda p: p.isNotNull()).alias("every"))
-        .select(F.size("every").alias("all"), F.array_distinct("every").alias("cuts"))
+        .select(F.size("every").alias("all"), changes.alias("cuts"))
         .select("all", F.size("cuts").alias("n"), F.to_json("cuts", _JSON).alias("text"))
         .first()
     )
@@ -199,13 +203,18 @@ def _with_segment(
 def _count_not_above(cuts: Column, n: int, position: Column) -> Column:
     """How many of the ``n`` ascending cut points are <= position: a binary search."""
     steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(n.bit_length(), 1)))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(
-            (low + step <= n) & (F.get(cuts, low + step - 1) <= position), low + step
-        ).otherwise(low),
-    )
+
+    def search(p: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda low, step: F.when(
+                (low + step <= n) & (F.get(cuts, low + step - 1) <= p), low + step
+            ).otherwise(low),
+        )
+
+    # The one-element array makes Spark build the position once per row, not once per step.
+    return F.get(F.transform(F.array(position), search), F.lit(0))
 
 
 def _history_rows(
