@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
+from tableflow.operators.dedupe import latest_per_key
 from tableflow.operators.segments import Split, since as rows_since, trailing
 
 # --- Fixed values: periods of the indicator table ------------------------------------------
@@ -32,6 +33,8 @@ SIGNAL_ROWS = 9
 #: mean another 25.
 INDICATOR_HISTORY = (SIGNAL_ROWS - 1) + (SLOW_ROWS - 1)
 
+_RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 _DIFF = "__diff"
 _GAIN = "__gain"
 _LOSS = "__loss"
@@ -261,14 +264,22 @@ def bollinger_latest(
     key: str | Sequence[str] = "symbol",
     time: str = "event_time",
     price: str = "close",
+    split: Split | None = None,
 ) -> DataFrame:
     """One row per series: its last time and the bands over its last ``period`` rows.
 
     No frame is evaluated per row: the last ``period`` rows of each series are picked by rank,
-    which Spark limits before the shuffle, and then aggregated.
+    which Spark limits before the shuffle, and then aggregated. Spark does not limit ranks above
+    its ``windowGroupLimitThreshold``; from there on the bands come from ``bollinger``.
     """
     _check_period(period)
     keys = _keys(key)
+    if period > int(df.sparkSession.conf.get(_RANK_LIMIT, "1000")):
+        every = bollinger(
+            df, period, k, tiebreak=tiebreak, key=keys, time=time, price=price, split=split
+        )
+        last = latest_per_key(every, keys, time, tiebreak)
+        return last.select(*map(named, [*keys, time, "bb_lower", "bb_mid", "bb_upper"]))
     latest_first = Window.partitionBy(*map(named, keys)).orderBy(
         *(named(c).desc_nulls_last() for c in [time, *tiebreak])
     )

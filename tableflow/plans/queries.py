@@ -16,7 +16,7 @@ from tableflow.operators import bars as bar_ops
 from tableflow.operators import clean, contracts, dedupe, indicators, upsert
 from tableflow.operators.segments import Split
 from tableflow.plans import jobs
-from tableflow.sources import readers, sinks
+from tableflow.sources import readers
 from tableflow.sources.scratch import scratch_dir
 from tableflow.streaming import append, bars as bar_stream, project, upsert as upsert_stream
 

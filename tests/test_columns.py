@@ -30,7 +30,8 @@ def apply(spark, values, kind, rule):
 
 
 def test_normalize_symbol(spark):
-    values = [None, "", "  ", "\t", "\u2003", " btc ", "\x01eth\n", "a b", "\u00a0x", "stra\u00dfe"]
+    values = [None, "", "  ", "\t", "\u2003"]
+    values += [" btc ", "\x01eth\n", "a b", "\u00a0x", "stra\u00dfe"]
     assert apply(spark, values, "string", normalize_symbol) == [
         "UNKNOWN",
         "UNKNOWN",
@@ -117,7 +118,8 @@ def test_epoch_millis_can_raise(spark):
 
 
 def test_strict_date(spark):
-    values = ["2026-02-28", "2026-02-30", "2026-2-3", "2024-02-29", "20260101", "", None, "2026-01-01 "]
+    values = ["2026-02-28", "2026-02-30", "2026-2-3", "2024-02-29"]
+    values += ["20260101", "", None, "2026-01-01 "]
     expected = ["2026-02-28", None, None, "2024-02-29", None, None, None, None]
     assert apply(spark, values, "string", strict_date) == expected
     with pytest.raises(PySparkException, match="Invalid date"):

@@ -90,7 +90,8 @@ def test_required_columns(spark):
 
 def test_exact_schema(spark):
     df = spark.createDataFrame([("1", 10.0)], "id string, value double")
-    require_schema(df, T.StructType([T.StructField("id", T.StringType()), T.StructField("value", T.DoubleType())]))
+    same = [T.StructField("id", T.StringType()), T.StructField("value", T.DoubleType())]
+    require_schema(df, T.StructType(same))
     for other in (
         [T.StructField("value", T.DoubleType()), T.StructField("id", T.StringType())],
         [T.StructField("id", T.StringType(), False), T.StructField("value", T.DoubleType())],

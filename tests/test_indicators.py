@@ -180,6 +180,22 @@ def test_bollinger_latest_is_the_last_row(spark):
     assert latest["ETH"].bb_mid is None and latest["ETH"].event_time is not None
 
 
+def test_bollinger_latest_of_long_periods(spark):
+    df = ticks(spark, [float(i % 7) for i in range(60)]).unionByName(ticks(spark, [1.0], "ETH"))
+    short = bollinger_latest(df, 20, tiebreak=[]).orderBy("symbol").collect()
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+        split = Split(rows_per_segment=25)
+        long = bollinger_latest(df, 20, tiebreak=[], split=split).orderBy("symbol").collect()
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+    assert [r[:2] for r in long] == [r[:2] for r in short]
+    assert long[0].bb_upper == pytest.approx(short[0].bb_upper)
+    assert long[0].bb_lower == pytest.approx(short[0].bb_lower)
+    assert long[1].bb_mid is None
+
+
 def test_short_series_gives_nulls_not_errors(spark):
     df = ticks(spark, [1.0, 2.0])
     assert column(moving_average(df, 3, tiebreak=[]), "moving_avg") == [None, None]

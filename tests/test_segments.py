@@ -206,6 +206,21 @@ def test_zoned_times_across_a_clock_change(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_long_series_are_found_in_a_sample(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("symbol"),
+        F.timestamp_seconds("id").alias("event_time"),
+        (F.col("id") * 31 % 17).cast("double").alias("close"),
+    )
+    split = Split(rows_per_segment=5_000)
+    found = segments._long_series(df, ["symbol"], split)
+    assert [r.symbol for r in found] == ["HOT"]
+    assert 20_000 < found[0][1] < 40_000
+    cut = price_delta(df, tiebreak=[], split=split)
+    assert segments.SEGMENT in cut._jdf.queryExecution().toString()
+    assert as_set(cut) == as_set(price_delta(df, tiebreak=[], split=PLAIN))
+
+
 def test_bad_split():
     with pytest.raises(ValueError, match="rows_per_segment"):
         Split(rows_per_segment=0)
