@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -38,6 +38,17 @@ def existing_schema(spark: SparkSession, path: str, fmt: str) -> T.StructType |
         raise
 
 
+def existing_partitioning(spark: SparkSession, path: str, fmt: str) -> list[str] | None:
+    """Partition columns of a table of files, told from the place of one file; None if empty."""
+    stored = spark.read.format(fmt).load(path).select(F.input_file_name().alias("file"))
+    one = stored.limit(1).first()
+    if one is None:
+        return None
+    with_host = bool(urlsplit(path).netloc)
+    inside = _location(one.file, with_host)[len(_location(path, with_host)) :]
+    return [unquote(step.split("=")[0]) for step in inside.split("/")[:-1] if "=" in step]
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -47,8 +58,8 @@ def write_table(
 ) -> DataFrame:
     """Write a table; an append to an existing table must match its columns and types.
 
-    Parquet itself accepts a mismatched append and fails at a later read. Partition columns are
-    compared by name only, since a read infers their types from directory names.
+    Parquet itself accepts a mismatched append and fails or loses rows at a later read. Partition
+    columns are compared by name only, since a read infers their types from directory names.
     """
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {WRITE_MODES}, got {mode!r}")
@@ -57,8 +68,10 @@ def write_table(
     if mode == "append":
         existing = existing_schema(df.sparkSession, path, fmt)
         if existing is not None:
-            if partition_by is not None and partition_by not in existing.names:
-                raise ContractError(f"Existing table has no column {partition_by!r}")
+            wanted = [] if partition_by is None else [partition_by]
+            found = existing_partitioning(df.sparkSession, path, fmt)
+            if found is not None and found != wanted:
+                raise ContractError(f"The table is partitioned by {found}, not by {wanted}")
             checked = T.StructType([f for f in existing.fields if f.name != partition_by])
             require_appendable(df.drop(partition_by) if partition_by else df, checked)
     else:

@@ -104,6 +104,22 @@ def test_append_to_a_partitioned_table(spark, folder):
     assert back.count() == 6 and {r.p for r in back.collect()} == {"1"}
     with pytest.raises(ContractError):
         write_table(df.withColumnRenamed("p", "q"), path, partition_by="q")
+    with pytest.raises(ContractError, match=r"partitioned by \['p'\], not by \[\]"):
+        write_table(df, path)
+    write_table(df, f"{folder}/flat")
+    with pytest.raises(ContractError, match=r"partitioned by \[\], not by \['p'\]"):
+        write_table(df, f"{folder}/flat", partition_by="p")
+    assert spark.read.parquet(path).count() == 6
+    assert spark.read.parquet(f"{folder}/flat").count() == 3
+
+
+def test_append_to_an_empty_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    write_table(spark.range(3), str(tmp_path / "t"))
+    write_table(spark.range(0), str(tmp_path / "u"))
+    write_table(spark.range(3), str(tmp_path / "u"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "u")).count() == 3
 
 
 def test_overwriting_the_input_is_refused(spark, folder):
