@@ -22,6 +22,23 @@ from tableflow.functions.columns import named
 
 _COUNT = "__sampled"
 
+#: Limits below which a side may be broadcast.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and 64 MB as text.
+
+    Only row sizes are fetched, and only until there are too many, so a large table is not read
+    to its end.
+    """
+    if max_rows <= 0:
+        return False
+    size = F.octet_length(F.to_json(F.struct(*map(named, df.columns)))).alias("size")
+    sizes = [r.size or 0 for r in df.select(size).take(max_rows + 1)]
+    return len(sizes) <= max_rows and sum(sizes) <= BROADCAST_BYTES
+
 
 @dataclass(frozen=True)
 class HotKeys:

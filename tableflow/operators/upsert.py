@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from tableflow.functions.columns import named
 from tableflow.operators.contracts import require_columns, require_groupable
-from tableflow.operators.skew import HotKeys, hot_values, only_hot, without_hot
+from tableflow.operators.skew import (
+    BROADCAST_ROWS,
+    HotKeys,
+    fits_broadcast,
+    hot_values,
+    only_hot,
+    without_hot,
+)
 
 Assignments = Mapping[str, "str | Column"]
 
@@ -94,14 +101,17 @@ def upsert(
     set: Assignments,
     insert: Assignments,
     hot: HotKeys | None = HotKeys(),
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Upsert on equal key columns. Null keys never match, so such source rows are inserted.
 
     The query fails when two source rows match one target row. Two source rows with the same
     unmatched key are both inserted.
 
-    Rows with a hot key, see ``HotKeys``, are merged without a shuffle. ``hot=None`` skips the
-    search for hot keys, for tables known to have few rows per key.
+    A source of at most ``broadcast_rows`` rows, whose size is checked first, is broadcast, and the
+    target is not shuffled. Otherwise rows with a hot key, see ``HotKeys``, are merged without a
+    shuffle, and all others are shuffled once per side. ``hot=None`` skips the search for hot
+    keys, for tables known to have few rows per key.
     """
     keys = list(on)
     if not keys:
@@ -111,13 +121,15 @@ def upsert(
     set_to = _assignments(set, target, "set")
     values = _assignments(insert, target, "insert")
 
+    if fits_broadcast(source, broadcast_rows):
+        return _merge(target, source, keys, set_to, values, F.broadcast)
     hot_keys = hot_values([target, source], keys, hot)
     if hot_keys is None:
         return _merge(target, source, keys, set_to, values, lambda side: side)
     cold = [without_hot(t, keys, hot_keys) for t in (target, source)]
     warm = [only_hot(t, keys, hot_keys) for t in (target, source)]
     return _merge(*cold, keys, set_to, values, lambda side: side).unionByName(
-        # Both reduced sides have at most one row per hot key here.
+        # Every reduced side has at most one row per hot key here.
         _merge(*warm, keys, set_to, values, F.broadcast)
     )
 
@@ -130,9 +142,9 @@ def _merge(
     values: dict[str, Column],
     small: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Left join to one row per source key, plus an anti join to the distinct target keys.
+    """Left join to one row per source key, plus an anti join to the source keys in the target.
 
-    Both reduced sides are combined within each map task before their shuffle.
+    The reduced sides have at most one row per source key.
     """
     # Keys stay the grouping columns, so the join reuses this shuffle.
     others = [c for c in source.columns if c not in keys]
@@ -152,10 +164,16 @@ def _merge(
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
-    target_keys = target.select(*map(named, keys)).distinct()
+    source_keys = source.select(*map(named, keys)).distinct()
+    found = (
+        target.select(*map(named, keys))
+        .alias("target")
+        .join(small(source_keys).alias("source"), same_key, "left_semi")
+        .distinct()
+    )
     new = (
         source.alias("source")
-        .join(small(target_keys).alias("target"), same_key, "left_anti")
+        .join(small(found).alias("target"), same_key, "left_anti")
         .select(*_inserted(target, values))
     )
     return kept.unionByName(new)
@@ -171,6 +189,7 @@ def upsert_where(
     set: Assignments,
     insert: Assignments,
     hot: HotKeys | None = HotKeys(),
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Upsert where rows match on equal columns *and* on a further condition.
 
@@ -179,10 +198,11 @@ def upsert_where(
     target row. At least one equality is required: without it every row would have to be
     compared with every other. To match on a range alone, derive a bucket column on both sides.
 
-    Matching pairs come from one inner join of two plain shuffles, which adaptive execution
-    splits at hot keys on either side. They are then reduced to one row per target row and per
-    distinct source row before the other joins. Source rows with very many copies are hot values
-    there, see ``HotKeys``.
+    Matching pairs come from one inner join. A source of at most ``broadcast_rows`` rows is
+    broadcast; otherwise it is a join of two plain shuffles, which adaptive execution splits at
+    hot keys on either side. Pairs are then reduced to one row per target row and per distinct
+    source row before the other joins. Source rows with very many copies are hot values there,
+    see ``HotKeys``.
     """
     pairs_on, ids = list(on), list(target_id)
     if not pairs_on:
@@ -196,10 +216,12 @@ def upsert_where(
     values = _assignments(insert, target, "insert")
 
     equal = [_side("target", t) == _side("source", s) for t, s in pairs_on]
+    on_pairs = reduce(Column.__and__, equal) & condition
     columns = source.columns
+    is_small = fits_broadcast(source, broadcast_rows)
     matches = (
         target.alias("target")
-        .join(source.alias("source"), reduce(Column.__and__, equal) & condition, "inner")
+        .join((F.broadcast(source) if is_small else source).alias("source"), on_pairs, "inner")
         .select(
             F.struct(*(_side("target", c).alias(c) for c in ids)).alias(_ID),
             F.struct(*(_side("source", c).alias(c) for c in columns)).alias(_ROW),
@@ -234,6 +256,8 @@ def upsert_where(
             .select(*_inserted(target, values))
         )
 
+    if is_small:
+        return kept.unionByName(unmatched(source, F.broadcast(matched)))
     # Copies share a content hash, which is short where rows are long.
     content = {_HASH: F.xxhash64(*map(named, columns))}
     hashed, hashed_hits = source.withColumns(content), matched.withColumns(content)

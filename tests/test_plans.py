@@ -99,9 +99,17 @@ def test_market_plan_has_one_shuffle(ticks):
     assert count(market_plan(ticks, tiebreak=["n"]), "Exchange") == 1
 
 
-def test_no_nested_loops_in_upserts(ticks):
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_no_nested_loops_in_upserts(ticks, broadcast_rows):
     source = ticks.groupBy("symbol").agg(F.max("close").alias("close"))
-    one = upsert(ticks, source, on=["symbol"], set={"close": "close"}, insert={"symbol": "symbol"})
+    one = upsert(
+        ticks,
+        source,
+        on=["symbol"],
+        set={"close": "close"},
+        insert={"symbol": "symbol"},
+        broadcast_rows=broadcast_rows,
+    )
     two = upsert_where(
         ticks,
         source,
@@ -110,6 +118,7 @@ def test_no_nested_loops_in_upserts(ticks):
         target_id=["n"],
         set={"close": "close"},
         insert={"symbol": "symbol"},
+        broadcast_rows=broadcast_rows,
     )
     for df in (one, two):
         text = plan(df)
@@ -148,11 +157,17 @@ def test_hot_key_of_an_upsert_is_not_shuffled(ticks, small_partitions):
     hot = hot_values([ticks, source], ["symbol"], rule)
     assert [r.symbol for r in hot.collect()] == ["HOT"]
     merged = upsert(
-        ticks, source, on=["symbol"], set={"close": "close"}, insert={"symbol": "symbol"}, hot=rule
+        ticks,
+        source,
+        on=["symbol"],
+        set={"close": "close"},
+        insert={"symbol": "symbol"},
+        hot=rule,
+        broadcast_rows=0,
     )
-    # Eight splits by the list of hot keys, and one broadcast per reduced side.
-    assert count(merged, "BroadcastHashJoin") == 8 + 2
-    assert count(merged, "SortMergeJoin") == 2
+    # Three joins for the hot keys and three for the others, with five splits by hot keys each.
+    assert count(merged, "BroadcastHashJoin") == 3 + 2 * 5
+    assert count(merged, "SortMergeJoin") == 3
     assert merged.count() == 20_000
 
 
@@ -168,5 +183,16 @@ def test_hot_key_of_a_condition_upsert_is_split(ticks, small_partitions):
         target_id=["n"],
         set={"close": "close"},
         insert={"symbol": "symbol"},
+        broadcast_rows=0,
     )
     assert "skew=true" in final_plan(matched)
+
+
+def test_small_source_leaves_the_target_unshuffled(ticks, small_partitions):
+    source = ticks.filter("n < 100").select("n", (F.col("close") + 1).alias("close"))
+    merged = upsert(ticks, source, on=["n"], set={"close": "close"}, insert={"n": "n"})
+    assert count(merged, "SortMergeJoin") == 0
+    assert "RoundRobin" not in plan(merged)
+    # Only source keys, and the target keys found among them, are shuffled.
+    assert count(merged, "Exchange") == 3
+    assert merged.count() == 20_000

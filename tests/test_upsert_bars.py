@@ -16,6 +16,7 @@ from tableflow import (
     upsert,
     upsert_where,
 )
+from tableflow.operators.skew import fits_broadcast
 
 TARGET = "id bigint, v double, note string"
 SOURCE = "id bigint, v double"
@@ -103,13 +104,21 @@ def test_arguments(spark):
         upsert(target, source, on=["absent"], set=SET, insert=INSERT)
 
 
-def test_composite_keys_against_a_model(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_composite_keys_against_a_model(spark, broadcast_rows):
     rng = random.Random(3)
     t = {(rng.randrange(20), rng.randrange(5)): float(i) for i in range(60)}
     s = {(rng.randrange(20), rng.randrange(5)): float(1000 + i) for i in range(60)}
     target = spark.createDataFrame([(*k, v) for k, v in t.items()], "a int, b int, v double")
     source = spark.createDataFrame([(*k, v) for k, v in s.items()], "a int, b int, v double")
-    out = upsert(target, source, on=["a", "b"], set=SET, insert=copy_columns(["a", "b", "v"]))
+    out = upsert(
+        target,
+        source,
+        on=["a", "b"],
+        set=SET,
+        insert=copy_columns(["a", "b", "v"]),
+        broadcast_rows=broadcast_rows,
+    )
     assert {(r.a, r.b): r.v for r in out.collect()} == {**t, **s}
     assert out.count() == len({**t, **s})
 
@@ -131,8 +140,9 @@ ALL_HOT = HotKeys(min_rows=2, sample_fraction=1.0)
 ONE_HOT = HotKeys(min_rows=2, sample_fraction=1.0, max_keys=1)
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
 @pytest.mark.parametrize("hot", [None, HotKeys(), ALL_HOT, ONE_HOT])
-def test_hot_keys_do_not_change_the_result(spark, hot):
+def test_hot_keys_do_not_change_the_result(spark, hot, broadcast_rows):
     target = spark.createDataFrame(
         [(1, float(i), "a") for i in range(50)]
         + [(None, float(i), "n") for i in range(30)]
@@ -146,7 +156,15 @@ def test_hot_keys_do_not_change_the_result(spark, hot):
         + [(78, 1.0)],
         SOURCE,
     )
-    out = upsert(target, source, on=["id"], set=SET, insert=INSERT, hot=hot)
+    out = upsert(
+        target,
+        source,
+        on=["id"],
+        set=SET,
+        insert=INSERT,
+        hot=hot,
+        broadcast_rows=broadcast_rows,
+    )
     expected = (
         [(1, -1.0, "a")] * 50
         + [(None, float(i), "n") for i in range(30)]
@@ -163,7 +181,9 @@ def test_two_hits_fail_for_hot_keys_too(spark, hot):
     target = spark.createDataFrame([(1, 0.0, "a")] * 5 + [(2, 0.0, "b")], TARGET)
     source = spark.createDataFrame([(1, 1.0), (1, 2.0)], SOURCE)
     with pytest.raises(PySparkException, match="Several source rows"):
-        upsert(target, source, on=["id"], set=SET, insert=INSERT, hot=hot).count()
+        upsert(
+            target, source, on=["id"], set=SET, insert=INSERT, hot=hot, broadcast_rows=0
+        ).count()
 
 
 def where(target, source, condition, **more):
@@ -179,13 +199,15 @@ def where(target, source, condition, **more):
     )
 
 
-def test_condition_upsert_against_a_model(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_condition_upsert_against_a_model(spark, broadcast_rows):
     rng = random.Random(5)
     t = [(i, rng.randrange(6), float(rng.randrange(100))) for i in range(80)]
     s = [(k, float(50 + k)) for k in range(3, 9)]
     target = spark.createDataFrame(t, "id int, k int, v double")
     source = spark.createDataFrame(s, "key int, v double")
-    out = where(target, source, F.col("target.v") < F.col("source.v"))
+    lower = F.col("target.v") < F.col("source.v")
+    out = where(target, source, lower, broadcast_rows=broadcast_rows)
     by_key = dict(s)
     expected = [
         (i, k, by_key[k] if k in by_key and v < by_key[k] else v) for i, k, v in t
@@ -206,12 +228,14 @@ def test_condition_upsert_allows_disjoint_ranges_of_one_key(spark):
     assert rows(out) == [(1, 7, -1.0), (2, 7, -2.0), (None, 7, -3.0), (None, None, -4.0)]
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
 @pytest.mark.parametrize("hot", [None, ALL_HOT, ONE_HOT])
-def test_condition_upsert_with_many_copies(spark, hot):
+def test_condition_upsert_with_many_copies(spark, hot, broadcast_rows):
     target = spark.createDataFrame([(i, i % 2, float(i)) for i in range(40)], "id int, k int, v double")
     copies = [(1, 1000.0)] + [(9, 1.0)] * 30 + [(None, None)] * 20 + [(0, -1.0)] * 10
     source = spark.createDataFrame(copies, "key int, v double")
-    out = where(target, source, F.col("target.v") < F.col("source.v"), hot=hot)
+    how = {"hot": hot, "broadcast_rows": broadcast_rows}
+    out = where(target, source, F.col("target.v") < F.col("source.v"), **how)
     expected = [(i, i % 2, 1000.0 if i % 2 else float(i)) for i in range(40)]
     expected += [(None, k, v) for k, v in copies[1:]]
     assert rows(out) == sorted(expected, key=repr)
@@ -251,6 +275,14 @@ def test_condition_upsert_needs_an_equality(spark):
             )
 
 
+def test_size_check_before_a_broadcast(spark):
+    assert fits_broadcast(spark.range(10), 10)
+    assert not fits_broadcast(spark.range(11), 10)
+    assert not fits_broadcast(spark.range(1), 0)
+    wide = spark.range(70).select(F.repeat(F.lit("x"), 1024 * 1024).alias("text"))
+    assert not fits_broadcast(wide, 100)
+
+
 START = datetime(2026, 1, 1)
 
 
