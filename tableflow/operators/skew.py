@@ -23,7 +23,7 @@ from tableflow.functions.columns import named
 _COUNT = "__sampled"
 
 #: Limits below which a side may be broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 

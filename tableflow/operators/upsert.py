@@ -6,7 +6,7 @@ Update and insert values are Columns over the aliases ``target`` and ``source``,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -122,15 +122,15 @@ def upsert(
     values = _assignments(insert, target, "insert")
 
     if fits_broadcast(source, broadcast_rows):
-        return _merge(target, source, keys, set_to, values, F.broadcast)
+        return _merge(target, source, keys, set_to, values, small=True)
     hot_keys = hot_values([target, source], keys, hot)
     if hot_keys is None:
-        return _merge(target, source, keys, set_to, values, lambda side: side)
+        return _merge(target, source, keys, set_to, values, small=False)
     cold = [without_hot(t, keys, hot_keys) for t in (target, source)]
     warm = [only_hot(t, keys, hot_keys) for t in (target, source)]
-    return _merge(*cold, keys, set_to, values, lambda side: side).unionByName(
+    return _merge(*cold, keys, set_to, values, small=False).unionByName(
         # Every reduced side has at most one row per hot key here.
-        _merge(*warm, keys, set_to, values, F.broadcast)
+        _merge(*warm, keys, set_to, values, small=True)
     )
 
 
@@ -140,12 +140,13 @@ def _merge(
     keys: list[str],
     set_to: dict[str, Column],
     values: dict[str, Column],
-    small: Callable[[DataFrame], DataFrame],
+    small: bool,
 ) -> DataFrame:
-    """Left join to one row per source key, plus an anti join to the source keys in the target.
+    """Left join to one row per source key, plus an anti join to the target's keys.
 
-    The reduced sides have at most one row per source key.
+    ``small`` says that the source has few enough keys to broadcast what has one row per key.
     """
+    side = F.broadcast if small else lambda reduced: reduced
     # Keys stay the grouping columns, so the join reuses this shuffle.
     others = [c for c in source.columns if c not in keys]
     per_key = (
@@ -160,20 +161,17 @@ def _merge(
     count = F.col(f"source.{_COUNT}")
     kept = (
         target.alias("target")
-        .join(small(per_key).alias("source"), same_key, "left")
+        .join(side(per_key).alias("source"), same_key, "left")
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
-    source_keys = source.select(*map(named, keys)).distinct()
-    found = (
-        target.select(*map(named, keys))
-        .alias("target")
-        .join(small(source_keys).alias("source"), same_key, "left_semi")
-        .distinct()
-    )
+    found = target.select(*map(named, keys)).alias("target")
+    if small:
+        source_keys = source.select(*map(named, keys)).distinct()
+        found = found.join(F.broadcast(source_keys).alias("source"), same_key, "left_semi")
     new = (
         source.alias("source")
-        .join(small(found).alias("target"), same_key, "left_anti")
+        .join(side(found.distinct()).alias("target"), same_key, "left_anti")
         .select(*_inserted(target, values))
     )
     return kept.unionByName(new)

@@ -165,9 +165,9 @@ def test_hot_key_of_an_upsert_is_not_shuffled(ticks, small_partitions):
         hot=rule,
         broadcast_rows=0,
     )
-    # Three joins for the hot keys and three for the others, with five splits by hot keys each.
-    assert count(merged, "BroadcastHashJoin") == 3 + 2 * 5
-    assert count(merged, "SortMergeJoin") == 3
+    # Three joins for the hot keys and two for the others, with their splits by hot keys.
+    assert count(merged, "BroadcastHashJoin") == 3 + 5 + 4
+    assert count(merged, "SortMergeJoin") == 2
     assert merged.count() == 20_000
 
 
