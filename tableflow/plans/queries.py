@@ -24,7 +24,7 @@ AS_OF = "2026-01-01 12:30:00"
 SINCE = "2024-01-15 00:00:00"
 STREAM_SECONDS = 600
 
-#: Small segments, so that the segmented window runs on every scale of the given tables.
+#: Small segments, so that series are cut already at sf0.01.
 SMALL_SEGMENTS = Split(rows_per_segment=500)
 
 INDICATOR_COLUMNS = [
