@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OWN = re.compile(r".+-[0-9a-f]{32}/*")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing, a local session gets a temporary folder; a cluster session
-    raises, because a machine-local folder would be lost with its machine.
+    Where the setting is missing, a session in one process uses its warehouse folder; any other
+    session raises, because a folder of one machine would be lost with it.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"Set {CHECKPOINT_DIR} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tableflow-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet in a fresh scratch folder and read from there, and the folder."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that :func:`scratch_dir` named, wherever they are."""
+    for path in paths:
+        if not _OWN.fullmatch(path):
+            raise ValueError(f"Not a scratch folder: {path}")
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
