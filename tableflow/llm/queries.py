@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tableflow.llm.common import table
 from tableflow.llm.decontaminate import decontaminate
 from tableflow.llm.line_rules import apply_line_rules
+from tableflow.llm.near_dedup import near_duplicates
 from tableflow.llm.oracles import ORACLES
 from tableflow.llm.packing import pack_documents
 
@@ -35,6 +36,10 @@ def _op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = apply_line_rules(table(spark, sf_dir, "documents"))
     return result.drop("text_left").withColumnRenamed("id", "doc_id")
@@ -47,6 +52,7 @@ def _op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": _op1_decontaminate,
+    "op5_near_dedup": _op5_near_dedup,
     "op7_line_rules": _op7_line_rules,
     "op8_packing": _op8_packing,
 }
