@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,49 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def row_column(make: Callable[[], Callable[..., Sequence]], schema: T.StructType) -> Callable[..., Column]:
+    """A function of columns that gives a struct of ``schema`` for each row, beside any other columns.
+
+    ``make`` runs once per task, on the first batch, and returns the row function.
+    """
+    fields = list(to_arrow(schema))
+    made: list[Callable[..., Sequence]] = []
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        if not made:
+            made.append(make())
+        rows, row = [], made[0]
+        for start in range(0, len(arrays[0]), SLICE_ROWS):
+            rows += map(row, *(x.slice(start, SLICE_ROWS).to_pylist() for x in arrays))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+        return pa.StructArray.from_arrays(
+            [pa.array(x, type=f.type) for x, f in zip(columns, fields, strict=True)], fields=fields
+        )
+
+    run.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, schema).asNondeterministic()  # or a filter on it would run it twice
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it until no column is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one column of ``ids``; rows without an id stay.
+
+    ``ids`` is evaluated twice, so it should be a stored table. It is broadcast if it has at most ``broadcast_ids`` rows.
+    """
+    name = free_name(docs, "dropped_id")
+    ids = ids.toDF(name)
+    if ids.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+
+
 def to_arrow(schema: T.StructType) -> pa.Schema:
     """The Arrow schema of a Spark schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -173,6 +216,26 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * down[:n])
 
 
+def hash_texts(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts in a row, and the number of words of each."""
+    parts, counts, block, size = [np.empty(0, np.uint64)], [], [], 0
+    for text in [*texts, None]:
+        if block and (text is None or size + len(text) > BLOCK_BYTES):
+            hashes, lengths = _joined_hashes(block)
+            parts.append(hashes)
+            counts += lengths
+            block, size = [], 0
+        if text is not None:
+            block.append(text)
+            size += len(text) + 1
+    return np.concatenate(parts), np.array(counts, np.int64)
+
+
+def _joined_hashes(block: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    counts = [len(text.split()) for text in block]
+    return word_hashes(b"\n".join(block)), counts
+
+
 def covered(starts: np.ndarray, size: int, n_words: int) -> np.ndarray:
     """Which of ``n_words`` words lie in a window of ``size`` words that begins at a start."""
     marks = np.zeros(n_words + 1, np.int64)

@@ -7,12 +7,12 @@ all its words if there are fewer. A document word inside any occurrence of a win
 The test windows go to every task as hash sets, with the windows' words for verification. Their size
 is checked first: items are dealt into blocks of at most ``block_bytes`` of text, and each block scans
 all documents. One block, the usual case, needs no shuffle at all; with more, the hit spans of
-the blocks are united per document. Documents are scanned once per block, one text at a time.
+the blocks, which only documents with hits have, are joined to the documents by a hash of the text.
 
 Null and empty texts have no words. Items without words match nothing. Repeated items are separate
 items with their own ids. Null item ids are left out of the list of ids but their windows hit.
-Null document ids pass through; with more than one block such rows, and rows that repeat an id, are
-united by a hash of the text too. Empty tables give no rows, or rows without hits.
+Repeated rows give repeated results. Other columns, nulls among them, stay as they are; one called like
+the result is replaced. Empty tables give no rows, or rows without hits.
 """
 
 from __future__ import annotations
@@ -26,7 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.llm.common import covered, id_and_text, map_rows, mix, runs, window_hashes
+from tableflow.llm.common import (
+    covered,
+    free_name,
+    id_and_text,
+    mix,
+    need_columns,
+    row_column,
+    runs,
+    window_hashes,
+)
+from tableflow.sources.scratch import written
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -118,9 +128,8 @@ def _spans(starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         yield int(group[0]), int(group[-1]) + size
 
 
-SPANS = T.StructType(
+HITS = T.StructType(
     [
-        T.StructField("id", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
         T.StructField("items", T.ArrayType(T.LongType())),
@@ -128,14 +137,12 @@ SPANS = T.StructType(
 )
 RESULT = T.StructType(
     [
-        T.StructField("id", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
         T.StructField("n_items", T.LongType()),
         T.StructField("items_sha256", T.StringType()),
         T.StructField("contaminated", T.BooleanType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-        T.StructField("items", T.ArrayType(T.LongType())),
+        *HITS.fields[1:],
     ]
 )
 
@@ -153,84 +160,92 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
     yield block
 
 
-def _finish(doc_id: int | None, n_words: int, spans: list, items: Iterable[int], min_share: int) -> tuple:
+def _finish(n_words: int, spans: list, items: Iterable[int], min_share: int) -> tuple:
     n_hit = sum(end - start for start, end in spans)
     listed = sorted(items)
     digest = hashlib.sha256(",".join(sorted(map(str, listed))).encode()).hexdigest()
-    return doc_id, n_words, n_hit, len(listed), digest, n_hit > 0 and min_share * n_hit >= n_words, spans, listed
+    return n_words, n_hit, len(listed), digest, n_hit > 0 and min_share * n_hit >= n_words, spans, listed
 
 
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = WINDOW,
     min_share: int = 20,
     block_bytes: int = BLOCK_BYTES,
+    into: str = "tests",
 ) -> DataFrame:
-    """One row per document: words, hit words and spans, items, and whether it is contaminated.
+    """``docs`` with a struct column ``into``: words, hit words, items, and whether it is contaminated.
 
     Contaminated: at least one word is hit, and ``min_share`` times the hit words reach all words.
     ``spans`` are the [start, end) word positions of the hits, for removing spans instead of documents.
     """
-    texts = id_and_text(docs, id_col, text_col)
+    need_columns(docs, text_col)
+    text = F.col(f"`{text_col}`").cast("binary")
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    parts = []
+    parts: list[DataFrame] = []
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
         sent = spark.sparkContext.broadcast(build_ngrams(block, size))
         if not parts and after is None:
-            return map_rows(texts, _scanner(sent, min_share), RESULT)
-        keyed = texts.withColumn("key", F.sha2("text", 256))
-        parts.append(_partial(keyed, sent))
+            return docs.withColumn(into, row_column(_scanner(sent, min_share), RESULT)(text))
+        hits = row_column(_partial(sent), HITS)
+        part = docs.select(F.sha2(text, 256).alias("key"), hits(text).alias("h")).select("key", "h.*")
+        parts.append(written(part.where("size(spans) > 0").dropDuplicates(["key"]), "hits")[0])
         block = after
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    merged = together.groupBy("id", "key", "n_words").agg(
-        F.flatten(F.collect_set("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        (F.count("*") / F.lit(len(parts))).cast("int").alias("copies"),
+    key, found = free_name(docs, "text_key"), free_name(docs, "found_hits")
+    merged = together.groupBy("key").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-
-    def make() -> Callable[..., tuple]:
-        return lambda doc_id, n, spans, items: _finish(doc_id, n, _union(spans), items, min_share)
-
-    return map_rows(merged.select("id", "n_words", "spans", "items"), make, RESULT)
+    merged = merged.select(F.col("key").alias(key), F.struct("spans", "items").alias(found))
+    joined = docs.withColumn(key, F.sha2(text, 256)).join(merged, key, "left")
+    return joined.withColumn(into, row_column(_merger(min_share), RESULT)(text, F.col(found))).drop(key, found)
 
 
 def _scanner(sent, min_share: int) -> Callable[[], Callable[..., tuple]]:
     def make() -> Callable[..., tuple]:
         tests = sent.value
 
-        def row(doc_id: int | None, text: bytes | None) -> tuple:
+        def row(text: bytes | None) -> tuple:
             n, flags, items = _hits(text, tests)
-            return _finish(doc_id, n, runs(flags), items, min_share)
+            return _finish(n, runs(flags), items, min_share)
 
         return row
 
     return make
 
 
-def _partial(keyed: DataFrame, sent) -> DataFrame:
-    schema = T.StructType([*SPANS.fields, T.StructField("key", T.StringType())])
-
+def _partial(sent) -> Callable[[], Callable[..., tuple]]:
     def make() -> Callable[..., tuple]:
         tests = sent.value
 
-        def row(doc_id: int | None, text: bytes | None, key: str | None) -> tuple:
+        def row(text: bytes | None) -> tuple:
             n, flags, items = _hits(text, tests)
-            return doc_id, n, runs(flags), sorted(items), key
+            return n, runs(flags), sorted(items)
 
         return row
 
-    return map_rows(keyed, make, schema)
+    return make
+
+
+def _merger(min_share: int) -> Callable[[], Callable[..., tuple]]:
+    def make() -> Callable[..., tuple]:
+        def row(text: bytes | None, found: dict | None) -> tuple:
+            found = found or {"spans": [], "items": []}
+            return _finish(len(_words(text)), _union(found["spans"]), found["items"], min_share)
+
+        return row
+
+    return make
 
 
 def _union(spans: list) -> list[tuple[int, int]]:

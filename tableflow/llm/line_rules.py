@@ -14,8 +14,8 @@ A document is kept if it passes the base rules (50 words, at most half of them i
 of three) and the lines that are left hold at least half of its words.
 
 All rules are whole-number arithmetic over one document inside one task: no shuffle, no state.
-Null text has no words and is not kept; empty and blank texts likewise. Null ids pass through.
-Repeated rows give repeated results. Columns other than the two named are never read.
+Null text has no words and is not kept; empty and blank texts likewise. Repeated rows give repeated
+results. Other columns, nulls among them, stay as they are; one called like the result is replaced.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.llm.common import WHITE_SPACE, id_and_text, map_rows
+from tableflow.llm.common import WHITE_SPACE, need_columns, row_column
 
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = frozenset({b"|", b">", b"<", b"/", b"-", "»".encode(), "·".encode(), "•".encode(), "›".encode()})
@@ -54,7 +55,6 @@ class LineRules:
 
 STATS = T.StructType(
     [
-        T.StructField("id", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("word_chars", T.LongType()),
         T.StructField("n_symbols", T.LongType()),
@@ -113,7 +113,7 @@ def failed_rule(line: bytes) -> str | None:
 
 
 def judge(text: bytes | None, rules: LineRules, with_text: bool) -> tuple:
-    """The values of ``STATS`` after the id."""
+    """The values of ``STATS``."""
     text = text or b""
     words = text.split()
     n_words = len(words)
@@ -150,18 +150,19 @@ def judge(text: bytes | None, rules: LineRules, with_text: bool) -> tuple:
 
 def apply_line_rules(
     docs: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     rules: LineRules | None = None,
     with_text: bool = False,
+    into: str = "lines",
 ) -> DataFrame:
-    """One row of ``STATS`` for each document; ``text_left`` only ``with_text``.
+    """``docs`` with a struct column ``into`` of ``STATS``; its ``text_left`` only ``with_text``.
 
     Blank lines stay in ``text_left``, and a document without a failing line keeps its text as it is.
     """
+    need_columns(docs, text_col)
     limits = rules or LineRules()
 
-    def make() -> Callable[[int | None, bytes | None], tuple]:
-        return lambda doc_id, text: (doc_id, *judge(text, limits, with_text))
+    def make() -> Callable[[bytes | None], tuple]:
+        return lambda text: judge(text, limits, with_text)
 
-    return map_rows(id_and_text(docs, id_col, text_col), make, STATS)
+    return docs.withColumn(into, row_column(make, STATS)(F.col(f"`{text_col}`").cast("binary")))

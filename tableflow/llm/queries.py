@@ -14,6 +14,7 @@ from tableflow.llm.line_rules import apply_line_rules
 from tableflow.llm.near_dedup import near_duplicates
 from tableflow.llm.oracles import ORACLES
 from tableflow.llm.packing import pack_documents
+from tableflow.llm.substring import remove_repeats
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_file"]
 
@@ -30,10 +31,14 @@ def tokenizer_file() -> str:
 
 
 def _op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return result.select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
-    )
+    docs = table(spark, sf_dir, "documents")
+    result = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return result.select("doc_id", "tests.*").drop("spans", "items")
+
+
+def _op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = remove_repeats(table(spark, sf_dir, "documents"))
+    return result.select("doc_id", "cut.*").drop("text_left")
 
 
 def _op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +47,7 @@ def _op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = apply_line_rules(table(spark, sf_dir, "documents"))
-    return result.drop("text_left").withColumnRenamed("id", "doc_id")
+    return result.select("doc_id", "lines.*").drop("text_left")
 
 
 def _op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +57,7 @@ def _op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": _op1_decontaminate,
+    "op4_substring": _op4_substring,
     "op5_near_dedup": _op5_near_dedup,
     "op7_line_rules": _op7_line_rules,
     "op8_packing": _op8_packing,
