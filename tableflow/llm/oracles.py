@@ -27,6 +27,35 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_h
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+l AS (SELECT d, max(page_id) AS leader FROM q WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> leader THEN leader END AS refers_to
+FROM q LEFT JOIN l USING (d)
+"""
+
+_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps
+  FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE g IN (SELECT g FROM rep)) GROUP BY doc_id),
+kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT d.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) u
+  LEFT JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) r ON u.doc_id = r.doc_id AND u.i = r.p
+  WHERE r.p IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _OP1,
+    "op2_warc_zip": _OP2,
+    "op4_substring": _OP4,
 }

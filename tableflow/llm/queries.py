@@ -15,6 +15,9 @@ from tableflow.llm.near_dedup import near_duplicates
 from tableflow.llm.oracles import ORACLES
 from tableflow.llm.packing import pack_documents
 from tableflow.llm.substring import remove_repeats
+from tableflow.llm.url_filter import Rule, filter_urls
+from tableflow.llm.warc_zip import read_packages, write_packages
+from tableflow.sources.scratch import scratch_dir, written
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_file"]
 
@@ -36,6 +39,11 @@ def _op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "tests.*").drop("spans", "items")
 
 
+def _op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_packages(table(spark, sf_dir, "pages"), scratch_dir(spark, "packages"))
+    return read_packages(written(manifest, "manifest")[0]).drop("url", "payload")
+
+
 def _op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = remove_repeats(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "cut.*").drop("text_left")
@@ -45,6 +53,25 @@ def _op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+URL_RULES = (
+    Rule("org/", True),
+    Rule("example.org/es/", False),
+    Rule("example.org/en/1", False),
+    Rule("com/fr/", True),
+    Rule("com/de/", False),
+)
+
+
+def _op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is good if the document that its path numbers is labelled good and not toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]{1,18})', 1) AS BIGINT)")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labelled = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", good.cast("int").alias("good"))
+    numbered = pages.select("page_id", number.alias("doc_id")).where("doc_id IS NOT NULL")
+    return filter_urls(pages, numbered.join(labelled, "doc_id").select("page_id", "good"), URL_RULES)
+
+
 def _op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = apply_line_rules(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "lines.*").drop("text_left")
@@ -57,8 +84,10 @@ def _op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": _op1_decontaminate,
+    "op2_warc_zip": _op2_warc_zip,
     "op4_substring": _op4_substring,
     "op5_near_dedup": _op5_near_dedup,
+    "op6_url_filter": _op6_url_filter,
     "op7_line_rules": _op7_line_rules,
     "op8_packing": _op8_packing,
 }
