@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableflow.llm import language, quality, toxicity
 from tableflow.llm.common import table
 from tableflow.llm.decontaminate import decontaminate
 from tableflow.llm.line_rules import apply_line_rules
@@ -44,6 +45,22 @@ def _op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packages(written(manifest, "manifest")[0]).drop("url", "payload")
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of an id as text, modulo ``divisor``; -1 for no id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor, F.lit(-1))
+
+
+def _op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = _remainder(4) == 2
+    labelled = labels.select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, labelled, "doc_id", "text", ~held_out)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "toxicity.*", (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def _op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = remove_repeats(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "cut.*").drop("text_left")
@@ -82,12 +99,35 @@ def _op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.drop("token_ids").withColumnRenamed("id", "doc_id")
 
 
+def _op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _remainder(3) == 1
+    model = language.train(docs, "lang", "text", ~held_out & F.col("doc_id").isNotNull())
+    identified = language.identify(docs.select("doc_id", "text"), model)
+    return identified.select("doc_id", held_out.alias("held_out"), "mixture.*")
+
+
+def _op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = _remainder(5) == 0
+    labelled = labels.select("doc_id", F.col("quality").alias("label"))
+    vectors = quality.train_vectors(docs, "text")
+    network = quality.train(docs, labelled, vectors, "doc_id", "text", ~held_out)
+    scored = quality.score_documents(docs.select("doc_id", "text"), vectors, network)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "quality.score", (F.col("quality.score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": _op1_decontaminate,
     "op2_warc_zip": _op2_warc_zip,
+    "op3_toxicity": _op3_toxicity,
     "op4_substring": _op4_substring,
     "op5_near_dedup": _op5_near_dedup,
     "op6_url_filter": _op6_url_filter,
     "op7_line_rules": _op7_line_rules,
     "op8_packing": _op8_packing,
+    "op9_language": _op9_language,
+    "op10_quality": _op10_quality,
 }
