@@ -11,12 +11,13 @@ that the characters read so far can have reached, and transitions are made when
 each character, and most words reach the empty state after two or three.
 
 *Weights.* A word's weight is its smoothed precision among the labelled documents; a misspelling that they don't hold has the
-precision of all misspellings in them. So a harmless word that is one edit away from a term counts for little once it was
-seen.
+precision of all misspellings of terms of its length class (``LONG_LETTERS`` or more, or fewer) in them. So a harmless word
+that is one edit away from a term counts for nothing once it was seen in clean documents: weights below ``least`` are dropped.
 
 *Context.* A hit counts in full unless an open quotation mark stands within ``reach`` tokens before it and a closing one
 within as many after: then it is taken for a quotation and counts ``quoted`` of its weight, except when unquoted hits
-stand in the same window. Scores are one minus the product of what the hits leave over.
+stand in the same window. Scores are one minus the product of what different hit words leave over; a repeated word
+counts once, with its highest weight.
 
 Null and empty texts have no hits and score ``floor``. Labels other than 0 and 1, and rows without an id, are not learned
 from; repeated labels count once. Without toxic training rows the lexicon is empty and all scores are ``floor``. Repeated
@@ -42,6 +43,7 @@ SAMPLE_ROWS = 6_000
 MAX_TERMS = 5_000
 STEM_LETTERS = (4, 5, 6, 7)
 FUZZY_LETTERS = 5
+LONG_LETTERS = 7
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
@@ -170,7 +172,14 @@ class ToxicityModel:
     words: dict[str, float]
     stems: dict[str, float]
     variants: dict[str, float]
-    other: float
+    other_short: float
+    other_long: float
+
+    def weight(self, token: str, term: str, edits: int) -> float:
+        """Of a token that the automaton has matched."""
+        if not edits:
+            return self.words.get(term, self.stems.get(term, 0.0))
+        return self.variants.get(token, self.other_long if len(term) >= LONG_LETTERS else self.other_short)
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, min_share: float, precision: float) -> tuple[dict, dict]:
@@ -242,11 +251,18 @@ def train(
         return lambda token: lexicon.match(token) or (None, None)
 
     matched = counts.where("NOT stem").select("token", "toxic", "clean", row_column(make, _MATCH)("token").alias("m"))
-    near = [(r[0], r[1], r[2]) for r in matched.where("m.edits > 0").select("token", "toxic", "clean").collect()]
-    toxic, clean = sum(r[1] for r in near), sum(r[2] for r in near)
-    variants = {t: (a + 0.5) / (a + b + 1) for t, a, b in near}
+    near = matched.where("m.edits > 0").select("token", "toxic", "clean", F.length("m.term").alias("letters")).collect()
+    variants = {r["token"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in near}
+    short = [r for r in near if r["letters"] < LONG_LETTERS]
+    long = [r for r in near if r["letters"] >= LONG_LETTERS]
     drop_scratch(spark, sample_path, counts_path)
-    return ToxicityModel(words, stems, variants, (toxic + 2) / (toxic + clean + 3))
+    return ToxicityModel(words, stems, variants, _share(short, 0.25), _share(long, 0.75))
+
+
+def _share(near: list, prior: float) -> float:
+    """Precision of misspellings, smoothed by two documents' worth of ``prior``."""
+    toxic = sum(r["toxic"] for r in near)
+    return (toxic + 2 * prior) / (toxic + sum(r["clean"] for r in near) + 2)
 
 
 def _sketch() -> Callable[[bytes | None], tuple]:
@@ -281,7 +297,9 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def _scorer(sent, reach: int, quoted: float, floor: float, keep: int) -> Callable[[], Callable[[bytes | None], tuple]]:
+def _scorer(
+    sent, reach: int, quoted: float, floor: float, least: float, keep: int
+) -> Callable[[], Callable[[bytes | None], tuple]]:
     def make() -> Callable[[bytes | None], tuple]:
         model: ToxicityModel = sent.value
         lexicon = FuzzyLexicon(model.words, model.stems)
@@ -289,12 +307,8 @@ def _scorer(sent, reach: int, quoted: float, floor: float, keep: int) -> Callabl
 
         def weigh(token: str) -> tuple[float, str] | None:
             found = lexicon.match(core(token))
-            if found is None:
-                return None
-            term, edits = found
-            if edits:
-                return model.variants.get(core(token), model.other), term
-            return model.words.get(term, model.stems.get(term, 0.0)), term
+            weight = model.weight(core(token), *found) if found else 0.0
+            return (weight, found[0]) if weight >= least else None
 
         def row(text: bytes | None) -> tuple:
             tokens = (text or b"").decode("utf-8", "replace").split()
@@ -306,13 +320,16 @@ def _scorer(sent, reach: int, quoted: float, floor: float, keep: int) -> Callabl
                 known[token] = weigh(token)
             hits = [i for i, token in enumerate(tokens) if known[token] is not None]
             inside = [_is_quoted(tokens, i, reach) for i in hits]
-            left, terms = 1 - floor, []
+            weights: dict[str, float] = {}
+            terms = set()
             for i, is_quoted in zip(hits, inside, strict=True):
                 weight, term = known[tokens[i]]
                 open_hit = any(not q and abs(i - j) <= reach for j, q in zip(hits, inside, strict=True)) if is_quoted else True
-                left *= 1 - weight * (1 if open_hit else quoted)
-                terms.append(term)
-            return float(min(1.0, max(0.0, 1 - left))), len(hits), sum(inside), sorted(set(terms))
+                word = core(tokens[i])
+                weights[word] = max(weights.get(word, 0.0), weight * (1 if open_hit else quoted))
+                terms.add(term)
+            left = (1 - floor) * float(np.prod([1 - w for w in weights.values()]))
+            return min(1.0, max(0.0, 1 - left)), len(hits), sum(inside), sorted(terms)
 
         return row
 
@@ -343,11 +360,12 @@ def score_documents(
     reach: int = 12,
     quoted: float = 0.25,
     floor: float = 0.01,
+    least: float = 0.2,
     keep_tokens: int = 300_000,
     into: str = "toxicity",
 ) -> DataFrame:
     """``docs`` with a struct column ``into`` of ``SCORE``."""
     need_columns(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    column = row_column(_scorer(sent, reach, quoted, floor, keep_tokens), SCORE)
+    column = row_column(_scorer(sent, reach, quoted, floor, least, keep_tokens), SCORE)
     return docs.withColumn(into, column(F.col(f"`{text_col}`").cast("binary")))
