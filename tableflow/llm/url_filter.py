@@ -10,8 +10,9 @@ that combines in the map tasks. All further work is on shapes. From the root of
 
 1. a segment becomes ``*`` if its branch has more than ``max_children`` children and it has less than
    ``min_share`` of their pages,
-2. branches whose share of good labelled pages does not differ from that of the branch as a whole by
-   ``similar_z`` standard errors are merged into one, ``~``.
+2. the other branches, fewer than ``max_children`` or so, are put in the order of their shares of good labelled
+   pages, and neighbours that differ by less than ``similar_z`` standard errors are merged into one, ``(a|b)``;
+   those without labelled pages are one as well.
 
 Levels beyond ``max_depth`` are one branch ``**``. What is left are templates. Their purity is the share of
 good pages among labelled ones, smoothed by the host's, which is smoothed by that of all pages, with a
@@ -31,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import need_columns
@@ -128,20 +129,28 @@ def _one_level(tree: DataFrame, depth: int, limits: TreeLimits) -> DataFrame:
     nodes = children.groupBy("host", "template").agg(
         F.count("segment").alias("children"), F.sum("p").alias("np"), F.sum("l").alias("nl"), F.sum("g").alias("ng")
     )
-    rate = (F.col("ng") + 1) / (F.col("nl") + 2)
-    error = F.sqrt(rate * (1 - rate) / F.greatest("l", F.lit(1)))
-    differs = F.abs(F.col("g") / F.greatest("l", F.lit(1)) - rate) > limits.similar_z * error
     variable = (F.col("children") > limits.max_children) & (F.col("p") < limits.min_share * F.col("np"))
-    label = (
-        F.when(F.col("segment").isNull() | (F.col("segment") == ""), "")
-        .when(variable, "/*")
-        .when((F.col("children") > 1) & ~((F.col("l") > 0) & differs), "/~")
-        .otherwise(F.concat(F.lit("/"), "segment"))
+    ends = F.col("segment").isNull() | (F.col("segment") == "")
+    known = children.join(nodes, ["host", "template"]).withColumn(
+        "kind", F.when(ends, "end").when(variable, "variable").when(F.col("l") == 0, "unlabelled").otherwise("labelled")
     )
-    labels = (
-        children.join(nodes, ["host", "template"])
-        .select("host", "template", F.coalesce("segment", F.lit("\0")).alias("segment"), label.alias("label"))
+    rate = (F.col("g") + 1) / (F.col("l") + 2)
+    known = known.withColumn("rate", rate).withColumn("error", rate * (1 - rate) / F.greatest("l", F.lit(1)))
+    in_order = Window.partitionBy("host", "template", "kind").orderBy("rate", "segment")
+    gap = F.col("rate") - F.lag("rate").over(in_order)
+    limit = limits.similar_z * F.sqrt(F.col("error") + F.lag("error").over(in_order))
+    apart = (F.col("kind") == "labelled") & F.coalesce(gap > limit, F.lit(False))
+    kept = known.where("kind IN ('labelled', 'unlabelled')")
+    grouped = kept.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(in_order))
+    members = Window.partitionBy("host", "template", "kind", "group")
+    names = F.sort_array(F.collect_list("segment").over(members))
+    joined = F.when(F.size(names) == 1, names[0]).otherwise(F.concat(F.lit("("), F.array_join(names, "|"), F.lit(")")))
+    labels = grouped.select("host", "template", "segment", F.concat(F.lit("/"), joined).alias("label")).unionByName(
+        known.where("kind IN ('end', 'variable')").select(
+            "host", "template", "segment", F.when(F.col("kind") == "end", "").otherwise("/*").alias("label")
+        )
     )
+    labels = labels.withColumn("segment", F.coalesce("segment", F.lit("\0")))
     keyed = level.withColumn("segment", F.coalesce("segment", F.lit("\0")))
     named = keyed.join(labels, ["host", "template", "segment"])
     return named.withColumn("template", F.concat("template", "label")).drop("segment", "label")
