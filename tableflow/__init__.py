@@ -36,6 +36,7 @@ from tableflow.operators.dedupe import clean_distinct, latest_per_key
 from tableflow.operators.indicators import (
     bollinger,
     bollinger_latest,
+    indicator_tail,
     indicators,
     macd,
     moving_average,
@@ -46,14 +47,25 @@ from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
 from tableflow.operators.upsert import copy_columns, newest_wins, upsert, upsert_where
 from tableflow.plans.jobs import bronze_job, curate_job, market_job, tick_stream_job
+from tableflow.sources.landing import Landed, land_text
 from tableflow.sources.readers import read_stream, read_table
+from tableflow.sources.scratch import drop_scratch, scratch_dir
 from tableflow.sources.sinks import reconcile, write_and_reconcile, write_partitioned, write_table
-from tableflow.streaming.append import run_bounded, start_append
-from tableflow.streaming.bars import stream_bars
+from tableflow.sources.versions import read_version, upsert_table, write_version
+from tableflow.streaming.append import run_bounded, run_to_end, start_append
+from tableflow.streaming.bars import open_bars, stream_bars
 from tableflow.streaming.project import project_ticks
-from tableflow.streaming.upsert import current_table, start_upsert, upsert_batch
+from tableflow.streaming.upsert import compact, current_table, start_upsert, upsert_batch
 
 __all__ = [
+    "Landed",
+    "compact",
+    "drop_scratch",
+    "land_text",
+    "read_version",
+    "scratch_dir",
+    "upsert_table",
+    "write_version",
     "ContractError",
     "HotKeys",
     "Split",
@@ -70,6 +82,7 @@ __all__ = [
     "default_if_blank",
     "epoch_millis",
     "has_columns",
+    "indicator_tail",
     "indicators",
     "ingest_stamp",
     "is_valid_price",
@@ -96,12 +109,14 @@ __all__ = [
     "require_types",
     "rsi",
     "run_bounded",
+    "run_to_end",
     "safe_ratio",
     "split_prices",
     "split_rows",
     "standardize",
     "start_append",
     "start_upsert",
+    "open_bars",
     "stream_bars",
     "strict_date",
     "tick_stream_job",

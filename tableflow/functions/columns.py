@@ -111,7 +111,7 @@ def epoch_millis(value: str | Column, on_bad: str = "null") -> Column:
 def strict_date(value: str | Column, on_bad: str = "null") -> Column:
     """``yyyy-MM-dd`` text of a real calendar day, unchanged; anything else is invalid."""
     c = as_column(value)
-    real_day = F.try_to_date(F.when(c.rlike(DATE_PATTERN), c), DATE_FORMAT).isNotNull()
+    real_day = F.when(c.rlike(DATE_PATTERN), c).try_cast("date").isNotNull()
     return _with_policy(c, F.when(real_day, c), on_bad, "date, expected yyyy-MM-dd")
 
 

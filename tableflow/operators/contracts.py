@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import zip_longest
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,8 @@ def has_columns(df: DataFrame, columns: Sequence[str]) -> bool:
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    missing = missing_columns(df, columns)
-    if missing:
-        raise ContractError(f"Missing required columns: {missing}")
+    if absent := missing_columns(df, columns):
+        raise ContractError(f"The table lacks {absent}; it has {df.columns}")
     return df
 
 
@@ -47,41 +47,42 @@ def require_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
     return df
 
 
-def type_mismatches(
-    df: DataFrame, types: Mapping[str, str], case_sensitive: bool = True
-) -> dict[str, dict[str, str | None]]:
-    """Listed columns whose type differs; a missing column has the actual type None."""
-    actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+class TypeLine(NamedTuple):
+    """What a contract says of one column's type, and what the table has; None is no such column."""
+
+    column: str
+    expected: str
+    actual: str | None
+    ok: bool
 
-    def same(found: str | None, wanted: str) -> bool:
-        if found is None or case_sensitive:
-            return found == wanted
-        return found.lower() == wanted.lower()
 
-    return {
-        column: {"expected": wanted, "actual": actual.get(column)}
-        for column, wanted in types.items()
-        if not same(actual.get(column), wanted)
-    }
+def type_lines(df: DataFrame, types: Mapping[str, str], case_sensitive: bool = True) -> Iterator[TypeLine]:
+    """One line for each column of the contract, in its order."""
+    for column, expected in types.items():
+        actual = df.schema[column].dataType.simpleString() if column in df.columns else None
+        pair = (expected, actual or "")
+        ok = pair[0] == pair[1] if case_sensitive else pair[0].lower() == pair[1].lower()
+        yield TypeLine(column, expected, actual, ok)
 
 
 def require_types(
     df: DataFrame, types: Mapping[str, str], case_sensitive: bool = True
 ) -> DataFrame:
     """Listed columns must have the given types; other columns are allowed."""
-    mismatches = type_mismatches(df, types, case_sensitive)
-    if mismatches:
-        raise ContractError(f"Column type mismatches: {mismatches}")
+    wrong = [line for line in type_lines(df, types, case_sensitive) if not line.ok]
+    if wrong:
+        told = "; ".join(f"{x.column} is {x.actual or 'absent'} instead of {x.expected}" for x in wrong)
+        raise ContractError(f"Types differ from the contract: {told}")
     return df
 
 
 def require_appendable(df: DataFrame, existing: T.StructType) -> DataFrame:
     """Names and types must equal those of the table that ``df`` is appended to."""
-    types = {f.name: f.dataType.simpleString() for f in existing.fields}
-    extra = [c for c in df.columns if c not in types]
-    if extra:
-        raise ContractError(f"Columns not in the existing table: {extra}")
-    return require_types(df, types)
+    known = dict(zip(existing.fieldNames(), (f.dataType.simpleString() for f in existing), strict=True))
+    unknown = [c for c in df.columns if c not in known]
+    if unknown:
+        raise ContractError(f"The stored table has no columns {unknown}")
+    return require_types(df, known)
 
 
 def _is_fractional(field: T.StructField) -> bool:
@@ -140,17 +141,14 @@ def quality_report(
     with a null in any listed column) and NaN counts of all fractional columns come from one
     scan of the data.
     """
-    types = dict(types or {})
-    wrong = type_mismatches(df, types, case_sensitive)
     missing = set(missing_columns(df, required))
-    actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     lines: list[tuple[str, str, str, str | None, Column]] = []
     for c in required:
         found = "missing" if c in missing else "present"
         lines.append(("required", c, "present", found, F.lit(int(c in missing))))
-    for c, wanted in types.items():
-        lines.append(("type", c, wanted, actual.get(c), F.lit(int(c in wrong))))
+    for line in type_lines(df, types or {}, case_sensitive):
+        lines.append(("type", line.column, line.expected, line.actual, F.lit(int(not line.ok))))
     require_columns(df, [*prices, *complete])
     for c in prices:
         bad = F.count_if(~is_valid_price(c))

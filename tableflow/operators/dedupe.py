@@ -25,7 +25,7 @@ def latest_per_key(
     """
     keys = list(keys)
     if not keys:
-        raise ValueError("At least one key is required for deduplication")
+        raise ValueError("keys is empty: name the columns that tell rows apart")
     latest_first = Window.partitionBy(*map(named, keys)).orderBy(
         *(named(c).desc_nulls_last() for c in [order_by, *tiebreak])
     )

@@ -20,7 +20,7 @@ from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
 from tableflow.operators.dedupe import latest_per_key
-from tableflow.operators.segments import Split, since as rows_since, trailing
+from tableflow.operators.segments import Split, last_rows, since as rows_since, trailing
 
 # --- Fixed values: periods of the indicator table ------------------------------------------
 AVERAGE_ROWS = 14
@@ -65,6 +65,11 @@ def _positive_part(value: Column) -> Column:
     return F.when(value > 0, value).otherwise(F.lit(0.0))
 
 
+def _drop_part(value: Column) -> Column:
+    """How far the value lies below zero, else 0.0; a null or NaN is no drop."""
+    return F.when(value < 0, -value).otherwise(F.lit(0.0))
+
+
 def _strength(gain: Column, loss: Column) -> Column:
     """0-100 strength from mean gain and mean loss; 100 where there is no loss at all."""
     return F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss))
@@ -83,20 +88,22 @@ def indicators(
     price: str = "close",
     split: Split | None = None,
     since: str | Column | None = None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Append trailing mean, RSI, MACD line and MACD signal to every row.
 
     Columns: ``moving_avg_14, rsi_14, ema_fast_12, ema_slow_26, macd, macd_signal_9``. The
-    ``ema_*`` columns hold plain trailing means. The first row of a series has RSI 100 and
-    MACD 0. ``since`` (a timestamp text or Column) returns only rows from that time on, reading
-    just the history they need.
+    ``ema_*`` columns hold plain trailing means. A NaN difference is a gain of NaN and a loss of 0.0,
+    so RSI stays 100 without any other loss. The first row of a series has RSI 100 and
+    MACD 0. ``since`` (a timestamp text or Column) returns only rows from that time on. The rows before it
+    that decide them come from ``earlier``, a table that :func:`indicator_tail` gave at the end of the run before,
+    so that only new rows are read; without it, the keys, times and prices of all rows are.
     """
     keys, order = _keys(key), [time, *tiebreak]
     start = F.lit(since).cast("timestamp") if isinstance(since, str) else since
-    source, recent = df, None
+    source = df
     if start is not None:
-        source = rows_since(df, keys, order, start, INDICATOR_HISTORY, [price])
-        recent = df.filter(named(time) >= start)
+        source = rows_since(df, keys, order, start, INDICATOR_HISTORY, [price], earlier)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         # Two levels of window functions with one partitioning and order: one shuffle, one sort.
@@ -111,7 +118,7 @@ def indicators(
         ).withColumns(
             {
                 _GAIN: _positive_part(named(_DIFF)),
-                _LOSS: _positive_part(-named(_DIFF)),
+                _LOSS: _drop_part(named(_DIFF)),
                 "macd": named("ema_fast_12") - named("ema_slow_26"),
             }
         )
@@ -125,7 +132,7 @@ def indicators(
             }
         ).drop(_DIFF, _GAIN, _LOSS)
 
-    result = trailing(source, keys, order, INDICATOR_HISTORY, [price], compute, split, recent)
+    result = trailing(source, keys, order, INDICATOR_HISTORY, [price], compute, split)
     if start is not None:
         result = result.filter(named(time) >= start)
     added = ["moving_avg_14", "rsi_14", "ema_fast_12", "ema_slow_26", "macd", "macd_signal_9"]
@@ -133,6 +140,21 @@ def indicators(
     return result.select(*map(named, kept + added))
 
 
+def indicator_tail(
+    df: DataFrame,
+    *,
+    tiebreak: Sequence[str],
+    key: str | Sequence[str] = "symbol",
+    time: str = "event_time",
+    price: str = "close",
+) -> DataFrame:
+    """The rows that the next run of ``indicators`` needs: the last ones of each series.
+
+    Store it after each run. From then on, it is the tail of itself and the new rows.
+    """
+    return last_rows(df, _keys(key), [time, *tiebreak], INDICATOR_HISTORY, [price])
+
+
 def price_delta(
     df: DataFrame,
     *,
@@ -142,13 +164,16 @@ def price_delta(
     price: str = "close",
     split: Split | None = None,
 ) -> DataFrame:
-    """Append ``price_diff`` (null on the first row) and its ``gain`` and ``loss`` parts."""
+    """Append ``price_diff`` (null on the first row) and its ``gain`` and ``loss`` parts.
+
+    A difference with a NaN has the gain NaN, which is above all numbers, and the loss 0.0.
+    """
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return rows.withColumn("price_diff", _difference(named(price), w)).withColumns(
             {
                 "gain": _positive_part(named("price_diff")),
-                "loss": _positive_part(-named("price_diff")),
+                "loss": _drop_part(named("price_diff")),
             }
         )
 
@@ -188,7 +213,10 @@ def rsi(
     name: str = "rsi",
     split: Split | None = None,
 ) -> DataFrame:
-    """Append the RSI over exactly ``period`` differences; null for the first ``period`` rows."""
+    """Append the RSI over exactly ``period`` differences; null for the first ``period`` rows.
+
+    A NaN among them makes both means, and the RSI, NaN.
+    """
     _check_period(period)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:

@@ -8,18 +8,16 @@ that run in parallel, provided that each segment first sees the last rows before
 How it works:
 
 1. A count per key over a sample finds the long series. If there is none, the plain window is
-   used.
-2. A small sample of the long series gives cut points in the order (key, time, tiebreak), so
-   segments hold about the same number of rows, even where many rows share one time. Cut points
-   only say where segments begin; every row is kept and results do not depend on them. Where
-   very many rows share time and tiebreak too, they are numbered in a written table first.
-3. Each row of a long series finds its segment by binary search in the cut points, a constant
-   in the plan, so main rows and history rows always agree on the segments.
-4. The last ``history`` rows of each segment are copied to the segments that start within the
-   next ``history`` rows, and dropped again after the window ran.
-
-Rows are shuffled once, by (key, segment). History rows are cut to ``history`` per segment
-before their shuffle (rank limit), so that shuffle is small.
+   used. All other series always use it.
+2. Rows of long series are numbered, dealt by Spark's range partitioner in the order (key, time, tiebreak,
+   number), and written once. A partition holds about ``rows_per_segment`` neighbouring rows and is a
+   segment of each series that has rows in it. The number tells rows apart that nothing else does,
+   so a single instant with very many rows is split as well.
+3. A table with one row per series and segment tells which segments follow within ``history`` rows. The last
+   ``history`` rows of each segment are copied to those and dropped again after the window ran.
+
+There is no bound on the number of long series or of segments: lists of both are tables. Rows of
+long series are shuffled twice and written once, those of other series are shuffled once.
 """
 
 from __future__ import annotations
@@ -27,52 +25,39 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
-from tableflow.sources.scratch import scratch_dir
+from tableflow.sources.scratch import drop_scratch, written
 
 SEGMENT = "__segment"
 HISTORY = "__history"
-_HOT = "__hot"
 _RANK = "__rank"
 _ROW = "__row"
+_KEY = "__key"
+_ROWS = "__rows"
+_BETWEEN = "__between"
+_PLACE = "__place"
 
 #: Sampled rows that stand for a series of ``rows_per_segment`` rows.
 _SAMPLED_ROWS = 200
-_TARGETS = "__targets"
 
-# Micro-second formats, so that cut points survive the trip through JSON unchanged.
-_JSON = {
-    "mode": "FAILFAST",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
+#: The list of long series is broadcast while it is this short.
+_BROADCAST_SERIES = 10_000
 
 
 @dataclass(frozen=True)
 class Split:
-    """When and how finely long series are cut.
-
-    rows_per_segment: a series with more rows than this is cut into segments of about this size.
-    max_segments: upper bound for cut points, which live in the plan.
-    max_hot_keys: upper bound for the broadcast list of long series. The longest come first, so a
-        series left out holds less than 1 / max_hot_keys of all rows; it runs as a plain window.
-    sample_per_segment: sampled rows per segment that place the cut points.
-    """
+    """How finely long series are cut: one with more rows than ``rows_per_segment`` is long, and its
+    segments have about that many."""
 
     rows_per_segment: int = 1_000_000
-    max_segments: int = 20_000
-    max_hot_keys: int = 10_000
-    sample_per_segment: int = 20
 
     def __post_init__(self) -> None:
-        for name in ("rows_per_segment", "max_segments", "max_hot_keys", "sample_per_segment"):
-            if getattr(self, name) <= 0:
-                raise ValueError(f"{name} must be greater than zero")
+        if self.rows_per_segment <= 0:
+            raise ValueError("rows_per_segment must be greater than zero")
 
 
 def series_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -90,154 +75,72 @@ def trailing(
     inputs: Sequence[str],
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     split: Split | None = None,
-    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``compute(df, window)`` so that a long series is spread over many tasks.
 
     ``compute`` adds columns from window functions that look back at most ``history`` rows and
     never forward, over the columns ``inputs``. ``order`` should decide every pair of rows of a
     series. ``df`` is read more than once when there are long series, so pass a table rather than
-    a costly derivation. ``measure`` may name other rows, with the same columns, that tell which
-    series are long and where they are cut.
+    a costly derivation.
     """
     split = split or Split()
-    measure = df if measure is None else measure
-    hot = _long_series(measure, keys, split)
-    if not hot:
+    found = long_series(df, keys, split)
+    if found is None:
         return compute(df, series_window(keys, order))
 
-    cuts = _cut_points(_hot_flag(measure, keys, hot), keys, order, hot, split)
-    if cuts.tied:
-        order, df = [*order, _ROW], _numbered(df)
-        cuts = _cut_points(_hot_flag(df, keys, hot), keys, order, hot, split)
-    segmented = _with_segment(_hot_flag(df, keys, hot), keys, order, cuts)
-    rows = segmented.drop(_HOT).withColumn(HISTORY, F.lit(False))
-    earlier = _history_rows(segmented, keys, order, history, inputs)
+    listed, long_rows = found
+    by_key = df.withColumn(_KEY, _key(keys))
+    short = by_key.join(listed, _KEY, "left_anti").drop(_KEY)
+    segmented = _cut(by_key.join(listed, _KEY, "left_semi").drop(_KEY), keys, order, split, long_rows)
+    # Positions within a tie are as good as any, but every reading must see the same.
+    total = [*order, _ROW]
+    rows = segmented.withColumn(HISTORY, F.lit(False))
+    earlier = history_rows(segmented, keys, total, history, inputs)
     both = rows.unionByName(earlier, allowMissingColumns=True)
-    result = compute(both, series_window([*keys, SEGMENT], order))
-    return result.filter(~named(HISTORY)).drop(SEGMENT, HISTORY, _ROW)
+    result = compute(both, series_window([*keys, SEGMENT], total))
+    result = result.filter(~named(HISTORY)).drop(SEGMENT, HISTORY, _ROW)
+    return compute(short, series_window(keys, order)).unionByName(result)
+
 
+def _key(keys: Sequence[str]) -> Column:
+    """The key as one value that equals itself also where it holds nulls."""
+    return F.struct(*(named(k).alias(f"k{i}") for i, k in enumerate(keys)))
 
-def _long_series(df: DataFrame, keys: Sequence[str], split: Split) -> list[Row]:
-    """Keys and estimated rows of the longest series; at most ``max_hot_keys`` reach the driver.
+
+def long_series(df: DataFrame, keys: Sequence[str], split: Split) -> tuple[DataFrame, int] | None:
+    """The keys of long series, as a stored table, and about how many rows they have; None: no key.
 
     A sample is enough, and keeps the number of shuffled keys small where there are very many
     series: a series of ``rows_per_segment`` rows has about ``_SAMPLED_ROWS`` rows in it.
     """
-    names = list(map(named, keys))
     fraction = min(1.0, _SAMPLED_ROWS / split.rows_per_segment)
-    rows, enough = df.select(*names), split.rows_per_segment
+    rows, enough = df.select(_key(keys).alias(_KEY)), split.rows_per_segment
     if fraction < 1:
         # Half the expected number, so that a long series is hardly ever missed.
         rows, enough = rows.sample(fraction, seed=5), _SAMPLED_ROWS / 2
-    return (
-        rows.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias(_RANK))
-        .filter(named(_RANK) > enough)
-        .orderBy(named(_RANK).desc())
-        .limit(split.max_hot_keys)
-        .select(*names, (named(_RANK) / fraction).cast("bigint").alias(_RANK))
-        .collect()
-    )
-
-
-def _hot_flag(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
-    """Mark rows of long series. The broadcast side has at most ``max_hot_keys`` rows."""
-    schema = df.select(*map(named, keys)).schema
-    listed = df.sparkSession.createDataFrame([tuple(r)[: len(keys)] for r in hot], schema)
-    listed = listed.toDF(*[f"__hot_{i}" for i in range(len(keys))]).withColumn(_HOT, F.lit(True))
-    same = [named(k).eqNullSafe(F.col(f"__hot_{i}")) for i, k in enumerate(keys)]
-    return df.join(F.broadcast(listed), same, "left").drop(
-        *[f"__hot_{i}" for i in range(len(keys))]
-    )
-
-
-@dataclass(frozen=True)
-class _Cuts:
-    """Ascending cut points as JSON, their number, and whether one position spans a segment."""
-
-    text: str
-    count: int
-    tied: bool
-
-
-def _position(keys: Sequence[str], order: Sequence[str]) -> Column:
-    """Keys first, so that a series gets cut points in proportion to its rows."""
-    return F.struct(*map(named, _needed(keys, order)))
-
-
-def _cut_points(
-    marked: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list[Row], split: Split
-) -> _Cuts:
-    hot_rows = sum(r[-1] for r in hot)
-    segments = max(2, min(-(-hot_rows // split.rows_per_segment), split.max_segments))
-    sample_rows = split.sample_per_segment * segments
-    sampled = marked.filter(named(_HOT)).sample(min(1.0, sample_rows / hot_rows), seed=7)
-
-    # Bounded: about sample_per_segment * max_segments positions, whatever the table's size.
-    positions = F.sort_array(F.collect_list(_position(keys, order)))
-    every = F.transform(
-        F.sequence(F.lit(1), F.lit(segments - 1)),
-        lambda i: F.get(F.col("p"), (i.cast("double") * F.size("p") / segments).cast("int")),
-    )
-    changes = F.filter(
-        F.col("every"),
-        lambda p, i: (i == 0) | (p != F.get(F.col("every"), F.greatest(i - 1, F.lit(0)))),
-    )
-    found = (
-        sampled.agg(positions.alias("p"))
-        .select(F.filter(every, lambda p: p.isNotNull()).alias("every"))
-        .select(F.size("every").alias("all"), changes.alias("cuts"))
-        .select("all", F.size("cuts").alias("n"), F.to_json("cuts", _JSON).alias("text"))
-        .first()
-    )
-    return _Cuts(found.text, found.n, found.n < found["all"])
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """The rows with a number each, as a written table.
-
-    Needed where very many rows share one position and no column tells them apart: any order
-    among them is as good as another, but every reading of the rows must see the same one.
-    """
-    path = scratch_dir(df.sparkSession, "numbered")
-    df.withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _with_segment(
-    marked: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: _Cuts
+    counted = rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias(_ROWS)).filter(named(_ROWS) > enough)
+    stored, path = written(counted, "long_series")
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(_ROWS).alias("rows")).first()
+    if not size["n"]:
+        drop_scratch(df.sparkSession, path)
+        return None
+    listed = stored.select(_KEY)
+    return F.broadcast(listed) if size["n"] <= _BROADCAST_SERIES else listed, int(size["rows"] / fraction)
+
+
+def _cut(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], split: Split, long_rows: int
 ) -> DataFrame:
-    position = _position(keys, order)
-    cut_type = T.ArrayType(marked.select(position.alias("p")).schema["p"].dataType)
-    constant = F.sort_array(F.from_json(F.lit(cuts.text), cut_type, _JSON))
-    segment = F.when(named(_HOT), _count_not_above(constant, cuts.count, position))
-    return marked.withColumn(SEGMENT, F.coalesce(segment, F.lit(0)))
-
-
-def _count_not_above(cuts: Column, n: int, position: Column) -> Column:
-    """How many of the ``n`` ascending cut points are <= position: a binary search."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(n.bit_length(), 1)))])
-
-    def search(p: Column) -> Column:
-        return F.aggregate(
-            steps,
-            F.lit(0),
-            lambda low, step: F.when(
-                (low + step <= n) & (F.get(cuts, low + step - 1) <= p), low + step
-            ).otherwise(low),
-        )
-
-    # The one-element array makes Spark build the position once per row, not once per step.
-    return F.get(F.transform(F.array(position), search), F.lit(0))
+    """The rows in a written table, with the number of their segment and one of their own."""
+    segments = max(2, -(-long_rows // split.rows_per_segment))
+    numbered = rows.withColumn(_ROW, F.monotonically_increasing_id())
+    by = [named(c).asc_nulls_first() for c in dict.fromkeys([*keys, *order, _ROW])]
+    ranged = numbered.repartitionByRange(segments, *by).withColumn(SEGMENT, F.spark_partition_id())
+    return written(ranged, "segments")[0]
 
 
-def _history_rows(
-    segmented: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    history: int,
-    inputs: Sequence[str],
+def history_rows(
+    segmented: DataFrame, keys: Sequence[str], order: Sequence[str], history: int, inputs: Sequence[str]
 ) -> DataFrame:
     """Copies of the last rows before each segment of a long series, labelled with that segment.
 
@@ -248,29 +151,76 @@ def _history_rows(
         *(named(c).desc_nulls_last() for c in order)
     )
     tails = (
-        segmented.filter(named(_HOT))
-        .select(*map(named, [*needed, SEGMENT]))
+        segmented.select(*map(named, [*needed, SEGMENT]))
         .withColumn(_RANK, F.row_number().over(latest_first))
         .filter(named(_RANK) <= history)
-        .drop(_RANK)
     )
-    # At most history * max_segments rows per series here. A segment that starts within the next
-    # `history` rows needs this row, however short the segments in between are.
-    following = series_window(keys, order).rowsBetween(1, history)
+    pairs = _followers(segmented, keys, history)
+    copied = tails.withColumn(_KEY, _key(keys)).join(pairs, [_KEY, SEGMENT])
     return (
-        tails.withColumn(_TARGETS, F.collect_set(named(SEGMENT)).over(following))
-        .withColumn(
-            SEGMENT, F.explode(F.array_remove(named(_TARGETS), named(SEGMENT)))
-        )
-        .drop(_TARGETS)
+        copied.filter(named(_RANK) + named(_BETWEEN) <= history)
+        .withColumn(SEGMENT, named("__target"))
+        .select(*map(named, [*needed, SEGMENT]))
         .withColumn(HISTORY, F.lit(True))
     )
 
 
+def _followers(segmented: DataFrame, keys: Sequence[str], history: int) -> DataFrame:
+    """(key, segment, later segment, rows between) for later segments that start within ``history`` rows.
+
+    Mostly a segment and the next one. Each further step asks only where the segments in between are
+    shorter than ``history``, so there are as many steps as short segments in a row.
+    """
+    sizes, _ = written(
+        segmented.groupBy(_key(keys).alias(_KEY), SEGMENT)
+        .agg(F.count(F.lit(1)).alias(_ROWS))
+        .withColumn(_PLACE, F.row_number().over(Window.partitionBy(_KEY).orderBy(SEGMENT))),
+        "sizes",
+    )
+    following = sizes.select(
+        _KEY, (named(_PLACE) - 1).alias("__before"), named(SEGMENT).alias("__target"), named(_ROWS).alias("__size")
+    )
+    open_pairs = sizes.select(_KEY, SEGMENT, named(_PLACE).alias("__before"), F.lit(0).cast("bigint").alias(_BETWEEN))
+    steps = []
+    while True:
+        step, _ = written(
+            open_pairs.filter(named(_BETWEEN) < history).join(following, [_KEY, "__before"]), "followers"
+        )
+        if steps and step.isEmpty():
+            break
+        steps.append(step.select(_KEY, SEGMENT, "__target", _BETWEEN))
+        open_pairs = step.select(
+            _KEY, SEGMENT, (named("__before") + 1).alias("__before"), (named(_BETWEEN) + named("__size")).alias(_BETWEEN)
+        )
+    pairs = steps[0]
+    for step in steps[1:]:
+        pairs = pairs.unionByName(step)
+    return pairs
+
+
 def _needed(*names: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(n for group in names for n in group))
 
 
+def last_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], history: int, inputs: Sequence[str]
+) -> DataFrame:
+    """The last ``history`` rows of each series, with the columns that decide later rows.
+
+    The rank is limited in the map tasks, so a task that reads many rows of a series passes on
+    ``history`` of them.
+    """
+    latest_first = Window.partitionBy(*map(named, keys)).orderBy(
+        *(named(c).desc_nulls_last() for c in order)
+    )
+    return (
+        df.select(*map(named, _needed(keys, order, inputs)))
+        .withColumn(_RANK, F.row_number().over(latest_first))
+        .filter(named(_RANK) <= history)
+        .drop(_RANK)
+    )
+
+
 def since(
     df: DataFrame,
     keys: Sequence[str],
@@ -278,22 +228,18 @@ def since(
     start: Column,
     history: int,
     inputs: Sequence[str],
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Rows from ``start`` on, plus the last ``history`` rows of each series before it.
 
-    The earlier rows have nulls outside keys, order and ``inputs``. For incremental runs:
-    Catalyst does not push a filter on the order column through a window, so the rows are pruned
-    first. The caller filters on ``start`` again afterwards.
+    The earlier rows have nulls outside keys, order and ``inputs``. They are those of ``earlier``, a table that
+    :func:`last_rows` gave, or are found by reading the needed columns of all rows before ``start``.
+    The caller filters on ``start`` again afterwards.
     """
     time = named(order[0])
-    latest_first = Window.partitionBy(*map(named, keys)).orderBy(
-        *(named(c).desc_nulls_last() for c in order)
-    )
-    before = (
-        df.filter(time.isNull() | (time < start))
-        .select(*map(named, _needed(keys, order, inputs)))
-        .withColumn(_RANK, F.row_number().over(latest_first))
-        .filter(named(_RANK) <= history)
-        .drop(_RANK)
-    )
+    if earlier is None:
+        before = last_rows(df.filter(time.isNull() | (time < start)), keys, order, history, inputs)
+    else:
+        before = earlier.select(*map(named, _needed(keys, order, inputs)))
+        before = before.filter(time.isNull() | (time < start))
     return df.filter(time >= start).unionByName(before, allowMissingColumns=True)

@@ -3,9 +3,9 @@
 A shuffle brings all rows of one key value to one task. Adaptive execution splits such tasks only
 where both sides of a join come straight from a shuffle, not where a side was aggregated first.
 So joins to an aggregated side take the few hot values out: their rows stay where they are and
-are joined to a broadcast side that has at most one row per hot value.
+are joined to a side that has at most one row per hot value, which is broadcast if it has few rows.
 
-Hot values are found in a sample. Which values are found decides how rows are joined, never
+Hot values are found in a sample, and there are at most as many as rows / ``min_rows``. Which values are found decides how rows are joined, never
 which rows there are.
 """
 
@@ -19,37 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.functions.columns import named
+from tableflow.sources.scratch import drop_scratch, written
 
 _COUNT = "__sampled"
 
-#: Limits below which a side may be broadcast.
-BROADCAST_ROWS = 20_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+#: A side may be broadcast if the optimizer's estimate of its size is no larger.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
+#: Hot values are broadcast as long as there are so few of them; with more they are joined by a shuffle.
+BROADCAST_VALUES = 10_000
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows and 64 MB as text.
 
-    Only row sizes are fetched, and only until there are too many, so a large table is not read
-    to its end.
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the optimizer puts ``df`` at ``max_bytes`` or less. Nothing is run.
+
+    The estimate of a scan is the size of its files, and filters and aggregations count as their input, so
+    a small table that was derived from a large one is not taken for small.
     """
-    if max_rows <= 0:
+    if max_bytes <= 0:
         return False
-    size = F.octet_length(F.to_json(F.struct(*map(named, df.columns)))).alias("size")
-    sizes = [r.size or 0 for r in df.select(size).take(max_rows + 1)]
-    return len(sizes) <= max_rows and sum(sizes) <= BROADCAST_BYTES
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Values with about ``min_rows`` rows or more are hot; at most ``max_keys`` are handled.
-
-    ``max_keys`` bounds the rows of every broadcast. The most frequent values come first, so one
-    that is left out holds less than 1 / max_keys of the rows.
-    """
+    """Values with about ``min_rows`` rows or more are hot, found in a sample of the rows."""
 
     min_rows: int = 1_000_000
-    max_keys: int = 1_000
     sample_fraction: float = 0.001
 
 
@@ -68,12 +64,13 @@ def hot_values(
         rows.groupBy(*map(named, columns))
         .agg(F.count(F.lit(1)).alias(_COUNT))
         .filter(F.col(_COUNT) >= enough)
-        .orderBy(F.col(_COUNT).desc())
-        .limit(rule.max_keys)
         .drop(_COUNT)
     )
-    values = found.collect()
-    return found.sparkSession.createDataFrame(values, found.schema) if values else None
+    stored, path = written(found, "hot")
+    if stored.isEmpty():
+        drop_scratch(found.sparkSession, path)
+        return None
+    return F.broadcast(stored) if stored.count() <= BROADCAST_VALUES else stored
 
 
 def _same(columns: Sequence[str]) -> list[Column]:
@@ -81,12 +78,12 @@ def _same(columns: Sequence[str]) -> list[Column]:
 
 
 def only_hot(df: DataFrame, columns: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Rows with a hot value; ``hot`` has at most ``max_keys`` rows. Nulls are values here."""
+    """Rows with a hot value. Nulls are values here."""
     listed = hot.toDF(*[f"__hot_{i}" for i in range(len(columns))])
-    return df.join(F.broadcast(listed), _same(columns), "left_semi")
+    return df.join(listed, _same(columns), "left_semi")
 
 
 def without_hot(df: DataFrame, columns: Sequence[str], hot: DataFrame) -> DataFrame:
     """Rows without a hot value."""
     listed = hot.toDF(*[f"__hot_{i}" for i in range(len(columns))])
-    return df.join(F.broadcast(listed), _same(columns), "left_anti")
+    return df.join(listed, _same(columns), "left_anti")

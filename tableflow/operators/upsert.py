@@ -9,26 +9,27 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.functions.columns import named
-from tableflow.operators.contracts import require_columns, require_groupable
+from tableflow.operators.contracts import require_columns
 from tableflow.operators.skew import (
-    BROADCAST_ROWS,
+    BROADCAST_BYTES,
     HotKeys,
     fits_broadcast,
     hot_values,
     only_hot,
     without_hot,
 )
+from tableflow.sources.scratch import written
 
 Assignments = Mapping[str, "str | Column"]
 
 _ID = "__id"
 _ROW = "__row"
 _COUNT = "__count"
-_HASH = "__hash"
+_NUMBER = "__number"
 
 
 def _side(side: str, column: str) -> Column:
@@ -101,16 +102,16 @@ def upsert(
     set: Assignments,
     insert: Assignments,
     hot: HotKeys | None = HotKeys(),
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Upsert on equal key columns. Null keys never match, so such source rows are inserted.
 
     The query fails when two source rows match one target row. Two source rows with the same
     unmatched key are both inserted.
 
-    A source of at most ``broadcast_rows`` rows, whose size is checked first, is broadcast, and the
-    target is not shuffled. Otherwise rows with a hot key, see ``HotKeys``, are merged without a
-    shuffle, and all others are shuffled once per side. ``hot=None`` skips the search for hot
+    A source that the optimizer puts at no more than ``broadcast_bytes`` is broadcast, and the target is not
+    shuffled. Otherwise each side is shuffled once, into one full outer join. Rows with a hot key, see
+    ``HotKeys``, are merged without a shuffle. ``hot=None`` skips the search for hot
     keys, for tables known to have few rows per key.
     """
     keys = list(on)
@@ -121,33 +122,57 @@ def upsert(
     set_to = _assignments(set, target, "set")
     values = _assignments(insert, target, "insert")
 
-    if fits_broadcast(source, broadcast_rows):
-        return _merge(target, source, keys, set_to, values, small=True)
+    if fits_broadcast(source, broadcast_bytes):
+        return _merge_apart(target, source, keys, set_to, values)
     hot_keys = hot_values([target, source], keys, hot)
     if hot_keys is None:
-        return _merge(target, source, keys, set_to, values, small=False)
+        return _merge(target, source, keys, set_to, values)
     cold = [without_hot(t, keys, hot_keys) for t in (target, source)]
     warm = [only_hot(t, keys, hot_keys) for t in (target, source)]
-    return _merge(*cold, keys, set_to, values, small=False).unionByName(
+    return _merge(*cold, keys, set_to, values).unionByName(
         # Every reduced side has at most one row per hot key here.
-        _merge(*warm, keys, set_to, values, small=True)
+        _merge_apart(*warm, keys, set_to, values)
     )
 
 
+def _same_key(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (_side("target", k) == _side("source", k) for k in keys))
+
+
 def _merge(
     target: DataFrame,
     source: DataFrame,
     keys: list[str],
     set_to: dict[str, Column],
     values: dict[str, Column],
-    small: bool,
 ) -> DataFrame:
-    """Left join to one row per source key, plus an anti join to the target's keys.
+    """One full outer join. Source rows are counted per key in the partitioning of the join."""
+    per_key = Window.partitionBy(*map(named, keys))
+    counted = source.withColumn(_COUNT, F.count(F.lit(1)).over(per_key))
+    marked = target.withColumn(_ROW, F.lit(True))
+    joined = marked.alias("target").join(counted.alias("source"), _same_key(keys), "full_outer")
+    count = F.col(f"source.{_COUNT}")
+    in_target = F.col(f"target.{_ROW}").isNotNull()
+    updated, inserted = _updated(target, set_to, count.isNotNull()), _inserted(target, values)
+    return joined.filter(F.when(in_target, _one_hit(count)).otherwise(F.lit(True))).select(
+        *(
+            F.when(in_target, u).otherwise(i).alias(name)
+            for u, i, name in zip(updated, inserted, target.columns, strict=True)
+        )
+    )
+
 
-    ``small`` says that the source has few enough keys to broadcast what has one row per key.
+def _merge_apart(
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    set_to: dict[str, Column],
+    values: dict[str, Column],
+) -> DataFrame:
+    """Left join to one row per source key, plus an anti join to the target's keys, for few keys.
+
+    What has one row per key is broadcast, so neither side is shuffled as a whole.
     """
-    side = F.broadcast if small else lambda reduced: reduced
-    # Keys stay the grouping columns, so the join reuses this shuffle.
     others = [c for c in source.columns if c not in keys]
     per_key = (
         source.filter(reduce(Column.__and__, (named(k).isNotNull() for k in keys)))
@@ -155,23 +180,22 @@ def _merge(
         .agg(F.count(F.lit(1)).alias(_COUNT), F.first(_packed(others)).alias(_ROW))
         .select(*map(named, keys), *_unpacked(others), _COUNT)
     )
-    same_key = reduce(
-        Column.__and__, (_side("target", k) == _side("source", k) for k in keys)
-    )
     count = F.col(f"source.{_COUNT}")
     kept = (
         target.alias("target")
-        .join(side(per_key).alias("source"), same_key, "left")
+        .join(F.broadcast(per_key).alias("source"), _same_key(keys), "left")
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
-    found = target.select(*map(named, keys)).alias("target")
-    if small:
-        source_keys = source.select(*map(named, keys)).distinct()
-        found = found.join(F.broadcast(source_keys).alias("source"), same_key, "left_semi")
+    source_keys = source.select(*map(named, keys)).distinct()
+    found = (
+        target.select(*map(named, keys))
+        .alias("target")
+        .join(F.broadcast(source_keys).alias("source"), _same_key(keys), "left_semi")
+    )
     new = (
         source.alias("source")
-        .join(side(found.distinct()).alias("target"), same_key, "left_anti")
+        .join(F.broadcast(found.distinct()).alias("target"), _same_key(keys), "left_anti")
         .select(*_inserted(target, values))
     )
     return kept.unionByName(new)
@@ -186,8 +210,7 @@ def upsert_where(
     target_id: Sequence[str],
     set: Assignments,
     insert: Assignments,
-    hot: HotKeys | None = HotKeys(),
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Upsert where rows match on equal columns *and* on a further condition.
 
@@ -196,11 +219,10 @@ def upsert_where(
     target row. At least one equality is required: without it every row would have to be
     compared with every other. To match on a range alone, derive a bucket column on both sides.
 
-    Matching pairs come from one inner join. A source of at most ``broadcast_rows`` rows is
-    broadcast; otherwise it is a join of two plain shuffles, which adaptive execution splits at
-    hot keys on either side. Pairs are then reduced to one row per target row and per distinct
-    source row before the other joins. Source rows with very many copies are hot values there,
-    see ``HotKeys``.
+    The source is evaluated once, into a scratch table that gives each row a number. Matching pairs come
+    from one inner join, which is a broadcast if the numbered source has at most ``broadcast_bytes``, and otherwise
+    two plain shuffles, which adaptive execution splits at hot keys on either side. Pairs carry the
+    number, so that source rows without a match are told by one column, whatever their copies.
     """
     pairs_on, ids = list(on), list(target_id)
     if not pairs_on:
@@ -209,25 +231,31 @@ def upsert_where(
         raise ValueError("target_id must not be empty")
     require_columns(target, [t for t, _ in pairs_on] + ids)
     require_columns(source, [s for _, s in pairs_on])
-    require_groupable(source)
     set_to = _assignments(set, target, "set")
     values = _assignments(insert, target, "insert")
 
-    equal = [_side("target", t) == _side("source", s) for t, s in pairs_on]
-    on_pairs = reduce(Column.__and__, equal) & condition
     columns = source.columns
-    is_small = fits_broadcast(source, broadcast_rows)
+    numbered, _ = written(source.withColumn(_NUMBER, F.monotonically_increasing_id()), "source")
+    equal = [_side("target", t) == _side("source", s) for t, s in pairs_on]
+    is_small = fits_broadcast(numbered, broadcast_bytes)
     matches = (
         target.alias("target")
-        .join((F.broadcast(source) if is_small else source).alias("source"), on_pairs, "inner")
+        .join(
+            (F.broadcast(numbered) if is_small else numbered).alias("source"),
+            reduce(Column.__and__, equal) & condition,
+            "inner",
+        )
         .select(
             F.struct(*(_side("target", c).alias(c) for c in ids)).alias(_ID),
             F.struct(*(_side("source", c).alias(c) for c in columns)).alias(_ROW),
+            F.col(f"source.{_NUMBER}").alias(_NUMBER),
         )
     )
     # Where this has one row per match, it is all matches; otherwise the query fails. Both uses
     # below need all of its columns, so Spark runs the join above once.
-    hits = matches.groupBy(_ID).agg(F.count(F.lit(1)).alias(_COUNT), F.first(_ROW).alias(_ROW))
+    hits = matches.groupBy(_ID).agg(
+        F.count(F.lit(1)).alias(_COUNT), F.first(_ROW).alias(_ROW), F.first(_NUMBER).alias(_NUMBER)
+    )
     count = F.col(f"source.{_COUNT}")
     kept = (
         target.withColumn(_ID, F.struct(*map(named, ids)))
@@ -240,30 +268,14 @@ def upsert_where(
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
-    # Equal source rows match the same target rows, so a source row is known by its content.
-    matched = hits.filter(F.col(_COUNT) > 0).select(*_unpacked(columns)).distinct()
-    same_row = reduce(
-        Column.__and__,
-        (_side("source", c).eqNullSafe(_side("matched", c)) for c in columns),
-    )
-
-    def unmatched(rows: DataFrame, hits: DataFrame) -> DataFrame:
-        return (
-            rows.alias("source")
-            .join(hits.alias("matched"), same_row, "left_anti")
-            .select(*_inserted(target, values))
+    matched = hits.filter(F.col(_ROW).isNotNull() & (F.col(_COUNT) > 0)).select(_NUMBER).distinct()
+    new = (
+        numbered.alias("source")
+        .join(
+            (F.broadcast(matched) if is_small else matched).alias("matched"),
+            F.col(f"source.{_NUMBER}") == F.col(f"matched.{_NUMBER}"),
+            "left_anti",
         )
-
-    if is_small:
-        return kept.unionByName(unmatched(source, F.broadcast(matched)))
-    # Copies share a content hash, which is short where rows are long.
-    content = {_HASH: F.xxhash64(*map(named, columns))}
-    hashed, hashed_hits = source.withColumns(content), matched.withColumns(content)
-    copies = hot_values([hashed], [_HASH], hot)
-    if copies is None:
-        return kept.unionByName(unmatched(source, matched))
-    cold = unmatched(without_hot(hashed, [_HASH], copies), matched)
-    warm = unmatched(
-        only_hot(hashed, [_HASH], copies), F.broadcast(only_hot(hashed_hits, [_HASH], copies))
+        .select(*_inserted(target, values))
     )
-    return kept.unionByName(cold).unionByName(warm)
+    return kept.unionByName(new)

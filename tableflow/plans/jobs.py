@@ -15,9 +15,11 @@ from tableflow.operators.contracts import require_columns, require_types
 from tableflow.operators.dedupe import latest_per_key
 from tableflow.operators.indicators import indicators
 from tableflow.operators.segments import Split
-from tableflow.sources.readers import Schema, read_stream, read_table
+from tableflow.sources.landing import Landed, land_text
+from tableflow.sources.readers import TEXT_FORMATS, Schema, read_stream, read_table
+from tableflow.sources.scratch import drop_scratch, written
 from tableflow.sources.sinks import write_and_reconcile, write_table
-from tableflow.streaming.append import DEFAULT_TRIGGER, run_bounded, start_append
+from tableflow.streaming.append import DEFAULT_TRIGGER, run_bounded, run_to_end, start_append
 from tableflow.streaming.project import project_ticks
 
 # --- Fixed values: columns and defaults of the jobs -----------------------------------------
@@ -30,6 +32,34 @@ BRONZE_PARTITION = "symbol"
 # -------------------------------------------------------------------------------------------
 
 
+def _tick_types() -> dict[str, Column]:
+    return {"event_time": parse_timestamp("event_time"), "close": parse_double("close")}
+
+
+def _raw(
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    schema: Schema | None,
+    infer_schema: bool,
+    fallback_path: str | None,
+    quarantine_path: str | None,
+) -> tuple[DataFrame, Landed | None]:
+    """Text with a declared schema is landed; anything else is a table already."""
+    if fmt in TEXT_FORMATS and schema is not None:
+        landed = land_text(
+            spark, path, fmt, schema, fallback_path=fallback_path, quarantine_path=quarantine_path
+        )
+        return landed.rows, landed
+    table = read_table(spark, path, fmt, schema, infer_schema=infer_schema, fallback_path=fallback_path)
+    return table, None
+
+
+def _drop(landed: Landed | None) -> None:
+    if landed is not None:
+        landed.drop()
+
+
 def market_plan(
     ticks: DataFrame,
     *,
@@ -39,9 +69,7 @@ def market_plan(
 ) -> DataFrame:
     """Indicator table of ticks: casts, indicators, ingest stamp."""
     require_columns(ticks, [*TICK_COLUMNS, *tiebreak])
-    typed = ticks.withColumns(
-        {"event_time": parse_timestamp("event_time"), "close": parse_double("close")}
-    )
+    typed = ticks.withColumns(_tick_types())
     return indicators(typed, tiebreak=tiebreak, split=split).withColumns(ingest_stamp(as_of))
 
 
@@ -55,21 +83,25 @@ def market_job(
     schema: Schema | None = None,
     infer_schema: bool = False,
     fallback_path: str | None = None,
+    quarantine_path: str | None = None,
     output_format: str = "parquet",
     split: Split | None = None,
     as_of: str | Column | None = None,
 ) -> DataFrame:
-    """Read ticks, compute indicators, overwrite the output table. Returns the output table."""
-    ticks = read_table(
-        spark,
-        input_path,
-        input_format,
-        schema,
-        infer_schema=infer_schema,
-        fallback_path=fallback_path,
+    """Read ticks, compute indicators, overwrite the output table. Returns the output table.
+
+    The raw rows are parsed and typed once, into a table below the shared folder that is dropped at the end.
+    Broken lines of text go to ``quarantine_path``, or fail the job if there is none.
+    """
+    ticks, landed = _raw(
+        spark, input_path, input_format, schema, infer_schema, fallback_path, quarantine_path
     )
-    result = market_plan(ticks, tiebreak=tiebreak, split=split, as_of=as_of)
+    require_columns(ticks, [*TICK_COLUMNS, *tiebreak])
+    typed, path = written(ticks.withColumns(_tick_types()), "ticks")
+    _drop(landed)
+    result = market_plan(typed, tiebreak=tiebreak, split=split, as_of=as_of)
     write_table(result, output_path, mode="overwrite", fmt=output_format)
+    drop_scratch(spark, path)
     return spark.read.format(output_format).load(output_path)
 
 
@@ -108,11 +140,15 @@ def curate_job(
     order_by: str = CURATE_ORDER,
     required: Sequence[str] = CURATE_REQUIRED,
     types: Mapping[str, str] | None = None,
+    quarantine_path: str | None = None,
     output_format: str = "parquet",
     as_of: str | Column | None = None,
 ) -> DataFrame:
-    """Read raw rows, curate them, overwrite the output table. Returns the output table."""
-    raw = read_table(spark, input_path, input_format, schema, infer_schema=infer_schema)
+    """Read raw rows, curate them, overwrite the output table. Returns the output table.
+
+    Broken lines of text go to ``quarantine_path``, or fail the job if there is none.
+    """
+    raw, landed = _raw(spark, input_path, input_format, schema, infer_schema, None, quarantine_path)
     result = curate_plan(
         raw,
         keys=keys,
@@ -123,6 +159,7 @@ def curate_job(
         as_of=as_of,
     )
     write_table(result, output_path, mode="overwrite", fmt=output_format)
+    _drop(landed)
     return spark.read.format(output_format).load(output_path)
 
 
@@ -137,19 +174,17 @@ def bronze_job(
     fallback_path: str | None = None,
     time: str = "event_time",
     partition_by: str = BRONZE_PARTITION,
+    quarantine_path: str | None = None,
     as_of: str | Column | None = None,
 ) -> tuple[DataFrame, int]:
     """Read rows, stamp them, write Parquet by partition, and reconcile what was written.
 
-    Returns (reconcile report, rows sent). The stamp and the parsed time are the only changes.
+    Returns (reconcile report, rows sent). The stamp and the parsed time are the only changes. Text is
+    parsed once: the report reads the landed table. Broken lines go to ``quarantine_path``, or fail the
+    job if there is none.
     """
-    rows = read_table(
-        spark,
-        input_path,
-        input_format,
-        schema,
-        infer_schema=infer_schema,
-        fallback_path=fallback_path,
+    rows, _ = _raw(
+        spark, input_path, input_format, schema, infer_schema, fallback_path, quarantine_path
     )
     require_columns(rows, [time, partition_by])
     stamped = rows.withColumns(ingest_stamp(as_of)).withColumn(time, parse_timestamp(time))
@@ -163,7 +198,7 @@ def tick_stream_job(
     checkpoint: str,
     schema: Schema,
     *,
-    run_seconds: float = 60,
+    run_seconds: float | None = 60,
     available_now: bool = False,
     trigger: str = DEFAULT_TRIGGER,
     max_files_per_trigger: int | None = None,
@@ -171,10 +206,11 @@ def tick_stream_job(
     value: str = "value",
     input_format: str = "parquet",
     output_format: str = "parquet",
-) -> bool:
-    """Stream files into projected ticks, append them, and stop after ``run_seconds``.
+) -> None:
+    """Stream files into projected ticks and append them.
 
-    True if the query ended by itself, which only an ``available_now`` run does.
+    By default the stream stops after ``run_seconds``, wherever it is. An ``available_now`` run is a
+    backfill: it waits for the end, and raises if it has not come by ``run_seconds`` (None: no limit).
     """
     source = read_stream(
         spark, input_path, schema, input_format, max_files_per_trigger=max_files_per_trigger
@@ -187,4 +223,10 @@ def tick_stream_job(
         available_now=available_now,
         fmt=output_format,
     )
-    return run_bounded(query, run_seconds)
+    if available_now:
+        run_to_end(query, run_seconds)
+    elif run_seconds is None:
+        query.stop()
+        raise ValueError("A stream without an end needs run_seconds")
+    else:
+        run_bounded(query, run_seconds)

@@ -34,6 +34,63 @@ FROM g {where}
 """
 
 
+_BROKEN_PRICE = """
+  CASE WHEN event_id % 97 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 31 <> 0 THEN value END"""
+
+
+def _no_nan(value: str, name: str) -> str:
+    return f"round(CASE WHEN isnan({value}) THEN -1.0::DOUBLE ELSE {value} END, 6) AS {name}"
+
+
+_INDICATORS_NAN = f"""
+SELECT symbol, event_time, {", ".join(_no_nan(c, c) for c in (
+    "close", "moving_avg_14", "rsi_14", "ema_fast_12", "ema_slow_26", "macd", "macd_signal_9"))}
+FROM ({_indicators().replace("value AS close", _BROKEN_PRICE + " AS close")})
+"""
+
+_DELTA_NAN = f"""
+WITH t AS (SELECT event_type AS symbol, ts AS event_time, {_BROKEN_PRICE} AS close FROM events),
+d AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY event_time) AS diff FROM t)
+SELECT symbol, event_time, {_no_nan("close", "close")}, {_no_nan("diff", "price_diff")},
+  {_no_nan("(CASE WHEN diff > 0 THEN diff ELSE 0.0::DOUBLE END)", "gain")},
+  {_no_nan("(CASE WHEN diff < 0 THEN -diff ELSE 0.0::DOUBLE END)", "loss")}
+FROM d
+"""
+
+_BARS_TIEBREAK = """
+SELECT event_type AS symbol, date_trunc('day', ts) AS event_time,
+  arg_min(value, (date_trunc('hour', ts), event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, (date_trunc('hour', ts), event_id)) AS close, count(*) AS ticks
+FROM events GROUP BY 1, 2
+"""
+
+_LANDED = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'csv' AS read_from
+FROM orders WHERE o_orderkey % 20 <> 0
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'broken csv' FROM orders WHERE o_orderkey % 20 = 0
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'json'
+FROM orders WHERE o_orderkey % 25 <> 0
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'broken json' FROM orders WHERE o_orderkey % 25 = 0
+"""
+
+_UPSERT_HOT = """
+WITH s AS (SELECT o_custkey AS user_id, max(o_totalprice) AS most FROM orders GROUP BY 1)
+SELECT event_id, ts, e.user_id, event_type, coalesce(most, value) AS value, props
+FROM events e LEFT JOIN s ON e.user_id = s.user_id
+UNION ALL
+SELECT NULL, NULL, user_id, NULL, most, NULL FROM s WHERE user_id NOT IN (SELECT user_id FROM events)
+"""
+
+_NULL_KEYS = """
+WITH e AS (SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id) FROM events)
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn
+  FROM e WHERE user_id IS NOT NULL
+) WHERE rn = 1
+UNION ALL SELECT event_id, ts, user_id, event_type, value, props FROM e WHERE user_id IS NULL
+"""
+
 _USER_TICKS = "t AS (SELECT user_id AS symbol, ts AS event_time, value AS close FROM events)"
 
 
@@ -275,3 +332,24 @@ SELECT event_id, ts, user_id, event_type, value, props FROM (
 ) WHERE rn = 1
 """,
 }
+ORACLES |= {
+    "indicators_incremental": ORACLES["indicators_since"],
+    "indicators_nan": _INDICATORS_NAN,
+    "price_delta_nan": _DELTA_NAN,
+    "contract_report_any_case": """
+SELECT 'type' AS check, 'c_custkey' AS "column", 'BIGINT' AS expected, 'bigint' AS actual, 0::BIGINT AS violations
+UNION ALL SELECT 'type', 'c_name', 'String', 'string', 0
+UNION ALL SELECT 'type', 'c_acctbal', 'decimal(10,2)', 'double', 1
+UNION ALL SELECT 'nan', 'c_acctbal', 'no NaN', NULL, (SELECT count(*) FROM customer WHERE isnan(c_acctbal))
+""",
+    "schema_gate": "SELECT *, 'refused' AS outcome FROM orders",
+    "upsert_large": ORACLES["upsert_equi"],
+    "upsert_stored": ORACLES["upsert_equi"],
+    "upsert_hot": _UPSERT_HOT,
+    "bars_tiebreak": _BARS_TIEBREAK,
+    "landed_text": _LANDED,
+    "append_twice": "SELECT * FROM orders",
+    "bronze_rows": f"SELECT *, {STAMP} FROM orders",
+    "stream_bars_all": f"SELECT symbol, event_time, open, high, low, close, ticks FROM ({_BARS})",
+    "stream_upsert_null_keys": _NULL_KEYS,
+}

@@ -15,14 +15,14 @@ from tableflow.functions import columns as rules
 from tableflow.operators import bars as bar_ops
 from tableflow.operators import clean, contracts, dedupe, indicators, upsert
 from tableflow.operators.segments import Split
+from tableflow.operators.skew import HotKeys
 from tableflow.plans import jobs
-from tableflow.sources import readers
-from tableflow.sources.scratch import scratch_dir
+from tableflow.sources import landing, readers, sinks, versions
+from tableflow.sources.scratch import scratch_dir, written
 from tableflow.streaming import append, bars as bar_stream, project, upsert as upsert_stream
 
 AS_OF = "2026-01-01 12:30:00"
 SINCE = "2024-01-15 00:00:00"
-STREAM_SECONDS = 600
 
 #: Small segments, so that series are cut already at sf0.01.
 SMALL_SEGMENTS = Split(rows_per_segment=500)
@@ -115,6 +115,44 @@ def price_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _broken_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks with nulls and NaNs among the prices."""
+    event = F.col("event_id")
+    price = F.when(event % 97 == 0, float("nan")).when(event % 31 != 0, F.col("value"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("event_time"), price.alias("close")
+    )
+
+
+def _without_nan(df: DataFrame, *columns: str) -> DataFrame:
+    """NaNs as -1, since engines compare them differently."""
+    return _rounded(
+        df.withColumns({c: F.when(F.isnan(c), -1.0).otherwise(F.col(c)) for c in columns}), *columns
+    )
+
+
+def price_delta_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = indicators.price_delta(_broken_ticks(spark, sf_dir), tiebreak=[])
+    return _without_nan(result, "close", "price_diff", "gain", "loss")
+
+
+def indicators_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = indicators.indicators(_broken_ticks(spark, sf_dir), tiebreak=[])
+    return _without_nan(result, "close", *INDICATOR_COLUMNS)
+
+
+def indicators_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only rows from a time on, after a run that stored the last rows of each series before it."""
+    ticks = _ticks(spark, sf_dir, "event_type")
+    start = F.lit(SINCE).cast("timestamp_ntz")
+    tail, _ = written(
+        indicators.indicator_tail(ticks.filter(F.col("event_time") < start), tiebreak=[]), "tail"
+    )
+    new = ticks.filter(F.col("event_time") >= start)
+    result = indicators.indicators(new, tiebreak=[], since=start, earlier=tail)
+    return _rounded(result, *INDICATOR_COLUMNS)
+
+
 # --- Dedupe, cleaning, contracts ---------------------------------------------------------------
 
 LINE_TIEBREAK = [
@@ -181,6 +219,25 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contract_report_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.quality_report(
+        table(spark, sf_dir, "customer"),
+        types={"c_custkey": "BIGINT", "c_name": "String", "c_acctbal": "decimal(10,2)"},
+        case_sensitive=False,
+    )
+
+
+def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that pass an exact schema; the same rows in another order of columns must not."""
+    orders = table(spark, sf_dir, "orders")
+    expected = contracts.require_schema(orders, orders.schema).schema
+    try:
+        contracts.require_schema(orders.select(*reversed(orders.columns)), expected)
+    except contracts.ContractError:
+        return orders.withColumn("outcome", F.lit("refused"))
+    return orders.withColumn("outcome", F.lit("accepted"))
+
+
 def null_nan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn(
         "value",
@@ -260,31 +317,76 @@ def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Upsert --------------------------------------------------------------------------------------
 
 
-def upsert_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders, keyed by twice their number, into events: updates, inserts and kept rows."""
-    events = table(spark, sf_dir, "events")
-    orders = table(spark, sf_dir, "orders").select(
+def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, keyed by twice their number."""
+    return table(spark, sf_dir, "orders").select(
         (F.col("o_orderkey") * 2).alias("event_id"),
         "o_orderdate",
         "o_custkey",
         "o_orderstatus",
         "o_totalprice",
     )
-    return upsert.upsert(
-        events,
-        orders,
-        on=["event_id"],
-        set={"event_type": "o_orderstatus", "value": F.col("source.o_totalprice")},
-        insert={
+
+
+def _order_rule() -> dict:
+    return {
+        "on": ["event_id"],
+        "set": {"event_type": "o_orderstatus", "value": F.col("source.o_totalprice")},
+        "insert": {
             "event_id": "event_id",
             "ts": "o_orderdate",
             "user_id": "o_custkey",
             "event_type": "o_orderstatus",
             "value": "o_totalprice",
         },
+    }
+
+
+def upsert_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders into events: updates, inserts and kept rows."""
+    return upsert.upsert(
+        table(spark, sf_dir, "events"), _order_events(spark, sf_dir), **_order_rule()
     )
 
 
+def upsert_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as for a large source: one full outer join."""
+    return upsert.upsert(
+        table(spark, sf_dir, "events"),
+        _order_events(spark, sf_dir),
+        hot=None,
+        broadcast_bytes=0,
+        **_order_rule(),
+    )
+
+
+def upsert_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' totals into events by user, with users of many events handled as hot keys."""
+    totals = (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("user_id"))
+        .agg(F.max("o_totalprice").alias("most"))
+    )
+    return upsert.upsert(
+        table(spark, sf_dir, "events"),
+        totals,
+        on=["user_id"],
+        set={"value": "most"},
+        insert={"user_id": "user_id", "value": "most"},
+        hot=HotKeys(min_rows=8, sample_fraction=1.0),
+        broadcast_bytes=0,
+    )
+
+
+def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders into a written table of events, in two batches, read back."""
+    root = scratch_dir(spark, "stored")
+    versions.write_version(table(spark, sf_dir, "events"), root)
+    orders = _order_events(spark, sf_dir)
+    versions.upsert_table(root, orders.filter("event_id % 4 = 0"), **_order_rule())
+    return versions.upsert_table(root, orders.filter("event_id % 4 <> 0"), **_order_rule())
+
+
 def upsert_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last order per customer into events of that user whose value is above a threshold."""
     events = table(spark, sf_dir, "events")
@@ -305,13 +407,23 @@ def upsert_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_type": F.lit("inserted"),
             "value": "o_totalprice",
         },
-        hot=None,  # one order per customer
     )
 
 
 # --- Bars ------------------------------------------------------------------------------------------
 
 
+def bars_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of times cut to hours, so that open and close depend on the tiebreak."""
+    ticks = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"),
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("event_time"),
+        F.col("value").alias("close"),
+        "event_id",
+    )
+    return bar_ops.bars(ticks, "1 day", tiebreak=["event_id"]).drop("volume")
+
+
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = _ticks(spark, sf_dir, "event_type").withColumn("volume", F.col("close"))
     return _rounded(bar_ops.bars(ticks, "1 hour", tiebreak=[], volume="volume"), "volume")
@@ -340,6 +452,75 @@ def text_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV with its columns in another order, and as JSON, both with broken lines."""
+    folder = scratch_dir(spark, "landed_text")
+    names = ["o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"]
+    orders = table(spark, sf_dir, "orders").select(*names)
+    key = F.col("o_orderkey")
+    csv = F.concat_ws(",", *names, F.when(key % 20 == 0, F.lit("one,two")))
+    # One column, named like the whole header and never quoted, makes files of whole lines.
+    lines = orders.select(csv.alias(",".join(names))).write.option("header", True)
+    lines.option("sep", "\u0001").option("quote", "\u0000").csv(f"{folder}/csv")
+    json = F.when(key % 25 == 0, F.concat(F.lit("{broken "), key)).otherwise(F.to_json(F.struct(*names)))
+    orders.select(json.alias("value")).write.text(f"{folder}/json")
+    parts = []
+    for fmt in ("csv", "json"):
+        landed = landing.land_text(
+            spark,
+            f"{folder}/{fmt}",
+            fmt,
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double",
+            quarantine_path=f"{folder}/broken_{fmt}",
+        )
+        broken = readers.read_table(spark, f"{folder}/broken_{fmt}", "parquet", landing.QUARANTINE_SCHEMA)
+        number = F.regexp_extract("line", r"^\{broken (\d+)$|^[^,]*,[^,]*,(\d+),", 0)
+        parts.append(landed.rows.withColumn("read_from", F.lit(fmt)))
+        parts.append(
+            broken.select(
+                F.regexp_extract(number, r"(\d+),?$", 1).cast("bigint").alias("o_orderkey"),
+                F.lit(None).cast("bigint").alias("o_custkey"),
+                F.lit(None).cast("string").alias("o_orderstatus"),
+                F.lit(None).cast("double").alias("o_totalprice"),
+                F.lit(f"broken {fmt}").alias("read_from"),
+            )
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended to a table in two halves, by partition, read back."""
+    folder = scratch_dir(spark, "append")
+    orders = table(spark, sf_dir, "orders")
+    for half in (0, 1):
+        part = orders.filter(F.col("o_orderkey") % 2 == half)
+        sinks.write_table(part, f"{folder}/out", mode="append", partition_by="o_orderstatus")
+    return readers.read_table(spark, f"{folder}/out", "parquet", orders.schema).select(*orders.columns)
+
+
+def bronze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the bronze table."""
+    folder = scratch_dir(spark, "bronze_rows")
+    orders = table(spark, sf_dir, "orders")
+    orders.write.option("header", True).csv(f"{folder}/raw")
+    jobs.bronze_job(
+        spark,
+        f"{folder}/raw",
+        f"{folder}/bronze",
+        schema=ORDER_SCHEMA.replace("timestamp_ntz", "string"),
+        time="o_orderdate",
+        partition_by="o_orderstatus",
+        as_of=AS_OF,
+    )
+    stored = readers.read_table(
+        spark,
+        f"{folder}/bronze",
+        "parquet",
+        ORDER_SCHEMA.replace("timestamp_ntz", "timestamp") + ", ingest_ts timestamp, ingest_date date",
+    )
+    return _zoneless(stored, "o_orderdate", "ingest_ts")
+
+
 def bronze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "bronze")
     orders = table(spark, sf_dir, "orders")
@@ -407,7 +588,7 @@ def stream_project(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/out",
         f"{folder}/checkpoint",
         events.schema,
-        run_seconds=STREAM_SECONDS,
+        run_seconds=None,
         available_now=True,
         max_files_per_trigger=2,
         time="ts",
@@ -429,34 +610,56 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = append.start_append(
         closed, f"{folder}/out", f"{folder}/checkpoint", available_now=True
     )
-    append.run_bounded(query, STREAM_SECONDS)
+    append.run_to_end(query)
     stored = readers.read_table(spark, f"{folder}/out", "parquet", closed.schema)
     return _zoneless(stored, "event_time").drop("volume")
 
 
+def stream_bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of a backfill, and those that were still open at its end."""
+    ticks = _ticks(spark, sf_dir, "event_type")
+    still_open = bar_stream.open_bars(ticks, "1 hour", "1 hour", tiebreak=[])
+    still_open = _zoneless(still_open, "event_time").drop("volume")
+    return stream_bars(spark, sf_dir).unionByName(still_open)
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "stream_upsert")
     events = _event_files(spark, sf_dir, f"{folder}/in", 3)
     stream = readers.read_stream(
         spark, f"{folder}/in", events.schema, max_files_per_trigger=1
     )
-    query = upsert_stream.start_upsert(
-        stream,
-        f"{folder}/table",
-        f"{folder}/checkpoint",
-        keys=["user_id", "event_type"],
-        order_by="ts",
-        tiebreak=["event_id"],
-        buckets=8,
+    rule = {"keys": ["user_id", "event_type"], "order_by": "ts", "tiebreak": ["event_id"]}
+    append.run_to_end(
+        upsert_stream.start_upsert(stream, f"{folder}/table", f"{folder}/checkpoint", **rule)
     )
-    append.run_bounded(query, STREAM_SECONDS)
-    return upsert_stream.current_table(spark, f"{folder}/table", events.schema)
+    return upsert_stream.current_table(spark, f"{folder}/table", events.schema, **rule)
+
+
+def stream_upsert_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with other batches, rows without a key, and a compaction between two runs."""
+    folder = scratch_dir(spark, "stream_upsert")
+    user = F.when(F.col("event_id") % 10 != 0, F.col("user_id"))
+    events = table(spark, sf_dir, "events").withColumn("user_id", user)
+    rule = {"keys": ["user_id", "event_type"], "order_by": "ts", "tiebreak": ["event_id"]}
+    for part in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        events.filter(part).repartition(4).write.mode("append").parquet(f"{folder}/in")
+        stream = readers.read_stream(
+            spark, f"{folder}/in", events.schema, max_files_per_trigger=2
+        )
+        append.run_to_end(
+            upsert_stream.start_upsert(stream, f"{folder}/table", f"{folder}/checkpoint", **rule)
+        )
+        upsert_stream.compact(spark, f"{folder}/table", events.schema, **rule)
+    return upsert_stream.current_table(spark, f"{folder}/table", events.schema, **rule)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "indicators": indicator_table,
     "indicators_segmented": indicators_segmented,
     "indicators_since": indicators_since,
+    "indicators_incremental": indicators_incremental,
+    "indicators_nan": indicators_nan,
     "moving_avg_strict": moving_avg_strict,
     "rsi_strict": rsi_strict,
     "macd_strict": macd_strict,
@@ -464,24 +667,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bollinger_segmented": bollinger_segmented,
     "bollinger_latest": bollinger_latest,
     "price_delta": price_delta,
+    "price_delta_nan": price_delta_nan,
     "latest_per_key": latest_per_key,
     "clean_distinct": clean_distinct,
     "curate": curate,
     "ingest_stamp": ingest_stamp,
     "contract_report": contract_report,
+    "contract_report_any_case": contract_report_any_case,
+    "schema_gate": schema_gate,
     "null_nan_profile": null_nan_profile,
     "price_split": price_split,
     "complete_rows": complete_rows,
     "standardize": standardize,
     "date_rules": date_rules,
     "upsert_equi": upsert_equi,
+    "upsert_large": upsert_large,
+    "upsert_hot": upsert_hot,
+    "upsert_stored": upsert_stored,
     "upsert_theta": upsert_theta,
     "bars_hourly": bars_hourly,
+    "bars_tiebreak": bars_tiebreak,
     "text_sources": text_sources,
+    "landed_text": landed_text,
+    "append_twice": append_twice,
     "bronze_roundtrip": bronze_roundtrip,
+    "bronze_rows": bronze_rows,
     "market_job": market_job,
     "curate_job": curate_job,
     "stream_project": stream_project,
     "stream_bars": stream_bars,
+    "stream_bars_all": stream_bars_all,
     "stream_upsert": stream_upsert,
+    "stream_upsert_null_keys": stream_upsert_null_keys,
 }

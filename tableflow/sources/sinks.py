@@ -20,12 +20,28 @@ def _location(path: str, with_host: bool) -> str:
     return (f"{parts.netloc}/" if with_host else "") + parts.path.strip("/")
 
 
+def input_roots(df: DataFrame) -> list[str]:
+    """The paths that ``df`` scans as they were given, not the files below them."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        relation = leaf.relation() if leaf.nodeName().startswith("LogicalRelation") else None
+        if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        paths = relation.location().rootPaths()
+        roots += [paths.apply(k).toString() for k in range(paths.size())]
+    return roots
+
+
 def refuse_overwriting_input(df: DataFrame, path: str) -> None:
     """Raise if ``df`` reads files below ``path``: an overwrite deletes them before the read."""
     with_host = bool(urlsplit(path).netloc)
-    below = _location(path, with_host) + "/"
-    if any((_location(f, with_host) + "/").startswith(below) for f in df.inputFiles()):
-        raise ValueError(f"The rows to write are read from {path}; write to another path")
+    target = _location(path, with_host) + "/"
+    for root in input_roots(df):
+        source = _location(root, with_host and bool(urlsplit(root).netloc)) + "/"
+        if source.startswith(target) or target.startswith(source):
+            raise ValueError(f"The rows to write are read from {root}; write to another path")
 
 
 def existing_schema(spark: SparkSession, path: str, fmt: str) -> T.StructType | None:
@@ -108,7 +124,8 @@ def write_and_reconcile(
     Returns (report, rows sent). Rows sent are counted as they pass to the writer; after the loss
     of an executor they can count repeated work twice. The report is exact and runs only when
     used: one line per partition value, ``(partition_by, rows_sent, rows_read, ok)``, from one
-    column of the input and the file footers of the output.
+    column of the input and the file footers of the output. The input is read again for that, so pass a
+    stored table, as the jobs do, and not a parse of raw text.
     """
     sent = Observation()
     write_partitioned(df.observe(sent, F.count(F.lit(1)).alias("rows")), path, partition_by)

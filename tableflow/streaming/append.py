@@ -35,10 +35,23 @@ def start_append(
 def run_bounded(query: StreamingQuery, seconds: float) -> bool:
     """Let a query run for at most ``seconds``, then stop it. True if it ended by itself.
 
-    A failed query raises its error. Stopping between batches loses nothing: a batch that was
-    not committed is repeated on the next start with the same checkpoint.
+    For runs that are meant to stop early. A failed query raises its error. Stopping between batches
+    loses nothing: a batch that was not committed is repeated on the next start with the same
+    checkpoint.
     """
     try:
         return bool(query.awaitTermination(seconds))
     finally:
         query.stop()
+
+
+def run_to_end(query: StreamingQuery, seconds: float | None = None) -> None:
+    """Wait until an ``available_now`` query has worked off what is there.
+
+    A failed query raises its error. With a limit, a query that has not ended by then is stopped and
+    this raises, so that a partial table is never taken for a complete one.
+    """
+    if seconds is None:
+        query.awaitTermination()
+    elif not run_bounded(query, seconds):
+        raise TimeoutError(f"The stream did not end within {seconds} seconds; its output is partial")

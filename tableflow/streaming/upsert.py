@@ -1,42 +1,58 @@
-"""Streaming upsert into a versioned table of plain Parquet files.
+"""Streaming upsert: each micro-batch adds its newest rows, and readers take the newest row per key.
 
-Layout below ``root``: rows are in ``data/version=<batch>/bucket=<hash bucket>``, and
-``commits/version=<batch>`` lists the buckets that batch rewrote. A batch reads and rewrites only
-the buckets its keys fall into. A path that is being read is never overwritten, and readers see a
-batch only once its commit is written. A replayed batch starts from the versions before it and
-overwrites its own version, so it gives the same table.
+Layout below ``root``: ``batch=<id>`` holds the newest row per key of a micro-batch, and ``base=<id>``
+all that the batches up to ``id`` amount to, written by :func:`compact`. What a batch writes depends on
+the batch alone, not on the table. A replayed batch overwrites its own folder; one that is already
+part of a base is not read. The result does not depend on how rows are dealt to micro-batches.
+
+Rows with a null in a key match nothing and are all kept, as in a batch upsert.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tableflow.functions.columns import named
 from tableflow.operators.dedupe import latest_per_key
-from tableflow.operators.upsert import Assignments, copy_columns, newest_wins, upsert
+from tableflow.sources.versions import committed, drop_versions
 
-_BUCKET = "bucket"
-_COMMIT_SCHEMA = "version bigint, bucket int"
+_BATCH = "batch"
+_BASE = "base"
+_FROM = "__from"
 
 
-def _latest_buckets(spark: SparkSession, root: str, before: int | None) -> list[tuple[int, int]]:
-    """(bucket, version) of the newest committed version of each bucket: one row per bucket."""
-    commits = spark.read.schema(_COMMIT_SCHEMA).parquet(f"{root}/commits")
-    if before is not None:
-        commits = commits.filter(F.col("version") < before)
-    newest = commits.groupBy(_BUCKET).agg(F.max("version").alias("version"))
-    return [(r[_BUCKET], r["version"]) for r in newest.collect()]
+def _newest(rows: DataFrame, keys: Sequence[str], order_by: str, tiebreak: Sequence[str]) -> DataFrame:
+    """The newest row of each key, and every row without a key."""
+    keyless = reduce(Column.__or__, (named(k).isNull() for k in keys))
+    keyed = latest_per_key(rows.filter(~keyless), keys, order_by, tiebreak)
+    return keyed.unionByName(rows.filter(keyless))
 
 
-def _create_table(spark: SparkSession, root: str) -> None:
-    """Start the list of commits with an empty one, unless it is there."""
-    empty = spark.createDataFrame([], "bucket int")
-    empty.write.mode("ignore").parquet(f"{root}/commits/version=-1")
+def _stored(spark: SparkSession, root: str, schema: T.StructType, before: int | None) -> DataFrame:
+    """Rows of the last base and of the batches after it, with the batch they come from."""
+    bases = [n for n in committed(spark, root, _BASE) if before is None or n < before]
+    start = bases[-1] if bases else None
+    batches = [
+        n
+        for n in committed(spark, root, _BATCH)
+        if (start is None or n > start) and (before is None or n < before)
+    ]
+    parts = [spark.createDataFrame([], schema).withColumn(_FROM, F.lit(-1).cast("bigint"))]
+    if start is not None:
+        base = spark.read.schema(schema).parquet(f"{root}/{_BASE}={start}")
+        parts.append(base.withColumn(_FROM, F.lit(start).cast("bigint")))
+    if batches:
+        with_batch = T.StructType([*schema.fields, T.StructField(_BATCH, T.LongType())])
+        reader = spark.read.schema(with_batch).option("basePath", root)
+        found = reader.parquet(*[f"{root}/{_BATCH}={n}" for n in batches])
+        parts.append(found.withColumnRenamed(_BATCH, _FROM))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def current_table(
@@ -44,19 +60,17 @@ def current_table(
     root: str,
     schema: T.StructType,
     *,
+    keys: Sequence[str],
+    order_by: str,
+    tiebreak: Sequence[str],
     before: int | None = None,
-    buckets: Sequence[int] | None = None,
 ) -> DataFrame:
-    """The table after the last committed batch, or after the last one ``before`` a batch."""
-    wanted = None if buckets is None else set(buckets)
-    paths = [
-        f"{root}/data/version={version}/{_BUCKET}={bucket}"
-        for bucket, version in _latest_buckets(spark, root, before)
-        if wanted is None or bucket in wanted
-    ]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths)
+    """The table after the last complete batch, or after the last one ``before`` a batch.
+
+    Of equally new rows the one of the later batch is taken.
+    """
+    rows = _stored(spark, root, schema, before)
+    return _newest(rows, keys, order_by, [*tiebreak, _FROM]).drop(_FROM)
 
 
 def upsert_batch(
@@ -67,43 +81,36 @@ def upsert_batch(
     keys: Sequence[str],
     order_by: str,
     tiebreak: Sequence[str],
-    set: Assignments | None = None,
-    insert: Assignments | None = None,
-    buckets: int = 64,
 ) -> None:
-    """Keep the latest row per key within the batch, then upsert it as version ``batch_id``.
+    """Write the newest rows of a micro-batch as batch ``batch_id``."""
+    _newest(batch, keys, order_by, tiebreak).write.mode("overwrite").parquet(
+        f"{root}/{_BATCH}={int(batch_id)}"
+    )
 
-    By default matched rows take all columns of the newer row, so a late batch does not undo a
-    newer one; unmatched rows are inserted whole. ``buckets`` must stay the same for a table.
+
+def compact(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    *,
+    keys: Sequence[str],
+    order_by: str,
+    tiebreak: Sequence[str],
+) -> None:
+    """Fold all complete batches into a new base and drop what it replaces.
+
+    A job of its own, to be run as often as the batches since the last base get too many. Readers that
+    have planned a read of the files it drops must read again.
     """
-    spark = batch.sparkSession
-    others = [c for c in batch.columns if c not in keys]
-    set = newest_wins(others, [order_by, *tiebreak]) if set is None else set
-    insert = copy_columns(batch.columns) if insert is None else insert
-    bucket = F.pmod(F.xxhash64(*map(named, keys)), F.lit(buckets)).cast("int")
-
-    _create_table(spark, root)
-    source = latest_per_key(batch, keys, order_by, tiebreak).persist()
-    try:
-        touched = [r[_BUCKET] for r in source.select(bucket.alias(_BUCKET)).distinct().collect()]
-        if not touched:
-            return
-        target = current_table(spark, root, batch.schema, before=batch_id, buckets=touched)
-        # One row per key on both sides, so there are no hot keys.
-        merged = upsert(target, source, on=keys, set=set, insert=insert, hot=None)
-        (
-            merged.withColumn(_BUCKET, bucket)
-            .hint("rebalance", F.col(_BUCKET))
-            .write.mode("overwrite")
-            .partitionBy(_BUCKET)
-            .parquet(f"{root}/data/version={batch_id}")
+    batches, bases = committed(spark, root, _BATCH), committed(spark, root, _BASE)
+    new = [n for n in batches if not bases or n > bases[-1]]
+    if new:
+        table = current_table(
+            spark, root, schema, keys=keys, order_by=order_by, tiebreak=tiebreak, before=new[-1] + 1
         )
-        commit = spark.createDataFrame([(int(batch_id), int(b)) for b in touched], _COMMIT_SCHEMA)
-        commit.select(_BUCKET).coalesce(1).write.mode("overwrite").parquet(
-            f"{root}/commits/version={batch_id}"
-        )
-    finally:
-        source.unpersist()
+        table.write.mode("overwrite").parquet(f"{root}/{_BASE}={new[-1]}")
+        drop_versions(spark, root, bases, _BASE)
+    drop_versions(spark, root, batches, _BATCH)
 
 
 def start_upsert(
@@ -114,25 +121,12 @@ def start_upsert(
     keys: Sequence[str],
     order_by: str,
     tiebreak: Sequence[str],
-    set: Assignments | None = None,
-    insert: Assignments | None = None,
-    buckets: int = 64,
     trigger: str | None = None,
 ) -> StreamingQuery:
     """Upsert every micro-batch of a stream. Without ``trigger``, work off what is there."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(
-            batch,
-            batch_id,
-            root,
-            keys=keys,
-            order_by=order_by,
-            tiebreak=tiebreak,
-            set=set,
-            insert=insert,
-            buckets=buckets,
-        )
+        upsert_batch(batch, batch_id, root, keys=keys, order_by=order_by, tiebreak=tiebreak)
 
     when = {"availableNow": True} if trigger is None else {"processingTime": trigger}
     return (

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,19 +10,25 @@ from pyspark.sql import functions as F
 
 from tableflow import (
     ContractError,
+    Split,
     bronze_job,
     curate_job,
+    drop_scratch,
     indicators,
+    land_text,
     market_job,
     read_stream,
     read_table,
+    read_version,
     reconcile,
+    scratch_dir,
+    upsert_table,
     write_and_reconcile,
     write_partitioned,
     write_table,
+    write_version,
 )
 from tableflow.plans.jobs import curate_plan
-from tableflow.sources.scratch import scratch_dir
 
 TICKS = "symbol string, event_time string, close string"
 
@@ -225,7 +232,7 @@ def test_curate_equals_dropping_copies_first(spark):
 def test_curate_contract(spark, tmp_path):
     path = write_lines(tmp_path / "r.json", [json.dumps({"id": 1, "updated_at": "2026-01-01"})])
     bad = "id bigint, updated_at string"
-    with pytest.raises(ContractError, match="type mismatches"):
+    with pytest.raises(ContractError, match="Types differ"):
         curate_job(spark, path, str(tmp_path / "o"), tiebreak=[], schema=bad)
     with pytest.raises(ContractError, match="updated_at"):
         curate_job(spark, path, str(tmp_path / "o"), tiebreak=[], schema="id string")
@@ -279,3 +286,153 @@ def test_indicators_of_stored_table(spark, folder):
     )
     write_table(ticks, f"{folder}/t")
     assert indicators(spark.read.parquet(f"{folder}/t"), tiebreak=[]).count() == 5
+
+
+# What is really in the files
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def text_file(tmp_path, name, lines):
+    folder = tmp_path / name
+    folder.mkdir()
+    (folder / "part.txt").write_text("\n".join(lines) + "\n")
+    return str(folder)
+
+
+TICK_TEXT = "symbol string, event_time string, close string"
+
+
+def test_csv_is_bound_by_name(spark, tmp_path):
+    path = text_file(tmp_path, "in", ["close,extra,symbol,event_time", "5.0,x,A,2026-01-01 00:00:00"])
+    assert rows(read_table(spark, path, "csv", TICK_TEXT)) == [("A", "2026-01-01 00:00:00", "5.0")]
+    out = market_job(spark, path, str(tmp_path / "out"), tiebreak=[], schema=TICK_TEXT)
+    row = out.first()
+    assert (row.symbol, row.close, row.event_time) == ("A", 5.0, datetime(2026, 1, 1))
+
+
+def test_absent_csv_column_raises(spark, tmp_path):
+    path = text_file(tmp_path, "in", ["symbol,event_time", "A,2026-01-01 00:00:00"])
+    for read in (
+        lambda: read_table(spark, path, "csv", TICK_TEXT),
+        lambda: market_job(spark, path, str(tmp_path / "out"), tiebreak=[], schema=TICK_TEXT),
+    ):
+        with pytest.raises(ContractError, match="close"):
+            read()
+    assert not (tmp_path / "out").exists()
+
+
+def test_files_with_different_headers_fail(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("symbol,event_time,close\nA,t,1\n")
+    (tmp_path / "in" / "b.csv").write_text("close,event_time,symbol\n1,t,A\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(tmp_path / "in"), "csv", TICK_TEXT).collect()
+
+
+LINE_SCHEMA = "id string, updated_at string, n bigint"
+
+
+def raw_lines():
+    good = ['{"id": "a", "updated_at": "2026-01-01", "n": 1}', '{"n": 2, "id": "b"}']
+    return [*good, "{broken", "[1, 2", '{"id": "c", "updated_at": "2026-01-01", "n": "no number"}', ""]
+
+
+def test_broken_json_lines_are_counted_and_set_apart(spark, tmp_path):
+    path, bad = text_file(tmp_path, "in", raw_lines()), str(tmp_path / "bad")
+    with pytest.raises(ContractError, match="3 of 5 lines"):
+        curate_job(spark, path, str(tmp_path / "out"), tiebreak=["n"], schema=LINE_SCHEMA)
+    assert not (tmp_path / "out").exists()
+    out = curate_job(spark, path, str(tmp_path / "out"), tiebreak=["n"], schema=LINE_SCHEMA, quarantine_path=bad)
+    assert sorted(r.id for r in out.collect()) == ["a", "b"]
+    assert sorted(r.line for r in spark.read.parquet(bad).collect()) == sorted(raw_lines()[2:5])
+
+
+def test_json_field_that_no_line_holds_raises(spark, tmp_path):
+    path = text_file(tmp_path, "in", ['{"id": "a", "n": 1}', '{"id": "b", "n": null}'])
+    with pytest.raises(ContractError, match="updated_at"):
+        land_text(spark, path, "json", LINE_SCHEMA)
+    landed = land_text(spark, path, "json", "id string, n bigint")
+    assert (landed.n_lines, landed.n_broken) == (2, 0)
+    assert sorted(map(tuple, landed.rows.collect()), key=repr) == [("a", 1), ("b", None)]
+    landed.drop()
+    assert not Path(landed.path.removeprefix("file:")).exists()
+
+
+def test_broken_csv_lines(spark, tmp_path):
+    lines = ["id,updated_at,n", "a,t,1", "b,t", "c,t,3,4", "d,t,x", "e,,"]
+    path, bad = text_file(tmp_path, "in", lines), str(tmp_path / "bad")
+    landed = land_text(spark, path, "csv", LINE_SCHEMA, quarantine_path=bad)
+    assert (landed.n_lines, landed.n_broken) == (5, 3)
+    assert sorted(map(tuple, landed.rows.collect()), key=repr) == [("a", "t", 1), ("e", None, None)]
+    assert sorted(r.line for r in landed.broken.collect()) == ["b,t", "c,t,3,4", "d,t,x"]
+    land_text(spark, path, "csv", LINE_SCHEMA, quarantine_path=bad)
+    assert spark.read.parquet(bad).count() == 6
+
+
+def test_empty_files_land_as_empty_tables(spark, tmp_path):
+    for fmt, lines in (("csv", ["id,updated_at,n"]), ("json", [])):
+        landed = land_text(spark, text_file(tmp_path, fmt, lines), fmt, LINE_SCHEMA)
+        assert landed.rows.count() == 0 and landed.rows.columns == ["id", "updated_at", "n"]
+
+
+def test_market_job_parses_its_text_once(spark, tmp_path, monkeypatch):
+    lines = ["symbol,event_time,close"] + [f"A,2026-01-01 00:00:{i:02d},{i}" for i in range(50)]
+    path = text_file(tmp_path, "in", lines)
+    reads = []
+    original = type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, *a, **k: reads.append(a) or original(self, *a, **k))
+    split = Split(rows_per_segment=10)
+    out = market_job(spark, path, str(tmp_path / "out"), tiebreak=[], schema=TICK_TEXT, split=split)
+    assert out.count() == 50
+    # the header, and the one parse that lands the rows
+    assert len(reads) == 2
+
+
+def test_stored_table_is_upserted_in_versions(spark, tmp_path):
+    root = str(tmp_path / "table")
+    start = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id long, v string")
+    with pytest.raises(ValueError, match="No complete version"):
+        upsert_table(root, start, on=["id"], set={"v": "v"}, insert={"id": "id", "v": "v"})
+    assert write_version(start, root) == 0
+    source = spark.createDataFrame([(2, "x"), (3, "y"), (None, "m")], "id long, v string")
+    rule = {"on": ["id"], "set": {"v": "v"}, "insert": {"id": "id", "v": "v"}}
+    out = upsert_table(root, source, **rule)
+    expected = sorted([(1, "a"), (2, "x"), (None, "n"), (3, "y"), (None, "m")], key=repr)
+    assert rows(out) == expected == rows(read_version(spark, root))
+    upsert_table(root, spark.createDataFrame([(9, "z")], "id long, v string"), broadcast_bytes=0, **rule)
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["version=1", "version=2"]
+    assert rows(read_version(spark, root, 1)) == expected
+    with pytest.raises(ContractError):
+        write_version(start.withColumnRenamed("v", "w"), root)
+
+
+def test_scratch_needs_a_shared_folder_beyond_one_process(spark, monkeypatch):
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "/w"}.get(name, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session(), "x")
+    Context.master = "local[3]"
+    assert scratch_dir(Session(), "x").startswith("/w/scratch/x-")
+    with pytest.raises(ValueError, match="Not a scratch folder"):
+        drop_scratch(spark, "/tmp/somewhere")
+
+
+def test_overwrite_checks_root_paths(spark, tmp_path):
+    inner = str(tmp_path / "t" / "inner")
+    spark.range(3).write.parquet(inner)
+    for target in (inner, str(tmp_path / "t"), f"{inner}/deeper"):
+        with pytest.raises(ValueError, match="another path"):
+            write_table(spark.read.parquet(inner), target, mode="overwrite")
+    write_table(spark.read.parquet(inner), str(tmp_path / "t2"), mode="overwrite")

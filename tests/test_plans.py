@@ -99,8 +99,8 @@ def test_market_plan_has_one_shuffle(ticks):
     assert count(market_plan(ticks, tiebreak=["n"]), "Exchange") == 1
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
-def test_no_nested_loops_in_upserts(ticks, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 40])
+def test_no_nested_loops_in_upserts(ticks, broadcast_bytes):
     source = ticks.groupBy("symbol").agg(F.max("close").alias("close"))
     one = upsert(
         ticks,
@@ -108,7 +108,7 @@ def test_no_nested_loops_in_upserts(ticks, broadcast_rows):
         on=["symbol"],
         set={"close": "close"},
         insert={"symbol": "symbol"},
-        broadcast_rows=broadcast_rows,
+        broadcast_bytes=broadcast_bytes,
     )
     two = upsert_where(
         ticks,
@@ -118,7 +118,7 @@ def test_no_nested_loops_in_upserts(ticks, broadcast_rows):
         target_id=["n"],
         set={"close": "close"},
         insert={"symbol": "symbol"},
-        broadcast_rows=broadcast_rows,
+        broadcast_bytes=broadcast_bytes,
     )
     for df in (one, two):
         text = plan(df)
@@ -163,14 +163,50 @@ def test_hot_key_of_an_upsert_is_not_shuffled(ticks, small_partitions):
         set={"close": "close"},
         insert={"symbol": "symbol"},
         hot=rule,
-        broadcast_rows=0,
+        broadcast_bytes=0,
     )
-    # Three joins for the hot keys and two for the others, with their splits by hot keys.
-    assert count(merged, "BroadcastHashJoin") == 3 + 5 + 4
-    assert count(merged, "SortMergeJoin") == 2
+    # One full outer join of what is left without hot keys; all other joins are broadcasts.
+    assert count(merged, "SortMergeJoin") == 1
     assert merged.count() == 20_000
 
 
+def test_large_upsert_shuffles_each_side_once(ticks, small_partitions):
+    source = ticks.select("n", (F.col("close") + 1).alias("close"))
+    merged = upsert(
+        ticks,
+        source,
+        on=["n"],
+        set={"close": "close"},
+        insert={"n": "n"},
+        hot=None,
+        broadcast_bytes=0,
+    )
+    assert count(merged, "SortMergeJoin") == 1
+    assert count(merged, "Exchange") == 2
+
+
+def test_condition_upsert_evaluates_its_source_once(spark, ticks, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = ticks.filter("n < 50").select("symbol", "close", "n").mapInArrow(note, "symbol string, close double, n bigint")
+    upsert_where(
+        ticks,
+        source,
+        on=[("n", "n")],
+        condition=F.col("target.close") <= F.col("source.close"),
+        target_id=["n"],
+        set={"close": "close"},
+        insert={"symbol": "symbol"},
+        broadcast_bytes=0,
+    ).collect()
+    assert seen.value == 50
+
+
 def test_hot_key_of_a_condition_upsert_is_split(ticks, small_partitions):
     """A target key with a third of the rows is read by several tasks of the inner join."""
     source = ticks.filter("n < 200").select("symbol", "close", F.col("n").alias("seq"))
@@ -183,7 +219,7 @@ def test_hot_key_of_a_condition_upsert_is_split(ticks, small_partitions):
         target_id=["n"],
         set={"close": "close"},
         insert={"symbol": "symbol"},
-        broadcast_rows=0,
+        broadcast_bytes=0,
     )
     assert "skew=true" in final_plan(matched)
 

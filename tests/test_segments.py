@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tableflow import Split, bollinger, indicators, macd, moving_average, price_delta, rsi
+from tableflow import Split, bollinger, indicator_tail, indicators, macd, moving_average, price_delta, rsi
 from tableflow.operators import segments
 
 START = datetime(2026, 1, 1)
@@ -66,66 +66,50 @@ def test_copies_without_any_tiebreak_are_split(spark, name):
     df = spark.createDataFrame(rows, "symbol string, event_time timestamp_ntz, close double")
     df = df.repartition(4)
     call = {"indicators": indicators, "price_delta": price_delta}[name]
-    split = Split(rows_per_segment=40, sample_per_segment=1_000)
+    split = Split(rows_per_segment=40)
     cut = call(df, tiebreak=[], split=split)
     plain = call(df, tiebreak=[], split=PLAIN)
     assert cut.columns == plain.columns
     assert as_set(cut) == as_set(plain)
-    text = cut._jdf.queryExecution().toString()
-    assert segments._ROW in text
-
-    hot = segments._long_series(df, ["symbol"], split)
-    marked = segments._hot_flag(segments._numbered(df), ["symbol"], hot)
-    order = ["event_time", segments._ROW]
-    cuts = segments._cut_points(marked, ["symbol"], order, hot, split)
-    parts = segments._with_segment(marked, ["symbol"], order, cuts)
-    sizes = parts.groupBy("symbol", segments.SEGMENT).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 45
-
-
-def test_series_that_share_their_times_are_not_ties(spark):
-    df = spark.range(4000).select(
-        F.concat(F.lit("s"), F.col("id") % 40).alias("symbol"),
-        F.timestamp_seconds(F.floor(F.col("id") / 40)).alias("event_time"),
-        (F.col("id") * 31 % 17).cast("double").alias("close"),
-    )
-    cut = indicators(df, tiebreak=[], split=Split(rows_per_segment=20))
-    assert segments._ROW not in cut._jdf.queryExecution().toString()
-    assert as_set(cut) == as_set(indicators(df, tiebreak=[], split=PLAIN))
+    sizes = pieces(df, ["symbol"], ["event_time"], split).groupBy("symbol", segments.SEGMENT).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 80
+    assert sizes.filter("symbol = 'A'").count() >= 10
+
 
+def pieces(df, keys, order, split):
+    listed, n = segments.long_series(df, keys, split)
+    rows = df.withColumn(segments._KEY, segments._key(keys)).join(listed, segments._KEY, "left_semi")
+    return segments._cut(rows, keys, order, split, n)
 
-def test_list_of_long_series_may_be_shorter_than_their_number(spark):
+
+def test_only_rows_of_long_series_are_written(spark):
     df = skewed(spark)
-    few = Split(rows_per_segment=20, max_hot_keys=2, max_segments=7)
-    assert as_set(CALLS["indicators"](df, few)) == as_set(CALLS["indicators"](df, PLAIN))
+    listed, n = segments.long_series(df, ["symbol"], Split(rows_per_segment=150))
+    keys = {r[0].k0 for r in listed.collect()}
+    assert keys == {"HOT", "INSTANT", None} and n == 600 + 412 + 200
+    assert pieces(df, ["symbol"], ORDER, Split(rows_per_segment=150)).count() == n
 
 
 def test_segments_are_balanced_even_at_one_instant(spark):
-    df = skewed(spark)
-    split = Split(rows_per_segment=50, sample_per_segment=1_000)
-    hot = segments._long_series(df, ["symbol"], split)
-    assert {r.symbol for r in hot} == {"HOT", "INSTANT", "GAPS", "NULLTIME", None}
-    marked = segments._hot_flag(df, ["symbol"], hot)
-    cuts = segments._cut_points(marked, ["symbol"], ORDER, hot, split)
-    assert not cuts.tied
-    cut = segments._with_segment(marked, ["symbol"], ORDER, cuts)
-    sizes = cut.groupBy("symbol", segments.SEGMENT).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 55
-    assert sizes.filter("symbol = 'INSTANT'").count() >= 8
+    sizes = pieces(skewed(spark), ["symbol"], ORDER, Split(rows_per_segment=50))
+    sizes = sizes.groupBy("symbol", segments.SEGMENT).count()
+    assert {r.symbol for r in sizes.collect()} == {"HOT", "INSTANT", "GAPS", "NULLTIME", None}
+    assert sizes.agg(F.max("count")).first()[0] <= 120
+    assert sizes.filter("symbol = 'INSTANT'").count() >= 5
 
 
 def test_history_reaches_over_short_segments(spark):
-    """Segments of ten rows: the 33 rows before one come from several others."""
-    df = skewed(spark)
-    split = Split(rows_per_segment=10, sample_per_segment=1_000)
-    hot = segments._long_series(df, ["symbol"], split)
-    marked = segments._hot_flag(df, ["symbol"], hot)
-    cuts = segments._cut_points(marked, ["symbol"], ORDER, hot, split)
-    cut = segments._with_segment(marked, ["symbol"], ORDER, cuts)
-    earlier = segments._history_rows(cut, ["symbol"], ORDER, 33, ["close"])
-    counts = earlier.groupBy("symbol", segments.SEGMENT).count().collect()
-    assert max(r["count"] for r in counts) == 33
-    assert sum(r["count"] == 33 for r in counts) > 100
+    """Segments of about ten rows: the 33 rows before one come from several others."""
+    cut = pieces(skewed(spark), ["symbol"], ORDER, Split(rows_per_segment=10))
+    total = [*ORDER, segments._ROW]
+    earlier = segments.history_rows(cut, ["symbol"], total, 33, ["close"])
+    counts = {(r[0], r[1]): r[2] for r in earlier.groupBy("symbol", segments.SEGMENT).count().collect()}
+    before = {}
+    for symbol, segment, n in sorted(
+        map(tuple, cut.groupBy("symbol", segments.SEGMENT).count().collect()), key=lambda r: (str(r[0]), r[1])
+    ):
+        assert counts.get((symbol, segment), 0) == min(33, before.get(symbol, 0))
+        before[symbol] = before.get(symbol, 0) + n
 
 
 def test_rows_are_read_once_more_only_for_long_series(spark):
@@ -142,6 +126,23 @@ def test_since_equals_filtering_the_whole_table(spark, split):
     assert as_set(indicators(df, tiebreak=["n"], split=split, since=start)) == as_set(whole)
 
 
+def test_since_with_a_stored_tail_reads_new_rows_only(spark, tmp_path):
+    df = skewed(spark)
+    tail, path = None, str(tmp_path / "tail")
+    for k, (low, high) in enumerate([(None, "00:02:00"), ("00:02:00", "00:06:30"), ("00:06:30", "09:00:00")]):
+        part = df.filter(F.col("event_time") < f"2026-01-01 {high}")
+        if low:
+            part = part.filter(F.col("event_time") >= f"2026-01-01 {low}")
+            start = F.lit(f"2026-01-01 {low}").cast("timestamp_ntz")
+            got = indicators(part, tiebreak=["n"], since=start, earlier=tail)
+            whole = indicators(df.filter("event_time is not null"), tiebreak=["n"])
+            whole = whole.filter((F.col("event_time") >= start) & (F.col("event_time") < f"2026-01-01 {high}"))
+            assert as_set(got) == as_set(whole)
+            part = part.select(*tail.columns).unionByName(tail)
+        indicator_tail(part, tiebreak=["n"]).write.parquet(f"{path}{k}")
+        tail = spark.read.parquet(f"{path}{k}")
+
+
 def test_other_columns_are_kept(spark):
     df = skewed(spark).withColumns({"a.b": F.col("n") * 2, "x": F.struct("n", "close")})
     plain = indicators(df, tiebreak=["n"], split=PLAIN)
@@ -213,9 +214,9 @@ def test_long_series_are_found_in_a_sample(spark):
         (F.col("id") * 31 % 17).cast("double").alias("close"),
     )
     split = Split(rows_per_segment=5_000)
-    found = segments._long_series(df, ["symbol"], split)
-    assert [r.symbol for r in found] == ["HOT"]
-    assert 20_000 < found[0][1] < 40_000
+    listed, n = segments.long_series(df, ["symbol"], split)
+    assert [r[0].k0 for r in listed.collect()] == ["HOT"]
+    assert 20_000 < n < 40_000
     cut = price_delta(df, tiebreak=[], split=split)
     assert segments.SEGMENT in cut._jdf.queryExecution().toString()
     assert as_set(cut) == as_set(price_delta(df, tiebreak=[], split=PLAIN))

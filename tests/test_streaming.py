@@ -12,7 +12,8 @@ from tableflow import (
     latest_per_key,
     project_ticks,
     read_stream,
-    run_bounded,
+    compact,
+    run_to_end,
     start_append,
     start_upsert,
     stream_bars,
@@ -50,10 +51,10 @@ def test_append_stream_survives_a_restart(spark, tmp_path):
         )
 
     counters(spark, range(50)).repartition(3).write.parquet(source)
-    assert run() is True
+    run()
     counters(spark, range(50, 80)).write.mode("append").parquet(source)
-    assert run() is True
-    assert run() is True
+    run()
+    run()
     written = spark.read.parquet(out)
     assert rows(written) == rows(project_ticks(counters(spark, range(80))))
 
@@ -61,10 +62,7 @@ def test_append_stream_survives_a_restart(spark, tmp_path):
 def test_bounded_run_stops_a_running_query(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     counters(spark, range(20)).coalesce(1).write.parquet(source)
-    ended = tick_stream_job(
-        spark, source, out, checkpoint, COUNTER, run_seconds=8, trigger="1 second"
-    )
-    assert ended is False
+    tick_stream_job(spark, source, out, checkpoint, COUNTER, run_seconds=8, trigger="1 second")
     assert not spark.streams.active
     assert spark.read.parquet(out).count() == 20
     tick_stream_job(spark, source, out, checkpoint, COUNTER, run_seconds=120, available_now=True)
@@ -77,7 +75,7 @@ def test_failed_stream_raises(spark, tmp_path):
     broken = read_stream(spark, source, COUNTER).withColumn("x", F.raise_error(F.lit("broken")))
     query = start_append(broken, str(tmp_path / "out"), str(tmp_path / "c"), available_now=True)
     with pytest.raises(Exception, match="broken"):
-        run_bounded(query, 120)
+        run_to_end(query, 120)
 
 
 TICKS = "symbol string, event_time timestamp, close double"
@@ -99,7 +97,7 @@ def test_stream_bars_equal_closed_batch_bars(spark, tmp_path, zone):
     ticks.repartitionByRange(4, "event_time").sortWithinPartitions("event_time").write.parquet(source)
     stream = read_stream(spark, source, ticks.schema, max_files_per_trigger=4)
     closed = stream_bars(stream, "30 minutes", "10 minutes", tiebreak=[])
-    run_bounded(start_append(closed, out, checkpoint, available_now=True), 120)
+    run_to_end(start_append(closed, out, checkpoint, available_now=True), 120)
     limit = START + timedelta(seconds=399 * 60) - timedelta(minutes=10)
     expected = bars(some_ticks(spark), "30 minutes", tiebreak=[]).filter(
         F.col("event_time") + F.expr("interval 30 minutes") <= F.lit(limit)
@@ -118,58 +116,99 @@ def versions(spark, numbers):
     )
 
 
-def apply(batch, batch_id, root, **more):
-    upsert_batch(batch, batch_id, root, keys=["id"], order_by="at", tiebreak=["n"], buckets=4, **more)
+RULE = {"keys": ["id"], "order_by": "at", "tiebreak": ["n"]}
+
+
+def apply(batch, batch_id, root):
+    upsert_batch(batch, batch_id, root, **RULE)
+
 
+def current(spark, root, **more):
+    return current_table(spark, root, versions(spark, [0]).schema, **RULE, **more)
 
-def test_upsert_stream_equals_latest_per_key(spark, tmp_path):
+
+@pytest.mark.parametrize("files_per_batch", [1, 10])
+def test_upsert_stream_does_not_depend_on_batches(spark, tmp_path, files_per_batch):
+    """Also with rows without a key, which are all kept."""
     source, root, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    keyless = spark.createDataFrame([(None, START, i) for i in range(6)] + [(None, None, 1)] * 2, VERSIONS)
     # Files arrive in any order of time: an old version must not undo a newer one.
     for part in ([range(100, 200), range(0, 100), range(150, 300)], [range(290, 310)]):
         for numbers in part:
             versions(spark, numbers).coalesce(1).write.mode("append").parquet(source)
-        stream = read_stream(spark, source, VERSIONS, max_files_per_trigger=1)
-        query = start_upsert(
-            stream, root, checkpoint, keys=["id"], order_by="at", tiebreak=["n"], buckets=4
-        )
-        run_bounded(query, 300)
+        keyless.coalesce(1).write.mode("append").parquet(source)
+        stream = read_stream(spark, source, VERSIONS, max_files_per_trigger=files_per_batch)
+        run_to_end(start_upsert(stream, root, checkpoint, **RULE))
     expected = latest_per_key(versions(spark, range(310)), ["id"], "at", ["n"])
-    found = current_table(spark, root, expected.schema)
-    assert rows(found) == rows(expected)
+    expected = expected.unionByName(keyless).unionByName(keyless)
+    assert rows(current(spark, root)) == rows(expected)
+    compact(spark, root, expected.schema, **RULE)
+    assert rows(current(spark, root)) == rows(expected)
+
+
+def test_a_limit_that_is_too_short_raises(spark, tmp_path):
+    source = str(tmp_path / "in")
+    counters(spark, range(50)).repartition(5).write.parquet(source)
+    stream = read_stream(spark, source, COUNTER, max_files_per_trigger=1)
+    query = start_append(stream, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True)
+    with pytest.raises(TimeoutError, match="partial"):
+        run_to_end(query, 0.01)
+    with pytest.raises(TimeoutError):
+        tick_stream_job(
+            spark, source, str(tmp_path / "o2"), str(tmp_path / "c2"), COUNTER,
+            run_seconds=0.01, available_now=True, max_files_per_trigger=1,
+        )
 
 
 def test_replayed_batch_gives_the_same_table(spark, tmp_path):
     root = str(tmp_path / "table")
-    add = {"n": F.col("target.n") + F.col("source.n")}
-    insert = {"id": "id", "at": "at", "n": "n"}
-    one = spark.createDataFrame([("a", START, 1), ("b", START, 1)], VERSIONS)
-    two = spark.createDataFrame([("a", START, 10), ("c", START, 10)], VERSIONS)
-    apply(one, 0, root, set=add, insert=insert)
-    before = rows(current_table(spark, root, one.schema))
-    for _ in range(3):
-        apply(two, 1, root, set=add, insert=insert)
-        found = {r.id: r.n for r in current_table(spark, root, one.schema).collect()}
-        assert found == {"a": 11, "b": 1, "c": 10}
-    assert rows(current_table(spark, root, one.schema, before=1)) == before
-
-
-def test_uncommitted_data_is_not_seen(spark, tmp_path):
+    one = spark.createDataFrame([("a", START, 1), ("b", START, 1), (None, START, 3)], VERSIONS)
+    two = spark.createDataFrame([("a", START, 10), ("c", START, 10), (None, START, 3)], VERSIONS)
+    apply(one, 0, root)
+    before = rows(current(spark, root))
+    for step in range(4):
+        apply(two, 1, root)
+        if step == 2:
+            compact(spark, root, one.schema, **RULE)
+        found = sorted((str(r.id), r.n) for r in current(spark, root).collect())
+        assert found == [("None", 3), ("None", 3), ("a", 10), ("b", 1), ("c", 10)]
+        if step < 2:
+            assert rows(current(spark, root, before=1)) == before
+
+
+def test_equal_rows_take_the_later_batch(spark, tmp_path):
+    schema = "id string, at timestamp, n bigint, note string"
+    root = str(tmp_path / "table")
+    for k in range(3):
+        upsert_batch(spark.createDataFrame([("a", START, 1, f"v{k}")], schema), k, root, **RULE)
+    stored = spark.createDataFrame([], schema).schema
+    assert current_table(spark, root, stored, **RULE).first().note == "v2"
+
+
+def test_incomplete_batch_is_not_seen(spark, tmp_path):
     root = str(tmp_path / "table")
     apply(versions(spark, range(30)), 0, root)
-    before = rows(current_table(spark, root, versions(spark, [0]).schema))
-    stray = versions(spark, range(100, 130)).withColumn("bucket", F.lit(0))
-    stray.write.partitionBy("bucket").parquet(f"{root}/data/version=1")
-    assert rows(current_table(spark, root, versions(spark, [0]).schema)) == before
+    before = rows(current(spark, root))
+    apply(versions(spark, range(100, 130)), 1, root)
+    (tmp_path / "table" / "batch=1" / "_SUCCESS").unlink()
+    assert rows(current(spark, root)) == before
     apply(versions(spark, [30]), 1, root)
     expected = latest_per_key(versions(spark, range(31)), ["id"], "at", ["n"])
-    assert rows(current_table(spark, root, expected.schema)) == rows(expected)
+    assert rows(current(spark, root)) == rows(expected)
+
 
+def test_bytes_of_a_batch_do_not_grow_with_the_table(spark, tmp_path):
+    def size(k):
+        return sum(f.stat().st_size for f in (tmp_path / "table" / f"batch={k}").glob("*.parquet"))
 
-def test_batch_touches_only_its_buckets(spark, tmp_path):
     root = str(tmp_path / "table")
-    apply(versions(spark, range(60)), 0, root)
-    apply(versions(spark, [60]), 1, root)
-    written = [p.name for p in (tmp_path / "table" / "data" / "version=1").glob("bucket=*")]
-    assert len(written) == 1
-    apply(versions(spark, []), 2, root)
-    assert not (tmp_path / "table" / "data" / "version=2").exists()
+    many = spark.range(50_000).select(
+        F.concat(F.lit("m"), "id").alias("id"), F.lit(START).alias("at"), F.col("id").alias("n")
+    )
+    apply(versions(spark, [60]).coalesce(1), 0, root)
+    apply(many, 1, root)
+    apply(versions(spark, [61]).coalesce(1), 2, root)
+    assert size(2) < size(0) * 1.5 < size(1)
+    compact(spark, root, many.schema, **RULE)
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["base=2"]
+    assert current(spark, root).count() == 50_002
