@@ -19,9 +19,8 @@ edges are removed; all places count, and windows are judged on the input.
 Source coordinates are verified by two independent 64-bit hashes of words at the same place, of the
 window and of its anchor; two unequal windows among 10^13 agree in both with a probability below 1e-11.
 
-Documents without a repeated window are not shuffled if the spans fit ``broadcast_bytes``: then the
-spans are sent to all tasks; otherwise both sides of the last join are shuffled. Groups hold
-``group_bytes`` of text or one document, and buckets ``per_partition`` to a shuffle partition.
+Both sides of the last join are shuffled by source, texts once, whatever their size. Groups hold
+``group_bytes`` of text or one document, and there are ``per_partition`` buckets to a shuffle partition.
 
 Null and empty texts have no words. Null ids are ids like others. Repeated rows are separate sources, so all their
 windows are repeated; rows that repeat an id with another text are told apart by a hash of the text.
@@ -51,13 +50,11 @@ from tableflow.llm.common import (
     to_arrow,
     window_hashes,
 )
-from tableflow.sources.scratch import written
 
 WINDOW = 35
 ANCHOR = 8
 GROUP_BYTES = 4 << 20
 PER_PARTITION = 4
-BROADCAST_BYTES = 32 << 20
 
 PIECES = T.StructType(
     [
@@ -303,7 +300,6 @@ def remove_repeats(
     into: str = "cut",
     group_bytes: int = GROUP_BYTES,
     per_partition: int = PER_PARTITION,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_removed, kept_sha256 and, ``with_text``, text_left.
 
@@ -314,12 +310,10 @@ def remove_repeats(
     if anchor > window:
         raise ValueError("The anchor is longer than the window")
     spans = repeated_spans(docs, id_col, text_col, window, anchor, group_bytes, per_partition)
-    spans, _ = written(spans, "spans")
-    size = spans.agg(F.sum(F.size("starts") * F.lit(40) + F.lit(40))).first()[0] or 0
     key, starts = free_name(docs, "source_key"), free_name(docs, "window_starts")
-    spans = spans.select(F.struct(F.col("id").alias("i"), F.col("mark").alias("m")).alias(key), F.col("starts").alias(starts))
-    if size <= broadcast_bytes:
-        spans = F.broadcast(spans)
+    spans = spans.select(
+        F.struct(F.col("id").alias("i"), F.col("mark").alias("m")).alias(key), F.col("starts").alias(starts)
+    )
     text = F.col(f"`{text_col}`").cast("binary")
     source = F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(text).alias("m"))
     joined = docs.withColumn(key, source).join(spans, key, "left")
