@@ -130,7 +130,7 @@ def _group_rows(group: list, window: int, anchor: int, buckets: int) -> Iterator
     for start, end in _runs(again, owner, places):
         i = int(owner[start])
         first = int(places[start] - begins[i])
-        bucket = (hash(group[i][2]) + first) % buckets
+        bucket = ((group[i][0] or 0) + first) % buckets  # any will do
         yield [bucket, None, group[i][0], group[i][2], first, first + end - start]
     grams = window_hashes(hashes, anchor)
     keep = np.flatnonzero(is_first)
