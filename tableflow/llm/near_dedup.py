@@ -8,13 +8,15 @@ Jaccard similarity of at least ``percent`` / 100.
    shingles are kept: 128 values from 64 hash evaluations a shingle. Four values make a band, so
    that there are 32 bands; a pair at the limit of 0.85 misses all of them with a probability below 1e-10.
 2. *Classes.* Documents of equal word sequences are one class, led by its smallest id. Only leaders go on.
-3. *Buckets.* Leaders with an equal band share a bucket. A bucket is never expanded into all pairs. First
-   each member is compared with the bucket's smallest id. Then, while a bucket still holds members of
-   different components, up to ``pivots`` members outside its largest component are compared with
-   the members of other components, and are done. A pair in no bucket's comparison is already connected, so no
-   component is lost, whatever the size of a bucket.
-4. *Confirmation* reads the whole texts of candidate pairs and compares exact sets.
-5. *Components* of the confirmed links give each document its group and the one that is kept.
+3. *Stars.* Leaders with an equal band share a bucket. A bucket is never expanded into all pairs: its members are
+   compared with its hub only, the one that meets the most other leaders in all its buckets.
+4. *Rest.* A bucket whose members are then still in different components may hide links between them. Every such link
+   has an end outside the bucket's largest component. For these ends, and only for them, the prefix filter gives all possible
+   partners: a document that reaches the limit with one of n shingles has at least one of its rarest ones, as many as the two sizes
+   leave room for. Shingles shared by a whole group are not among the rarest of those that differ too much from its hub. Nothing is
+   lost here, whatever the size of a group.
+5. *Confirmation* reads the whole texts of candidate pairs and compares exact sets.
+6. *Components* of the confirmed links give each document its group and the one that is kept.
 
 Broadcast are only the ids of candidates, if there are at most ``broadcast_ids``; otherwise the
 join shuffles. Texts of non-candidates are not shuffled in the first case. Everything between the steps
@@ -36,7 +38,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.llm.common import id_and_text, map_rows, mix, record_batch, to_arrow, window_hashes, word_hashes
+from tableflow.llm.common import (
+    id_and_text,
+    map_rows,
+    mix,
+    record_batch,
+    slices,
+    to_arrow,
+    window_hashes,
+    word_hashes,
+)
 from tableflow.llm.components import connected_components
 from tableflow.sources.scratch import drop_scratch, written
 
@@ -45,7 +56,6 @@ PERCENT = 85
 PERMUTATIONS = 64
 BAND_ROWS = 4
 BROADCAST_IDS = 1_000_000
-PIVOTS = 16
 
 _SEED = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
 _MULTIPLY = (_SEED[:PERMUTATIONS] | np.uint64(1))[None, :]
@@ -143,7 +153,6 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE,
     percent: int = PERCENT,
-    pivots: int = PIVOTS,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id and kept (it is the smallest id of its group)."""
@@ -152,49 +161,29 @@ def near_duplicates(
     signed, signed_path = written(map_rows(source, _signer(shingle), SIGNED), "signed")
 
     leaders = signed.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("leader"))
-    classed, classed_path = written(
+    classed, _ = written(
         signed.where("id IS NOT NULL")
         .join(leaders, "key")
         .select("id", "n", "leader", F.when(F.col("id") == F.col("leader"), F.col("bands")).alias("bands")),
         "classed",
     )
-    exploded = classed.where("bands IS NOT NULL").select(
-        F.posexplode("bands").alias("band", "value"), F.col("leader").alias("id")
-    )
-    rows = exploded.select(F.xxhash64("band", "value").alias("h"), "id")
-    shared = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    buckets, buckets_path = written(rows.join(shared, "h").select("h", "id", "first"), "buckets")
+    buckets, buckets_path = written(_buckets(classed), "buckets")
 
     candidates, ids_path = written(buckets.select("id").distinct(), "ids")
     few = candidates.count() <= broadcast_ids
     wanted = F.broadcast(candidates) if few else candidates
     texts, texts_path = written(source.where("id IS NOT NULL").join(wanted, "id", "left_semi").distinct(), "texts")
 
-    pairs = buckets.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    tested, path = written(_verify(pairs, texts, shingle, percent), "tested")
-    tested_paths = [path]
-    done, done_paths = None, []
+    tested, tested_path = written(_verify(_star_pairs(buckets), texts, shingle, percent), "tested")
     labels, labels_path = connected_components(tested.where("linked"))
-    while True:
-        chosen = _next_pivots(buckets, labels, done, pivots)
-        chosen, path = written(chosen, "pivots")
-        done_paths.append(path)
-        if chosen.isEmpty():
-            break
-        more = _cross_pairs(buckets, labels, chosen, tested)
-        more, path = written(_verify(more, texts, shingle, percent), "tested")
-        tested_paths.append(path)
-        tested = spark.read.schema(VERIFIED).parquet(*tested_paths)
-        done = spark.read.schema(chosen.schema).parquet(*done_paths)
-        new = more.where("linked").select("a", "b")
-        if not new.isEmpty():
-            old_path = labels_path
-            known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            labels, labels_path = connected_components(known.unionByName(new))
-            drop_scratch(spark, old_path)
-    drop_scratch(spark, buckets_path, ids_path, texts_path, *tested_paths, *done_paths)
-
-    ided = classed.join(labels.withColumnRenamed("id", "leader"), "leader", "left").select(
+    tokens, tokens_path = written(_tokens(_mixed(buckets, labels), texts, shingle), "tokens")
+    rest = _prefix_pairs(tokens, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    found, found_path = written(_verify(rest, texts, shingle, percent), "found")
+    known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    all_labels, _ = connected_components(known.unionByName(found.where("linked").select("a", "b")))
+    drop_scratch(spark, buckets_path, ids_path, texts_path, tested_path, labels_path, tokens_path, found_path)
+
+    ided = classed.join(all_labels.withColumnRenamed("id", "leader"), "leader", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "leader").alias("component_id")
     )
     without = signed.where("id IS NULL").select(
@@ -203,34 +192,82 @@ def near_duplicates(
     return ided.unionByName(without).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
+def _buckets(classed: DataFrame) -> DataFrame:
+    """(h, id, size) for leaders that share a band with another leader; size: how many share it."""
+    exploded = classed.where("bands IS NOT NULL").select(
+        F.posexplode("bands").alias("band", "value"), F.col("leader").alias("id")
+    )
+    rows = exploded.select(F.xxhash64("band", "value").alias("h"), "id")
+    shared = (
+        rows.groupBy("h")
+        .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size"))
+        .where("first <> last")
+    )
+    return rows.join(shared.select("h", "size"), "h")
+
+
+def _star_pairs(buckets: DataFrame) -> DataFrame:
+    """Each member with the hub of its bucket; of equally met leaders the smallest id is the hub."""
+    degrees = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
+    ranked = buckets.join(degrees, "id").select("h", "id", F.struct("degree", (-F.col("id")).alias("low")).alias("rank"))
+    hubs = ranked.groupBy("h").agg(F.max("rank").alias("most")).select("h", (-F.col("most.low")).alias("hub"))
+    pairs = buckets.select("h", "id").join(hubs, "h").where("id <> hub")
+    return pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _next_pivots(buckets: DataFrame, labels: DataFrame, done: DataFrame | None, pivots: int) -> DataFrame:
-    """(h, pivot): members still to be compared, outside the largest component of a mixed bucket."""
-    rows = _labelled(buckets, labels)
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component, outside) for members of buckets with several components; outside: of the largest one."""
+    rows = buckets.join(labels, "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
     sizes = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("h").agg(
-        F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")
-    )
-    minor = (
-        rows.join(mixed.where("components > 1"), "h")
-        .where("component <> most.component")
-        .select("h", F.col("id").alias("pivot"))
-    )
-    if done is not None:
-        minor = minor.join(done, ["h", "pivot"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("pivot"))
-    return minor.withColumn("rank", rank).where(F.col("rank") <= pivots).select("h", "pivot")
+    mixed = sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k"))
+    members = rows.join(mixed.where("k > 1"), "h")
+    outside = F.max((F.col("component") != F.col("most.component")).cast("int"))
+    return members.groupBy("id", "component").agg((outside == 1).alias("outside"))
 
 
-def _cross_pairs(buckets: DataFrame, labels: DataFrame, chosen: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of a pivot and the members of other components in its buckets, without those tested."""
-    rows = _labelled(buckets, labels)
-    pivot = rows.select("h", F.col("id").alias("pivot"), F.col("component").alias("own")).join(
-        chosen, ["h", "pivot"], "left_semi"
+TOKENS = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("component", T.LongType()),
+        T.StructField("outside", T.BooleanType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("token", T.LongType()),
+    ]
+)
+
+
+def _tokens(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """A row for each shingle hash of the members. Equal hashes of unequal shingles only add partners."""
+    schema = to_arrow(TOKENS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in slices(batches, 64):
+            for doc_id, component, outside, text in zip(*columns, strict=True):
+                words = word_hashes(text.lower())
+                hashes = np.unique(window_hashes(words, min(size, len(words)))).view(np.int64)
+                n = len(hashes)
+                yield record_batch(
+                    [np.full(n, doc_id), np.full(n, component), np.full(n, outside), np.full(n, n), hashes], schema
+                )
+
+    return texts.join(members, "id").select("id", "component", "outside", "text").mapInArrow(run, TOKENS)
+
+
+def _prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share one of the rarest shingles of a member outside."""
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"), F.max("outside").alias("asked"))
+    asked = tokens.where("outside").join(frequency.where("asked"), "token")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    # the partner with the fewest shingles that can reach the limit leaves the most room
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = asked.withColumn("rank", rank).where((F.col("rank") <= room) & (F.col("df") > 1))
+    x = rare.select("token", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), "rank")
+    y = tokens.select("token", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    common = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    fits = (
+        (F.col("cx") != F.col("cy"))
+        & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        & (F.col("rank") <= F.col("nx") - common + 1)
     )
-    pairs = rows.join(pivot, "h").where("component <> own").select("id", "pivot")
-    pairs = pairs.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = x.alias("p").join(y.alias("q"), (F.col("p.token") == F.col("q.token")) & fits)
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
