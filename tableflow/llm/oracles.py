@@ -54,8 +54,79 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP5 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x),
+k AS (SELECT doc_id, least(doc_id, min(other)) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+  coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_OP7 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+d AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM t),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+again AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT g.doc_id, unnest(range(i, i + 3)) AS p FROM g JOIN again ON g.doc_id = again.doc_id AND g.g = again.g)
+  GROUP BY 1),
+l AS (
+  SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS i
+        FROM t)),
+f AS (
+  SELECT *, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[A-Z]')) AS upper,
+    len(regexp_extract_all(line, '[a-z]')) AS lower,
+    len(list_filter(w, lambda v: v IN ('|', '>', '<', '/', '-', '»', '·', '•', '›'))) AS separators,
+    len(list_filter(w, lambda v: ends_with(v, '!!'))) AS loud,
+    len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) AS stutter
+  FROM l WHERE len(w) > 0),
+j AS (
+  SELECT doc_id, n, dup, dup
+    OR (symbols >= 3 AND 2 * symbols > n)
+    OR (separators >= 3 AND 5 * separators >= n)
+    OR (upper >= 20 AND upper > lower)
+    OR (loud >= 3 AND 5 * loud >= n)
+    OR (stutter >= 3 AND 10 * stutter >= 3 * n)
+    OR (n <= 20 AND regexp_matches(line, '(?i)^\W*(licensed under|copyright|all rights reserved|cookie policy'
+      || '|privacy policy|terms of (use|service)|javascript|subscribe|sign (in|up)|log ?in|read more|click here'
+      || '|share this|follow us)\b'))
+    OR (n >= 30 AND NOT regexp_matches(line, '[.,;:!?]')) AS bad
+  FROM f),
+q AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup, sum(n) FILTER (NOT bad) AS n_left FROM j GROUP BY 1),
+b AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(x, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_left, 0) AS BIGINT) AS n_words_left
+  FROM d LEFT JOIN q USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= 50 * n_words AS kept
+FROM b
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _OP1,
     "op2_warc_zip": _OP2,
     "op4_substring": _OP4,
+    "op5_near_dedup": _OP5,
+    "op7_line_rules": _OP7,
 }
