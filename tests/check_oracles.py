@@ -34,7 +34,11 @@ def main():
             continue
         start = time.time()
         try:
-            difference = compare(query(spark, sf_dir), con, sqls[key])
+            if key in sqls:
+                difference = compare(query(spark, sf_dir), con, sqls[key])
+            else:  # no SQL can express it
+                print(f"{key:24} {query(spark, sf_dir).count()} rows, no SQL", flush=True)
+                continue
         except Exception as error:  # report every query, also after a failing one
             difference = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += bool(difference)
