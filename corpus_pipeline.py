@@ -19,7 +19,7 @@ from tableflow.llm.near_dedup import near_duplicates
 from tableflow.llm.packing import pack_documents
 from tableflow.llm.queries import tokenizer_file
 from tableflow.llm.substring import remove_repeats
-from tableflow.sources.scratch import written
+from tableflow.sources.scratch import drop_scratch, written
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
@@ -75,8 +75,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between two of them the table is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; between two of them the table is written and read again.
+
+    A stage's table is dropped once the next one is written. The last stage reads its input when the result
+    is used, so that table stays until the caller drops scratch tables.
+    """
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, *last)
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
