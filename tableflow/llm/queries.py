@@ -57,7 +57,13 @@ def _op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labelled, "doc_id", "text", ~held_out)
     scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "toxicity.*", (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted")
+        "doc_id",
+        held_out.alias("held_out"),
+        "toxicity.score",
+        (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted"),
+        "toxicity.n_hits",
+        "toxicity.n_quoted",
+        "toxicity.terms",
     )
 
 

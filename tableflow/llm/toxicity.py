@@ -348,8 +348,6 @@ def _is_quoted(tokens: list[str], at: int, reach: int) -> bool:
         start -= 1
     else:
         return False
-    if start < 0:
-        return False
     return any((t.rstrip(".,;:!?") or " ")[-1] in CLOSING for t in tokens[at : at + reach + 1])
 
 
