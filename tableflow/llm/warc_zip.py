@@ -5,7 +5,8 @@ A package holds two stored (uncompressed) members: ``archive/data.warc.gz``, one
 
 *Writing.* Of pages with equal payloads of ``revisit_bytes`` or more, that with the largest id becomes a
 response record and the others revisit records without a payload. The groups are found from digests; the pages
-themselves are shuffled only if there are more than ``broadcast_groups`` groups with copies. Each task
+themselves are shuffled only if there are more than ``broadcast_groups`` groups with copies, by a plain join that adaptive
+execution splits at a hot digest. Each task
 streams its pages into packages of about ``package_bytes`` under fresh names and returns one manifest row for
 each package it closed. A package is part of the result only if the manifest names it, so a task that
 failed or ran twice leaves a file, but no record twice.
@@ -20,7 +21,7 @@ systems, in the tasks, so any store that these reach will do.
 
 A null payload is the empty one. Pages without an id are written and read back without one: they revisit the
 largest id of their group, and if none has an id, all are responses. Rows that repeat the largest id are all
-responses. A null url is left out of the record. An empty table gives an empty manifest. Other columns are not read.
+responses. A null url is left out of the record; characters that a header cannot hold come back percent-encoded. An empty table gives an empty manifest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.llm.common import need_columns, record_batch, slices, to_arrow
+from tableflow.sources.scratch import written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_BYTES = 1000
@@ -99,7 +101,8 @@ def with_record_types(
         .where("n > 1 AND leader IS NOT NULL")
         .select(F.col("digest").alias("shared"), "leader")
     )
-    if len(groups.limit(broadcast_groups + 1).take(1)) and groups.count() <= broadcast_groups:
+    groups, _ = written(groups, "groups")
+    if groups.count() <= broadcast_groups:
         groups = F.broadcast(groups)
     joined = rows.join(groups, (F.col("digest") == F.col("shared")) & large, "left")
     leader = F.when(~F.col("id").eqNullSafe(F.col("leader")), F.col("leader"))
