@@ -11,10 +11,10 @@ Jaccard similarity of at least ``percent`` / 100.
 3. *Stars.* Leaders with an equal band share a bucket. A bucket is never expanded into all pairs: its members are
    compared with its hub only, the one that meets the most other leaders in all its buckets.
 4. *Rest.* A bucket whose members are then still in different components may hide links between them. Every such link
-   has an end outside the bucket's largest component. For these ends, and only for them, the prefix filter gives all possible
-   partners: a document that reaches the limit with one of n shingles has at least one of its rarest ones, as many as the two sizes
-   leave room for. Shingles shared by a whole group are not among the rarest of those that differ too much from its hub. Nothing is
-   lost here, whatever the size of a group.
+   has an end outside the bucket's largest component. For these ends the prefix filter gives all possible
+   partners: two sets that reach the limit share at least one of the rarest shingles of each, as many as the two sizes
+   leave room for. Shingles shared by a whole group are not among the rarest of those that differ too much from its hub, so pairs
+   without a link hardly ever come up. Nothing is lost here, whatever the size of a group.
 5. *Confirmation* reads the whole texts of candidate pairs and compares exact sets.
 6. *Components* of the confirmed links give each document its group and the one that is kept.
 
@@ -254,20 +254,21 @@ def _tokens(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def _prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share one of the rarest shingles of a member outside."""
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"), F.max("outside").alias("asked"))
-    asked = tokens.where("outside").join(frequency.where("asked"), "token")
+    """Pairs of different components, one of them outside, that share one of the rarest shingles of both."""
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     # the partner with the fewest shingles that can reach the limit leaves the most room
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = asked.withColumn("rank", rank).where((F.col("rank") <= room) & (F.col("df") > 1))
-    x = rare.select("token", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), "rank")
-    y = tokens.select("token", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    common = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    ranked = tokens.join(frequency, "token").withColumn("rank", rank)
+    rare, _ = written(ranked.where((F.col("rank") <= room) & (F.col("df") > 1)), "rare")
+    p, q = rare.where("outside").alias("p"), rare.alias("q")
+    common = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
     fits = (
-        (F.col("cx") != F.col("cy"))
-        & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        & (F.col("rank") <= F.col("nx") - common + 1)
+        (F.col("p.token") == F.col("q.token"))
+        & (F.col("p.component") != F.col("q.component"))
+        & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
+        & (F.col("p.rank") <= F.col("p.n") - common + 1)
+        & (F.col("q.rank") <= F.col("q.n") - common + 1)
     )
-    pairs = x.alias("p").join(y.alias("q"), (F.col("p.token") == F.col("q.token")) & fits)
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    pairs = p.join(q, fits)
+    return pairs.select(F.greatest("p.id", "q.id").alias("a"), F.least("p.id", "q.id").alias("b")).distinct()
