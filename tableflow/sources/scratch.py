@@ -40,3 +40,20 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
             raise ValueError(f"Not a scratch folder: {path}")
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+class Scratch:
+    """Tables written for the steps of one operator, dropped together once its result is stored."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back, until :meth:`drop`."""
+        table, path = written(df, name)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        drop_scratch(self.spark, *self.paths)
+        self.paths.clear()
