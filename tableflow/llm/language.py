@@ -1,7 +1,7 @@
 """Languages of documents as mixtures, by expectation-maximisation over n-gram likelihoods.
 
-*Training.* Runs of three characters inside words, with the words' ends marked, are counted for each language
-over all training documents, in ``BUCKETS`` buckets. Counts are summed within each task first; the
+*Training.* Runs of three bytes of lower-cased words in UTF-8, with the words' ends marked by a space, are counted for each
+language over all training documents, in ``BUCKETS`` buckets. Words are runs of ASCII letters and non-ASCII characters. Counts are summed within each task first; the
 driver gets one smoothed table of languages x buckets, whose size does not depend on the corpus.
 
 *Prediction.* The likelihood of a word under a language is the product over its n-grams. A
@@ -10,16 +10,13 @@ likeliest. The set of languages starts with the likeliest single one and grows b
 proportion among the rest while that raises the likelihood by more than a penalty of ``penalty`` times the logarithm of the
 number of words. The prediction is the language with the largest proportion in the set, the score its proportion.
 
-Texts are read whole; words not seen before are scored once per worker and kept in a table that starts
-anew when full. A null text, or one without letters, is ``und`` with score 0. Null languages, and
+Texts are read whole, in blocks of ``BLOCK_BYTES`` cut between words. A null text, or one without letters, is ``und`` with score 0. Null languages, and
 rows without an id, are not learned from. Repeated rows count each. Without any training row all
 predictions are ``und``. Other columns stay as they are; one called like the result is replaced.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,13 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.llm.common import need_columns, record_batch, row_column, slices, to_arrow
+from tableflow.llm.common import BLOCK_BYTES, need_columns, record_batch, row_column, slices, to_arrow
 
-BUCKETS = 1 << 15
-GRAM = 3
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 UNKNOWN = "und"
 
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTER = regex.compile(r"\p{L}")
+
+
+def _letter_bytes() -> bytes:
+    """ASCII letters in lower case and non-ASCII bytes as they are; a space for all others."""
+    lowered = [b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)]
+    return bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in lowered)
+
+
+_LETTERS = _letter_bytes()
+
 
 COUNTS = T.StructType(
     [T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())]
@@ -51,16 +58,34 @@ MIXTURE = T.StructType(
 )
 
 
-def words_of(text: bytes | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _LETTERS.findall((text or b"").decode("utf-8", "replace").lower())
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words in lower case."""
+    data = text or b""
+    if not data.isascii():
+        data = data.decode("utf-8", "replace").lower().encode()
+    return data.translate(_LETTERS).split()
+
+
+def blocks_of(words: list[bytes]) -> Iterator[bytes]:
+    """The words between single spaces, ``BLOCK_BYTES`` or one word at a time."""
+    block, size = [], 0
+    for word in words:
+        block.append(word)
+        size += len(word) + 1
+        if size >= BLOCK_BYTES:
+            yield b" " + b" ".join(block) + b" "
+            block, size = [], 0
+    if block:
+        yield b" " + b" ".join(block) + b" "
 
 
-def buckets_of(word: str) -> list[int]:
-    """The buckets of a word's n-grams."""
-    marked = f"<{word}>"
-    n = max(1, len(marked) - GRAM + 1)
-    return [zlib.crc32(marked[i : i + GRAM].encode()) % BUCKETS for i in range(n)]
+def grams_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of a block's n-grams, which of them lie in a word, and where words begin among them."""
+    data = np.frombuffer(block, np.uint8).astype(np.uint32)
+    code = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
+    code = (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
+    space = data == 32
+    return code.astype(np.int64), ~space[1:-1], np.flatnonzero(space[:-2])
 
 
 @dataclass(frozen=True)
@@ -77,22 +102,16 @@ def train(docs: DataFrame, lang_col: str, text_col: str, rows: Column) -> Langua
     schema = to_arrow(COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
         totals: dict[str, np.ndarray] = {}
-
-        def settle() -> None:
-            for lang, counted in words.items():
-                total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for word, n in counted.items():
-                    np.add.at(total, buckets_of(word), n)
-            words.clear()
-
         for langs, texts in slices(batches):
+            together: dict[str, list[bytes]] = {}
             for lang, text in zip(langs, texts, strict=True):
-                words.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, words.values())) > 100_000:
-                settle()
-        settle()
+                together.setdefault(lang, []).extend(words_of(text))
+            for lang, words in together.items():
+                total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for block in blocks_of(words):
+                    code, inside, _ = grams_of(block)
+                    total += np.bincount(code[inside], minlength=BUCKETS)
         for lang, total in totals.items():
             used = np.flatnonzero(total)
             yield record_batch([[lang] * len(used), pa.array(used.astype(np.int32)), pa.array(total[used])], schema)
@@ -146,34 +165,31 @@ def mixture(logs: np.ndarray, weights: np.ndarray, penalty: float) -> tuple[list
     return [chosen[i] for i in order], share[order]
 
 
-def _predictor(sent, penalty: float, keep: int) -> Callable[[], Callable[[bytes | None], tuple]]:
+def word_logs(words: list[bytes], table: np.ndarray) -> np.ndarray:
+    """The log-likelihood of each word under each language."""
+    parts = []
+    for block in blocks_of(words):
+        code, inside, starts = grams_of(block)
+        parts.append(np.add.reduceat(table[code] * inside[:, None], starts, axis=0))
+    return np.concatenate(parts)
+
+
+def _predictor(sent, penalty: float) -> Callable[[], Callable[[bytes | None], tuple]]:
     def make() -> Callable[[bytes | None], tuple]:
         model: LanguageModel = sent.value
-        known: dict[str, int] = {}
-        table = np.empty((keep, len(model.languages)), np.float32)
-
-        def learn(words: list[str]) -> None:
-            for word in words:
-                table[len(known)] = model.table[buckets_of(word)].sum(axis=0)
-                known[word] = len(known)
-
-        def rows_of(words: list[str]) -> np.ndarray:
-            new = [word for word in words if word not in known]
-            if len(known) + len(new) > keep:
-                known.clear()
-                new = words
-            if len(new) > keep:  # a text with more distinct words than the table holds
-                return np.concatenate([rows_of(words[i : i + keep]) for i in range(0, len(words), keep)])
-            learn(new)
-            return table[[known[word] for word in words]]
 
         def row(text: bytes | None) -> tuple:
-            counted = Counter(words_of(text))
-            if not counted or not model.languages:
+            words = words_of(text)
+            if not words or not model.languages or not _LETTER.search((text or b"").decode("utf-8", "replace")):
                 return UNKNOWN, 0.0, [], []
-            weights = np.fromiter(counted.values(), np.float64, len(counted))
-            chosen, share = mixture(rows_of(list(counted)).astype(np.float64), weights, penalty)
-            return model.languages[chosen[0]], float(min(1.0, share[0])), [model.languages[i] for i in chosen], share.tolist()
+            logs = word_logs(words, model.table)
+            chosen, share = mixture(logs, np.ones(len(logs), np.float32), penalty)
+            return (
+                model.languages[chosen[0]],
+                float(min(1.0, share[0])),
+                [model.languages[i] for i in chosen],
+                share.tolist(),
+            )
 
         return row
 
@@ -185,11 +201,10 @@ def identify(
     model: LanguageModel,
     text_col: str = "text",
     penalty: float = 3.0,
-    keep_words: int = 200_000,
     into: str = "mixture",
 ) -> DataFrame:
     """``docs`` with a struct column ``into`` of ``MIXTURE``."""
     need_columns(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    column = row_column(_predictor(sent, penalty, keep_words), MIXTURE)
+    column = row_column(_predictor(sent, penalty), MIXTURE)
     return docs.withColumn(into, column(F.col(f"`{text_col}`").cast("binary")))

@@ -123,6 +123,21 @@ def test_proportions_are_a_fixed_point():
     assert np.allclose(share, again, atol=1e-8) and share.sum() == pytest.approx(1)
 
 
+def test_word_likelihoods_equal_a_loop(monkeypatch):
+    rng = np.random.default_rng(8)
+    table = rng.normal(-5, 1, (language.BUCKETS, 3)).astype(np.float32)
+    words = language.words_of("Der Ärger, a bb: ÉTÉ's x9y – 12 Straße".encode())
+    assert words == [w.encode() for w in ("der", "ärger", "a", "bb", "été", "s", "x", "y", "–", "straße")]
+    for limit in (1, 10, 1000):
+        monkeypatch.setattr(language, "BLOCK_BYTES", limit)
+        got = language.word_logs(words, table)
+        for word, row in zip(words, got, strict=True):
+            marked = b" " + word + b" "
+            codes = [int.from_bytes(marked[i : i + 3], "big") for i in range(len(word))]
+            rows = [(c * 2654435761 % 2**32) >> (32 - language.BUCKET_BITS) for c in codes]
+            assert np.allclose(row, table[rows].sum(axis=0), atol=1e-3)
+
+
 def test_language_edges(spark):
     rows = [(i, "the cat and the dog " * 3, "en") for i in range(5)]
     rows += [(10 + i, "le chat et la souris " * 3, "fr") for i in range(5)]
@@ -131,7 +146,7 @@ def test_language_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.train(docs, "lang", "text", F.lit(True))
     assert model.languages == ["en", "fr"]
-    got = {r["doc_id"]: r["mixture"] for r in language.identify(docs, model, keep_words=3).collect()}
+    got = {r["doc_id"]: r["mixture"] for r in language.identify(docs, model).collect()}
     for i in (20, 21, 22):
         assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
     assert got[23]["lang_pred"] == "en" and got[None]["lang_pred"] == "fr"
