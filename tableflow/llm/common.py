@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_ROWS = 256
+SLICE_ROWS = 64
 BLOCK_BYTES = 1 << 20
 
 WHITE_SPACE = b" \t\n\r\x0b\x0c"
@@ -43,6 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             yield tuple(part.column(i).to_pylist() for i in range(part.num_columns))
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def map_rows(
@@ -75,18 +77,26 @@ def row_column(make: Callable[[], Callable[..., Sequence]], schema: T.StructType
     def run(*arrays: pa.Array) -> pa.Array:
         if not made:
             made.append(make())
-        rows, row = [], made[0]
+        parts = [_structs([], fields)]
         for start in range(0, len(arrays[0]), SLICE_ROWS):
-            rows += map(row, *(x.slice(start, SLICE_ROWS).to_pylist() for x in arrays))
-        columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-        return pa.StructArray.from_arrays(
-            [pa.array(x, type=f.type) for x, f in zip(columns, fields, strict=True)], fields=fields
-        )
+            rows = map(made[0], *(x.slice(start, SLICE_ROWS).to_pylist() for x in arrays))
+            parts.append(_structs(list(zip(*rows, strict=True)), fields))
+        joined = pa.concat_arrays(parts)
+        del parts
+        pa.default_memory_pool().release_unused()
+        return joined
 
     run.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, schema).asNondeterministic()  # or a filter on it would run it twice
 
 
+def _structs(columns: list, fields: list[pa.Field]) -> pa.StructArray:
+    columns = columns or [[] for _ in fields]
+    return pa.StructArray.from_arrays(
+        [pa.array(x, type=f.type) for x, f in zip(columns, fields, strict=True)], fields=fields
+    )
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or that with underscores before it until no column is called so in any case."""
     taken = {c.lower() for c in df.columns}

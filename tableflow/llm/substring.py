@@ -53,8 +53,8 @@ from tableflow.llm.common import (
 
 WINDOW = 35
 ANCHOR = 8
-GROUP_BYTES = 4 << 20
-PER_PARTITION = 4
+GROUP_BYTES = 1 << 20
+PER_PARTITION = 16
 
 PIECES = T.StructType(
     [
@@ -211,7 +211,7 @@ def repeated_spans(
         for row in rows:
             batch.append(row)
             size += len(row[1] or b"") + 40
-            if size > 4 << 20:
+            if size > 1 << 20:
                 yield record_batch(list(zip(*batch, strict=True)), pieces_schema)
                 batch, size = [], 0
         if batch:
@@ -238,7 +238,8 @@ def repeated_spans(
             known = batch.filter(batch.column(1).is_null())
             if known.num_rows:
                 yield record_batch([known.column(i) for i in range(2, 6)], spans_schema)
-            for bucket, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                blob = batch.column(1)[i].as_py()
                 if bucket != current:
                     if blobs:
                         yield record_batch(_bucket_spans(blobs), spans_schema)
