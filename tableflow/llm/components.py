@@ -2,8 +2,8 @@
 
 Each iteration replaces every link by one to the smallest neighbour seen from its larger end (large
 star) and from its smaller end (small star). The number of links never grows, and a few iterations
-suffice for shallow groups. Minima are combined in the map tasks, and the joins that bring them back
-are plain ones that adaptive execution splits at hot ids. Links are written to the shared folder
+suffice for shallow groups. Minima are combined in the map tasks and stored, so that the joins that bring them back
+are plain ones, which adaptive execution splits at hot ids. Links are written to the shared folder
 after each iteration, so that lineage stays short and a lost executor costs one iteration at most.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.sources.scratch import drop_scratch, written
+from tableflow.sources.scratch import Scratch, written
 
 
 def connected_components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -22,18 +22,21 @@ def connected_components(links: DataFrame) -> tuple[DataFrame, str]:
     null, count for nothing; repeated links count once. No links give an empty table.
     """
     spark = links.sparkSession
+    before, now = Scratch(spark), Scratch(spark)
     current = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current, path = written(current.distinct(), "links")
-    state = _state(current)
-    while state[0]:
-        after, new_path = written(_small_star(_large_star(current)), "links")
-        drop_scratch(spark, path)
-        current, path = after, new_path
-        before, state = state, _state(current)
-        if state == before:
-            break
+    current = before.keep(current.distinct(), "links")
+    state, last = _state(current), None
+    while state[0] and state != last:
+        current = now.keep(_small_star(_large_star(current, now), now), "links")
+        last, state = state, _state(current)
+        before.drop()
+        # of the tables of this step, only the links themselves are read again
+        before, now = now, before
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots), path
+    found = current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    stored, path = written(found, "components")
+    before.drop()
+    return stored, path
 
 
 def _state(links: DataFrame) -> tuple:
@@ -41,14 +44,14 @@ def _state(links: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = both.join(least, "a").where("b > a")
     return joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
+    least = scratch.keep(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()

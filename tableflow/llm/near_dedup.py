@@ -49,7 +49,7 @@ from tableflow.llm.common import (
     word_hashes,
 )
 from tableflow.llm.components import connected_components
-from tableflow.sources.scratch import drop_scratch, written
+from tableflow.sources.scratch import Scratch, drop_scratch, written
 
 SHINGLE = 3
 PERCENT = 85
@@ -133,8 +133,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                a, b, text_a, text_b = (batch.slice(start, 256).column(i).to_pylist() for i in range(4))
+            for start in range(0, batch.num_rows, 32):
+                a, b, text_a, text_b = (batch.slice(start, 32).column(i).to_pylist() for i in range(4))
                 linked = []
                 for i in range(len(a)):
                     if last != text_b[i]:
@@ -157,31 +157,36 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id and kept (it is the smallest id of its group)."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     source = id_and_text(docs, id_col, text_col)
-    signed, signed_path = written(map_rows(source, _signer(shingle), SIGNED), "signed")
+    signed, _ = written(map_rows(source, _signer(shingle), SIGNED), "signed")
 
-    leaders = signed.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("leader"))
+    # What was aggregated is stored before it is joined: only then can Spark split a hot key of the join.
+    leaders = scratch.keep(
+        signed.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("leader")), "leaders"
+    )
     classed, _ = written(
         signed.where("id IS NOT NULL")
         .join(leaders, "key")
         .select("id", "n", "leader", F.when(F.col("id") == F.col("leader"), F.col("bands")).alias("bands")),
         "classed",
     )
-    buckets, buckets_path = written(_buckets(classed), "buckets")
+    buckets = scratch.keep(_buckets(classed, scratch), "buckets")
 
-    candidates, ids_path = written(buckets.select("id").distinct(), "ids")
+    candidates = scratch.keep(buckets.select("id").distinct(), "ids")
     few = candidates.count() <= broadcast_ids
     wanted = F.broadcast(candidates) if few else candidates
-    texts, texts_path = written(source.where("id IS NOT NULL").join(wanted, "id", "left_semi").distinct(), "texts")
+    texts = scratch.keep(source.where("id IS NOT NULL").join(wanted, "id", "left_semi").distinct(), "texts")
 
-    tested, tested_path = written(_verify(_star_pairs(buckets), texts, shingle, percent), "tested")
+    tested = scratch.keep(_verify(_star_pairs(buckets, scratch), texts, shingle, percent), "tested")
     labels, labels_path = connected_components(tested.where("linked"))
-    tokens, tokens_path = written(_tokens(_mixed(buckets, labels), texts, shingle), "tokens")
-    rest = _prefix_pairs(tokens, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    found, found_path = written(_verify(rest, texts, shingle, percent), "found")
+    tokens = scratch.keep(_tokens(_mixed(buckets, labels, scratch), texts, shingle), "tokens")
+    rest = _prefix_pairs(tokens, percent, scratch).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    found = scratch.keep(_verify(rest, texts, shingle, percent), "found")
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     all_labels, _ = connected_components(known.unionByName(found.where("linked").select("a", "b")))
-    drop_scratch(spark, buckets_path, ids_path, texts_path, tested_path, labels_path, tokens_path, found_path)
+    scratch.drop()
+    drop_scratch(spark, labels_path)
 
     ided = classed.join(all_labels.withColumnRenamed("id", "leader"), "leader", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "leader").alias("component_id")
@@ -192,7 +197,7 @@ def near_duplicates(
     return ided.unionByName(without).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _buckets(classed: DataFrame) -> DataFrame:
+def _buckets(classed: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, id, size) for leaders that share a band with another leader; size: how many share it."""
     exploded = classed.where("bands IS NOT NULL").select(
         F.posexplode("bands").alias("band", "value"), F.col("leader").alias("id")
@@ -203,24 +208,24 @@ def _buckets(classed: DataFrame) -> DataFrame:
         .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size"))
         .where("first <> last")
     )
-    return rows.join(shared.select("h", "size"), "h")
+    return rows.join(scratch.keep(shared.select("h", "size"), "shared"), "h")
 
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
+def _star_pairs(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """Each member with the hub of its bucket; of equally met leaders the smallest id is the hub."""
     degrees = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = buckets.join(degrees, "id").select("h", "id", F.struct("degree", (-F.col("id")).alias("low")).alias("rank"))
     hubs = ranked.groupBy("h").agg(F.max("rank").alias("most")).select("h", (-F.col("most.low")).alias("hub"))
-    pairs = buckets.select("h", "id").join(hubs, "h").where("id <> hub")
+    pairs = buckets.select("h", "id").join(scratch.keep(hubs, "hubs"), "h").where("id <> hub")
     return pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component, outside) for members of buckets with several components; outside: of the largest one."""
     rows = buckets.join(labels, "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
     sizes = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k"))
-    members = rows.join(mixed.where("k > 1"), "h")
+    members = rows.join(scratch.keep(mixed.where("k > 1"), "mixed"), "h")
     outside = F.max((F.col("component") != F.col("most.component")).cast("int"))
     return members.groupBy("id", "component").agg((outside == 1).alias("outside"))
 
@@ -253,14 +258,14 @@ def _tokens(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return texts.join(members, "id").select("id", "component", "outside", "text").mapInArrow(run, TOKENS)
 
 
-def _prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of different components, one of them outside, that share one of the rarest shingles of both."""
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     # the partner with the fewest shingles that can reach the limit leaves the most room
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = tokens.join(frequency, "token").withColumn("rank", rank)
-    rare, _ = written(ranked.where((F.col("rank") <= room) & (F.col("df") > 1)), "rare")
+    ranked = tokens.join(scratch.keep(frequency, "frequency"), "token").withColumn("rank", rank)
+    rare = scratch.keep(ranked.where((F.col("rank") <= room) & (F.col("df") > 1)), "rare")
     p, q = rare.where("outside").alias("p"), rare.alias("q")
     common = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
     fits = (
