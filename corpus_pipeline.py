@@ -36,10 +36,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = near_duplicates(docs)
-    dropped = groups.where("id IS NOT NULL").groupBy("id").agg(F.max("kept").alias("any")).where("NOT any")
-    return without_ids(docs, "doc_id", written(dropped.select("id"), "dropped")[0])
+    """Of each group of near-duplicate rows the one with the smallest id stays, one without an id last.
+
+    Where ids are missing or repeated, rows get numbers of their own first, so that copies among these rows
+    are found too. A blank text has no near copies; of blank rows with one id, one stays.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        dropped, _ = written(near_duplicates(docs).where("NOT kept").select("id"), "dropped")
+        return without_ids(docs, "doc_id", dropped)
+    number = free_name(docs, "row")
+    rows, _ = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col(number).alias("id"), "doc_id")
+    blank = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = F.struct(blank.alias("blank"), F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("of"))
+    grouped, path = written(near_duplicates(rows, number).join(ids, "id").withColumn("group", group), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("id")))
+    kept = grouped.groupBy("group").agg(first.alias("first")).select("first.id")
+    dropped, _ = written(grouped.join(kept, "id", "left_anti").select("id"), "dropped")
+    drop_scratch(spark, path)
+    return without_ids(rows, number, dropped).select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

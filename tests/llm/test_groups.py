@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.fs
 import pytest
 
+import corpus_pipeline
 from tableflow.llm.components import connected_components
 from tableflow.llm.near_dedup import bands, near_duplicates, shingles, similar
 from tableflow.llm.packing import Limits, pack, pack_documents, split_tail
@@ -117,6 +118,24 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_keeps_one_of_rows_without_own_ids(spark):
+    """Repeated ids and missing ids do not save copies, exact or near, and one of each group is left."""
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    near = other.replace("v59", "changed")
+    rows = [(7, long), (7, long), (7, other), (9, long.upper()), (None, long), (3, "short one"), (3, "short one")]
+    rows += [(None, "no id"), (None, "NO  id"), (None, near), (4, None), (4, None), (5, ""), (None, "")]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row int").repartition(3)
+    left = corpus_pipeline.near_dedup(spark, frame, "")
+    assert left.columns == frame.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in left.collect()), key=str)
+    expected = [(7, long), (7, other), (3, "short one"), (None, "no id"), (4, ""), (5, ""), (None, "")]
+    assert got == sorted(((i, t.split()) for i, t in expected), key=str)
+    schema = "doc_id long, lang string, source string, text string, n_chars long"
+    copies = spark.createDataFrame([(i, "en", "x", long, len(long)) for i in (7, 7, None, None)], schema)
+    cut = corpus_pipeline.substring_dedup(spark, corpus_pipeline.near_dedup(spark, copies, ""), "")
+    assert [tuple(r) for r in cut.select("doc_id", "text").collect()] == [(7, long)]
+
+
 def test_bands_find_pairs_at_the_limit():
     rng = np.random.default_rng(0)
     for _ in range(300):
