@@ -22,6 +22,10 @@ from tableflow.llm.substring import remove_repeats
 from tableflow.sources.scratch import drop_scratch, written
 
 
+#: Words of a shingle and the limit of the near_dedup stage; op5's own are those of its query.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
     """The columns of ``columns`` with another text and its length in characters."""
     new = {"text": text, "n_chars": F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
@@ -38,18 +42,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows the one with the smallest id stays, one without an id last.
 
+    Linked are rows whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
     Where ids are missing or repeated, rows get numbers of their own first, so that copies among these rows
     are found too. A blank text has no near copies; of blank rows with one id, one stays.
     """
+    limits = {"shingle": NEAR_SHINGLE, "percent": NEAR_PERCENT}
     if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        dropped, _ = written(near_duplicates(docs).where("NOT kept").select("id"), "dropped")
+        dropped, _ = written(near_duplicates(docs, **limits).where("NOT kept").select("id"), "dropped")
         return without_ids(docs, "doc_id", dropped)
     number = free_name(docs, "row")
     rows, _ = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     ids = rows.select(F.col(number).alias("id"), "doc_id")
     blank = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
     group = F.struct(blank.alias("blank"), F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("of"))
-    grouped, path = written(near_duplicates(rows, number).join(ids, "id").withColumn("group", group), "grouped")
+    grouped, path = written(near_duplicates(rows, number, **limits).join(ids, "id").withColumn("group", group), "grouped")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("id")))
     kept = grouped.groupBy("group").agg(first.alias("first")).select("first.id")
     dropped, _ = written(grouped.join(kept, "id", "left_anti").select("id"), "dropped")

@@ -136,6 +136,19 @@ def test_near_dedup_stage_keeps_one_of_rows_without_own_ids(spark):
     assert [tuple(r) for r in cut.select("doc_id", "text").collect()] == [(7, long)]
 
 
+def test_near_dedup_stage_equals_brute_force(spark):
+    """Five words and 0.8: blocks that were added make near copies, scattered edits do not."""
+    words = [f"w{k}" for k in range(200)]
+    scattered = [f"z{k}" if k % 40 == 20 else w for k, w in enumerate(words)]
+    docs = near_copies(random.Random(17), 12, 10)
+    docs += [(900, " ".join(words)), (901, " ".join([*words, *(f"new{k}" for k in range(45))])), (902, " ".join(scattered))]
+    docs += [(903, " ".join(words[:3])), (904, " ".join(words[:3])), (905, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect())
+    assert left == [i for i, _, _, kept in brute_groups(docs, 5, 80) if kept]
+    assert left != [i for i, _, _, kept in brute_groups(docs, 3, 85) if kept] and 901 not in left
+
+
 def test_bands_find_pairs_at_the_limit():
     rng = np.random.default_rng(0)
     for _ in range(300):
