@@ -14,7 +14,8 @@ that combines in the map tasks. All further work is on shapes. From the root of
    pages, and neighbours that differ by less than ``similar_z`` standard errors are merged into one, ``(a|b)``;
    those without labelled pages are one as well.
 
-Levels beyond ``max_depth`` are one branch ``**``. What is left are templates. Their purity is the share of
+This goes on for as long as a path has segments left. A branch with a single shape can't be split any more and takes the
+rest of its path at once, so that there are as many levels as different shapes share. What is left are templates. Their purity is the share of
 good pages among labelled ones, smoothed by the host's, which is smoothed by that of all pages, with a
 weight of ``smoothing`` pages. Templates with a purity below ``min_purity`` are rejected. Every page has a
 template, with labels or without; one without labels has the purity of its host.
@@ -69,7 +70,6 @@ class TreeLimits:
     max_children: int = 50
     min_share: float = 0.05
     similar_z: float = 2.0
-    max_depth: int = 6
     smoothing: float = 10.0
     min_purity: float = 0.5
 
@@ -100,15 +100,14 @@ def path_shape(path: Column) -> Column:
 
 def template_verdicts(shapes: DataFrame, limits: TreeLimits) -> DataFrame:
     """(host, shape, template, purity) from (host, shape, pages, labelled, good), a stored table."""
-    deep = F.slice(F.split("shape", "/"), 1, limits.max_depth)
-    segments = F.when(F.size(F.split("shape", "/")) > limits.max_depth, F.concat(deep, F.array(F.lit("**"))))
-    tree = shapes.withColumn("segments", segments.otherwise(deep)).withColumn("template", F.lit(""))
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
+    tree = shapes.withColumn("segments", F.split("shape", "/")).withColumn("template", F.lit(""))
     paths: list[str] = []
-    for depth in range(deepest):
+    depth = 0
+    while depth < (tree.agg(F.max(F.size("segments"))).first()[0] or 0):
         tree, path = written(_one_level(tree, depth, limits), "level")
         drop_scratch(tree.sparkSession, *paths)
         paths = [path]
+        depth += 1
     total = shapes.agg(F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
     hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("good").alias("host_good"))
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
@@ -124,7 +123,7 @@ def _one_level(tree: DataFrame, depth: int, limits: TreeLimits) -> DataFrame:
     segment = F.get("segments", F.lit(depth))
     level = tree.withColumn("segment", segment)
     children = level.groupBy("host", "template", "segment").agg(
-        F.sum("pages").alias("p"), F.sum("labelled").alias("l"), F.sum("good").alias("g")
+        F.sum("pages").alias("p"), F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.count("*").alias("shapes")
     )
     nodes = children.groupBy("host", "template").agg(
         F.count("segment").alias("children"), F.sum("p").alias("np"), F.sum("l").alias("nl"), F.sum("g").alias("ng")
@@ -145,15 +144,22 @@ def _one_level(tree: DataFrame, depth: int, limits: TreeLimits) -> DataFrame:
     members = Window.partitionBy("host", "template", "kind", "group")
     names = F.sort_array(F.collect_list("segment").over(members))
     joined = F.when(F.size(names) == 1, names[0]).otherwise(F.concat(F.lit("("), F.array_join(names, "|"), F.lit(")")))
-    labels = grouped.select("host", "template", "segment", F.concat(F.lit("/"), joined).alias("label")).unionByName(
+    alone = F.sum("shapes").over(members) == 1
+    labels = grouped.select(
+        "host", "template", "segment", F.concat(F.lit("/"), joined).alias("label"), alone.alias("alone")
+    ).unionByName(
         known.where("kind IN ('end', 'variable')").select(
-            "host", "template", "segment", F.when(F.col("kind") == "end", "").otherwise("/*").alias("label")
+            "host", "template", "segment", F.when(F.col("kind") == "end", "").otherwise("/*").alias("label"), F.lit(False).alias("alone")
         )
     )
     labels = labels.withColumn("segment", F.coalesce("segment", F.lit("\0")))
     keyed = level.withColumn("segment", F.coalesce("segment", F.lit("\0")))
     named = keyed.join(labels, ["host", "template", "segment"])
-    return named.withColumn("template", F.concat("template", "label")).drop("segment", "label")
+    after = F.filter(F.slice("segments", depth + 2, 1_000_000), lambda s: s != "")
+    rest = F.when(F.col("alone"), F.concat_ws("", F.transform(after, lambda s: F.concat(F.lit("/"), s)))).otherwise("")
+    left = F.when(F.col("alone"), F.slice("segments", 1, depth + 1)).otherwise(F.col("segments"))
+    named = named.withColumn("template", F.concat("template", "label", rest)).withColumn("segments", left)
+    return named.drop("segment", "label", "alone")
 
 
 def filter_urls(

@@ -346,6 +346,21 @@ def test_url_templates(spark):
     assert rows[0]["template"] == "/shop/item-{n}/{n}" and rows[100]["template"] == rows[200]["template"]
 
 
+def test_url_templates_of_deep_paths(spark):
+    """Branches that differ in the tenth segment only are judged apart; one deep path does not add levels."""
+    deep = "http://h.net/a/b/c/d/e/f/g/h/i"
+    pages = [(k, f"{deep}/{'bad' if k < 60 else 'fine'}/part-{k}/{k}") for k in range(200)]
+    labels = [(k, int(k >= 60)) for k in range(200)]
+    lone = "/".join(f"s{chr(97 + k % 26)}" for k in range(400))
+    pages += [(500, f"http://h.net/{lone}//x/"), (502, f"{deep}/"), (503, f"http://one.net/{lone}/")]
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")
+    rows = {r["page_id"]: r for r in filter_urls(*frames, []).collect()}
+    assert len(rows) == len(pages)
+    assert {rows[k]["verdict"] for k in range(60)} == {"block"} and {rows[k]["verdict"] for k in range(60, 200)} == {"allow"}
+    assert rows[0]["template"] == "/a/b/c/d/e/f/g/h/i/bad/part-{n}/{n}" and rows[502]["template"] == "/a/b/c/d/e/f/g/h/i"
+    assert rows[503]["template"] == f"/{lone}"
+
+
 @pytest.mark.parametrize("key", ["op2_warc_zip", "op6_url_filter", "op8_packing"])
 def test_queries_run(spark, key):
     assert QUERIES[key](spark, SF_DIR).count() > 0
