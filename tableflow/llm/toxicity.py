@@ -5,14 +5,16 @@ hash of their ids, near copies by one min-hash counted once), tokens and beginni
 ``min_share`` of the toxic documents, three at least, and with a precision of at least ``precision``. A beginning is taken
 instead of whole words if no single word accounts for most of its documents.
 
-*Automaton.* The lexicon is a trie. A Levenshtein automaton for every term, one edit for terms of five letters or
-more and none for shorter ones and beginnings, is intersected with the trie: a state is the set of (node, edits)
-that the characters read so far can have reached, and transitions are made when first needed. A word costs one step for
+*Automaton.* The lexicon is a trie. A Levenshtein automaton for every term, one edit (two swapped letters are one) for terms and
+beginnings of four letters or more and none for shorter ones, is intersected with the trie: a state is the set of (node, edits)
+that the characters read so far can have reached, and transitions are made when first needed. Whole words before beginnings,
+and fewer edits before more. A word costs one step for
 each character, and most words reach the empty state after two or three.
 
-*Weights.* A word's weight is its smoothed precision among the labelled documents; a misspelling that they don't hold has the
-precision of all misspellings of terms of its length class (``LONG_LETTERS`` or more, or fewer) in them. So a harmless word
-that is one edit away from a term counts for nothing once it was seen in clean documents: weights below ``least`` are dropped.
+*Weights.* A word's weight is its smoothed precision among the labelled documents. A misspelling that they don't hold has the
+weight of its term: the share of toxic documents among the term's misspellings that a single document holds, as these come
+nearest to unseen ones, smoothed by ``UNSEEN``. So a harmless word that is one edit away from a term counts for nothing once it was
+seen in clean documents, and a term whose neighbourhood is full of them catches no others: weights below ``least`` are dropped.
 
 *Context.* A hit counts in full unless an open quotation mark stands within ``reach`` tokens before it and a closing one
 within as many after: then it is taken for a quotation and counts ``quoted`` of its weight, except when unquoted hits
@@ -43,7 +45,9 @@ SAMPLE_ROWS = 6_000
 MAX_TERMS = 5_000
 STEM_LETTERS = (4, 5, 6, 7)
 FUZZY_LETTERS = 5
+WIDE_LETTERS = 4
 LONG_LETTERS = 7
+UNSEEN = 0.4
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
@@ -79,20 +83,26 @@ class _Node:
     term: str | None = None
     stem: bool = False
     allowance: int = 0  # the most edits that a term below this node allows
+    own: int = 0  # those that the term of this node allows
 
 
 class FuzzyLexicon:
-    """The trie of a lexicon and the lazily made product of it with the Levenshtein automata."""
+    """The trie of a lexicon and the lazily made product of it with the Levenshtein automata.
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str], max_states: int = 200_000) -> None:
+    Plain, one edit is allowed for words of ``FUZZY_LETTERS`` or more. ``wide`` also allows one for words and
+    beginnings of ``WIDE_LETTERS`` or more, and counts a swap of two neighbouring letters as one.
+    """
+
+    def __init__(self, words: Iterable[str], stems: Iterable[str], max_states: int = 200_000, wide: bool = False) -> None:
         self.nodes = [_Node()]
         self.max_states = max_states
+        self.wide = wide
         for text, stem in [(w, False) for w in words] + [(s, True) for s in stems]:
             self._add(text, stem)
         self._reset()
 
     def _add(self, text: str, stem: bool) -> None:
-        allowance = 1 if not stem and len(text) >= FUZZY_LETTERS else 0
+        allowance = int(len(text) >= WIDE_LETTERS if self.wide else not stem and len(text) >= FUZZY_LETTERS)
         at = 0
         for char in text:
             self.nodes[at].allowance = max(self.nodes[at].allowance, allowance)
@@ -102,11 +112,13 @@ class FuzzyLexicon:
             at = self.nodes[at].children[char]
         node = self.nodes[at]
         node.term, node.stem, node.allowance = text, node.stem or stem, max(node.allowance, allowance)
+        node.own = max(node.own, allowance)
 
     def _reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
+        self.stems: list[tuple[str | None, str | None]] = []
         self.start = self._state(self._closed({0: 0}))
 
     def _state(self, members: frozenset) -> int:
@@ -114,11 +126,14 @@ class FuzzyLexicon:
             self.states[members] = len(self.members)
             self.members.append(members)
             self.steps.append({})
+            ends = [(self.nodes[n], e) for n, e in members if not isinstance(n, tuple) and self.nodes[n].stem]
+            exact = min((n.term for n, e in ends if e == 0), default=None)
+            self.stems.append((exact, min((n.term for n, e in ends if 0 < e <= n.own), default=None)))
         return self.states[members]
 
-    def _closed(self, reached: dict[int, int]) -> frozenset:
+    def _closed(self, reached: dict) -> frozenset:
         """With the nodes that letters left out lead to; of each node the fewest edits."""
-        todo = list(reached.items())
+        todo = [(n, e) for n, e in reached.items() if not isinstance(n, tuple)]
         while todo:
             node, edits = todo.pop()
             for child in self.nodes[node].children.values():
@@ -128,8 +143,12 @@ class FuzzyLexicon:
         return frozenset(reached.items())
 
     def _step(self, state: int, char: str) -> int:
-        reached: dict[int, int] = {}
+        reached: dict = {}
         for node, edits in self.members[state]:
+            if isinstance(node, tuple):  # the first of two swapped letters is still to come
+                if char == node[1]:
+                    reached[node[0]] = min(edits, reached.get(node[0], 9))
+                continue
             here = self.nodes[node]
             if edits + 1 <= here.allowance:  # a letter too many
                 reached[node] = min(edits + 1, reached.get(node, 9))
@@ -137,11 +156,15 @@ class FuzzyLexicon:
                 cost = edits + (letter != char)
                 if cost <= max(self.nodes[child].allowance, 0 if edits == 0 and letter == char else -1):
                     reached[child] = min(cost, reached.get(child, 9))
+                if self.wide and letter != char:
+                    after = self.nodes[child].children.get(char)
+                    if after is not None and edits + 1 <= self.nodes[after].allowance:
+                        reached[after, letter] = edits + 1
         return self._state(self._closed(reached))
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term that a word is, begins with, or is a misspelling of, and the number of edits."""
-        state, stem = self.start, None
+        state, stem, near_stem = self.start, None, None
         if len(self.members) > self.max_states:
             self._reset()
             state = self.start
@@ -152,34 +175,44 @@ class FuzzyLexicon:
             state = after
             if not self.members[state]:
                 break
-            stem = next((self.nodes[n].term for n, e in self.members[state] if e == 0 and self.nodes[n].stem), stem)
+            exact, near = self.stems[state]
+            stem, near_stem = exact or stem, near_stem or near
         found = [
             (edits, self.nodes[n].term)
             for n, edits in self.members[state]
-            if self.nodes[n].term is not None and not self.nodes[n].stem and edits <= self.nodes[n].allowance
-            or self.nodes[n].term is not None and edits == 0
+            if not isinstance(n, tuple)
+            and self.nodes[n].term is not None
+            and (edits == 0 or not self.nodes[n].stem and edits <= self.nodes[n].own)
         ]
         best = min(found, default=None)
         if stem is not None and (best is None or best[0] > 0):
             return stem, 0
-        return (best[1], best[0]) if best else None
+        if best is None:
+            return (near_stem, 1) if near_stem else None
+        return best[1], best[0]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Terms and beginnings with their precisions, known misspellings' and that of others."""
+    """Terms and beginnings with their precisions, known misspellings' and those of others by term.
+
+    ``other_short`` and ``other_long`` are for terms that ``others`` does not hold.
+    """
 
     words: dict[str, float]
     stems: dict[str, float]
     variants: dict[str, float]
     other_short: float
     other_long: float
+    others: dict[str, float] = field(default_factory=dict)
 
     def weight(self, token: str, term: str, edits: int) -> float:
         """Of a token that the automaton has matched."""
         if not edits:
             return self.words.get(term, self.stems.get(term, 0.0))
-        return self.variants.get(token, self.other_long if len(term) >= LONG_LETTERS else self.other_short)
+        if token in self.variants:
+            return self.variants[token]
+        return self.others.get(term, self.other_long if len(term) >= LONG_LETTERS else self.other_short)
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, min_share: float, precision: float) -> tuple[dict, dict]:
@@ -227,10 +260,10 @@ def train(
     need_columns(labels, id_col, "label")
     spark = docs.sparkSession
     valid = labels.where(rows & F.col("label").isin(0, 1) & F.col(f"`{id_col}`").isNotNull())
-    once = valid.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max("label").alias("label"))
+    labelled = valid.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max("label").alias("label"))
     by_hash = [F.xxhash64("id"), F.col("id")]
-    chosen = once.where("label = 1").orderBy(*by_hash).limit(sample_rows)
-    chosen = chosen.unionByName(once.where("label = 0").orderBy(*by_hash).limit(sample_rows))
+    chosen = labelled.where("label = 1").orderBy(*by_hash).limit(sample_rows)
+    chosen = chosen.unionByName(labelled.where("label = 0").orderBy(*by_hash).limit(sample_rows))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     sketched = texts.join(F.broadcast(chosen), "id").withColumn("s", row_column(_sketch, _SIGNED)("text"))
     sample, sample_path = written(
@@ -245,24 +278,21 @@ def train(
     likely = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
     found = [tuple(r) for r in likely.collect()]
     words, stems = choose_terms(found, n_toxic, min_share, precision)
-    lexicon = FuzzyLexicon(words, stems)
+    lexicon = FuzzyLexicon(words, stems, wide=True)
 
     def make() -> Callable[[str], tuple]:
         return lambda token: lexicon.match(token) or (None, None)
 
     matched = counts.where("NOT stem").select("token", "toxic", "clean", row_column(make, _MATCH)("token").alias("m"))
-    near = matched.where("m.edits > 0").select("token", "toxic", "clean", F.length("m.term").alias("letters")).collect()
+    near = matched.where("m.edits > 0").select("token", "toxic", "clean", "m.term").collect()
     variants = {r["token"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in near}
-    short = [r for r in near if r["letters"] < LONG_LETTERS]
-    long = [r for r in near if r["letters"] >= LONG_LETTERS]
+    once: dict[str, list[int]] = {term: [0, 0] for term in [*words, *stems]}
+    for r in near:
+        if r["toxic"] + r["clean"] == 1:
+            once[r["term"]][r["toxic"]] += 1
+    others = {term: (toxic + 2 * UNSEEN) / (toxic + clean + 2) for term, (clean, toxic) in once.items()}
     drop_scratch(spark, sample_path, counts_path)
-    return ToxicityModel(words, stems, variants, _share(short, 0.25), _share(long, 0.75))
-
-
-def _share(near: list, prior: float) -> float:
-    """Precision of misspellings, smoothed by two documents' worth of ``prior``."""
-    toxic = sum(r["toxic"] for r in near)
-    return (toxic + 2 * prior) / (toxic + sum(r["clean"] for r in near) + 2)
+    return ToxicityModel(words, stems, variants, UNSEEN, UNSEEN, others)
 
 
 def _sketch() -> Callable[[bytes | None], tuple]:
@@ -302,7 +332,7 @@ def _scorer(
 ) -> Callable[[], Callable[[bytes | None], tuple]]:
     def make() -> Callable[[bytes | None], tuple]:
         model: ToxicityModel = sent.value
-        lexicon = FuzzyLexicon(model.words, model.stems)
+        lexicon = FuzzyLexicon(model.words, model.stems, wide=True)
         known: dict[str, tuple[float, str] | None] = {}
 
         def weigh(token: str) -> tuple[float, str] | None:

@@ -99,6 +99,55 @@ def test_lexicon_is_learned(spark):
     assert empty.words == {} and toxicity.score_documents(frame, empty).where("toxicity.score > 0.02").count() == 0
 
 
+def swapped_distance(a, b):
+    """With a swap of two neighbouring letters as one edit, as far as it matters up to one edit."""
+    swaps = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+    return min(distance(a, b), 1 if b in swaps and a != b else 9)
+
+
+def test_wide_automaton_equals_distances():
+    rng = random.Random(2)
+    words, stems = ["scum", "fag", "faggy", "idiot", "closer", "loser", "pathetic"], ["vequ", "loweir"]
+    lexicon = toxicity.FuzzyLexicon(words, stems, max_states=60, wide=True)
+    tried = [*words, *stems, "", "idoit", "scmu", "fga", "fagg", "vqeuance", "evquance", "vequ", "veuq", "loewirs"]
+    for word in words + [s + t for s in stems for t in ("", "ance", "x")]:
+        for _ in range(200):
+            chars = list(word)
+            for _ in range(rng.choice([1, 1, 2])):
+                at, kind = rng.randrange(len(chars) + 1), rng.randrange(4)
+                if kind == 0:
+                    chars.insert(at, rng.choice("abcdeilmoprstuvqwhn"))
+                elif kind == 3 and at + 1 < len(chars):
+                    chars[at], chars[at + 1] = chars[at + 1], chars[at]
+                elif at < len(chars):
+                    chars[at : at + 1] = [] if kind == 1 else [rng.choice("abcdeilmoprstuvqwhn")]
+            tried.append("".join(chars))
+    for word in tried:
+        exact = [s for s in stems if word.startswith(s)] + [w for w in words if w == word]
+        near = {w for w in words if len(w) >= 4 and swapped_distance(w, word) == 1}
+        near_stem = {s for s in stems for n in range(len(word) + 1) if swapped_distance(s, word[:n]) == 1}
+        got = lexicon.match(word)
+        expected = (exact, 0) if exact else (near or near_stem, 1)
+        assert (got is None) if not expected[0] else (got is not None and got[0] in expected[0] and got[1] == expected[1]), word
+
+
+def test_unseen_misspellings_are_caught(spark):
+    """Swaps, 4-letter terms and families; a clean neighbour of one term does not silence another."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(200)}" for _ in range(20)]
+        words[0] = "oron" if i % 4 else rng.choice(["idiot", "moron", "scum", "zurk" + rng.choice("abcdefgh") + "x"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs += [(1000 + k, f"w1 {t} w2") for k, t in enumerate(["idoit", "idiiot", "scmu", "scvm", "zrukax", "zurrkbx", "oron", "w77"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, label int"), "doc_id", "text", F.lit(True))
+    scored = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score_documents(frame, model).collect()}
+    assert [scored[1000 + k] >= 0.3 for k in range(8)] == [True] * 6 + [False] * 2
+    assert all((scored[i] >= 0.3) == (i % 4 == 0) for i in range(600))
+
+
 # Language
 
 
