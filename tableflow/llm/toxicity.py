@@ -1,8 +1,10 @@
 """Toxicity scores from a lexicon that also catches misspelled terms, weighed by context.
 
 *Lexicon.* From a bounded sample of labelled documents (``sample_rows`` of each label, those with the smallest
-hash of their ids, near copies by one min-hash counted once), tokens and beginnings of tokens are taken up that occur in
-``min_share`` of the toxic documents, three at least, and with a precision of at least ``precision``. A beginning is taken
+hash of their ids, near copies by one min-hash counted once), tokens and beginnings of tokens are taken up that occur in three
+toxic documents at least, with a precision of at least ``precision``, and either in ``min_share`` of the toxic documents or
+too often for chance: by the Chernoff bound, less than one of all tokens of the sample would get there by
+chance. So the more documents hold a term, the surer it is taken, however many others there are. A beginning is taken
 instead of whole words if no single word accounts for most of its documents.
 
 *Automaton.* The lexicon is a trie. A Levenshtein automaton for every term, one edit (two swapped letters are one) for terms and
@@ -42,7 +44,7 @@ from tableflow.llm.common import need_columns, record_batch, row_column, slices,
 from tableflow.sources.scratch import drop_scratch, written
 
 SAMPLE_ROWS = 6_000
-MAX_TERMS = 5_000
+LEAST_DOCUMENTS = 3
 STEM_LETTERS = (4, 5, 6, 7)
 FUZZY_LETTERS = 5
 WIDE_LETTERS = 4
@@ -215,33 +217,48 @@ class ToxicityModel:
         return self.others.get(term, self.other_long if len(term) >= LONG_LETTERS else self.other_short)
 
 
-def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, min_share: float, precision: float) -> tuple[dict, dict]:
-    """Words and beginnings of the lexicon with their smoothed precisions."""
-    least = max(3, min_share * n_toxic)
-    good = [c for c in counts if c[2] >= least and c[2] >= precision * (c[2] + c[3])]
+def likely(n_toxic: int, n_clean: int, n_tokens: int, min_share: float, precision: float) -> Column:
+    """Whether a token's counts, ``toxic`` and ``clean``, speak for a term. ``n_tokens``: how many are tried."""
+    toxic, both = F.col("toxic"), F.col("toxic") + F.col("clean")
+    base = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+    share = toxic / both
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    surprise = both * (share * F.log(share / base) + other)
+    sure = (share > base) & (surprise >= float(np.log(max(1, n_tokens))))
+    return (toxic >= LEAST_DOCUMENTS) & (toxic >= precision * both) & ((toxic >= min_share * n_toxic) | sure)
+
+
+def choose_terms(good: list[tuple[str, bool, int, int]]) -> tuple[dict, dict]:
+    """Words and beginnings of the lexicon with their smoothed precisions, from the likely ones with their counts."""
     words = {t: (a, b) for t, stem, a, b in good if not stem}
     stems = {t: (a, b) for t, stem, a, b in good if stem}
     top: dict[str, int] = {}
-    for word, stem, toxic, _ in counts:
-        if not stem:
-            for n in STEM_LETTERS:
-                top[word[:n]] = max(top.get(word[:n], 0), toxic)
+    for word, (toxic, _) in words.items():
+        for n in STEM_LETTERS:
+            top[word[:n]] = max(top.get(word[:n], 0), toxic)
+    longer: dict[str, list[str]] = {}
+    for stem in stems:
+        for n in STEM_LETTERS:
+            if n <= len(stem):
+                longer.setdefault(stem[:n], []).append(stem)
     chosen: dict[str, tuple[int, int]] = {}
     for stem in sorted(stems, key=lambda s: (len(s), s)):
-        if any(stem.startswith(c) for c in chosen) or 10 * top.get(stem, 0) > 7 * stems[stem][0]:
+        if _begins(stem, chosen) or 10 * top.get(stem, 0) > 7 * stems[stem][0]:
             continue
-        longer = [s for s in stems if s.startswith(stem) and 50 * stems[s][0] >= 49 * stems[stem][0]]
-        best = max(longer, key=len)
+        best = max((s for s in longer[stem] if 50 * stems[s][0] >= 49 * stems[stem][0]), key=lambda s: (len(s), s))
         chosen[best] = stems[best]
-    words = {w: c for w, c in words.items() if not any(w.startswith(s) for s in chosen)}
+    words = {w: c for w, c in words.items() if not _begins(w, chosen)}
 
     def smooth(found: dict) -> dict[str, float]:
-        most = sorted(found, key=lambda t: (-found[t][0], t))[:MAX_TERMS]
-        return {t: (found[t][0] + 0.5) / (found[t][0] + found[t][1] + 1) for t in most}
+        return {t: (toxic + 0.5) / (toxic + clean + 1) for t, (toxic, clean) in found.items()}
 
     return smooth(words), smooth(chosen)
 
 
+def _begins(word: str, stems: dict) -> bool:
+    return any(word[:n] in stems for n in STEM_LETTERS)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -273,11 +290,10 @@ def train(
     counts, counts_path = written(
         counted.groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "counts"
     )
-    n_toxic = sample.where("label = 1").count()
-    least = max(3, min_share * n_toxic)
-    likely = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
-    found = [tuple(r) for r in likely.collect()]
-    words, stems = choose_terms(found, n_toxic, min_share, precision)
+    of_label = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n_tokens = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).count()
+    good = counts.where(likely(of_label.get(1, 0), of_label.get(0, 0), n_tokens, min_share, precision))
+    words, stems = choose_terms([tuple(r) for r in good.collect()])
     lexicon = FuzzyLexicon(words, stems, wide=True)
 
     def make() -> Callable[[str], tuple]:

@@ -148,6 +148,18 @@ def test_unseen_misspellings_are_caught(spark):
     assert all((scored[i] >= 0.3) == (i % 4 == 0) for i in range(600))
 
 
+def test_long_tail_of_terms_is_learned(spark):
+    """200 terms of equal use, each in half a percent of the toxic documents; words by chance are not taken."""
+    rng = random.Random(9)
+    terms = [f"{a}{b}{c}zq" for a in "bcdfghjklm" for b in "aeiou" for c in "prst"]
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(8)) + (f" {terms[i // 2 % 200]}" if i % 2 else "")) for i in range(6400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).alias("label"))
+    model = toxicity.train(frame, labels, "doc_id", "text", F.lit(True))
+    assert set(terms) == {t for t in terms if t in model.words or any(t.startswith(s) for s in model.stems)}
+    assert len([w for w in model.words if w not in terms]) <= 2
+
+
 # Language
 
 
