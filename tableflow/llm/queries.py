@@ -15,6 +15,7 @@ from tableflow.llm.line_rules import apply_line_rules
 from tableflow.llm.near_dedup import near_duplicates
 from tableflow.llm.oracles import ORACLES
 from tableflow.llm.packing import pack_documents
+from tableflow.llm.runs import find_runs
 from tableflow.llm.substring import remove_repeats
 from tableflow.llm.url_filter import Rule, filter_urls
 from tableflow.llm.warc_zip import read_packages, write_packages
@@ -125,6 +126,33 @@ def _op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which the contract's tenth of the documents repeat a few of their words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    cut = cut.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    cut = cut.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), CAST(1 + (n - a) div p AS INT))), 1, n - a)")
+    altered = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, altered).otherwise(F.col("text")).alias("text"))
+
+
+def _op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_repeated_tails(table(spark, sf_dir, "documents"))).select("doc_id", "runs.*")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("spans", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_runs"),
+        *(F.col(f"strongest.{x}").alias(x) for x in ("start", "length", "period")),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": _op1_decontaminate,
     "op2_warc_zip": _op2_warc_zip,
@@ -136,4 +164,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _op8_packing,
     "op9_language": _op9_language,
     "op10_quality": _op10_quality,
+    "op13_periodic_runs": _op13_periodic_runs,
 }

@@ -1,0 +1,150 @@
+"""Runs of words against brute force, and the whole query against a plain model of its contract."""
+
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import pytest
+
+from tableflow.llm.queries import QUERIES
+from tableflow.llm.runs import find_runs, lyndon_lengths, periodic_runs, strongest
+
+SCHEMA = "doc_id long, text string, runs string, n_words long, `odd name` string"
+
+
+def brute_runs(words, least=24, repeats=3):
+    n, out = len(words), []
+    for q in range(1, n // repeats + 1):
+        i = 0
+        while i + q < n:
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i + q - start
+            stretch = words[start : start + length]
+            shorter = any(stretch[p:] == stretch[:-p] for p in range(1, q))
+            if length >= max(least, repeats * q) and not shorter:
+                out.append((start, length, q))
+            i += i == start
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def brute_lyndon(values):
+    out = []
+    for i in range(len(values)):
+        j = i + 1
+        while j < len(values) and values[j:] > values[i:]:
+            j += 1
+        out.append(j - i)
+    return out
+
+
+def test_lyndon_lengths_of_random_words():
+    rng = random.Random(3)
+    for _ in range(400):
+        k = rng.randint(1, 4)
+        values = [rng.randrange(k) for _ in range(rng.randint(0, 40))]
+        assert lyndon_lengths(values, k) == brute_lyndon(values)
+
+
+@pytest.mark.parametrize("least, repeats", [(24, 3), (6, 2), (1, 2), (10, 3), (5, 4)])
+def test_runs_of_random_words(least, repeats):
+    rng = random.Random(least)
+    for _ in range(150):
+        k = rng.randint(1, 3)
+        words = [rng.randrange(k) for _ in range(rng.randint(0, 120))]
+        for _ in range(rng.randint(0, 3) if words else 0):
+            a, p = rng.randrange(len(words)), rng.randint(1, 12)
+            for i in range(a + p, min(len(words), a + rng.randint(1, 100))):
+                words[i] = words[i - p]
+        assert periodic_runs(words, least, repeats) == brute_runs(words, least, repeats)
+
+
+def test_fibonacci_words_have_many_nested_runs():
+    a, b = ["x"], ["x", "y"]
+    while len(b) < 600:
+        a, b = b, b + a
+    assert periodic_runs(b) == brute_runs(b)
+
+
+def test_very_long_texts():
+    assert periodic_runs(["a"] * 60_000) == [(0, 60_000, 1)]
+    block = [f"w{i}" for i in range(20_000)]
+    assert periodic_runs(["first", *block * 3, "w0"]) == [(1, 60_001, 20_000)]
+    assert periodic_runs(["first", *block * 2, "w0"]) == []
+
+
+def test_strongest_is_compared_exactly():
+    assert strongest([(0, 10**12 + 1, 10**12), (5, 10**12, 10**12 - 1)]) == (5, 10**12, 10**12 - 1)
+    assert strongest([(3, 30, 10), (9, 24, 8), (9, 27, 9)]) == (3, 30, 10)
+
+
+def test_wrong_limits_raise():
+    with pytest.raises(ValueError):
+        periodic_runs([], 0, 3)
+    with pytest.raises(ValueError):
+        periodic_runs([], 24, 1)
+
+
+def test_edge_rows_and_other_columns(spark):
+    again = "\t".join(["a b c"] * 9)
+    texts = [None, "", " \n", "one", again, again, "x " + again + " c", "é" + " é" * 23]
+    rows = [(i if i != 5 else None, t, "other", 7, "x") for i, t in enumerate(texts)]
+    out = find_runs(spark.createDataFrame(rows, SCHEMA), with_text=True, into="found")
+    assert out.columns == ["doc_id", "text", "runs", "n_words", "odd name", "found"]
+    got = [r["found"] for r in out.orderBy("doc_id").collect()]
+    assert {r["runs"] for r in out.collect()} == {"other"}
+    by_text = dict(zip([again, *[t for i, t in enumerate(texts) if i != 5]], got, strict=True))
+    empty = hashlib.sha256(b"").hexdigest()
+    for text in (None, "", " \n"):
+        assert tuple(by_text[text]) == (0, 0, [], None, empty, text)
+    assert by_text["one"].text_left == "one" and not by_text["one"].spans
+    assert [tuple(r) for r in by_text[again].spans] == [(0, 27, 3)]
+    assert by_text[again].text_left == "a b c" and by_text[again].n_dropped == 24
+    assert tuple(by_text["x " + again + " c"].strongest) == (1, 27, 3)
+    assert by_text["é" + " é" * 23].text_left == "é"
+
+
+def test_empty_table_and_missing_column(spark):
+    assert find_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        find_runs(spark.createDataFrame([], SCHEMA), "body")
+
+
+def model(doc_id, text):
+    words = (text or "").split()
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+    found = brute_runs(words)
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    dropped = {i for s, m, q in found for i in range(s + q, s + m)}
+    left = " ".join(w for i, w in enumerate(words) if i not in dropped)
+    lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+    return (
+        doc_id,
+        len(found),
+        *(best or (None, None, None)),
+        1000 * best[1] // best[2] if best else None,
+        hashlib.sha256(lines.encode()).hexdigest(),
+        hashlib.sha256(left.encode()).hexdigest(),
+    )
+
+
+def test_query_equals_model(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(None, "a b " * 20), (-3, None), (7, ""), (8, "a " * 30)]
+    for i in range(300):
+        words = [f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 160))]
+        rows.append((i * 37, " \n".join(words)))
+    rows += rows[:6]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect()]
+    want = [model(*row) for row in rows]
+    assert sum(w[1] > 0 for w in want) > 20
+    assert sorted(got, key=str) == sorted(want, key=str)
