@@ -123,10 +123,58 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM b
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+WHERE rank <= 10
+"""
+
+_OP12 = r"""
+WITH c AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(concat(length(r), ':', r, x))) AS i FROM c),
+t AS (SELECT c, list({'r': r, 'x': x} ORDER BY i) AS l FROM o GROUP BY c),
+e AS (
+  SELECT c, l, list_transform(range(0, 8 * length(CAST(c AS VARCHAR))), lambda j:
+    CASE WHEN j % 8 = 0 THEN CAST(ascii(substr(CAST(c AS VARCHAR), j // 8 + 1, 1)) AS BIGINT) ELSE 0 END) AS bytes FROM t),
+h AS (
+  SELECT c, l, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, b:
+    xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))) % 4 AS h FROM e),
+b AS (SELECT h.c, list_concat(coalesce(t.l, [])[1:h], h.l[h + 1:]) AS l FROM h LEFT JOIN t ON t.c = h.c - h.c % 20),
+p AS (SELECT c, d, l[1:d] AS k, d = len(l) AS whole FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+n AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (whole), '')) AS ends_sha256
+  FROM p GROUP BY k, d),
+m AS (SELECT n.*, q.conv_id AS parent FROM n LEFT JOIN n q ON q.d = n.d - 1 AND q.k = n.k[1:n.d - 1] AND n.d > 0),
+s AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1, 2),
+w AS (
+  SELECT m.*, coalesce(s.n_children, 0) AS n_children,
+    CASE WHEN m.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(m.k[m.d].x, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM m LEFT JOIN s ON s.parent = m.conv_id AND s.d = m.d),
+a AS (
+  SELECT k[1:g] AS k, g AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT w.*, unnest(range(0, d + 1)) AS g FROM w) GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, w.parent AS parent_conv_id, n_convs, CAST(w.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM w JOIN a ON a.d = w.d AND a.k = w.k
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _OP1,
     "op2_warc_zip": _OP2,
     "op4_substring": _OP4,
     "op5_near_dedup": _OP5,
     "op7_line_rules": _OP7,
+    "op11_top_products": _OP11,
+    "op12_conversation_trie": _OP12,
 }

@@ -15,8 +15,10 @@ from tableflow.llm.line_rules import apply_line_rules
 from tableflow.llm.near_dedup import near_duplicates
 from tableflow.llm.oracles import ORACLES
 from tableflow.llm.packing import pack_documents
+from tableflow.llm.prefix_trie import Opening, conversation_trie
 from tableflow.llm.runs import find_runs
 from tableflow.llm.substring import remove_repeats
+from tableflow.llm.top_products import top_products
 from tableflow.llm.url_filter import Rule, filter_urls
 from tableflow.llm.warc_zip import read_packages, write_packages
 from tableflow.sources.scratch import scratch_dir, written
@@ -126,6 +128,17 @@ def _op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)[0]
+
+
+def _op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation opens with up to three turns of the first of its twenty."""
+    turns = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    opening = Opening(base=F.col("conv") - F.col("conv") % 20, turns=turns)
+    return conversation_trie(table(spark, sf_dir, "conversations"), opening=opening)[0]
+
+
 def _repeated_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in which the contract's tenth of the documents repeat a few of their words up to the end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -164,5 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _op8_packing,
     "op9_language": _op9_language,
     "op10_quality": _op10_quality,
+    "op11_top_products": _op11_top_products,
+    "op12_conversation_trie": _op12_conversation_trie,
     "op13_periodic_runs": _op13_periodic_runs,
 }

@@ -1,0 +1,115 @@
+"""The largest inner products against brute force, under ties, odd vectors and small blocks."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tableflow.llm.queries import QUERIES
+from tableflow.llm.top_products import Best, fit_rotation, top_products
+
+SCHEMA = "vec_id long, embedding array<float>, label int, row long, score string"
+
+
+def whole(vector):
+    if vector is None or any(x is None or not math.isfinite(x) for x in vector):
+        return None
+    return [math.floor(1024 * float(np.float32(x))) for x in vector]
+
+
+def brute(rows, k=10, every=100):
+    out = []
+    vectors = [(i, whole(v)) for i, v in rows]
+    for place, (query, q) in enumerate(vectors):
+        if q is None or query is None or query % every:
+            continue
+        scored = [
+            (-sum(a * b for a, b in zip(q, c)), i is None, i or 0, j)
+            for j, (i, c) in enumerate(vectors)
+            if c is not None and j != place
+        ]
+        for rank, (score, none, i, _) in enumerate(sorted(scored)[:k], 1):
+            out.append((query, rank, None if none else i, -score))
+    return sorted(out, key=str)
+
+
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 1, -1, "x") for i, v in rows], SCHEMA)
+
+
+def test_random_vectors_in_small_blocks(spark):
+    rng = np.random.default_rng(5)
+    scale = rng.uniform(0.1, 3, (900, 1)) * np.linspace(2, 0.1, 12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 12)) * scale)]
+    found, _ = top_products(table(spark, rows), F.col("vec_id") % 100 == 0, block_bytes=300, partition_rows=100)
+    assert rows_of(found) == brute(rows)
+
+
+def test_ties_copies_and_odd_vectors(spark):
+    rng = random.Random(2)
+    same = [0.5, -0.25, 0.125]
+    rows = [(i, same) for i in range(1, 60)] + [(100, same), (200, [1.0, 0.0, 0.0]), (300, [-1.0, 0.5, 0.0])]
+    rows += [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(3)]) for i in range(400, 460)]
+    rows += [(100, same), (500, None), (600, [float("nan"), 1.0, 1.0]), (700, [float("inf"), 0.0, 0.0])]
+    rows += [(800, [None, 1.0, 1.0]), (None, [3.0, 3.0, 3.0]), (900, []), (1000, [2.0]), (-100, [0.0, 0.0, 0.0])]
+    found, _ = top_products(table(spark, rows), F.col("vec_id") % 100 == 0)
+    assert rows_of(found) == brute(rows)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_fewer_rows_than_k(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [0.5, 0.5])]
+    found, _ = top_products(table(spark, rows), F.col("vec_id") % 100 == 0)
+    assert rows_of(found) == brute(rows) and found.count() == 2
+    assert top_products(table(spark, rows[:1]), F.col("vec_id") == 0)[0].count() == 0
+
+
+def test_scores_beyond_doubles_and_longs(spark):
+    big = [3e12, -7e12, 1e5]
+    rows = [(0, big), (1, [1.0, 1.0, 3.0]), (2, [0.001, 0.0, 0.0]), (3, [3e30, 0.0, 0.0]), (4, [-3e30, 0.0, 0.0])]
+    found, _ = top_products(table(spark, rows), F.col("vec_id") == 0)
+    got = {r["vec_id"]: r["score"] for r in found.collect()}
+    want = {i: sum(a * b for a, b in zip(whole(big), whole(v))) for i, v in rows[1:3]}
+    assert {i: got[i] for i in want} == want
+    assert got[3] == 2**63 - 1 and got[4] == -(2**63) + 1
+
+
+def test_empty_tables_and_wrong_arguments(spark):
+    empty = table(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    assert top_products(empty, F.col("vec_id") % 100 == 0)[0].count() == 0
+    assert top_products(table(spark, [(1, [1.0])]), F.lit(None).cast("boolean"))[0].count() == 0
+    with pytest.raises(ValueError):
+        top_products(empty, F.lit(True), k=0)
+    with pytest.raises(ValueError):
+        top_products(empty, F.lit(True), id_col="nothing")
+    with pytest.raises(ValueError):
+        top_products(empty, F.lit(True), id_col="score")
+
+
+def test_best_keeps_the_first_of_equal_scores():
+    best = Best(np.array([-np.inf]), 2)
+    zeros = np.zeros(3, np.int64)
+    best.add(zeros, np.array([5, 5, 5]), np.array([9, 4, 7]), np.array([0, 1, 2]))
+    best.add(zeros[:1], np.array([5]), np.array([1]), np.array([3]))
+    assert best.ids.tolist() == [1, 4] and best.floors.tolist() == [5.0]
+
+
+def test_rotation_keeps_products():
+    rng = np.random.default_rng(1)
+    sample = rng.normal(size=(50, 8)) * np.linspace(5, 0.1, 8)
+    turn = fit_rotation(sample, 8)
+    assert np.allclose(turn(sample) @ turn(sample).T, sample @ sample.T) and turn.ends
+    assert np.allclose(fit_rotation(np.zeros((0, 3)), 3).turn @ fit_rotation(np.zeros((0, 3)), 3).turn.T, np.eye(3))
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(350, 6)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows_of(QUERIES["op11_top_products"](spark, str(tmp_path))) == brute(rows)
