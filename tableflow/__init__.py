@@ -43,13 +43,14 @@ from tableflow.operators.indicators import (
     price_delta,
     rsi,
 )
+from tableflow.operators.ranges import RangeSplit, interval_join
 from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
-from tableflow.operators.upsert import copy_columns, newest_wins, upsert, upsert_where
+from tableflow.operators.upsert import copy_columns, newest_wins, upsert, upsert_range, upsert_where
 from tableflow.plans.jobs import bronze_job, curate_job, market_job, tick_stream_job
 from tableflow.sources.landing import Landed, land_text
 from tableflow.sources.readers import read_stream, read_table
-from tableflow.sources.scratch import drop_scratch, scratch_dir
+from tableflow.sources.scratch import drop_scratch, scratch_dir, scratch_scope
 from tableflow.sources.sinks import reconcile, write_and_reconcile, write_partitioned, write_table
 from tableflow.sources.versions import read_version, upsert_table, write_version
 from tableflow.streaming.append import run_bounded, run_to_end, start_append
@@ -64,10 +65,12 @@ __all__ = [
     "land_text",
     "read_version",
     "scratch_dir",
+    "scratch_scope",
     "upsert_table",
     "write_version",
     "ContractError",
     "HotKeys",
+    "RangeSplit",
     "Split",
     "all_present",
     "bars",
@@ -85,6 +88,7 @@ __all__ = [
     "indicator_tail",
     "indicators",
     "ingest_stamp",
+    "interval_join",
     "is_valid_price",
     "iso_instant",
     "latest_per_key",
@@ -123,6 +127,7 @@ __all__ = [
     "trim_strings",
     "upsert",
     "upsert_batch",
+    "upsert_range",
     "upsert_where",
     "write_and_reconcile",
     "write_partitioned",

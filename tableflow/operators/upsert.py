@@ -6,7 +6,7 @@ Update and insert values are Columns over the aliases ``target`` and ``source``,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tableflow.functions.columns import named
 from tableflow.operators.contracts import require_columns
+from tableflow.operators.ranges import RangeSplit, range_pairs
 from tableflow.operators.skew import (
     BROADCAST_BYTES,
     HotKeys,
@@ -123,18 +124,27 @@ def upsert(
     values = _assignments(insert, target, "insert")
 
     if fits_broadcast(source, broadcast_bytes):
-        return _merge_apart(target, source, keys, set_to, values)
+        # No side below is larger than the source.
+        return _merge_apart(target, source, keys, set_to, values, F.broadcast)
     hot_keys = hot_values([target, source], keys, hot)
     if hot_keys is None:
         return _merge(target, source, keys, set_to, values)
     cold = [without_hot(t, keys, hot_keys) for t in (target, source)]
     warm = [only_hot(t, keys, hot_keys) for t in (target, source)]
     return _merge(*cold, keys, set_to, values).unionByName(
-        # Every reduced side has at most one row per hot key here.
-        _merge_apart(*warm, keys, set_to, values)
+        _merge_apart(*warm, keys, set_to, values, _stored_side)
     )
 
 
+def _stored_side(reduced: DataFrame) -> DataFrame:
+    """A side with one row per hot key, written; it is broadcast if its files are small enough.
+
+    Beyond that the join shuffles, and since this side is a plain scan, adaptive execution splits the hot keys.
+    """
+    stored, _ = written(reduced, "reduced")
+    return F.broadcast(stored) if fits_broadcast(stored) else stored
+
+
 def _same_key(keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, (_side("target", k) == _side("source", k) for k in keys))
 
@@ -168,10 +178,11 @@ def _merge_apart(
     keys: list[str],
     set_to: dict[str, Column],
     values: dict[str, Column],
+    side: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Left join to one row per source key, plus an anti join to the target's keys, for few keys.
 
-    What has one row per key is broadcast, so neither side is shuffled as a whole.
+    ``side`` says how what has one row per key is joined. Where it is broadcast, neither table is shuffled as a whole.
     """
     others = [c for c in source.columns if c not in keys]
     per_key = (
@@ -183,7 +194,7 @@ def _merge_apart(
     count = F.col(f"source.{_COUNT}")
     kept = (
         target.alias("target")
-        .join(F.broadcast(per_key).alias("source"), _same_key(keys), "left")
+        .join(side(per_key).alias("source"), _same_key(keys), "left")
         .filter(_one_hit(count))
         .select(*_updated(target, set_to, count.isNotNull()))
     )
@@ -191,11 +202,11 @@ def _merge_apart(
     found = (
         target.select(*map(named, keys))
         .alias("target")
-        .join(F.broadcast(source_keys).alias("source"), _same_key(keys), "left_semi")
+        .join(side(source_keys).alias("source"), _same_key(keys), "left_semi")
     )
     new = (
         source.alias("source")
-        .join(F.broadcast(found.distinct()).alias("target"), _same_key(keys), "left_anti")
+        .join(side(found.distinct()).alias("target"), _same_key(keys), "left_anti")
         .select(*_inserted(target, values))
     )
     return kept.unionByName(new)
@@ -217,7 +228,7 @@ def upsert_where(
     ``on`` lists (target column, source column) pairs that must be equal; ``condition`` is any
     Column over ``target`` and ``source``. ``target_id`` names the columns that identify one
     target row. At least one equality is required: without it every row would have to be
-    compared with every other. To match on a range alone, derive a bucket column on both sides.
+    compared with every other. :func:`upsert_range` matches on a range alone.
 
     The source is evaluated once, into a scratch table that gives each row a number. Matching pairs come
     from one inner join, which is a broadcast if the numbered source has at most ``broadcast_bytes``, and otherwise
@@ -238,18 +249,29 @@ def upsert_where(
     numbered, _ = written(source.withColumn(_NUMBER, F.monotonically_increasing_id()), "source")
     equal = [_side("target", t) == _side("source", s) for t, s in pairs_on]
     is_small = fits_broadcast(numbered, broadcast_bytes)
-    matches = (
-        target.alias("target")
-        .join(
-            (F.broadcast(numbered) if is_small else numbered).alias("source"),
-            reduce(Column.__and__, equal) & condition,
-            "inner",
-        )
-        .select(
-            F.struct(*(_side("target", c).alias(c) for c in ids)).alias(_ID),
-            F.struct(*(_side("source", c).alias(c) for c in columns)).alias(_ROW),
-            F.col(f"source.{_NUMBER}").alias(_NUMBER),
-        )
+    matches = target.alias("target").join(
+        (F.broadcast(numbered) if is_small else numbered).alias("source"),
+        reduce(Column.__and__, equal) & condition,
+        "inner",
+    )
+    return _with_matches(target, numbered, matches, ids, columns, set_to, values, is_small)
+
+
+def _with_matches(
+    target: DataFrame,
+    numbered: DataFrame,
+    pairs: DataFrame,
+    ids: list[str],
+    columns: list[str],
+    set_to: dict[str, Column],
+    values: dict[str, Column],
+    is_small: bool,
+) -> DataFrame:
+    """The merged table from ``pairs`` of target rows and numbered source rows that match."""
+    matches = pairs.select(
+        F.struct(*(_side("target", c).alias(c) for c in ids)).alias(_ID),
+        F.struct(*(_side("source", c).alias(c) for c in columns)).alias(_ROW),
+        F.col(f"source.{_NUMBER}").alias(_NUMBER),
     )
     # Where this has one row per match, it is all matches; otherwise the query fails. Both uses
     # below need all of its columns, so Spark runs the join above once.
@@ -279,3 +301,38 @@ def upsert_where(
         .select(*_inserted(target, values))
     )
     return kept.unionByName(new)
+
+
+def upsert_range(
+    target: DataFrame,
+    source: DataFrame,
+    *,
+    point: str,
+    low: str,
+    high: str,
+    target_id: Sequence[str],
+    set: Assignments,
+    insert: Assignments,
+    included: str = "low",
+    condition: Column | None = None,
+    split: RangeSplit | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Upsert where the target's ``point`` lies between the source's ``low`` and ``high``.
+
+    No equal columns are needed: rows meet in bins, see :func:`tableflow.interval_join`, whose rules for ``included`` bounds,
+    nulls, NaN and ``condition`` hold here. ``target_id`` names the columns that identify one target row. The query fails
+    where several source rows match one target row; source rows whose range holds no target row are inserted.
+    """
+    ids = list(target_id)
+    if not ids:
+        raise ValueError("target_id must not be empty")
+    require_columns(target, ids)
+    set_to = _assignments(set, target, "set")
+    values = _assignments(insert, target, "insert")
+    numbered, _ = written(source.withColumn(_NUMBER, F.monotonically_increasing_id()), "source")
+    pairs = range_pairs(
+        target, numbered, point=point, low=low, high=high, included=included, condition=condition, split=split
+    ).pairs
+    is_small = fits_broadcast(numbered, broadcast_bytes)
+    return _with_matches(target, numbered, pairs, ids, source.columns, set_to, values, is_small)

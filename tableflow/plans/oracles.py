@@ -332,7 +332,27 @@ SELECT event_id, ts, user_id, event_type, value, props FROM (
 ) WHERE rn = 1
 """,
 }
+_SPANS = """
+SELECT *, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 20) AS low,
+  TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 20 + 15) AS high FROM orders"""
+
 ORACLES |= {
+    "upsert_range": f"""
+WITH s AS ({_SPANS})
+SELECT e.event_id, e.ts, e.user_id, coalesce(s.o_orderstatus, e.event_type) AS event_type,
+  coalesce(s.o_totalprice, e.value) AS value, e.props
+FROM events e LEFT JOIN s ON e.ts >= s.low AND e.ts < s.high
+UNION ALL
+SELECT -1 - s.o_orderkey, s.low, s.o_custkey, 'inserted', s.o_totalprice, NULL
+FROM s WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.ts >= s.low AND e.ts < s.high)
+""",
+    "interval_join": """
+WITH s AS (
+  SELECT hour, TIMESTAMP '2024-01-01' + to_hours(hour) AS low, TIMESTAMP '2024-01-01' + to_hours(hour + hours) AS high
+  FROM (SELECT o_orderkey % 720 AS hour, max(o_custkey % 40 + 1) AS hours FROM orders GROUP BY 1))
+SELECT hour, event_type, count(*) AS events, max(event_id) AS last_event
+FROM events JOIN s ON ts >= low AND ts < high GROUP BY 1, 2
+""",
     "indicators_incremental": ORACLES["indicators_since"],
     "indicators_nan": _INDICATORS_NAN,
     "price_delta_nan": _DELTA_NAN,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tableflow.functions import columns as rules
 from tableflow.operators import bars as bar_ops
-from tableflow.operators import clean, contracts, dedupe, indicators, upsert
+from tableflow.operators import clean, contracts, dedupe, indicators, ranges, upsert
+from tableflow.operators.ranges import RangeSplit
 from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
 from tableflow.plans import jobs
@@ -410,6 +411,50 @@ def upsert_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a span of 15 seconds each, one every 20 seconds."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    orders = table(spark, sf_dir, "orders").withColumn("low", start + F.make_dt_interval(secs=F.col("o_orderkey") * 20))
+    return orders.withColumn("high", F.col("low") + F.make_dt_interval(secs=F.lit(15)))
+
+
+def upsert_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders into the events of their time span; orders without one are inserted."""
+    return upsert.upsert_range(
+        table(spark, sf_dir, "events"),
+        _order_spans(spark, sf_dir),
+        point="ts",
+        low="low",
+        high="high",
+        target_id=["event_id"],
+        set={"value": "o_totalprice", "event_type": "o_orderstatus"},
+        insert={
+            "event_id": -1 - F.col("source.o_orderkey"),
+            "ts": "low",
+            "user_id": "o_custkey",
+            "event_type": F.lit("inserted"),
+            "value": "o_totalprice",
+        },
+        split=RangeSplit(rows_per_bin=500, rows_per_task=400),
+    )
+
+
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events lie in spans of one to 40 hours that orders open every hour, and their total."""
+    hour = F.col("o_orderkey") % 720
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    spans = table(spark, sf_dir, "orders").groupBy(hour.alias("hour")).agg(F.max(F.col("o_custkey") % 40 + 1).alias("hours"))
+    spans = spans.select(
+        "hour",
+        (start + F.make_dt_interval(hours=F.col("hour"))).alias("low"),
+        (start + F.make_dt_interval(hours=F.col("hour") + F.col("hours"))).alias("high"),
+    )
+    joined = ranges.interval_join(
+        table(spark, sf_dir, "events"), spans, point="ts", low="low", high="high", split=RangeSplit(rows_per_bin=300)
+    )
+    return joined.groupBy("hour", "event_type").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))
+
+
 # --- Bars ------------------------------------------------------------------------------------------
 
 
@@ -685,6 +730,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_hot": upsert_hot,
     "upsert_stored": upsert_stored,
     "upsert_theta": upsert_theta,
+    "upsert_range": upsert_range,
+    "interval_join": interval_join,
     "bars_hourly": bars_hourly,
     "bars_tiebreak": bars_tiebreak,
     "text_sources": text_sources,

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OPEN: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
 _OWN = re.compile(r".+-[0-9a-f]{32}/*")
 
 
@@ -22,7 +26,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"Set {CHECKPOINT_DIR} to a folder all executors can reach")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (opened := _OPEN.get()) is not None:
+        opened.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Everything that operators write to scratch folders inside the block is dropped at its end, also after an error.
+
+    A result that still reads such folders must be stored or consumed inside the block. Scopes may be nested; an inner one drops its own. The
+    block's value lists the folders so far.
+    """
+    opened: list[str] = []
+    token = _OPEN.set(opened)
+    try:
+        yield opened
+    finally:
+        _OPEN.reset(token)
+        drop_scratch(spark, *opened)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
