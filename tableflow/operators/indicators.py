@@ -16,11 +16,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
 from tableflow.operators.dedupe import latest_per_key
 from tableflow.operators.segments import Split, last_rows, since as rows_since, trailing
+from tableflow.operators.sliding import add, merge_moments, sliding
 
 # --- Fixed values: periods of the indicator table ------------------------------------------
 AVERAGE_ROWS = 14
@@ -33,11 +35,16 @@ SIGNAL_ROWS = 9
 #: mean another 25.
 INDICATOR_HISTORY = (SIGNAL_ROWS - 1) + (SLOW_ROWS - 1)
 
+#: Frames of more rows are merged from smaller ones instead of being added up for each row.
+DIRECT_ROWS = 64
+
 _RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 _DIFF = "__diff"
 _GAIN = "__gain"
 _LOSS = "__loss"
+_VALUE = "__value"
+_SQUARE = "__square"
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -79,6 +86,26 @@ def _when_full(value: Column, counted: Column, rows: int, window: WindowSpec) ->
     return F.when(F.count(counted).over(_last(window, rows)) == rows, value)
 
 
+def _average_type(rows: DataFrame, value: Column) -> T.DataType:
+    return rows.select(F.avg(value)).schema[0].dataType
+
+
+def _long_means(rows: DataFrame, w: WindowSpec, value: Column, periods: Sequence[int]) -> tuple[DataFrame, list[Column]]:
+    """The mean of the last rows for each of ``periods``; null unless all of them hold a value. Helper columns begin with ``__``."""
+    kind = _average_type(rows, value)
+    wide = T.DecimalType(38, kind.scale - 4) if isinstance(kind, T.DecimalType) else T.DoubleType()
+
+    def total(frames: list, names: list[str]) -> list[dict[str, Column]]:
+        return [{n: c.cast(wide) for n, c in step.items()} for step in add(frames, names)]
+
+    rows, sums = sliding(rows.withColumn(_VALUE, value.cast(wide)), w, [_VALUE], periods, total)
+    return rows, [(named(sums[p][0]) / p).cast(kind) for p in periods]
+
+
+def _without_helpers(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*map(named, columns))
+
+
 def indicators(
     df: DataFrame,
     *,
@@ -196,6 +223,10 @@ def moving_average(
     close = named(price)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        if period > DIRECT_ROWS:
+            columns = rows.columns
+            rows, (mean,) = _long_means(rows, w, close, [period])
+            return _without_helpers(rows.withColumn(name, mean), [*columns, name])
         mean = F.avg(close).over(_last(w, period))
         return rows.withColumn(name, _when_full(mean, close, period, w))
 
@@ -221,6 +252,14 @@ def rsi(
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         diffs = rows.withColumn(_DIFF, _difference(named(price), w))
+        if period > DIRECT_ROWS:
+            known = F.when(named(_DIFF).isNotNull(), named(_DIFF))
+            parts = {_GAIN: _positive_part(known), _LOSS: _positive_part(-known)}
+            parts = {c: F.when(named(_DIFF).isNotNull(), part).cast("double") for c, part in parts.items()}
+            merged, sums = sliding(diffs.withColumns(parts), w, [_GAIN, _LOSS], [period], add)
+            gain, loss = (named(c) / period for c in sums[period])
+            strength = F.when(gain.isNotNull(), _strength(gain, loss))
+            return _without_helpers(merged.withColumn(name, strength), [*rows.columns, name])
         frame = _last(w, period)
         strength = _strength(
             F.avg(_positive_part(named(_DIFF))).over(frame),
@@ -251,6 +290,10 @@ def macd(
     close = named(price)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        if long > DIRECT_ROWS:
+            columns = rows.columns
+            rows, (fast, slow) = _long_means(rows, w, close, [short, long])
+            return _without_helpers(rows.withColumn(name, fast - slow), [*columns, name])
         spread = F.avg(close).over(_last(w, short)) - F.avg(close).over(_last(w, long))
         return rows.withColumn(name, _when_full(spread, close, long, w))
 
@@ -273,6 +316,15 @@ def bollinger(
     close = named(price)
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        if period > DIRECT_ROWS:
+            value = close.cast("double")
+            start = rows.withColumns({_VALUE: value, _SQUARE: F.when(value.isNotNull(), value - value)})
+            merged, found = sliding(start, w, [_VALUE, _SQUARE], [period], merge_moments)
+            mean, square = map(named, found[period])
+            spread = F.lit(float(k)) * F.sqrt(square / period)
+            mid = mean.cast(_average_type(rows, close))
+            bands = {"bb_lower": mid - spread, "bb_mid": mid, "bb_upper": mid + spread}
+            return _without_helpers(merged.withColumns(bands), [*rows.columns, *bands])
         frame = _last(w, period)
         mean = _when_full(F.avg(close).over(frame), close, period, w)
         spread = F.lit(float(k)) * F.stddev_pop(close).over(frame)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tableflow.functions.columns import named
-from tableflow.sources.scratch import drop_scratch, written
+from tableflow.sources.scratch import written
 
 SEGMENT = "__segment"
 HISTORY = "__history"
@@ -119,11 +119,10 @@ def long_series(df: DataFrame, keys: Sequence[str], split: Split) -> tuple[DataF
         # Half the expected number, so that a long series is hardly ever missed.
         rows, enough = rows.sample(fraction, seed=5), _SAMPLED_ROWS / 2
     counted = rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias(_ROWS)).filter(named(_ROWS) > enough)
-    stored, path = written(counted, "long_series")
-    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(_ROWS).alias("rows")).first()
-    if not size["n"]:
-        drop_scratch(df.sparkSession, path)
+    if counted.isEmpty():  # mostly so; otherwise the sample is taken once more
         return None
+    stored, _ = written(counted, "long_series")
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(_ROWS).alias("rows")).first()
     listed = stored.select(_KEY)
     return F.broadcast(listed) if size["n"] <= _BROADCAST_SERIES else listed, int(size["rows"] / fraction)
 

@@ -352,6 +352,21 @@ WITH s AS (
   FROM (SELECT o_orderkey % 720 AS hour, max(o_custkey % 40 + 1) AS hours FROM orders GROUP BY 1))
 SELECT hour, event_type, count(*) AS events, max(event_id) AS last_event
 FROM events JOIN s ON ts >= low AND ts < high GROUP BY 1, 2
+""",
+    "moving_avg_long": """
+SELECT event_type AS symbol, ts AS event_time, value AS close,
+  CASE WHEN count(value) OVER w = 150 THEN round(avg(value) OVER w, 6) END AS moving_avg
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 149 PRECEDING AND CURRENT ROW)
+""",
+    "bollinger_long": """
+SELECT symbol, event_time, close, round(mean - 2 * dev, 6) AS bb_lower, round(mean, 6) AS bb_mid, round(mean + 2 * dev, 6) AS bb_upper
+FROM (
+  SELECT event_type AS symbol, ts AS event_time, value AS close, stddev_pop(value) OVER w AS dev,
+    CASE WHEN count(value) OVER w = 150 THEN avg(value) OVER w END AS mean
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 149 PRECEDING AND CURRENT ROW))
+""",
+    "period_guards": """
+SELECT user_id AS symbol, count(*) AS rows, greatest(count(*) - 66, 0) AS means, true AS refused FROM events GROUP BY 1
 """,
     "indicators_incremental": ORACLES["indicators_since"],
     "indicators_nan": _INDICATORS_NAN,

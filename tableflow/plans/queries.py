@@ -109,6 +109,33 @@ def bollinger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(bands, "bb_lower", "bb_mid", "bb_upper")
 
 
+def moving_avg_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = _ticks(spark, sf_dir, "event_type")
+    return _rounded(indicators.moving_average(ticks, 150, tiebreak=[]), "moving_avg")
+
+
+def bollinger_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = _ticks(spark, sf_dir, "event_type")
+    bands = indicators.bollinger(ticks, 150, 2.0, tiebreak=[])
+    return _rounded(bands, "bb_lower", "bb_mid", "bb_upper")
+
+
+def period_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and defined means per series for a period that some series are too short for, and whether bad periods are refused."""
+    ticks = _ticks(spark, sf_dir, "user_id")
+    refused = []
+    for period in (0, -14):
+        for refuse in (indicators.moving_average, indicators.rsi, indicators.bollinger):
+            try:
+                refuse(ticks, period, tiebreak=[])
+                refused.append(False)
+            except ValueError:
+                refused.append(True)
+    means = indicators.moving_average(ticks, 67, tiebreak=[]).groupBy("symbol")
+    counted = means.agg(F.count("*").alias("rows"), F.count("moving_avg").alias("means"))
+    return counted.withColumn("refused", F.lit(all(refused)))
+
+
 def price_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = _ticks(spark, sf_dir, "event_type")
     return _rounded(
@@ -709,6 +736,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rsi_strict": rsi_strict,
     "macd_strict": macd_strict,
     "bollinger": bollinger,
+    "moving_avg_long": moving_avg_long,
+    "bollinger_long": bollinger_long,
+    "period_guards": period_guards,
     "bollinger_segmented": bollinger_segmented,
     "bollinger_latest": bollinger_latest,
     "price_delta": price_delta,
