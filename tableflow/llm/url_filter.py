@@ -10,9 +10,11 @@ that combines in the map tasks. All further work is on shapes. From the root of
 
 1. a segment becomes ``*`` if its branch has more than ``max_children`` children and it has less than
    ``min_share`` of their pages,
-2. the other branches, fewer than ``max_children`` or so, are put in the order of their shares of good labelled
-   pages, and neighbours that differ by less than ``similar_z`` standard errors are merged into one, ``(a|b)``;
-   those without labelled pages are one as well.
+2. the other branches, fewer than ``max_children`` or so, are put apart by their shares of good labelled pages: those that
+   lie ``similar_z`` standard errors below ``min_purity`` or more, those that lie as far above, and those in between. In the order of
+   their shares, neighbours of one kind that differ by less than ``similar_z`` standard errors are merged into one, ``(a|b)``, but those in
+   between only where each has fewer than ``enough`` labelled pages. So no chain of neighbours joins clearly bad with clearly
+   good branches, and a branch that its own labels can judge is not judged by others. Those without labelled pages are one as well.
 
 This goes on for as long as a path has segments left. A branch with a single shape can't be split any more and takes the
 rest of its path at once, so that there are as many levels as different shapes share. What is left are templates. Their purity is the share of
@@ -72,6 +74,7 @@ class TreeLimits:
     similar_z: float = 2.0
     smoothing: float = 10.0
     min_purity: float = 0.5
+    enough: int = 20
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -135,13 +138,17 @@ def _one_level(tree: DataFrame, depth: int, limits: TreeLimits) -> DataFrame:
     )
     rate = (F.col("g") + 1) / (F.col("l") + 2)
     known = known.withColumn("rate", rate).withColumn("error", rate * (1 - rate) / F.greatest("l", F.lit(1)))
-    in_order = Window.partitionBy("host", "template", "kind").orderBy("rate", "segment")
+    margin = limits.similar_z * F.sqrt("error")
+    low, high = F.col("rate") + margin < limits.min_purity, F.col("rate") - margin > limits.min_purity
+    known = known.withColumn("side", F.when(F.col("kind") != "labelled", 0).when(low, -1).when(high, 1).otherwise(0))
+    in_order = Window.partitionBy("host", "template", "kind", "side").orderBy("rate", "segment")
     gap = F.col("rate") - F.lag("rate").over(in_order)
     limit = limits.similar_z * F.sqrt(F.col("error") + F.lag("error").over(in_order))
-    apart = (F.col("kind") == "labelled") & F.coalesce(gap > limit, F.lit(False))
+    judged_alone = (F.col("side") == 0) & (F.greatest("l", F.lag("l").over(in_order)) >= limits.enough)
+    apart = (F.col("kind") == "labelled") & F.coalesce((gap > limit) | judged_alone, F.lit(False))
     kept = known.where("kind IN ('labelled', 'unlabelled')")
     grouped = kept.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(in_order))
-    members = Window.partitionBy("host", "template", "kind", "group")
+    members = Window.partitionBy("host", "template", "kind", "side", "group")
     names = F.sort_array(F.collect_list("segment").over(members))
     joined = F.when(F.size(names) == 1, names[0]).otherwise(F.concat(F.lit("("), F.array_join(names, "|"), F.lit(")")))
     alone = F.sum("shapes").over(members) == 1
@@ -155,7 +162,7 @@ def _one_level(tree: DataFrame, depth: int, limits: TreeLimits) -> DataFrame:
     labels = labels.withColumn("segment", F.coalesce("segment", F.lit("\0")))
     keyed = level.withColumn("segment", F.coalesce("segment", F.lit("\0")))
     named = keyed.join(labels, ["host", "template", "segment"])
-    after = F.filter(F.slice("segments", depth + 2, 1_000_000), lambda s: s != "")
+    after = F.filter(F.slice("segments", F.lit(depth + 2), F.greatest(F.size("segments"), F.lit(0))), lambda s: s != "")
     rest = F.when(F.col("alone"), F.concat_ws("", F.transform(after, lambda s: F.concat(F.lit("/"), s)))).otherwise("")
     left = F.when(F.col("alone"), F.slice("segments", 1, depth + 1)).otherwise(F.col("segments"))
     named = named.withColumn("template", F.concat("template", "label", rest)).withColumn("segments", left)
