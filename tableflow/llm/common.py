@@ -6,6 +6,7 @@ UTF-8 bytes: splitting, lower-casing of A-Z and hashing are then the same on eve
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -135,14 +136,19 @@ def record_batch(columns: Sequence[Sequence], schema: pa.Schema) -> pa.RecordBat
 
 # Hashes ---------------------------------------------------------------------------------------
 #
-# The hash of a byte string is a polynomial in an odd base over whole numbers modulo 2**64, passed
-# through a mixing function. An odd base has an inverse, so that hashes of all substrings follow
-# from running sums. Equal strings have equal hashes; the operators that rest on unequal hashes for
-# unequal strings say how they verify.
+# A word's hash is cut from its BLAKE2b digest, so that words that were made to collide don't. The hash of a window of words is
+# a sum of their hashes, each times a number that belongs to its place in the window, passed through a mixing function. Equal strings
+# have equal hashes; the operators that rest on unequal hashes for unequal strings say how they verify.
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 
+#: Windows of more words are hashed by running sums over powers of a base instead of place by place.
+_PLACES = 64
+
+#: Words whose digests a worker remembers, and the longest of them.
+_REMEMBERED, _SHORT = 1 << 17, 64
+_digests: dict[bytes, bytes] = {}
+
 
 def _inverse(odd: np.uint64) -> np.uint64:
     return np.uint64(pow(int(odd), -1, 1 << 64))
@@ -168,7 +174,7 @@ class Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = Powers(_BASE), Powers(_WORD_BASE)
+_WORDS = Powers(_WORD_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,72 +184,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _is_space() -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(WHITE_SPACE)] = True
-    return out
+_PLACE = mix(np.arange(1, _PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-_SPACE = _is_space()
+def _digest(word: bytes) -> bytes:
+    """16 bytes of BLAKE2b."""
+    found = _digests.get(word)
+    if found is None:
+        found = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= _SHORT:
+            if len(_digests) >= _REMEMBERED:
+                _digests.clear()
+            _digests[word] = found
+    return found
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of a text; memory follows ``BLOCK_BYTES`` and the longest word."""
-    if len(text) <= BLOCK_BYTES:
-        return _block_hashes(text)
+def word_digests(text: bytes) -> np.ndarray:
+    """Two 64-bit hashes for each word of a text, one row each; words are split ``BLOCK_BYTES`` at a time."""
     parts, start = [], 0
     while start < len(text):
         end = min(len(text), start + BLOCK_BYTES)
         while end < len(text) and text[end] not in WHITE_SPACE:
             end += 1
-        parts.append(_block_hashes(text[start:end]))
+        parts.append(b"".join(map(_digest, text[start:end].split())))
         start = end
-    return np.concatenate(parts)
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
 
 
-def _block_hashes(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _BYTES.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of a text."""
+    return word_digests(text)[:, 0].copy()
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash for each window of ``size`` consecutive word hashes."""
     if len(words) < size:
         return np.empty(0, np.uint64)
+    n = len(words) - size + 1
+    if size <= _PLACES:
+        out = words[:n] * _PLACE[0]
+        for place in range(1, size):
+            out += words[place : place + n] * _PLACE[place]
+        return mix(out)
     up, down = _WORDS.upto(len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
-    n = len(words) - size + 1
     return mix((sums[size:] - sums[:n]) * down[:n])
 
 
 def hash_texts(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of several texts in a row, and the number of words of each."""
-    parts, counts, block, size = [np.empty(0, np.uint64)], [], [], 0
-    for text in [*texts, None]:
-        if block and (text is None or size + len(text) > BLOCK_BYTES):
-            hashes, lengths = _joined_hashes(block)
-            parts.append(hashes)
-            counts += lengths
-            block, size = [], 0
-        if text is not None:
-            block.append(text)
-            size += len(text) + 1
-    return np.concatenate(parts), np.array(counts, np.int64)
-
-
-def _joined_hashes(block: list[bytes]) -> tuple[np.ndarray, list[int]]:
-    counts = [len(text.split()) for text in block]
-    return word_hashes(b"\n".join(block)), counts
+    """The two hashes of the words of several texts in a row, one column a word, and the number of words of each."""
+    parts = [word_digests(text) for text in texts]
+    joined = np.concatenate([np.empty((0, 2), np.uint64), *parts])
+    return np.ascontiguousarray(joined.T), np.array([len(x) for x in parts], np.int64)
 
 
 def covered(starts: np.ndarray, size: int, n_words: int) -> np.ndarray:

@@ -1,0 +1,62 @@
+"""Cases where unequal things were once taken for equal, or dissimilar ones were merged."""
+
+from pyspark.sql import functions as F
+
+from tableflow.llm.common import word_hashes
+from tableflow.llm.near_dedup import near_duplicates
+from tableflow.llm.substring import remove_repeats
+from tableflow.llm.url_filter import filter_urls
+
+
+def thue_morse(bits, zero, one):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(1 << bits))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    a, b = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    hashes = word_hashes(f"{a} {b} {a}".encode())
+    assert hashes[0] == hashes[2] != hashes[1]
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:20], odd, *words[21:]])) for i, odd in ((1, a), (2, b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["cut"]["n_removed"] for r in remove_repeats(docs).collect()] == [0, 0]
+    text = f"x {a} y x {b} y"
+    found = near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert found.first()["n_shingles"] == len({tuple(text.split()[i : i + 3]) for i in range(4)})
+
+
+def test_windows_of_two_words_in_patterns_are_told_apart(spark):
+    patterns = [thue_morse(6, "a ", "b "), thue_morse(6, "b ", "a ")]
+    docs = spark.createDataFrame(list(enumerate(patterns)), "doc_id long, text string")
+    windows = [tuple(p.split()[i : i + 35]) for p in patterns for i in range(30)]
+    again = {w for w in windows if windows.count(w) > 1}
+    for doc, words in enumerate(p.split() for p in patterns):
+        hit = {i + k for i in range(30) if tuple(words[i : i + 35]) in again for k in range(35)}
+        row = remove_repeats(docs).where(F.col("doc_id") == doc).first()
+        assert row["cut"]["n_removed"] == len(hit)
+
+
+def judged(spark, branches):
+    pages, labels = [], []
+    for name, good, bad in branches:
+        for k in range(good + bad):
+            pages.append((len(pages), f"http://h.net/{name}/page-{k % 7}x"))
+            labels.append((len(labels), int(k < good)))
+    found = filter_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), []
+    )
+    rows = found.select("path", "verdict", "template").distinct().collect()
+    return {r["path"].split("/")[1]: r["verdict"] for r in rows}, {r["path"].split("/")[1]: r["template"] for r in rows}
+
+
+def test_a_chain_of_branches_does_not_join_bad_with_good(spark):
+    names = "abcdefghijk"
+    verdicts, templates = judged(spark, [(f"in-{name}", 4 * k, 40 - 4 * k) for k, name in enumerate(names)])
+    assert [verdicts[f"in-{name}"] for name in names[:5]] == ["block"] * 5
+    assert [verdicts[f"in-{name}"] for name in names[6:]] == ["allow"] * 5
+    assert templates["in-a"] != templates["in-k"]
+
+
+def test_branches_with_few_labels_are_merged(spark):
+    verdicts, _ = judged(spark, [("big", 90, 10), *((f"s{'abcdefgh'[k]}", k % 2, 1 - k % 2) for k in range(8))])
+    assert set(verdicts.values()) == {"allow"}
