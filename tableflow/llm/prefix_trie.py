@@ -75,6 +75,7 @@ def conversation_trie(
         F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256).alias("key"),
         F.regexp_count(text, F.lit(_WORD)).cast("long").alias("words"),
     )
+    turns = scratch.keep(turns, "digests")  # else the range partitioner's sample would hash all texts once more
     prefixes, convs = _prefixes(_numbered(turns, scratch), opening, scratch)
     low = convs.agg(F.min("conv")).first()[0]
     nodes, members = _nodes(prefixes, convs, low, scratch)
