@@ -44,11 +44,13 @@ from tableflow.operators.indicators import (
     rsi,
 )
 from tableflow.operators.ranges import RangeSplit, interval_join
+from tableflow.operators.repair import repair_indicators, replace_rows
 from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
 from tableflow.operators.upsert import copy_columns, newest_wins, upsert, upsert_range, upsert_where
 from tableflow.plans.jobs import bronze_job, curate_job, market_job, tick_stream_job
 from tableflow.sources.landing import Landed, land_text
+from tableflow.sources.partitions import upsert_partitions
 from tableflow.sources.readers import read_stream, read_table
 from tableflow.sources.scratch import drop_scratch, scratch_dir, scratch_scope
 from tableflow.sources.sinks import reconcile, write_and_reconcile, write_partitioned, write_table
@@ -106,6 +108,8 @@ __all__ = [
     "read_stream",
     "read_table",
     "reconcile",
+    "repair_indicators",
+    "replace_rows",
     "require_clean",
     "require_columns",
     "require_no_nan",
@@ -127,6 +131,7 @@ __all__ = [
     "trim_strings",
     "upsert",
     "upsert_batch",
+    "upsert_partitions",
     "upsert_range",
     "upsert_where",
     "write_and_reconcile",

@@ -352,6 +352,16 @@ WITH s AS (
   FROM (SELECT o_orderkey % 720 AS hour, max(o_custkey % 40 + 1) AS hours FROM orders GROUP BY 1))
 SELECT hour, event_type, count(*) AS events, max(event_id) AS last_event
 FROM events JOIN s ON ts >= low AND ts < high GROUP BY 1, 2
+""",
+    "indicators_repaired": _indicators(),
+    "stream_csv": ORACLES["stream_project"],
+    "upsert_partitions": """
+SELECT o_orderkey, o_custkey, o_orderstatus,
+  CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 0.5::DOUBLE + o_orderkey ELSE o_totalprice END AS o_totalprice,
+  o_orderdate, o_orderpriority FROM orders
+UNION ALL
+SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0
 """,
     "moving_avg_long": """
 SELECT event_type AS symbol, ts AS event_time, value AS close,

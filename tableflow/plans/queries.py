@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from tableflow.functions import columns as rules
 from tableflow.operators import bars as bar_ops
-from tableflow.operators import clean, contracts, dedupe, indicators, ranges, upsert
+from tableflow.operators import clean, contracts, dedupe, indicators, ranges, repair, upsert
 from tableflow.operators.ranges import RangeSplit
 from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
 from tableflow.plans import jobs
-from tableflow.sources import landing, readers, sinks, versions
+from tableflow.sources import landing, partitions, readers, sinks, versions
 from tableflow.sources.scratch import scratch_dir, written
 from tableflow.streaming import append, bars as bar_stream, project, upsert as upsert_stream
 
@@ -181,6 +181,21 @@ def indicators_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(result, *INDICATOR_COLUMNS)
 
 
+def indicators_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table without some ticks and with others wrong, repaired by these ticks."""
+    event = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("event_time"), F.col("value").alias("close"), "event_id"
+    )
+    wrong = F.when(event % 211 == 7, F.col("close") + 5).otherwise(F.col("close"))
+    before = events.where(event % 197 != 3).withColumn("close", wrong)
+    stored, _ = written(indicators.indicators(before, tiebreak=["event_id"]), "stored")
+    changes = events.where((event % 197 == 3) | (event % 211 == 7))
+    rows = repair.repair_indicators(stored, changes, tiebreak=["event_id"], bucket="6 hours")
+    whole = repair.replace_rows(stored, written(rows, "repaired")[0], ["symbol", "event_time", "event_id"])
+    return _rounded(whole.drop("event_id"), *INDICATOR_COLUMNS)
+
+
 # --- Dedupe, cleaning, contracts ---------------------------------------------------------------
 
 LINE_TIEBREAK = [
@@ -415,6 +430,26 @@ def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.upsert_table(root, orders.filter("event_id % 4 <> 0"), **_order_rule())
 
 
+def upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending orders changed and added in a table partitioned by status; the other partitions stay as they are."""
+    folder = scratch_dir(spark, "partitions")
+    orders = table(spark, sf_dir, "orders")
+    sinks.write_partitioned(orders, folder, "o_orderstatus")
+    pending, key = orders.where("o_orderstatus = 'P'"), F.col("o_orderkey")
+    changed = pending.where(key % 2 == 0).withColumn("o_totalprice", F.lit(0.5) + key)
+    added = pending.where(key % 5 == 0).withColumn("o_orderkey", -1 - key)
+    return partitions.upsert_partitions(
+        spark,
+        folder,
+        changed.unionByName(added),
+        schema=orders.schema,
+        partition_by="o_orderstatus",
+        on=["o_orderstatus", "o_orderkey"],
+        set={"o_totalprice": "o_totalprice"},
+        insert=upsert.copy_columns([c for c in orders.columns if c != "o_orderstatus"]) | {"o_orderstatus": "o_orderstatus"},
+    )
+
+
 def upsert_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last order per customer into events of that user whose value is above a threshold."""
     events = table(spark, sf_dir, "events")
@@ -670,6 +705,29 @@ def stream_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_table(spark, f"{folder}/out", "parquet", written)
 
 
+def stream_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job over CSV files whose columns stand in another order than declared."""
+    folder = scratch_dir(spark, "stream_csv")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    texts = events.withColumn("ts", F.col("ts").cast("string"))  # Spark's own text of a time in CSV has no microseconds
+    turned = texts.select(*reversed(events.columns)).repartitionByRange(4, "event_id")
+    turned.write.option("header", True).csv(f"{folder}/in")
+    jobs.tick_stream_job(
+        spark,
+        f"{folder}/in",
+        f"{folder}/out",
+        f"{folder}/checkpoint",
+        events.schema,
+        run_seconds=None,
+        available_now=True,
+        max_files_per_trigger=2,
+        time="ts",
+        value="event_id",
+        input_format="csv",
+    )
+    return readers.read_table(spark, f"{folder}/out", "parquet", project.project_ticks(events, "ts", "event_id").schema)
+
+
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "stream_bars")
     events = _event_files(spark, sf_dir, f"{folder}/in", 4)
@@ -731,6 +789,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "indicators_segmented": indicators_segmented,
     "indicators_since": indicators_since,
     "indicators_incremental": indicators_incremental,
+    "indicators_repaired": indicators_repaired,
     "indicators_nan": indicators_nan,
     "moving_avg_strict": moving_avg_strict,
     "rsi_strict": rsi_strict,
@@ -759,6 +818,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_large": upsert_large,
     "upsert_hot": upsert_hot,
     "upsert_stored": upsert_stored,
+    "upsert_partitions": upsert_partitions,
     "upsert_theta": upsert_theta,
     "upsert_range": upsert_range,
     "interval_join": interval_join,
@@ -772,6 +832,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "market_job": market_job,
     "curate_job": curate_job,
     "stream_project": stream_project,
+    "stream_csv": stream_csv,
     "stream_bars": stream_bars,
     "stream_bars_all": stream_bars_all,
     "stream_upsert": stream_upsert,

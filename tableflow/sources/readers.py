@@ -101,12 +101,30 @@ def read_stream(
     max_files_per_trigger: int | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Stream the files that arrive in a directory. The schema is always declared."""
+    """Stream the files that arrive in a directory. The schema is always declared.
+
+    Columns of csv are bound by the names in the header of the first file, or in the declared order where there is no file yet; a
+    declared one that is absent raises. A later file with another header fails the stream instead of being read by position.
+    """
     if fmt not in (*TEXT_FORMATS, "parquet", "orc"):
         raise ValueError(f"Unsupported streaming format {fmt!r}")
-    reader = spark.readStream.format(fmt).schema(schema).options(**dict(options or {}))
+    in_file = struct(schema)
+    reader = spark.readStream.format(fmt).options(**dict(options or {}))
     if fmt == "csv":
-        reader = reader.option("header", True)
+        if found := _streamed_header(spark, path, options):
+            in_file = bind_by_name(found, schema)
+        reader = reader.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    stream = reader.schema(in_file).load(path)
+    return stream.select(*_names(schema)) if fmt == "csv" else stream
+
+
+def _streamed_header(spark: SparkSession, path: str, options: Mapping[str, str] | None) -> list[str]:
+    """The header of the files that are there; none for a folder without files."""
+    try:
+        return csv_header(spark, path, options)
+    except AnalysisException as error:
+        if error.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            return []
+        raise
