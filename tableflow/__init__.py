@@ -13,7 +13,7 @@ from tableflow.functions.columns import (
     safe_ratio,
     strict_date,
 )
-from tableflow.operators.bars import bars
+from tableflow.operators.bars import bar_states, bars, merge_rule, roll_up, without_state
 from tableflow.operators.clean import (
     complete_rows,
     split_prices,
@@ -75,6 +75,7 @@ __all__ = [
     "RangeSplit",
     "Split",
     "all_present",
+    "bar_states",
     "bars",
     "bollinger",
     "bollinger_latest",
@@ -96,6 +97,7 @@ __all__ = [
     "latest_per_key",
     "macd",
     "market_job",
+    "merge_rule",
     "moving_average",
     "newest_wins",
     "normalize_symbol",
@@ -115,6 +117,7 @@ __all__ = [
     "require_no_nan",
     "require_schema",
     "require_types",
+    "roll_up",
     "rsi",
     "run_bounded",
     "run_to_end",
@@ -134,6 +137,7 @@ __all__ = [
     "upsert_partitions",
     "upsert_range",
     "upsert_where",
+    "without_state",
     "write_and_reconcile",
     "write_partitioned",
     "write_table",

@@ -354,6 +354,11 @@ SELECT hour, event_type, count(*) AS events, max(event_id) AS last_event
 FROM events JOIN s ON ts >= low AND ts < high GROUP BY 1, 2
 """,
     "indicators_repaired": _indicators(),
+    "bars_rolled_up": """
+SELECT event_type AS symbol, date_trunc('day', ts) AS event_time, arg_min(value, ts) AS open, max(value) AS high,
+  min(value) AS low, arg_max(value, ts) AS close, round(sum(value), 6) AS volume, count(*) AS ticks
+FROM events GROUP BY 1, 2
+""",
     "stream_csv": ORACLES["stream_project"],
     "upsert_partitions": """
 SELECT o_orderkey, o_custkey, o_orderstatus,

@@ -531,6 +531,21 @@ def bars_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_ops.bars(ticks, "1 day", tiebreak=["event_id"]).drop("volume")
 
 
+def bars_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars from stored hourly ones, into which the states of late ticks were merged."""
+    ticks = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("event_time"), F.col("value").alias("close"), "event_id"
+    )
+    rule = {"tiebreak": ["event_id"], "volume": "close"}
+    late = F.col("event_id") % 7 == 3
+    stored, _ = written(bar_ops.bar_states(ticks.where(~late), "1 hour", **rule), "bars")
+    further = bar_ops.bar_states(ticks.where(late), "1 hour", **rule)
+    hourly = upsert.upsert(
+        stored, further, on=["symbol", "event_time"], set=bar_ops.merge_rule(), insert=upsert.copy_columns(stored.columns)
+    )
+    return _rounded(bar_ops.without_state(bar_ops.roll_up(hourly, "1 day")), "volume")
+
+
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = _ticks(spark, sf_dir, "event_type").withColumn("volume", F.col("close"))
     return _rounded(bar_ops.bars(ticks, "1 hour", tiebreak=[], volume="volume"), "volume")
@@ -822,6 +837,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_theta": upsert_theta,
     "upsert_range": upsert_range,
     "interval_join": interval_join,
+    "bars_rolled_up": bars_rolled_up,
     "bars_hourly": bars_hourly,
     "bars_tiebreak": bars_tiebreak,
     "text_sources": text_sources,
