@@ -13,10 +13,10 @@ that the characters read so far can have reached, and transitions are made when
 and fewer edits before more. A word costs one step for
 each character, and most words reach the empty state after two or three.
 
-*Weights.* A word's weight is its smoothed precision among the labelled documents. A misspelling that they don't hold has the
-weight of its term: the share of toxic documents among the term's misspellings that a single document holds, as these come
-nearest to unseen ones, smoothed by ``UNSEEN``. So a harmless word that is one edit away from a term counts for nothing once it was
-seen in clean documents, and a term whose neighbourhood is full of them catches no others: weights below ``least`` are dropped.
+*Weights.* A term's weight is its smoothed precision among the labelled documents. That of a word near a term is the probability that it is
+the term misspelled, see :func:`neighbour_weights`: from the documents that hold it, or, where none does, from the neighbours of the term that a
+single document holds, as these come nearest to unseen ones. So a harmless word that is one edit away from a term counts for nothing once it
+was seen in clean documents, and a term whose neighbourhood is full of such words catches no others: weights below ``least`` are dropped.
 
 *Context.* A hit counts in full unless an open quotation mark stands within ``reach`` tokens before it and a closing one
 within as many after: then it is taken for a quotation and counts ``quoted`` of its weight, except when unquoted hits
@@ -30,6 +30,8 @@ rows get equal results. Other columns stay as they are; one called like the resu
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +52,10 @@ FUZZY_LETTERS = 5
 WIDE_LETTERS = 4
 LONG_LETTERS = 7
 UNSEEN = 0.4
+UNSEEN_WORDS = 2
+DRAWN = 10
+STRAY = 0.1
+LEAST_PART = 0.01
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
@@ -301,16 +307,41 @@ def train(
 
     matched = counts.where("NOT stem").select("token", "toxic", "clean", row_column(make, _MATCH)("token").alias("m"))
     near = matched.where("m.edits > 0").select("token", "toxic", "clean", "m.term").collect()
-    variants = {r["token"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in near}
-    once: dict[str, list[int]] = {term: [0, 0] for term in [*words, *stems]}
-    for r in near:
-        if r["toxic"] + r["clean"] == 1:
-            once[r["term"]][r["toxic"]] += 1
-    others = {term: (toxic + 2 * UNSEEN) / (toxic + clean + 2) for term, (clean, toxic) in once.items()}
+    share = (of_label.get(1, 0) + 1) / (sum(of_label.values()) + 2)
+    variants, others = neighbour_weights([tuple(r) for r in near], [*words, *stems], share)
     drop_scratch(spark, sample_path, counts_path)
     return ToxicityModel(words, stems, variants, UNSEEN, UNSEEN, others)
 
 
+def neighbour_weights(
+    near: list[tuple[str, int, int, str]], terms: list[str], share: float
+) -> tuple[dict[str, float], dict[str, float]]:
+    """How likely known neighbours are misspelled terms, from (token, toxic, clean, term), and a neighbour of each term that was never seen.
+
+    ``share`` is that of toxic documents. A word that is near a term by chance is met in toxic documents as often as any other; what neighbours met
+    once exceed that rate by is the part of them that is misspelled. It is taken term by term, drawn to that of all terms with a weight of
+    ``DRAWN`` words, and that to ``UNSEEN`` with one of ``UNSEEN_WORDS``. A known neighbour's own documents then decide by Bayes' rule, where a
+    misspelled term's are toxic but for ``STRAY``.
+    """
+    once: dict[str, list[int]] = {term: [0, 0] for term in terms}
+    for _, toxic, clean, term in near:
+        if toxic + clean == 1:
+            once[term][toxic] += 1
+    start = share + UNSEEN * (1 - share)
+    rate = (sum(x[1] for x in once.values()) + UNSEEN_WORDS * start) / (sum(map(sum, once.values())) + UNSEEN_WORDS)
+    others = {}
+    for term, (clean, toxic) in once.items():
+        own = (toxic + DRAWN * rate) / (toxic + clean + DRAWN)
+        others[term] = min(max((own - share) / (1 - share), 0.0), 1 - STRAY)
+    variants = {}
+    for token, toxic, clean, term in near:
+        part = max(others[term], LEAST_PART)
+        misspelled = math.log(part) + toxic * math.log(1 - STRAY) + clean * math.log(STRAY)
+        chance = math.log(1 - part) + toxic * math.log(share) + clean * math.log(1 - share)
+        variants[token] = 1 / (1 + math.exp(min(chance - misspelled, 700.0)))
+    return variants, others
+
+
 def _sketch() -> Callable[[bytes | None], tuple]:
     def row(text: bytes | None) -> tuple:
         words = word_hashes((text or b"").lower())
@@ -366,11 +397,13 @@ def _scorer(
                 known[token] = weigh(token)
             hits = [i for i, token in enumerate(tokens) if known[token] is not None]
             inside = [_is_quoted(tokens, i, reach) for i in hits]
+            unquoted = [i for i, is_quoted in zip(hits, inside, strict=True) if not is_quoted]
             weights: dict[str, float] = {}
             terms = set()
             for i, is_quoted in zip(hits, inside, strict=True):
                 weight, term = known[tokens[i]]
-                open_hit = any(not q and abs(i - j) <= reach for j, q in zip(hits, inside, strict=True)) if is_quoted else True
+                near = bisect_left(unquoted, i - reach)
+                open_hit = not is_quoted or (near < len(unquoted) and unquoted[near] <= i + reach)
                 word = core(tokens[i])
                 weights[word] = max(weights.get(word, 0.0), weight * (1 if open_hit else quoted))
                 terms.add(term)
