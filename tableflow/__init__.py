@@ -53,7 +53,14 @@ from tableflow.sources.landing import Landed, land_text
 from tableflow.sources.partitions import upsert_partitions
 from tableflow.sources.readers import read_stream, read_table
 from tableflow.sources.scratch import drop_scratch, scratch_dir, scratch_scope
-from tableflow.sources.sinks import reconcile, write_and_reconcile, write_partitioned, write_table
+from tableflow.sources.sinks import (
+    reconcile,
+    reconcile_contents,
+    write_and_reconcile,
+    write_and_verify,
+    write_partitioned,
+    write_table,
+)
 from tableflow.sources.versions import read_version, upsert_table, write_version
 from tableflow.streaming.append import run_bounded, run_to_end, start_append
 from tableflow.streaming.bars import open_bars, stream_bars
@@ -110,6 +117,7 @@ __all__ = [
     "read_stream",
     "read_table",
     "reconcile",
+    "reconcile_contents",
     "repair_indicators",
     "replace_rows",
     "require_clean",
@@ -139,6 +147,7 @@ __all__ = [
     "upsert_where",
     "without_state",
     "write_and_reconcile",
+    "write_and_verify",
     "write_partitioned",
     "write_table",
 ]

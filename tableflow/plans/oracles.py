@@ -358,6 +358,11 @@ FROM events JOIN s ON ts >= low AND ts < high GROUP BY 1, 2
 SELECT event_type AS symbol, date_trunc('day', ts) AS event_time, arg_min(value, ts) AS open, max(value) AS high,
   min(value) AS low, arg_max(value, ts) AS close, round(sum(value), 6) AS volume, count(*) AS ticks
 FROM events GROUP BY 1, 2
+""",
+    "verified_write": """
+SELECT o_orderstatus, count(*) AS rows_sent, count(*) AS rows_read, true AS ok, true AS whole FROM orders GROUP BY 1
+UNION ALL
+SELECT o_orderstatus, count(*), count(*), o_orderstatus <> 'P' OR min(o_totalprice) = max(o_totalprice), NULL FROM orders GROUP BY 1
 """,
     "stream_csv": ORACLES["stream_project"],
     "upsert_partitions": """

@@ -643,6 +643,27 @@ def bronze_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zoneless(stored, "o_orderdate", "ingest_ts")
 
 
+def verified_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written by status and verified, and the same with two prices swapped between rows of one status."""
+    orders = table(spark, sf_dir, "orders")
+    report, all_there = sinks.write_and_verify(orders, scratch_dir(spark, "verified"), "o_orderstatus")
+    pair = orders.groupBy("o_orderstatus").agg(
+        F.max(F.struct("o_totalprice", "o_orderkey")).alias("high"), F.min(F.struct("o_totalprice", "o_orderkey")).alias("low")
+    )
+    price = F.when(F.col("o_orderkey") == F.col("high.o_orderkey"), F.col("low.o_totalprice")).when(
+        F.col("o_orderkey") == F.col("low.o_orderkey"), F.col("high.o_totalprice")
+    )
+    pending = F.col("o_orderstatus") == "P"
+    swapped = orders.join(pair, "o_orderstatus").withColumn(
+        "o_totalprice", F.when(pending, F.coalesce(price, F.col("o_totalprice"))).otherwise(F.col("o_totalprice"))
+    )
+    compared = sinks.reconcile_contents(orders, swapped.select(*orders.columns), "o_orderstatus")
+    columns = ["o_orderstatus", "rows_sent", "rows_read", "ok"]
+    return report.select(*columns).withColumn("whole", F.lit(all_there)).unionByName(
+        compared.select(*columns).withColumn("whole", F.lit(None).cast("boolean"))
+    )
+
+
 def bronze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "bronze")
     orders = table(spark, sf_dir, "orders")
@@ -843,6 +864,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_sources": text_sources,
     "landed_text": landed_text,
     "append_twice": append_twice,
+    "verified_write": verified_write,
     "bronze_roundtrip": bronze_roundtrip,
     "bronze_rows": bronze_rows,
     "market_job": market_job,
