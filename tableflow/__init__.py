@@ -49,6 +49,7 @@ from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
 from tableflow.operators.upsert import copy_columns, newest_wins, upsert, upsert_range, upsert_where
 from tableflow.plans.jobs import bronze_job, curate_job, market_job, tick_stream_job
+from tableflow.sources.buckets import open_bucketed, write_bucketed
 from tableflow.sources.landing import Landed, land_text
 from tableflow.sources.partitions import upsert_partitions
 from tableflow.sources.readers import read_stream, read_table
@@ -136,6 +137,7 @@ __all__ = [
     "start_append",
     "start_upsert",
     "open_bars",
+    "open_bucketed",
     "stream_bars",
     "strict_date",
     "tick_stream_job",
@@ -148,6 +150,7 @@ __all__ = [
     "without_state",
     "write_and_reconcile",
     "write_and_verify",
+    "write_bucketed",
     "write_partitioned",
     "write_table",
 ]

@@ -398,6 +398,7 @@ UNION ALL SELECT 'type', 'c_acctbal', 'decimal(10,2)', 'double', 1
 UNION ALL SELECT 'nan', 'c_acctbal', 'no NaN', NULL, (SELECT count(*) FROM customer WHERE isnan(c_acctbal))
 """,
     "schema_gate": "SELECT *, 'refused' AS outcome FROM orders",
+    "upsert_bucketed": ORACLES["upsert_equi"],
     "upsert_large": ORACLES["upsert_equi"],
     "upsert_stored": ORACLES["upsert_equi"],
     "upsert_hot": _UPSERT_HOT,

@@ -18,7 +18,7 @@ from tableflow.operators.ranges import RangeSplit
 from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
 from tableflow.plans import jobs
-from tableflow.sources import landing, partitions, readers, sinks, versions
+from tableflow.sources import buckets, landing, partitions, readers, sinks, versions
 from tableflow.sources.scratch import scratch_dir, written
 from tableflow.streaming import append, bars as bar_stream, project, upsert as upsert_stream
 
@@ -403,6 +403,15 @@ def upsert_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with both tables in buckets of the key, so that the merge shuffles neither."""
+    stored = []
+    for name, rows in (("events", table(spark, sf_dir, "events")), ("orders", _order_events(spark, sf_dir))):
+        path = scratch_dir(spark, f"bucketed_{name}")
+        stored.append(buckets.write_bucketed(rows, path.rpartition("/")[2].replace("-", "_"), path, ["event_id"], 8))
+    return upsert.upsert(*stored, hot=None, broadcast_bytes=0, **_order_rule())
+
+
 def upsert_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' totals into events by user, with users of many events handled as hot keys."""
     totals = (
@@ -852,6 +861,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "date_rules": date_rules,
     "upsert_equi": upsert_equi,
     "upsert_large": upsert_large,
+    "upsert_bucketed": upsert_bucketed,
     "upsert_hot": upsert_hot,
     "upsert_stored": upsert_stored,
     "upsert_partitions": upsert_partitions,
