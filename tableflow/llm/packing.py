@@ -4,8 +4,9 @@ A bin, here a sequence, has three limits at once: tokens, segments (pieces) and
 tokens. A task packs the documents it reads, a bounded *group* of them at a time:
 
 1. Pieces as long as a whole sequence are cut off long documents; the rests are the items.
-2. The item that fits the open sequence and has the largest dot product of its demands and what is
-   left, each as a share of its limit, is placed next. Items with equal demands are one kind, so a
+2. The item that fits the open sequence and has the largest dot product of its demands (tokens, one segment, loss-bearing tokens) and
+   what is left, each as a share of its limit, is placed next. For plain documents all tokens bear loss, so length alone decides;
+   for conversations, where some turns do, the limits pull apart. Items with equal demands are one kind, so a
    step costs as much as there are kinds (a few thousand at most), not items.
 3. If none fits, the item with the largest product of all is cut to fill the sequence, and the rest
    of it becomes an item. The last segment of a sequence goes to an item that fills it, if there is one.
@@ -30,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.llm.common import id_and_text, record_batch, slices, to_arrow
+from tableflow.llm.common import id_and_text, need_columns, record_batch, slices, to_arrow
 from tableflow.llm.tokens import WordTokenizer
 
 
@@ -63,7 +65,7 @@ class _Pool:
     def __init__(self, limits: Limits) -> None:
         self.limits = limits
         self.kinds: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.table = np.empty((0, 2))
+        self.table = np.empty((0, 3))
         self.stale = True
         self.n = 0
 
@@ -78,7 +80,7 @@ class _Pool:
         if self.stale or self.dead > len(self.table) // 4 + 16:
             self.kinds = {k: v for k, v in self.kinds.items() if v}
             self.keys = list(self.kinds)
-            self.table = np.array(self.keys, np.float64).reshape(-1, 2)
+            self.table = np.array([(tokens, 1, loss) for tokens, loss in self.keys], np.float64).reshape(-1, 3)
             self.alive = np.ones(len(self.keys), bool)
             self.stale, self.dead = False, 0
         return self.table
@@ -95,15 +97,15 @@ class _Pool:
     def best(self, tokens: int, segments: int, loss: int) -> tuple[int, bool]:
         """The kind to place, and whether it must be cut; -1: nothing can be placed."""
         table = self.demands()
-        fits = self.alive & (table[:, 0] <= tokens) & (table[:, 1] <= loss)
+        fits = self.alive & (table[:, 0] <= tokens) & (table[:, 2] <= loss)
         if segments == 1:
             fits &= table[:, 0] == tokens
         most = self.limits
-        left = np.array([tokens / most.tokens**2, loss / most.loss**2])
+        left = np.array([tokens / most.tokens**2, segments / most.segments**2, loss / most.loss**2])
         score = table @ left
         if fits.any():
             return int(np.argmax(np.where(fits, score, -1.0))), False
-        more = self.alive & ((table[:, 0] > tokens) | (table[:, 1] > loss))
+        more = self.alive & ((table[:, 0] > tokens) | (table[:, 2] > loss))
         if more.any():
             return int(np.argmax(np.where(more, score, -1.0))), True
         return (int(np.argmax(np.where(self.alive, score, -1.0))), False) if self.alive.any() else (-1, False)
@@ -215,7 +217,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: document, place in it, checksum of its ids, sequence and place there.
 
-    ``with_ids``: also the piece's ids, as little-endian unsigned 32-bit numbers.
+    ``with_ids``: also the piece's ids, as little-endian unsigned 32-bit numbers. All tokens of a document bear loss; for texts of which only
+    a part does, see :func:`pack_conversations`.
     """
     most, schema = limits or Limits(), to_arrow(PIECES)
 
@@ -257,3 +260,95 @@ def _columns(pieces: list[Placed], group: list, sizes: list[int], first: int, wi
     yield [first + p.bin for p in pieces]
     yield [p.offset for p in pieces]
     yield parts if with_ids else [None] * len(parts)
+
+
+# Instruction data -------------------------------------------------------------------------------
+
+TURNS = T.StructType(
+    [T.StructField(x, T.LongType()) for x in ("conv_id", "first_turn", "turns", "start", "length", "loss", "sequence_id", "offset")]
+)
+
+
+@dataclass
+class _Stretch:
+    """Turns of one conversation in a row that go into a sequence together."""
+
+    conv: int
+    first: int | None
+    turns: int = 0
+    start: int = 0
+    length: int = 0
+    loss: int = 0
+
+
+def pack_conversations(
+    conversations: DataFrame,
+    tokenizer_file: str,
+    limits: Limits,
+    loss_roles: Sequence[str] = ("assistant",),
+    id_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    end_id: int = 1,
+    group_tokens: int = 1_000_000,
+) -> DataFrame:
+    """Conversations in sequences under limits on tokens, segments and tokens that bear loss, all at once.
+
+    A turn is its text's ids and the end id; those of ``loss_roles`` bear loss, all others only take room. One row per segment, a stretch of turns of
+    one conversation: conv_id, first_turn, turns, start (tokens of its first turn that went before, if that was cut), length, loss, sequence_id, offset. A
+    conversation is one segment if it keeps the limits; else it is cut between turns, and a turn over a limit is cut within.
+
+    Turns are put in order over all tasks, so a very long conversation is spread over several, and cut where a task's part ends. Turns stand by
+    ``turn_col``, null first, then by role and text. A null role or text is empty, rows without a conversation id form a conversation, and an
+    empty table gives no segments.
+    """
+    need_columns(conversations, id_col, turn_col, role_col, text_col)
+    most, schema, bearing = limits, to_arrow(TURNS), frozenset(loss_roles)
+
+    def stretches(batches: Iterator[pa.RecordBatch], tokenizer: WordTokenizer) -> Iterator[_Stretch]:
+        now: _Stretch | None = None
+        for convs, turns, roles, texts in slices(batches):
+            encoded = tokenizer.encode([t or b"" for t in texts])
+            for conv, turn, role, ids in zip(convs, turns, roles, encoded, strict=True):
+                left, bears = len(ids) // 4 + 1, (role or "") in bearing
+                if now and (now.conv != conv or now.length + left > most.tokens or now.loss + bears * left > most.loss):
+                    yield now
+                    now = None
+                done, longest = 0, min(most.tokens, most.loss) if bears else most.tokens
+                while left - done > longest:
+                    yield _Stretch(conv, turn, 1, done, longest, bears * longest)
+                    done += longest
+                now = now or _Stretch(conv, turn, start=done)
+                now.turns, now.length, now.loss = now.turns + 1, now.length + left - done, now.loss + bears * (left - done)
+        if now:
+            yield now
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, tokens = TaskContext.get().partitionId() << 32, [], 0
+
+        def packed() -> tuple[pa.RecordBatch, int]:
+            placed = pack([s.length for s in held], most, [s.loss for s in held], cut=False)
+            rows = [
+                (s.conv, s.first, s.turns, s.start, s.length, s.loss, first + p.bin, p.offset) for p in placed for s in [held[p.item]]
+            ]
+            return record_batch(list(zip(*rows, strict=True)), schema), 1 + max(p.bin for p in placed)
+
+        for stretch in stretches(batches, WordTokenizer.shared(tokenizer_file)):
+            held.append(stretch)
+            tokens += stretch.length
+            if tokens >= group_tokens:
+                batch, used = packed()
+                yield batch
+                first, held, tokens = first + used, [], 0
+        if held:
+            yield packed()[0]
+
+    order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    rows = conversations.select(
+        F.col(f"`{id_col}`").cast("long").alias("conv"),
+        F.col(f"`{turn_col}`").cast("long").alias("turn"),
+        F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"),
+        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"),
+    )
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, TURNS)
