@@ -146,7 +146,7 @@ _WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 _PLACES = 64
 
 #: Words whose digests a worker remembers, and the longest of them.
-_REMEMBERED, _SHORT = 1 << 17, 64
+_REMEMBERED, _SHORT = 1 << 15, 64
 _digests: dict[bytes, bytes] = {}
 
 
