@@ -506,7 +506,7 @@ def upsert_range(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_type": F.lit("inserted"),
             "value": "o_totalprice",
         },
-        split=RangeSplit(rows_per_bin=500, rows_per_task=400),
+        split=RangeSplit(rows_per_bin=500),
     )
 
 
