@@ -408,4 +408,12 @@ UNION ALL SELECT 'nan', 'c_acctbal', 'no NaN', NULL, (SELECT count(*) FROM custo
     "bronze_rows": f"SELECT *, {STAMP} FROM orders",
     "stream_bars_all": f"SELECT symbol, event_time, open, high, low, close, ticks FROM ({_BARS})",
     "stream_upsert_null_keys": _NULL_KEYS,
+    "mixed_headers": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN o_custkey END AS o_custkey, o_orderstatus,
+  CASE WHEN o_orderkey % 3 <> 2 THEN o_totalprice END AS o_totalprice
+FROM orders WHERE o_orderkey % 20 <> 0
+UNION ALL
+SELECT count(*), CASE o_orderkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 7 ELSE 4 END, 'broken', NULL
+FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 2
+""",
 }

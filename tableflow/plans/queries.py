@@ -619,6 +619,36 @@ def landed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as one folder of CSV files with three headers, some lines broken, landed into one table."""
+    folder = scratch_dir(spark, "mixed_headers")
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").withColumn("note", F.concat(F.lit("note "), key))
+    headers = [
+        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"],
+        ["o_totalprice", "note", "o_orderstatus", "o_orderkey", "o_custkey"],
+        ["o_orderstatus", "o_orderkey"],
+    ]
+    for i, names in enumerate(headers):
+        line = F.concat_ws(",", *names, F.when(key % 20 == 0, F.lit("one,two")))
+        files = orders.filter(key % 3 == i).select(line.alias(",".join(names))).write.mode("append").option("header", True)
+        files.option("sep", "\u0001").option("quote", "\u0000").csv(f"{folder}/in")
+    landed = landing.land_text(
+        spark,
+        f"{folder}/in",
+        "csv",
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double",
+        quarantine_path=f"{folder}/broken",
+        mixed_headers=True,
+    )
+    broken = readers.read_table(spark, f"{folder}/broken", "parquet", landing.QUARANTINE_SCHEMA)
+    lines = broken.groupBy(F.size(F.split("line", ",")).cast("bigint").alias("o_custkey")).agg(F.count("*").alias("o_orderkey"))
+    counts = lines.select(
+        "o_orderkey", "o_custkey", F.lit("broken").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice")
+    )
+    return landed.rows.unionByName(counts)
+
+
 def append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders appended to a table in two halves, by partition, read back."""
     folder = scratch_dir(spark, "append")
@@ -873,6 +903,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bars_tiebreak": bars_tiebreak,
     "text_sources": text_sources,
     "landed_text": landed_text,
+    "mixed_headers": mixed_headers,
     "append_twice": append_twice,
     "verified_write": verified_write,
     "bronze_roundtrip": bronze_roundtrip,
