@@ -43,6 +43,7 @@ from tableflow.operators.indicators import (
     price_delta,
     rsi,
 )
+from tableflow.operators.profiles import merge_profiles, profile_drift, profile_state, read_profile
 from tableflow.operators.ranges import RangeSplit, interval_join
 from tableflow.operators.repair import repair_indicators, replace_rows
 from tableflow.operators.segments import Split
@@ -105,6 +106,7 @@ __all__ = [
     "latest_per_key",
     "macd",
     "market_job",
+    "merge_profiles",
     "merge_rule",
     "moving_average",
     "newest_wins",
@@ -113,8 +115,11 @@ __all__ = [
     "parse_double",
     "parse_timestamp",
     "price_delta",
+    "profile_drift",
+    "profile_state",
     "project_ticks",
     "quality_report",
+    "read_profile",
     "read_stream",
     "read_table",
     "reconcile",

@@ -415,5 +415,26 @@ FROM orders WHERE o_orderkey % 20 <> 0
 UNION ALL
 SELECT count(*), CASE o_orderkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 7 ELSE 4 END, 'broken', NULL
 FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 2
+""",
+    "profile_merged": """
+WITH o AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 3 > 0 THEN o_custkey END AS o_custkey, o_orderdate,
+    CASE WHEN o_orderstatus = 'P' AND o_orderkey % 4 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS o_totalprice
+  FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0)
+SELECT 'o_orderkey' AS "column", count(*) AS "rows", count(*) FILTER (o_orderkey IS NULL) AS nulls, count(*) FILTER (isnan(o_orderkey::DOUBLE)) AS nans, min(o_orderkey) FILTER (NOT isnan(o_orderkey::DOUBLE))::DOUBLE AS low, max(o_orderkey) FILTER (NOT isnan(o_orderkey::DOUBLE))::DOUBLE AS high FROM o
+UNION ALL
+SELECT 'o_custkey' AS "column", count(*) AS "rows", count(*) FILTER (o_custkey IS NULL) AS nulls, count(*) FILTER (isnan(o_custkey::DOUBLE)) AS nans, min(o_custkey) FILTER (NOT isnan(o_custkey::DOUBLE))::DOUBLE AS low, max(o_custkey) FILTER (NOT isnan(o_custkey::DOUBLE))::DOUBLE AS high FROM o
+UNION ALL
+SELECT 'o_totalprice' AS "column", count(*) AS "rows", count(*) FILTER (o_totalprice IS NULL) AS nulls, count(*) FILTER (isnan(o_totalprice::DOUBLE)) AS nans, min(o_totalprice) FILTER (NOT isnan(o_totalprice::DOUBLE))::DOUBLE AS low, max(o_totalprice) FILTER (NOT isnan(o_totalprice::DOUBLE))::DOUBLE AS high FROM o
+UNION ALL
+SELECT 'o_orderdate' AS "column", count(*) AS "rows", count(*) FILTER (o_orderdate IS NULL) AS nulls, 0::BIGINT AS nans, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM o
+""",
+    "profile_drifted": """
+WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 = 0) AS lost, count(DISTINCT o_orderstatus) AS states,
+  count(*) FILTER (o_totalprice <= (SELECT median(o_totalprice) / 3 FROM orders)) AS cheap FROM orders)
+SELECT 'o_orderkey' AS "column", 0.0::DOUBLE AS nulls_before, 0.0::DOUBLE AS nulls_after, '' AS reasons
+UNION ALL SELECT 'o_custkey', 0.0, round(lost::DOUBLE / n, 6), CASE WHEN lost > 0.01 * n THEN 'nulls' ELSE '' END FROM o
+UNION ALL SELECT 'o_orderstatus', 0.0, 0.0, CASE WHEN states > 2 THEN 'distinct' ELSE '' END FROM o
+UNION ALL SELECT 'o_totalprice', 0.0, 0.0, CASE WHEN n / 2 - cheap > 0.1 * n THEN 'values' ELSE '' END FROM o
 """,
 }

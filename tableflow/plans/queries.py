@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tableflow.functions import columns as rules
 from tableflow.operators import bars as bar_ops
-from tableflow.operators import clean, contracts, dedupe, indicators, ranges, repair, upsert
+from tableflow.operators import clean, contracts, dedupe, indicators, profiles, ranges, repair, upsert
 from tableflow.operators.ranges import RangeSplit
 from tableflow.operators.segments import Split
 from tableflow.operators.skew import HotKeys
@@ -291,6 +291,35 @@ def null_nan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.null_nan_profile(events)
 
 
+def _order_states(orders: DataFrame) -> DataFrame:
+    return profiles.profile_state(orders.drop("o_orderpriority"), by=["o_orderstatus"])
+
+
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and extremes of orders from stored states per status, after pending orders changed and were profiled anew."""
+    orders = table(spark, sf_dir, "orders")
+    pending = orders.filter("o_orderstatus = 'P' AND o_orderkey % 2 = 0")
+    changed = pending.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")))
+    changed = changed.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")))
+    folder = scratch_dir(spark, "profiles")
+    states = _order_states(orders)
+    sinks.write_table(states, folder, partition_by="o_orderstatus")
+    stored = readers.read_table(spark, folder, "parquet", states.schema)
+    now = stored.filter("o_orderstatus <> 'P'").unionByName(_order_states(changed))
+    merged = profiles.merge_profiles(now)
+    return merged.drop("distinct_sketch", "value_sketch", "type")
+
+
+def profile_drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns of orders drift when prices are trebled, some customers get lost, and one status is left."""
+    orders = table(spark, sf_dir, "orders").drop("o_orderdate", "o_orderpriority")
+    customer = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey"))
+    after = orders.withColumns({"o_totalprice": F.col("o_totalprice") * 3, "o_custkey": customer, "o_orderstatus": F.lit("O")})
+    states = [profiles.merge_profiles(profiles.profile_state(df)) for df in (orders, after)]
+    drift = profiles.profile_drift(*states).select("column", "nulls_before", "nulls_after", F.array_join("reasons", ",").alias("reasons"))
+    return _rounded(drift, "nulls_before", "nulls_after")
+
+
 def price_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = clean.split_prices(table(spark, sf_dir, "customer"), "c_acctbal")
     return good.withColumn("outcome", F.lit("good")).unionByName(
@@ -885,6 +914,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contract_report_any_case": contract_report_any_case,
     "schema_gate": schema_gate,
     "null_nan_profile": null_nan_profile,
+    "profile_merged": profile_merged,
+    "profile_drifted": profile_drifted,
     "price_split": price_split,
     "complete_rows": complete_rows,
     "standardize": standardize,
