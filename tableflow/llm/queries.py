@@ -44,8 +44,8 @@ def _op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_packages(table(spark, sf_dir, "pages"), scratch_dir(spark, "packages"))
-    return read_packages(written(manifest, "manifest")[0]).drop("url", "payload")
+    manifest = write_packages(table(spark, sf_dir, "pages"), scratch_dir(spark, "packages"), describe=True)
+    return read_packages(written(manifest, "manifest")[0]).drop("url", "payload", "record_id", "refers_to_record")
 
 
 def _remainder(divisor: int) -> Column:

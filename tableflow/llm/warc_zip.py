@@ -1,7 +1,8 @@
 """WARC records in ZIP packages: writing them, and reading records by ranges without extraction.
 
-A package holds two stored (uncompressed) members: ``archive/data.warc.gz``, one gzip member for each record, and
-``indexes/index.cdxj``, one line for each record with its place in the archive member.
+A package written here holds stored (uncompressed) members: ``archive/data.warc.gz``, one gzip member for each record,
+``indexes/index.cdxj``, a sorted line for each record (key of the url, time, and its place in the archive member), and with ``describe`` a
+``datapackage.json`` with the sizes and SHA-256 digests of these.
 
 *Writing.* Of pages with equal payloads of ``revisit_bytes`` or more, that with the largest id becomes a
 response record and the others revisit records without a payload. The groups are found from digests; the pages
@@ -12,9 +13,13 @@ each package it closed. A package is part of the result only if the manifest nam
 failed or ran twice leaves a file, but no record twice.
 
 *Reading.* The end of a package gives the central directory, by way of the ZIP64 directory where sizes or
-counts ask for it. It locates the members; the index, read as one range, gives the records' places.
-Ranges of about ``range_bytes`` are then dealt to tasks, each read with one request. Members that
-are compressed or encrypted, and records whose digest is wrong, raise with the package's path.
+counts ask for it. It locates the members; the indexes, each read as one range, give the records' places.
+Ranges of about ``range_bytes`` are then dealt to tasks, each read with one request. Packages of other writers are read too: any
+stored ``archive/*.warc`` or ``.warc.gz`` with any ``indexes/*.cdx`` or ``.cdxj``, gzipped or not, in any order and with records that
+the index leaves out. Names of header fields match in any case, chunked bodies are put together, SHA-1 digests may be in hex or base 32 and stand for the
+body as it was sent or as it was put together; a record without one is taken as it is. Records that are no response or
+revisit (``warcinfo``, ``request``, ``resource``, ...) come with their type, and their block as payload. Packages whose archives or indexes
+are compressed by the ZIP or encrypted, and records that are cut off or whose digest is wrong, raise with the package's path.
 
 Memory is bounded by a package's index, a range and the longest record. Packages are opened with Arrow's file
 systems, in the tasks, so any store that these reach will do.
@@ -26,8 +31,11 @@ responses. A null url is left out of the record; characters that a header cannot
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -35,7 +43,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
@@ -46,10 +54,12 @@ from pyspark.sql import types as T
 from tableflow.llm.common import need_columns, record_batch, slices, to_arrow
 from tableflow.sources.scratch import written
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATA, INDEX, DESCRIPTION = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 REVISIT_BYTES = 1000
 PACKAGE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+#: Bytes between two records that are read in vain rather than by a request of their own.
+GAP_BYTES = 64 << 10
 BROADCAST_GROUPS = 200_000
 ID_URN = "urn:tableflow:record:"
 
@@ -60,6 +70,7 @@ RANGES = T.StructType(
     [
         T.StructField("path", T.StringType()),
         T.StructField("offset", T.LongType()),
+        T.StructField("starts", T.ArrayType(T.LongType())),
         T.StructField("lengths", T.ArrayType(T.LongType())),
     ]
 )
@@ -71,6 +82,8 @@ RECORDS = T.StructType(
         T.StructField("payload_digest", T.StringType()),
         T.StructField("record_type", T.StringType()),
         T.StructField("refers_to", T.LongType()),
+        T.StructField("record_id", T.StringType()),
+        T.StructField("refers_to_record", T.StringType()),
         T.StructField("payload", T.BinaryType()),
     ]
 )
@@ -131,10 +144,24 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, l
     return packer.compress(head.encode() + body + b"\r\n\r\n") + packer.flush()
 
 
+def url_key(url: str | None) -> str:
+    """The sort key of a url in an index: the host's parts from the last on, then path and query; ``-`` for what has no host."""
+    try:
+        parts = urlsplit((url or "").strip())
+        host, port = parts.hostname, parts.port
+    except ValueError:  # no url
+        return "-"
+    if not host:
+        return "-"
+    key = ",".join(reversed(host.removeprefix("www.").split("."))) + (f":{port}" if port not in (None, 80, 443) else "")
+    return quote(f"{key}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower(), safe="%/:=&?~#+!$,;'@()*[]|")
+
+
 class _Package:
     """A package being written to a stream."""
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, date: str, describe: bool) -> None:
+        self.date, self.describe = date, describe
         self.path = f"{folder.rstrip('/')}/pages-{uuid.uuid4().hex}.wacz"
         fs, name = _open_fs(self.path)
         fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
@@ -143,15 +170,27 @@ class _Package:
         self.member = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
         self.index: list[str] = []
         self.size = 0
+        self.hash = hashlib.sha256()
 
-    def add(self, record: bytes, page_id: int | None) -> None:
+    def add(self, record: bytes, url: str | None, digest: str, kind: str) -> None:
         self.member.write(record)
-        self.index.append(json.dumps({"id": page_id, "offset": self.size, "length": len(record)}))
+        if self.describe:
+            self.hash.update(record)
+        place = {"filename": DATA.rsplit("/", 1)[1], "offset": self.size, "length": len(record)}
+        entry = {"url": url or "", "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": 200, "digest": f"sha1:{digest}", **place}
+        time = re.sub(r"\D", "", self.date)
+        self.index.append(f"{url_key(url)} {time} {json.dumps(entry)}")
         self.size += len(record)
 
     def close(self) -> tuple[str, int, int]:
         self.member.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.index))
+        index = "".join(f"{line}\n" for line in sorted(self.index)).encode()
+        self.zip.writestr(zipfile.ZipInfo(INDEX), index)
+        if self.describe:
+            parts = [(DATA, self.hash.hexdigest(), self.size), (INDEX, hashlib.sha256(index).hexdigest(), len(index))]
+            resources = [{"name": path.rsplit("/", 1)[1], "path": path, "hash": f"sha256:{digest}", "bytes": size} for path, digest, size in parts]
+            described = {"profile": "data-package", "wacz_version": "1.1.1", "created": self.date, "resources": resources}
+            self.zip.writestr(zipfile.ZipInfo(DESCRIPTION), json.dumps(described, indent=2))
         self.zip.close()
         size = self.stream.tell()
         self.stream.close()
@@ -167,6 +206,7 @@ def write_packages(
     revisit_bytes: int = REVISIT_BYTES,
     package_bytes: int = PACKAGE_BYTES,
     broadcast_groups: int = BROADCAST_GROUPS,
+    describe: bool = False,
 ) -> DataFrame:
     """Write packages below ``folder``, a path that all executors share, and return the manifest.
 
@@ -179,8 +219,9 @@ def write_packages(
         package = None
         for columns in slices(batches, 64):
             for page_id, url, payload, digest, leader in zip(*columns, strict=True):
-                package = package or _Package(folder)
-                package.add(_record(page_id, url, payload, digest, leader, date), page_id)
+                package = package or _Package(folder, date, describe)
+                kind = "response" if leader is None else "revisit"
+                package.add(_record(page_id, url, payload, digest, leader, date), url, digest, kind)
                 if package.size >= package_bytes:
                     yield record_batch([[x] for x in package.close()], schema)
                     package = None
@@ -258,57 +299,124 @@ def _widened(extra: bytes, *values: int) -> list[int]:
     return out
 
 
-def _ranges(path: str, range_bytes: int) -> Iterator[tuple[str, int, list[int]]]:
+def _places(file: pa.NativeFile) -> list[tuple[int, int]]:
+    """Start in the package and length of every record that the indexes name, in order."""
+    members = read_directory(file)
+    archives = {name: m for name, m in members.items() if re.fullmatch(r"archive/.+\.warc(\.gz)?", name)}
+    indexes = [m for name, m in sorted(members.items()) if re.fullmatch(r"indexes/.+\.cdxj?(\.gz)?", name)]
+    if not archives or not indexes:
+        raise ValueError("Stored archive or index is missing")
+    places = set()
+    for index in indexes:
+        text = file.read_at(index.size, index.start)
+        lines = (gzip.decompress(text) if text[:2] == b"\x1f\x8b" else text).decode().splitlines()
+        for line in lines:
+            if line.startswith("!") or "{" not in line:  # a header line of the index, or a blank one
+                continue
+            entry = json.loads(line[line.index("{") :])
+            offset, length = int(entry["offset"]), int(entry["length"])
+            archive = archives.get(f"archive/{entry['filename']}") if "filename" in entry else next(iter(archives.values()))
+            if archive is None or ("filename" not in entry and len(archives) > 1) or offset < 0 or offset + length > archive.size:
+                raise ValueError("The index does not match the archive")
+            places.add((archive.start + offset, length))
+    return sorted(places)
+
+
+def _ranges(path: str, range_bytes: int) -> Iterator[tuple[str, int, list[int], list[int]]]:
+    """What to read at once: the first byte, and where records start after it and how long they are."""
     fs, name = _open_fs(path)
     with fs.open_input_file(name) as file:
-        members = read_directory(file)
-        if DATA not in members or INDEX not in members:
-            raise ValueError("Stored archive or index is missing")
-        index, data = members[INDEX], members[DATA]
-        lines = file.read_at(index.size, index.start).decode().splitlines()
-    first, lengths, at = 0, [], 0
-    for line in lines:
-        entry = json.loads(line)
-        if entry["offset"] != at or at + entry["length"] > data.size:
-            raise ValueError("The index does not match the archive")
-        if lengths and at + entry["length"] - first > range_bytes:
-            yield path, data.start + first, lengths
-            first, lengths = at, []
-        lengths.append(entry["length"])
-        at += entry["length"]
+        places = _places(file)
+    first, end, starts, lengths = 0, 0, [], []
+    for start, length in places:
+        if lengths and (start - end > GAP_BYTES or start + length - first > range_bytes):
+            yield path, first, starts, lengths
+            starts, lengths = [], []
+        if not lengths:
+            first = start
+        starts.append(start - first)
+        lengths.append(length)
+        end = start + length
     if lengths:
-        yield path, data.start + first, lengths
+        yield path, first, starts, lengths
 
 
-def parse_record(packed: bytes) -> tuple:
-    """The values of ``RECORDS`` for one gzip member; the payload of a revisit is null."""
-    data = zlib.decompress(packed, 31)
+def _head(data: bytes) -> tuple[str, dict[str, str], bytes]:
+    """First line, fields by names in lower case, and what follows the blank line. A field may go on in lines that begin with blanks."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/1."):
+    first, *lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    fields = (line.partition(":") for line in lines)
+    return first, {name.strip().lower(): value.strip() for name, _, value in fields}, rest
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The chunks of a body put together; None if it isn't made of chunks up to the last."""
+    out, at = [], 0
+    while (line := re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(;[^\r\n]*)?\r\n").match(body, at)) is not None:
+        size = int(line[1], 16)
+        if size == 0:
+            return b"".join(out)
+        chunk = body[line.end() : line.end() + size]
+        if len(chunk) < size or body[line.end() + size : line.end() + size + 2] != b"\r\n":
+            return None
+        out.append(chunk)
+        at = line.end() + size + 2
+    return None
+
+
+def _sha1(data: bytes) -> str:
+    return hashlib.sha1(data, usedforsecurity=False).hexdigest()
+
+
+def _named_digest(field: str | None) -> str | None:
+    """A SHA-1 digest as lower-case hex, whichever way it is written; None if there is none."""
+    algorithm, _, value = (field or "").partition(":")
+    if algorithm.lower().replace("-", "") != "sha1":
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def parse_record(packed: bytes) -> tuple:
+    """The values of ``RECORDS`` for one record, a gzip member or plain; the payload of a revisit is null."""
+    data = gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed
+    version, fields, rest = _head(data)
+    if not version.startswith("WARC/"):
         raise ValueError("Not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    body = rest[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or hashlib.sha1(payload, usedforsecurity=False).hexdigest() != digest):
-        raise ValueError("A payload does not match its digest")
-    refers = fields.get("WARC-Refers-To")
+    kind, length = fields["warc-type"], int(fields["content-length"])
+    body = payload = rest[:length]
+    if len(body) < length:
+        raise ValueError("A record is cut off")
+    size, sent = None, None
+    if kind in ("response", "revisit") and fields.get("content-type", "").lower().startswith("application/http"):
+        _, http, payload = _head(body)
+        sent = payload
+        if "chunked" in http.get("transfer-encoding", "").lower() and (whole := _unchunked(payload)) is not None:
+            payload = whole
+        if kind == "revisit" and http.get("content-length", "").isdecimal():
+            size = int(http["content-length"])
+    digest = _named_digest(fields.get("warc-payload-digest"))
+    if kind != "revisit":
+        size, own = len(payload), _sha1(payload)
+        if digest not in (None, own) and (sent is None or _sha1(sent) != digest):
+            raise ValueError("A payload does not match its digest")
+        digest = own
+    refers = fields.get("warc-refers-to")
     return (
-        _page_id(fields["WARC-Record-ID"]),
-        fields.get("WARC-Target-URI"),
+        _page_id(fields.get("warc-record-id", "")),
+        fields.get("warc-target-uri"),
         size,
         digest,
         kind,
         _page_id(refers) if refers else None,
-        payload if kind == "response" else None,
+        fields.get("warc-record-id"),
+        refers,
+        payload if kind != "revisit" else None,
     )
 
 
 def _page_id(urn: str) -> int | None:
-    return int(urn[1 + len(ID_URN) : -1]) if urn.startswith(f"<{ID_URN}") else None
+    found = re.fullmatch(f"<{ID_URN}(-?[0-9]+)>", urn)
+    return int(found[1]) if found else None
 
 
 def read_packages(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = False) -> DataFrame:
@@ -327,15 +435,12 @@ def read_packages(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in slices(batches, 16):
-            for path, offset, lengths in zip(*columns, strict=True):
+            for path, offset, starts, lengths in zip(*columns, strict=True):
                 try:
                     fs, name = _open_fs(path)
                     with fs.open_input_file(name) as file:
-                        data = file.read_at(sum(lengths), offset)
-                    rows, at = [], 0
-                    for length in lengths:
-                        rows.append(parse_record(data[at : at + length]))
-                        at += length
+                        data = file.read_at(starts[-1] + lengths[-1], offset)
+                    rows = [parse_record(data[at : at + length]) for at, length in zip(starts, lengths, strict=True)]
                 except Exception as error:
                     raise ValueError(f"{path} at {offset}: {error}") from error
                 if not with_payload:
