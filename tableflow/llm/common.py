@@ -38,6 +38,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[tuple]:
     """Lists of the columns' values, a few rows at a time, so that copies stay small."""
     for batch in batches:

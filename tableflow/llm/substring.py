@@ -20,7 +20,13 @@ Words are told apart by 128 bits of BLAKE2b. Two windows count as equal if their
 are made of all bits of the words' digests. The words of equal windows are not compared again.
 
 Both sides of the last join are shuffled by source, texts once, whatever their size. Groups hold
-``group_bytes`` of text or one document, and there are ``per_partition`` buckets to a shuffle partition.
+``group_bytes`` of text or one document.
+
+*Buckets* are held whole, so they must not grow with the input. A sample of ``SAMPLE_SHARE`` of the documents, and of about ``SAMPLE_BYTES`` where
+the optimizer says how large the input is, counts the edges and those of each anchor. There are ``per_partition`` buckets to a shuffle partition, and more if
+these would hold more than ``bucket_edges`` each. Windows that differ may share an anchor, a phrase of many documents whose hash is
+small: anchors that are expected to have more than ``bucket_edges`` edges are dealt by the edges' own hashes, edge by edge. At most ``MAX_HOT`` such anchors, the
+hottest, are told to the tasks. The sample only chooses buckets: equal windows meet wherever they are dealt, so results do not depend on it.
 
 Null and empty texts have no words. Null ids are ids like others. Repeated rows are separate sources, so all their
 windows are repeated; rows that repeat an id with another text are told apart by a hash of the text.
@@ -40,6 +46,7 @@ from pyspark.sql import types as T
 
 from tableflow.llm.common import (
     covered,
+    estimated_bytes,
     free_name,
     hash_texts,
     id_and_text,
@@ -56,7 +63,12 @@ WINDOW = 35
 ANCHOR = 8
 GROUP_BYTES = 1 << 20
 PER_PARTITION = 16
+BUCKET_EDGES = 500_000
+SAMPLE_SHARE = 0.01
+SAMPLE_BYTES = 8 << 20
+MAX_HOT = 500_000
 
+ANCHORS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("edges", T.LongType())])
 PIECES = T.StructType(
     [
         T.StructField("bucket", T.IntegerType()),
@@ -125,7 +137,22 @@ def _first_in_group(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return is_first, counts[inverse] > 1
 
 
-def _group_rows(group: list, window: int, anchor: int, buckets: int) -> Iterator[list]:
+def _anchor_counts(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different edges each anchor has in a group of texts."""
+    hashes, counts = hash_texts(texts)
+    _, _, at, edges = cut_into_pieces(hashes, counts, window, anchor)
+    is_first, _ = _first_in_group(edges)
+    return np.unique(both_hashes(hashes, anchor)[at[is_first]], return_counts=True)
+
+
+def _is_hot(anchors: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which anchors are among the sorted hot ones."""
+    if not len(hot):
+        return np.zeros(len(anchors), bool)
+    return hot[np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)] == anchors
+
+
+def _group_rows(group: list, window: int, anchor: int, buckets: int, hot: np.ndarray) -> Iterator[list]:
     """Rows of ``PIECES`` for a group of (id, text, mark)."""
     hashes, counts = hash_texts([text for _, text, _ in group])
     places, owner, at, edges = cut_into_pieces(hashes, counts, window, anchor)
@@ -143,7 +170,8 @@ def _group_rows(group: list, window: int, anchor: int, buckets: int) -> Iterator
     places, owner, at, edges = places[keep], owner[keep], at[keep], edges[keep]
     new = np.ones(len(edges), bool)
     new[1:] = (np.diff(at) != 0) | (np.diff(places) != 1) | (np.diff(owner) != 0)
-    starts = np.flatnonzero(new)
+    alone = _is_hot(grams[at], hot)
+    starts = np.flatnonzero(new | alone)
     head = np.zeros(len(starts), _HEAD)
     head["anchor"] = grams[at[starts]]
     ids = np.array([x[0] if x[0] is not None else 0 for x in group], np.int64)
@@ -151,7 +179,8 @@ def _group_rows(group: list, window: int, anchor: int, buckets: int) -> Iterator
     head["mark"] = np.array([x[2] for x in group], np.int64)[owner[starts]]
     head["start"] = places[starts] - begins[owner[starts]]
     head["n"] = np.diff(np.append(starts, len(edges)))
-    target = ((head["anchor"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    dealt = np.where(alone[starts], mix(edges[starts]), head["anchor"])
+    target = ((dealt >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(target, kind="stable")
     spread = np.repeat(np.arange(len(starts)), head["n"])
     edge_order = np.argsort(target[spread], kind="stable")
@@ -203,13 +232,56 @@ def _bucket_spans(blobs: list[bytes]) -> list:
     ]
 
 
+def _text_groups(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[list]:
+    """Rows (id, text, mark) in groups of about ``group_bytes`` of text."""
+    group, size = [], 0
+    for columns in slices(batches):
+        for row_id, text, mark in zip(*columns, strict=True):
+            group.append((row_id, text or b"", mark))
+            size += len(text or b"")
+            if size >= group_bytes:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def sampled_edges(sources: DataFrame, window: int, anchor: int, group_bytes: int, bucket_edges: int) -> tuple[int, np.ndarray]:
+    """About how many edges there are, and the sorted anchors expected to have more than ``bucket_edges``; see above."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(estimated_bytes(sources), 1)))
+    schema = to_arrow(ANCHORS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _text_groups(batches, group_bytes):
+            anchors, edges = _anchor_counts([text for _, text, _ in group], window, anchor)
+            names = pa.array(np.append(anchors, np.uint64(0)).view(np.int64), mask=np.arange(len(anchors) + 1) == len(anchors))
+            yield record_batch([names, np.append(edges, edges.sum()).astype(np.int64)], schema)  # the total has no name
+
+    sampled = sources if share == 1.0 else sources.sample(share, seed=1)
+    summed = sampled.mapInArrow(count, ANCHORS).groupBy("anchor").agg(F.sum("edges").alias("edges"))
+    wanted = summed.where(F.col("anchor").isNull() | (F.col("edges") > bucket_edges * share))
+    found = wanted.orderBy(F.desc(F.col("anchor").isNull()), F.desc("edges"), "anchor").limit(1 + MAX_HOT).collect()
+    total = sum(row["edges"] for row in found if row["anchor"] is None)
+    hot = [row["anchor"] for row in found if row["anchor"] is not None]
+    return int(total / share), np.sort(np.array(hot, np.int64).view(np.uint64))
+
+
 def repeated_spans(
-    docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, group_bytes: int, per_partition: int
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    window: int,
+    anchor: int,
+    group_bytes: int,
+    per_partition: int,
+    bucket_edges: int = BUCKET_EDGES,
 ) -> DataFrame:
     """(id, mark, starts): per source with a repeated window the [start, end) runs of such windows' first words."""
     spark = docs.sparkSession
+    sources = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * per_partition
+    n_edges, hot = sampled_edges(sources, window, anchor, group_bytes, bucket_edges)
+    buckets = min(max(partitions * per_partition, n_edges // bucket_edges + 1), 2**31 - 1)
     pieces_schema, spans_schema = to_arrow(PIECES), to_arrow(SPANS)
 
     def emit(rows: Iterator[list]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +297,8 @@ def repeated_spans(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[list]:
-            group, size = [], 0
-            for ids, texts, marks in slices(batches):
-                for row in zip(ids, texts, marks, strict=True):
-                    group.append((row[0], row[1] or b"", row[2]))
-                    size += len(row[1] or b"")
-                    if size >= group_bytes:
-                        yield from _group_rows(group, window, anchor, buckets)
-                        group, size = [], 0
-            if group:
-                yield from _group_rows(group, window, anchor, buckets)
+            for group in _text_groups(batches, group_bytes):
+                yield from _group_rows(group, window, anchor, buckets, hot)
 
         return emit(rows())
 
@@ -255,7 +319,6 @@ def repeated_spans(
         if blobs:
             yield record_batch(_bucket_spans(blobs), spans_schema)
 
-    sources = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     pieces = sources.mapInArrow(deal, PIECES).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     spans = pieces.mapInArrow(compact, SPANS)
     return spans.groupBy("id", "mark").agg(F.collect_list(F.array("start", "end")).alias("starts"))
@@ -307,6 +370,7 @@ def remove_repeats(
     into: str = "cut",
     group_bytes: int = GROUP_BYTES,
     per_partition: int = PER_PARTITION,
+    bucket_edges: int = BUCKET_EDGES,
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_removed, kept_sha256 and, ``with_text``, text_left.
 
@@ -316,7 +380,7 @@ def remove_repeats(
     need_columns(docs, id_col, text_col)
     if anchor > window:
         raise ValueError("The anchor is longer than the window")
-    spans = repeated_spans(docs, id_col, text_col, window, anchor, group_bytes, per_partition)
+    spans = repeated_spans(docs, id_col, text_col, window, anchor, group_bytes, per_partition, bucket_edges)
     key, starts = free_name(docs, "source_key"), free_name(docs, "window_starts")
     spans = spans.select(
         F.struct(F.col("id").alias("i"), F.col("mark").alias("m")).alias(key), F.col("starts").alias(starts)
