@@ -65,7 +65,7 @@ GROUP_BYTES = 1 << 20
 PER_PARTITION = 16
 BUCKET_EDGES = 500_000
 SAMPLE_SHARE = 0.01
-SAMPLE_BYTES = 8 << 20
+SAMPLE_BYTES = 1 << 20
 MAX_HOT = 500_000
 
 ANCHORS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("edges", T.LongType())])
