@@ -58,9 +58,11 @@ def test_a_phrase_of_all_documents_is_split(rows):
     assert total == same_total and plain > 50_000 and split < 2 * total / 64
 
 
-def test_the_sample_finds_it(spark, rows, monkeypatch):
+def test_the_sample_finds_it(spark, rows, monkeypatch, tmp_path):
     monkeypatch.setattr(substring, "SAMPLE_BYTES", 1 << 30)  # all of this small table
-    docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("mark"))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "docs"))  # the size of files is known
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    docs = stored.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("mark"))
     edges, hot = sampled_edges(docs, 35, 8, 1 << 20, 5000)
     assert len(hot) == 1 and 150_000 < edges < 250_000
     assert sampled_edges(docs.limit(0), 35, 8, 1 << 20, 5000)[0] == 0
