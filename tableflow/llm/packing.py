@@ -24,6 +24,7 @@ separate documents. An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -238,14 +239,19 @@ def pack_documents(
 
 def _groups(batches: Iterable, tokenizer: WordTokenizer, end: bytes, most: int) -> Iterator[list[tuple]]:
     """Documents with their ids' bytes, until a group has ``most`` tokens."""
-    group, tokens = [], 0
-    for doc_ids, texts in slices(batches):
-        for doc_id, ids in zip(doc_ids, tokenizer.encode(texts), strict=True):
-            group.append((doc_id, ids + end))
-            tokens += len(ids) // 4 + 1
-            if tokens >= most:
-                yield group
-                group, tokens = [], 0
+    group, tokens, waiting = [], 0, deque()
+
+    def all_texts() -> Iterator[bytes | None]:
+        for doc_ids, texts in slices(batches):
+            waiting.extend(doc_ids)
+            yield from texts
+
+    for ids in tokenizer.encode(all_texts()):
+        group.append((waiting.popleft(), ids + end))
+        tokens += len(ids) // 4 + 1
+        if tokens >= most:
+            yield group
+            group, tokens = [], 0
     if group:
         yield group
 

@@ -1,0 +1,47 @@
+"""Ids of texts that are split in blocks, against the plain tokenizer."""
+
+import random
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from tableflow.llm.queries import tokenizer_file
+from tableflow.llm.tokens import WordTokenizer
+
+WHOLE = Tokenizer.from_file(tokenizer_file())
+
+
+def same(texts, tokenizer, **options):
+    found = list(tokenizer.encode([t.encode() for t in texts], **options))
+    assert len(found) == len(texts)
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+
+
+def test_every_character_of_latin_1():
+    signs = [chr(i) for i in range(256)]
+    same([*signs, "".join(signs), *(f"a{c}b 1{c}2 '{c} {c}'s {c}{c}" for c in signs)], WordTokenizer(tokenizer_file()))
+
+
+def test_short_endings():
+    stems = ["", "'", "''", "a", "A'", "9", ",", ",'", "é", "Σ", "\x01", "’"]
+    ends = ["s", "S", "t", "re", "RE", "r", "ve", "m", "ll", "l", "d", "sa", "res", "s's", "s'll9", "S'", "s,", "", "\n's"]
+    same([f"{a}'{b}" for a in stems for b in ends], WordTokenizer(tokenizer_file()))
+    same(["it'", "s", "'", "re'", "", "ll", "9", "9", "\x01", "x"], WordTokenizer(tokenizer_file()))
+
+
+def test_random_texts_in_small_blocks():
+    rng = random.Random(5)
+    signs = "ab Zé'ßµ²9½,.\t\n\x0b\x0c'streveld   \xa0\xad\x85\x01\x1cΣİя́ 😀"
+    texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 5, 60]))) for _ in range(3_000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>'s b", "".join(rng.choices(signs, k=20_000))]
+    for block in (1, 50, 4_000):
+        same(texts, WordTokenizer(tokenizer_file(), max_words=100), block=block)
+
+
+def test_words_of_known_parts_take_no_room():
+    """op8 spent most of its time on tables of whole words, most of which are seen once."""
+    tokenizer = WordTokenizer(tokenizer_file())
+    parts = ["alpha", "beta", "gamma", ",", "--"]
+    same([" ".join(a + s + b.upper() for a in parts[:3] for b in parts[:3] for s in parts[3:])] * 2, tokenizer)
+    assert sum(len(x) for x in vars(tokenizer).values() if isinstance(x, dict)) == len(parts)
